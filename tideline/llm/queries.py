@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_formatting
+from .packing import op1_packing
 from .url_lists import OP8_SQL, op8_url_filters
 
-QUERIES = {"op3_chat_formatting": op3_chat_formatting, "op8_url_filters": op8_url_filters}
+QUERIES = {"op1_packing": op1_packing, "op3_chat_formatting": op3_chat_formatting, "op8_url_filters": op8_url_filters}
 ORACLE_SQL = {"op3_chat_formatting": OP3_SQL, "op8_url_filters": OP8_SQL}

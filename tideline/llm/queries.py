@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_formatting
+from .ordinal import op5_toxicity
 from .packing import op1_packing
+from .passages import op9_quality
 from .url_lists import OP8_SQL, op8_url_filters
 
-QUERIES = {"op1_packing": op1_packing, "op3_chat_formatting": op3_chat_formatting, "op8_url_filters": op8_url_filters}
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op5_toxicity": op5_toxicity,
+    "op8_url_filters": op8_url_filters,
+    "op9_quality": op9_quality,
+}
 ORACLE_SQL = {"op3_chat_formatting": OP3_SQL, "op8_url_filters": OP8_SQL}

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_formatting
+from .neighbours import op10_neighbours
 from .ordinal import op5_toxicity
 from .packing import op1_packing
 from .passages import op9_quality
+from .pieces import op6_sentencepiece
 from .url_lists import OP8_SQL, op8_url_filters
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_chat_formatting": op3_chat_formatting,
     "op5_toxicity": op5_toxicity,
+    "op6_sentencepiece": op6_sentencepiece,
     "op8_url_filters": op8_url_filters,
     "op9_quality": op9_quality,
+    "op10_neighbours": op10_neighbours,
 }
 ORACLE_SQL = {"op3_chat_formatting": OP3_SQL, "op8_url_filters": OP8_SQL}

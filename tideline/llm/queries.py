@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_formatting
+from .forest import op2_ngram_join
 from .jpeg import op4_media
 from .neighbours import op10_neighbours
 from .ordinal import op5_toxicity
@@ -13,6 +14,7 @@ from .url_lists import OP8_SQL, op8_url_filters
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_ngram_join": op2_ngram_join,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_media": op4_media,
     "op5_toxicity": op5_toxicity,

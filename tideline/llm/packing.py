@@ -20,6 +20,7 @@ packed as they come; an empty table gives no pieces; other columns are left out.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,30 +38,41 @@ BITS = 20
 ONE = 1 << BITS
 REST = MAX_QUEUES - 1
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Lower-case Latin letters, which the tokenizer's normaliser and splitter leave as they are.
+LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\u012f\u0131-\u024f]+")
+OWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+#: The byte-level alphabet: visible Latin-1 characters stand for themselves, the other bytes follow from 256 on.
+BYTE_LETTER = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in OWN)}
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
 class WordIds(dict):
     """Word -> its ids as bytes, for a tokenizer that drops white space and never joins across it."""
 
-    LIMIT = 500_000
+    LIMIT = 800_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
-        if word.isascii() and "<|" not in word and not word.islower() and word.lower() != word:
-            return self[word.lower()]  # the tokenizer's normaliser does the same
+        value = self[word] = self.of(word)
+        return value
+
+    def of(self, word: str) -> bytes:
         if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():
-            value = self[word[:-1]] + self[word[-1]]  # letters and one mark behind them are split in any case
+            return self[word[:-1]] + self[word[-1]]  # letters and one mark behind them are split in any case
+        low = word.lower()
+        if LETTERS.fullmatch(low):  # straight to the library's model
+            letters = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_LETTER)
+            ids = [t.id for t in self.model.tokenize(letters)]
         else:
-            value = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = value
-        return value
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> bytes:
         # str.split() also splits at four control characters that are no white space to the tokenizer

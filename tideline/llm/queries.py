@@ -10,6 +10,7 @@ from .ordinal import op5_toxicity
 from .packing import op1_packing
 from .passages import op9_quality
 from .pieces import op6_sentencepiece
+from .repeats import op7_substring_dedup
 from .url_lists import OP8_SQL, op8_url_filters
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_media": op4_media,
     "op5_toxicity": op5_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_url_filters": op8_url_filters,
     "op9_quality": op9_quality,
     "op10_neighbours": op10_neighbours,

@@ -65,6 +65,15 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def few_rows_of(spark: SparkSession):
+    """For joins that need the texts of some documents: Spark's runtime Bloom filter (8 MB at most) leaves the others out before the shuffle.
+
+    The filter's size is fixed; where there are too many keys for it, it lets more rows through and the join is as exact as before.
+    """
+    at = "spark__sql__optimizer__runtime__bloomFilter__"
+    return settings(spark, **{f"{at}enabled": "true", f"{at}applicationSideScanSizeThreshold": "1m", f"{at}creationSideThreshold": "64g", f"{at}numBits": "67108864"})
+
+
 def documents(df: DataFrame, *extra: str) -> DataFrame:
     """doc_id and text (null: empty), and the extra columns asked for; others with whatever names are left out."""
     return df.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
@@ -78,19 +87,35 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, remembered up to a bound."""
+class Remembered(dict):
+    """Remembers what ``make`` gives for a key, in two generations: what is asked for again outlives what is not."""
 
-    LIMIT = 400_000
+    LIMIT = 800_000
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
+    def __init__(self):
+        self.old: dict = {}
 
-        if len(self) >= self.LIMIT:
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.LIMIT // 2:
+            self.old = dict(self)
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[key] = value
         return value
 
 
+class WordHash(Remembered):
+    """word (text or its bytes) -> 64-bit hash."""
+
+    LIMIT = 600_000
+
+    def make(self, word: str | bytes) -> int:
+        import xxhash
+
+        return xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
+
+
 def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, batch, documents, mix, table
+from .common import Scratch, WordHash, batch, documents, few_rows_of, mix, table
 from .components import components
 
 TREES, DEPTH = 32, 6
@@ -199,17 +199,20 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
         found.where(F.col("shingle_key").isNotNull()).groupBy("shingle_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies"), F.first("prefixes").alias("prefixes"))
     )
     under = reps.select("node", F.explode("prefixes").alias("prefix"))
-    top = under.groupBy("prefix").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    candidates = under.join(top, "prefix").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    top = scratch.keep(under.groupBy("prefix").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    candidates = under.join(top.where("n > 1").drop("n"), "prefix").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    with few_rows_of(docs.sparkSession):
+        candidates = scratch.keep(candidates)
     group = components(candidates, scratch)
     group = scratch.keep(group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "comp"))
     size = group.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = group.join(size, "comp").withColumn("side", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     placed = scratch.keep(placed.join(reps.select("node", "shingle_key"), "node"))
-    sets = with_sets(placed.join(texts.withColumnRenamed("doc_id", "node"), "node"), "comp", "blocks", "side", "node")
+    sets = with_sets(placed.where("blocks > 0").join(texts.withColumnRenamed("doc_id", "node"), "node"), "comp", "blocks", "side", "node")
     each = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select("comp", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "names")
-    links = scratch.keep(verify(each.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node"), threshold))
+    with few_rows_of(docs.sparkSession):
+        links = scratch.keep(verify(each.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node"), threshold))
     classes = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     per_node = links.groupBy("node").agg(F.sum("links").alias("n_links")).join(classes, "node", "left")
     by_key = scratch.keep(reps.select("shingle_key", "node", "n_copies").join(per_node, "node", "left").withColumn("class_id", F.coalesce("root", "node")).drop("root", "node"))

@@ -1,0 +1,106 @@
+"""Files of an account export and of live sessions: listing, routing, claims, lines."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Section, prefix and suffix of each file family.
+FAMILIES = (
+    ("DI-Connect-Aggregator", "UDSFile_", ".json", "json:uds"), ("DI-Connect-Wellness", "", "_sleepData.json", "json:sleep"),
+    ("DI-Connect-Metrics", "TrainingReadinessDTO_", ".json", "json:readiness"), ("DI-Connect-Metrics", "MetricsMaxMetData_", ".json", "json:vo2max"),
+    ("DI-Connect-Metrics", "MetricsAcuteTrainingLoad_", ".json", "json:training_load"), ("DI-Connect-Metrics", "EnduranceScore_", ".json", "json:endurance"),
+    ("DI-Connect-Metrics", "HillScore_", ".json", "json:hill"), ("DI-Connect-Wellness", "", "_fitnessAgeData.json", "json:fitness_age"),
+    ("DI-Connect-Wellness", "", "_userBioMetrics.json", "json:biometrics"),
+)
+T_LIMIT = 253_370_764_800
+LIVE_RULES = {
+    "heart_rate": ("heart_rate_zero", "value > 0 AND value < 255"), "stress": ("stress_sentinel", "value BETWEEN 0 AND 100"),
+    "respiration_rate": ("respiration_sentinel", "value >= 0 AND value < 255"), "spo2": ("spo2_off_wrist_or_zero", "value > 0 AND value <= 100"),
+    "energy_reserve": ("energy_reserve_out_of_range", "value BETWEEN 0 AND 100"),
+}
+
+
+def section_of(path: Column) -> Column:
+    return F.regexp_extract(path, r"(?:^|/)(DI-Connect-[^/]+)/", 1)
+
+
+def stream_of(path: Column) -> Column:
+    """The stream of a file by its section and name, or null."""
+    section, name = section_of(path), F.substring_index(path, "/", -1)
+    out = F.lit(None).cast("string")
+    for s, prefix, suffix, stream in reversed(FAMILIES):
+        out = F.when((section == s) & name.startswith(prefix) & name.endswith(suffix), stream).otherwise(out)
+    return out
+
+
+def claimed_window(name: Column) -> tuple[Column, Column]:
+    """(from_day, to_day) that a file name states, as YYYY-MM-DD or YYYYMMDD pairs; null unless both are dates in order."""
+    iso = [F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})_(\d{4}-\d{2}-\d{2})", k) for k in (1, 2)]
+    compact = [F.regexp_extract(name, r"(?<!\d)(\d{8})_(\d{8})(?!\d)", k) for k in (1, 2)]
+    day = lambda a, b: F.to_date(F.when(a != "", F.try_to_timestamp(a, F.lit("yyyy-MM-dd"))).otherwise(F.when(b != "", F.try_to_timestamp(b, F.lit("yyyyMMdd")))))
+    first, last = (day(a, b) for a, b in zip(iso, compact, strict=True))
+    return F.when(first <= last, first), F.when(first <= last, last)
+
+
+def claims(files: DataFrame) -> DataFrame:
+    """files: path, written_day. stream, from_day, to_day; no claim reaches past the day the file was written."""
+    first, last = claimed_window(F.substring_index("path", "/", -1))
+    out = files.select(stream_of(F.col("path")).alias("stream"), first.alias("from_day"), last.alias("last"), "written_day").where("stream is not null and from_day is not null")
+    return out.select("stream", "from_day", F.when(F.col("written_day") < F.col("last"), F.greatest("from_day", "written_day")).otherwise(F.col("last")).alias("to_day"))
+
+
+def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+
+
+def unzip(files: DataFrame, suffix: str = ".fit") -> DataFrame:
+    """path, content -> member label and bytes, of zip archives and those inside them."""
+
+    def members(data: bytes, label: str) -> Iterator[tuple[str, bytes]]:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for info in sorted(z.infolist(), key=lambda i: i.filename):
+                if not info.is_dir():
+                    name = info.filename.lower()
+                    if name.endswith(".zip"):
+                        yield from members(z.read(info), f"{label}/{info.filename}")
+                    elif name.endswith(suffix):
+                        yield f"{label}/{info.filename}", z.read(info)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                rows = list(members(content, path))
+                yield pd.DataFrame({"label": [r[0] for r in rows], "content": [r[1] for r in rows]}, columns=["label", "content"])
+
+    return files.select("path", "content").mapInPandas(run, "label string, content binary")
+
+
+def live_lines(files: DataFrame) -> DataFrame:
+    """files: path, text. path, readings (array of t, metric, value), cut_off; only files whose every line is a reading or a status line.
+
+    A last line that is no JSON is cut off if a line comes before it.
+    """
+    lines = F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
+    rows = files.select("path", F.posexplode(lines).alias("k", "line"), F.size(lines).alias("n")).withColumn("v", F.try_parse_json("line"))
+    has = lambda key: F.expr(f"variant_get(v, '$.{key}', 'variant')").isNotNull()
+    kind = lambda key: F.expr(f"schema_of_variant(variant_get(v, '$.{key}', 'variant'))")
+    t, metric, value = F.try_variant_get("v", "$.t", "double"), F.try_variant_get("v", "$.metric", "string"), F.try_variant_get("v", "$.value", "long")
+    whole = has("t") & has("metric") & has("value")
+    reading = whole & kind("t").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (t >= 0) & (t < T_LIMIT) & (kind("metric") == "STRING") & (kind("value") == "BIGINT")
+    status = ~whole & (has("status") | has("stop"))
+    cut = F.col("v").isNull() & (F.col("k") == F.col("n") - 1) & (F.col("n") > 1)
+    rows = rows.select("path", "k", F.when(F.coalesce(reading, F.lit(False)), F.struct(t.alias("t"), metric.alias("metric"), value.alias("value"))).alias("r"), F.coalesce(reading | status | cut, F.lit(False)).alias("fine"), cut.alias("cut"))
+    files_ = rows.groupBy("path").agg(F.bool_and("fine").alias("fine"), F.bool_or("cut").alias("cut_off"), F.array_sort(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("k", "r")))).alias("r"))
+    return files_.where("fine").select("path", F.transform("r", lambda x: x.r).alias("readings"), "cut_off")
+
+
+def keep_readings(readings: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Readings (metric, value) that pass their metric's sentinel rule; and the rules that drop the others, by reason."""
+    good = " OR ".join(f"(metric = '{m}' AND {rule})" for m, (_, rule) in LIVE_RULES.items())
+    return readings.where(good), {reason: f"metric = '{m}' AND NOT ({rule})" for m, (reason, rule) in LIVE_RULES.items()}

@@ -21,29 +21,28 @@ columns are left out by ``find_repeats`` and kept by ``without_repeats``.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, batch, documents, mix, table
+from .common import Scratch, WordHash, batch, documents, few_rows_of, mix, table
 from .recompress import B, anchors, levels, stretch_names
 
 WINDOW = 20
 HALF = 10
-WORD = re.compile("[^ \t-\r]+")
 CHUNK = 150_000
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def parsed(texts: list[list[str]], words: WordHash) -> tuple[np.ndarray, ...]:
+def parsed(texts: list[list[bytes]], words: WordHash) -> tuple[np.ndarray, ...]:
     """Stretches of windows with one key: text, first window, number of windows, key, name; and the names of all windows."""
     size = np.array([len(t) for t in texts], np.int64)
     n = int(size.sum())
-    name = np.fromiter((h for t in texts for h in map(words.__getitem__, t)), np.uint64, n)
+    name = np.fromiter(map(words.__getitem__, chain.from_iterable(texts)), np.uint64, n)
     doc = np.repeat(np.arange(len(texts)), size)
     begin = np.cumsum(size) - size
     whole = np.arange(n) + WINDOW <= (begin + size)[doc]
@@ -66,11 +65,15 @@ def parsed(texts: list[list[str]], words: WordHash) -> tuple[np.ndarray, ...]:
     return row, w[first] - begin[row], count, key.view(np.int64), stretch.view(np.int64), twenty
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, list[list[str]]]]:
-    """Split texts in groups of about CHUNK words, with the index of the first."""
+def raw(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.binary()).to_pylist()
+
+
+def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Split texts in groups of about CHUNK words, with the index of the first. Bytes split at the same six characters as the words do."""
     group, n, begin = [], 0, 0
     for i, t in enumerate(texts):
-        group.append(WORD.findall(t))
+        group.append(t.split())
         n += len(group[-1])
         if n >= CHUNK:
             yield begin, group
@@ -79,8 +82,8 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[list[str]]]]:
         yield begin, group
 
 
-def digest_of(words: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def digest_of(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def survey(docs: DataFrame) -> DataFrame:
@@ -89,9 +92,9 @@ def survey(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for b in batches:
-            for begin, group in chunks(b["text"].to_pylist()):
+            for begin, group in chunks(raw(b["text"])):
                 row, _, _, key, _, _ = parsed(group, cache)
-                plain = [" ".join(t).encode("utf-8", "surrogatepass") for t in group]
+                plain = [b" ".join(t) for t in group]
                 offsets = pa.array(np.searchsorted(row, np.arange(len(group) + 1)).astype(np.int32))
                 yield batch(
                     doc_id=b["doc_id"].slice(begin, len(group)),
@@ -110,7 +113,7 @@ def stretches(rows: DataFrame) -> DataFrame:
         cache = WordHash()
         for b in batches:
             wanted, digest = b["keys"], b["digest"].to_pylist()
-            for begin, group in chunks(b["text"].to_pylist()):
+            for begin, group in chunks(raw(b["text"])):
                 row, at, count, key, stretch, twenty = parsed(group, cache)
                 part = wanted.slice(begin, len(group))
                 ok = np.array([digest_of(t) == d for t, d in zip(group, digest[begin : begin + len(group)], strict=True)], bool)
@@ -135,18 +138,18 @@ def cut(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             removed, left = [], []
-            for text, marks in zip(b["text"].to_pylist(), b["marks"].to_pylist(), strict=True):
-                words = WORD.findall(text)
+            for text, marks in zip(raw(b["text"]), b["marks"].to_pylist(), strict=True):
+                words = text.split()
                 change = np.zeros(len(words) + 1, np.int64)
                 at = np.array([m["at"] for m in marks], np.int64)
                 np.add.at(change, at, 1)
                 np.add.at(change, at + np.array([m["n"] for m in marks], np.int64) + WINDOW - 1, -1)
                 covered = np.cumsum(change)[:-1] > 0
                 removed.append(int(covered.sum()))
-                left.append(" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c]))
+                left.append(b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c]))
             yield batch(
                 doc_id=b["doc_id"], digest=b["digest"], n_removed=pa.array(removed, pa.int64()),
-                cut_sha256=pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in left], pa.binary()), left=pa.array(left, pa.string()),
+                cut_sha256=pa.array([hashlib.sha256(t).digest() for t in left], pa.binary()), left=pa.array(left, pa.binary()).cast(pa.string()),
             )
 
     return rows.mapInArrow(run, "doc_id long, digest binary, n_removed long, cut_sha256 binary, left string")
@@ -160,11 +163,12 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     first = scratch.keep(base.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id")))
     originals = base.where(f"n_words >= {WINDOW}").join(first, "digest").where("doc_id = first_id").select("doc_id", "digest", "keys")
     originals = scratch.keep(originals.dropDuplicates(["doc_id", "digest"]))
-    again = scratch.keep(originals.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"))
-    wanted = originals.select("doc_id", "digest", F.explode("keys").alias("key")).join(again, "key")
-    wanted = scratch.keep(wanted.groupBy("doc_id", "digest").agg(F.collect_list("key").alias("keys")))
-    scratch.drop(originals, again)
-    work = scratch.keep(stretches(texts.join(wanted, "doc_id")))
+    again = scratch.keep(originals.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1"))
+    wanted = originals.select("doc_id", "digest", F.explode("keys").alias("key")).join(again.where("count > 1").select("key"), "key")
+    with few_rows_of(docs.sparkSession):
+        wanted = scratch.keep(wanted.groupBy("doc_id", "digest").agg(F.collect_list("key").alias("keys")))
+        scratch.drop(originals, again)
+        work = scratch.keep(stretches(texts.join(wanted.where("size(keys) > 0"), "doc_id")))
     rows = work.select("doc_id", "digest", F.inline("found"))
     leaders = rows.groupBy("key", "stretch").agg(F.min(F.struct("doc_id", "at", "digest", "names")).alias("f"))
     leaders = scratch.keep(leaders.select("key", "stretch", F.col("f.doc_id").alias("lead_id"), F.col("f.at").alias("lead_at"), F.col("f.digest").alias("digest"), F.col("f.names").alias("names")))

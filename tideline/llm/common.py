@@ -36,10 +36,10 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_folder(spark)}/tideline-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, df: DataFrame, *by: str) -> DataFrame:
+    def keep(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         path = f"{self.root}/{self.count}"
         self.count += 1
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

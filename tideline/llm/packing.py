@@ -60,10 +60,10 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
-        value = self[word] = self.of(word)
+        value = self[word] = self.make(word)
         return value
 
-    def of(self, word: str) -> bytes:
+    def make(self, word: str) -> bytes:
         if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():
             return self[word[:-1]] + self[word[-1]]  # letters and one mark behind them are split in any case
         low = word.lower()
@@ -78,9 +78,12 @@ class WordIds(dict):
         # str.split() also splits at four control characters that are no white space to the tokenizer
         if SEPARATORS.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if text.isascii() and "<|" not in text:  # as the normaliser does; special tokens are matched before that
+            text = text.lower()
         return b"".join(map(self.__getitem__, text.split()))
 
 
+
 _loaded: dict[str, WordIds] = {}
 
 
@@ -220,7 +223,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    tokens = scratch.keep(tokenize(docs, tokenizer_path, end_id))
+    tokens = scratch.keep(tokenize(docs, tokenizer_path, end_id), compression="snappy")
     blocks = scratch.keep(tokens.groupBy("source", "part").agg(F.sum("n").alias("t")))
     if mixture is None:
         own = [r[0] for r in blocks.groupBy("source").agg(F.sum("t").alias("t")).orderBy(F.desc("t"), "source").limit(REST).collect()]

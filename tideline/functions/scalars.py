@@ -6,6 +6,7 @@ import datetime
 import math
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,7 +85,6 @@ def upper_median(value: str) -> Column:
 
 def round_exact(digits: int):
     """The correctly rounded, half-even value of the exact binary number, for presentation. No built-in gives it."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def run(x: pd.Series) -> pd.Series:

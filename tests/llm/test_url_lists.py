@@ -23,7 +23,7 @@ def brute(url, fetched, events):
     keys += ["p:" + host + "/".join(parts[:i]) for i in range(2, len(parts) + 1)]
     active = []
     for k in set(keys):
-        before = sorted((e[3], e[2], e[1]) for e in events if e[0] == k and e[3] <= fetched)
+        before = sorted((e[3], e[2], e[1]) for e in events if e[0] == k and e[3] is not None and e[3] <= fetched)
         if before and before[-1][1] == "add":
             active.append((len(k), k, before[-1][2]))
     return max(active, default=None)

@@ -55,7 +55,7 @@ def parsed(texts: list[list[bytes]], words: WordHash) -> tuple[np.ndarray, ...]:
     pos = at[w]
     left = pos - w >= HALF
     new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1] + 1) | (doc[w[1:]] != doc[w[:-1]]) | (pos[1:] != pos[:-1]) | (left[1:] != left[:-1])
+    new[1:] = (w[1:] != w[:-1] + 1) | (doc[w[1:]] != doc[w[:-1]]) | (pos[1:] != pos[:-1]) | (left[1:] != left[:-1]) | (anchor[w[1:]] != anchor[w[:-1]])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(w)))
     key = mix(anchor[w[first]] + B * ten[np.where(left[first], pos[first] - HALF, pos[first])] + left[first])

@@ -44,7 +44,7 @@ def test_severity_grows_with_what_is_said(spark):
     few, many = ("word1 " * 20 + " ".join(w) for w in (["awfulbad"], ["awfulbad", "nastymean", "rudefool", "vilescum"]))
     out = docs(spark, [(1, few), (2, many), (3, None), (4, "")]).select("doc_id", ordinal.severity(F.col("text"), model).alias("s"))
     s = {r.doc_id: r.s for r in out.collect()}
-    assert s[1] < s[2] and s[3] == s[4] < 0.5
+    assert s[1] < s[2] and s[3] == s[4] < ordinal.CUT
 
 
 def test_ordinal_fit_shares_weights():

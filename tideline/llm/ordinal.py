@@ -1,16 +1,16 @@
 """Toxicity by cumulative-link ordinal regression.
 
 Severity grades 0..K-1 follow P(grade > k) = sigmoid(w.x - theta_k): one weight vector for all thresholds, and thresholds
-that rise by construction (theta_0 and exponentials of steps). x holds the distinct words of a text and their first 4, 5
-and 6 letters, hashed to 2^20 places; most weights are exactly zero (a proximal L1 step). The score is the expected
-severity, sum_k P(grade > k).
+that rise by construction (theta_0 and exponentials of steps). x holds the words of a text, each up to ``TIMES`` times, and
+their first 4, 5 and 6 letters, hashed to 2^20 places. Weights are never negative and mostly zero (a proximal L1 step): no
+amount of harmless text makes up for an insult. The score is the expected severity, sum_k P(grade > k).
 
 Fit: on a bounded, documented sample of labelled rows (``SAMPLE_ROWS``, the smallest hashes of doc_id), on the driver. Labels
 here only say toxic or not, so toxic rows are graded 1..3 by how many distinct marker terms they hold (terms that are far
 commoner in toxic rows of the sample), in thirds; labels that hold grades already are used as they are.
 
 Scoring: whole texts of all rows, one pass without a shuffle. A word's weight is a sum of four places, so a text's score is
-a sum over its distinct words.
+a sum over its words.
 
 Defined results: null and empty texts have no features and score as such; rows whose label is null are not learned from;
 without labels of both kinds every score is 0; an empty table gives no rows; repeated rows are scored as they come; extra
@@ -20,6 +20,7 @@ columns are passed through by ``reject`` and left out by the query.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,9 @@ SAMPLE_ROWS = 10_000
 PLACES = 1 << 20
 PREFIXES = (4, 5, 6)
 KEPT_TERMS = 30_000
-CUT = 0.5
+TIMES = 3
+LEAST_Z = 8.0
+CUT = 0.15
 WORD = re.compile(r"\w+")
 
 
@@ -64,10 +67,14 @@ class WordWeights(dict):
         return value
 
 
+def counted(text: str | None) -> Counter:
+    return Counter(WORD.findall((text or "").lower()))
+
+
 def terms(texts: pd.Series) -> pd.Series:
-    """The distinct places of each text, as unsigned 32-bit bytes."""
+    """The places of each text, as unsigned 32-bit bytes."""
     cache = Places()
-    return pd.Series([np.unique(np.fromiter((p for w in set(WORD.findall((t or "").lower())) for p in cache[w]), np.uint32)).tobytes() for t in texts], dtype=object)
+    return pd.Series([np.fromiter((p for w, n in counted(t).items() for p in cache[w] * min(n, TIMES)), np.uint32).tobytes() for t in texts], dtype=object)
 
 
 def sigmoid(x):
@@ -85,21 +92,20 @@ class OrdinalModel:
         return sigmoid(total[..., None] - self.thresholds).sum(-1) if len(self.thresholds) else np.zeros(total.shape)
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, l1: float = 2e-4, steps: int = 400, rate: float = 0.05) -> OrdinalModel:
-    """Cumulative-link fit on rows of distinct feature places; Adam steps followed by soft thresholding."""
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, l1: float = 2e-4, steps: int = 600, rate: float = 0.05) -> OrdinalModel:
+    """Cumulative-link fit on rows of feature places; Adam steps followed by soft thresholding at and above zero."""
     k = int(grades.max(initial=0))
     if k == 0 or not (grades == 0).any():
         return OrdinalModel(np.zeros(PLACES, np.float32), np.zeros(0))
     size = np.array([len(r) for r in rows])
     flat, owner = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), size)
     # univariate screening: the places whose presence differs most between toxic and clean rows
-    toxic = grades[owner] > 0
     n1, n0 = (grades > 0).sum(), (grades == 0).sum()
-    c1, c0 = np.bincount(flat[toxic], minlength=PLACES), np.bincount(flat[~toxic], minlength=PLACES)
+    c1, c0 = (presence(rows, k) for k in (grades > 0, grades == 0))
     p = (c1 + c0 + 1) / (n1 + n0 + 2)
     z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     z[c1 + c0 < 4] = 0
-    chosen = np.flatnonzero(z >= max(2.0, np.partition(z, -KEPT_TERMS)[-KEPT_TERMS]))
+    chosen = np.flatnonzero(z >= max(LEAST_Z, np.partition(z, -KEPT_TERMS)[-KEPT_TERMS]))
     index = np.full(PLACES, -1)
     index[chosen] = np.arange(len(chosen))
     ok = index[flat] >= 0
@@ -127,20 +133,28 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, l1: float = 2e-4, st
             mx += 0.1 * (gx - mx)
             vx += 0.001 * (gx * gx - vx)
             x -= rate * (mx / (1 - 0.9**t)) / (np.sqrt(vx / (1 - 0.999**t)) + 1e-8)
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1 * 20, 0)
+        w = np.maximum(w - rate * l1 * 20, 0)
     full = np.zeros(PLACES, np.float32)
     full[chosen] = w
     return OrdinalModel(full, free[0] + np.concatenate(([0.0], np.cumsum(np.exp(free[1:])))))
 
 
+def presence(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    """In how many of the chosen rows each place is."""
+    out = np.zeros(PLACES, np.int64)
+    for r, c in zip(rows, chosen, strict=True):
+        if c:
+            out[np.unique(r)] += 1
+    return out
+
+
 def grade(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """0 for clean rows; 1..3 for toxic rows by thirds of their distinct marker terms."""
     if not toxic.any() or toxic.all():
         return toxic.astype(np.int64)
-    c1 = np.bincount(np.concatenate([r for r, t in zip(rows, toxic, strict=True) if t]).astype(np.int64), minlength=PLACES) / toxic.sum()
-    c0 = np.bincount(np.concatenate([r for r, t in zip(rows, toxic, strict=True) if not t]).astype(np.int64), minlength=PLACES) / (~toxic).sum()
+    c1, c0 = presence(rows, toxic) / toxic.sum(), presence(rows, ~toxic) / (~toxic).sum()
     marker = (c1 > 0.02) & (c1 > 10 * c0)
-    hits = np.array([marker[r].sum() for r in rows])
+    hits = np.array([marker[np.unique(r)].sum() for r in rows])
     low, high = np.quantile(hits[toxic], [1 / 3, 2 / 3])
     return np.where(toxic, 1 + (hits > low) + (hits > high), 0).astype(np.int64)
 
@@ -174,7 +188,7 @@ def severity(text: Column, model: OrdinalModel) -> Column:
             full[used] = values
             state["w"] = WordWeights(full)
         weight = state["w"].__getitem__
-        sums = [sum(map(weight, set(WORD.findall((t or "").lower())))) for t in texts]
+        sums = [sum([weight(w) * min(n, TIMES) for w, n in counted(t).items()]) for t in texts]
         return pd.Series(OrdinalModel(values, thresholds).severity(np.array(sums, float)), dtype="float64")
 
     return F.pandas_udf(score, "double")(text)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -109,7 +111,7 @@ class Remembered(dict):
 class WordHash(Remembered):
     """word (text or its bytes) -> 64-bit hash."""
 
-    LIMIT = 600_000
+    LIMIT = 250_000
 
     def make(self, word: str | bytes) -> int:
         import xxhash
@@ -117,5 +119,44 @@ class WordHash(Remembered):
         return xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+_held: list[dict] = []
+
+
+def trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def hold(cache: dict | None) -> None:
+    """Keeps one operator's cache in this Python worker between tasks, and empties another's."""
+    if _held and _held[0] is not cache:
+        _held.pop().clear()
+        trim()
+    if cache is not None and not _held:
+        _held.append(cache)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Gives memory back after the last batch: Python workers live on between stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(None)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))

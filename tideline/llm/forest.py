@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, batch, documents, few_rows_of, mix, table
+from .common import Scratch, WordHash, batch, documents, few_rows_of, mix, small, table, tidy
 from .components import components
 
 TREES, DEPTH = 32, 6
@@ -84,7 +84,7 @@ def features(docs: DataFrame, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tree = WordHash(), mix(np.arange(1, TREES + 1, dtype=np.uint64))
-        for b in batches:
+        for b in small(batches):
             keys, signatures, some = [], [], []
             for t in b["text"].to_pylist():
                 s = shingles(t, words)
@@ -98,7 +98,7 @@ def features(docs: DataFrame, depth: int) -> DataFrame:
             offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
             yield batch(doc_id=b["doc_id"], shingle_key=pa.array(keys, pa.binary()), prefixes=pa.ListArray.from_arrays(offsets, pa.array(nodes.ravel())))
 
-    return docs.mapInArrow(run, "doc_id long, shingle_key binary, prefixes array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, shingle_key binary, prefixes array<long>")
 
 
 def with_sets(rows: DataFrame, *keep: str) -> DataFrame:
@@ -116,7 +116,7 @@ def with_sets(rows: DataFrame, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part[c].filter(same) for c in keep), names.filter(same)], [*keep, "names"])
 
     types = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", names binary")
+    return rows.mapInArrow(tidy(run), ", ".join(f"{c} {types[c]}" for c in keep) + ", names binary")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -187,7 +187,7 @@ def verify(blocks: DataFrame, threshold: float) -> DataFrame:
         if out is not None:
             yield out
 
-    return blocks.mapInArrow(run, "node long, root long, links long")
+    return blocks.mapInArrow(tidy(run), "node long, root long, links long")
 
 
 def join_similar(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:

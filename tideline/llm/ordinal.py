@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import documents, hold, table
 
 SAMPLE_ROWS = 10_000
 PLACES = 1 << 20
@@ -61,7 +61,7 @@ class WordWeights(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= 400_000:
+        if len(self) >= 250_000:
             self.clear()
         value = self[word] = float(sum(self.weights[p] for p in places(word)))
         return value
@@ -184,6 +184,7 @@ def severity(text: Column, model: OrdinalModel) -> Column:
 
     def score(texts: pd.Series) -> pd.Series:
         if not state:
+            hold(None)
             full = np.zeros(PLACES, np.float32)
             full[used] = values
             state["w"] = WordWeights(full)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, documents, table
+from .common import Scratch, batch, documents, hold, small, table
 
 MAX_QUEUES = 256
 BITS = 20
@@ -49,7 +49,7 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordIds(dict):
     """Word -> its ids as bytes, for a tokenizer that drops white space and never joins across it."""
 
-    LIMIT = 800_000
+    LIMIT = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -97,8 +97,10 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id, source, ids (unsigned 32-bit, little-endian), n, and base: the tokens before it in its partition's queue."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, part, served = word_ids(tokenizer_path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), {}
-        for b in batches:
+        words = word_ids(tokenizer_path)
+        hold(words)
+        end, part, served = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), {}
+        for b in small(batches):
             ids = [words.ids(t) + end for t in b["text"].to_pylist()]
             source, n, base = b["source"].to_pylist(), [len(x) // 4 for x in ids], []
             for s, k in zip(source, n, strict=True):

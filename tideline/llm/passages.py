@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import documents, hold, table
 from .ordinal import labelled_sample, sigmoid
 
 SAMPLE_ROWS = 12_000
@@ -62,7 +62,7 @@ def form(word: str) -> np.ndarray:
 class Forms(dict):
     """word -> row of a growing table of forms, emptied between texts when it is full."""
 
-    LIMIT = 150_000
+    LIMIT = 100_000
 
     def __init__(self):
         self.table = np.zeros((1024, FORM + SHAPES), np.float32)
@@ -174,7 +174,10 @@ def quality(text: Column, model: MilModel) -> Column:
     state: dict[str, Forms] = {}
 
     def score(texts: pd.Series) -> pd.Series:
-        forms = state.setdefault("forms", Forms())
+        if not state:
+            hold(None)
+            state["forms"] = Forms()
+        forms = state["forms"]
         out, values = [], texts.tolist()
         for i in range(0, len(values), 64):
             out.append(model.score([forms.passages(t or "") for t in values[i : i + 64]]))

@@ -16,7 +16,9 @@ where the model has none); repeated rows are encoded as they come; an empty tabl
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch, documents, table
+from .common import batch, documents, hold, small, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -32,10 +34,11 @@ UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
 
-class Pieces:
+class Pieces(dict):
     """A model's pieces, their automaton, and encoding of chunks of escaped text."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
+    PAIRS = 250_000
 
     def __init__(self, serialized: bytes):
         import ahocorasick
@@ -57,23 +60,34 @@ class Pieces:
         self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
-        self.byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
+        byte_of = {i: bytes([b]).decode("ascii", "surrogateescape") for b, i in self.bytes.items()}
+        self.text = [byte_of.get(i, " ⁇ " if i == self.unknown else "" if self.type[i] == CONTROL else p.replace(SPACE, " ")) for i, p in enumerate(self.piece)]
+        self.apart: dict[int, bool] = {}
         self.low = min((self.score[i] for i in self.id.values()), default=0.0) - UNKNOWN_PENALTY
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("pieces with a space mark behind other characters are not handled")
+        self.size = [len(p) for p in self.piece]
+        self.inside = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.splits = "".join(c for c in "\n" if c not in self.id)
         self.chunk = re.compile(f"{SPACE}+[^{SPACE}{self.splits}]*|[{self.splits}]|[^{SPACE}{self.splits}]+" if self.splits else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        #: For BPE: order of merging (-1 for single characters), the two halves of the last merge, and whether halves always come before wholes.
+        self.rank = [-1.0 if self.size[i] == 1 else -x for i, x in enumerate(self.score)]
+        self.halves: list[tuple[int, int] | None] = [None] * len(self.piece)
+        self.plain = [True] * len(self.piece)
         self.automaton = ahocorasick.Automaton()
-        for text, i in self.id.items():
-            if self.kind == UNIGRAM or len(text) == 1 or self.merge(text) == [text]:
-                self.automaton.add_word(text, (i, len(text)))
+        for text, i in sorted(self.id.items(), key=lambda x: len(x[0])):
+            if self.kind == BPE and len(text) > 1:
+                parts, cut = self.merge(text)
+                if parts != [text]:
+                    continue
+                a, b = self.halves[i] = self.id[text[:cut]], self.id[text[cut:]]
+                self.plain[i] = self.plain[a] and self.plain[b] and max(self.rank[a], self.rank[b]) < self.rank[i] and 2 * SPACE not in text
+            self.automaton.add_word(text, (i, len(text)))
         self.automaton.make_automaton()
 
-    def merge(self, text: str) -> list[str]:
-        """Pair merging by rank, leftmost first among equals: the definition of a BPE model, for short texts."""
-        parts = list(text)
+    def merge(self, text: str) -> tuple[list[str], int]:
+        """Pair merging by rank, leftmost first among equals: the definition of a BPE model, for short texts. And the length of the left part in the last merge."""
+        parts, cut = list(text), 0
         while len(parts) > 1:
             best = None
             for k in range(len(parts) - 1):
@@ -83,91 +97,120 @@ class Pieces:
             if best is None:
                 break
             k = best[1]
+            cut = len(parts[k])
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+        return parts, cut
 
     def stay_apart(self, left: int, right: int) -> bool:
-        key = (left, right)
-        found = self.apart.get(key)
-        if found is None:
-            if len(self.apart) >= self.LIMIT:
-                self.apart.clear()
+        """Whether merging the joined text of two pieces gives the two pieces back."""
+        if not (self.plain[left] and self.plain[right]):
             a, b = self.piece[left], self.piece[right]
-            found = self.apart[key] = self.merge(a + b) == [a, b]
-        return found
+            return self.merge(a + b)[0] == [a, b]
+        # Undo merges at the border, the latest first. Between two of them a merge across the border must not have come before
+        # the earlier undone one; among equal ranks the one further left comes first.
+        until, rank, halves = math.inf, self.rank, self.halves
+        while True:
+            across = self.id.get(self.piece[left] + self.piece[right])
+            if across is not None and rank[across] < until:
+                return False
+            if rank[left] > rank[right]:
+                until, left = rank[left], halves[left][1]
+            elif rank[right] >= 0:
+                until, right = rank[right] + 0.5, halves[right][0]
+            else:
+                return True
+
+    def path(self, text: str) -> list[int]:
+        """Ids of the pieces of a chunk; below zero: -1 - position of a character that no piece covers."""
+        return self.best_path(text) if self.kind == UNIGRAM else self.valid_path(text)
+
+    def valid_path(self, text: str) -> list[int]:
+        last: list[int | None] = [None] * (len(text) + 1)  # the piece that ends a valid path to each position
+        apart = self.apart
+        for at, (i, size) in self.automaton.iter(text):
+            end = at + 1
+            if last[end] is None:
+                before = last[end - size]
+                if before is not None:
+                    key = before << 24 | i
+                    ok = apart.get(key)
+                    if ok is None:
+                        if len(apart) >= self.PAIRS:
+                            apart.clear()
+                        ok = apart[key] = self.stay_apart(before, i)
+                    if not ok:
+                        continue
+                last[end] = i
+        out, end = [], len(text)
+        while end:
+            i = last[end]
+            out.append(-end if i is None else i)
+            end -= 1 if i is None else self.size[i]
+        return out[::-1]
 
-    def path(self, text: str) -> list[tuple[int, int]]:
-        """(id, start) of the pieces of a chunk; id -1 marks a character that no piece covers."""
+    def best_path(self, text: str) -> list[int]:
         n = len(text)
-        best = [0.0] + [None] * n  # score of the best path to each position
-        last: list[tuple[int, int] | None] = [None] * (n + 1)  # its last piece and where that starts
+        best: list[float | None] = [0.0] + [None] * n  # score of the best path to each position
+        last: list[int | None] = [None] * (n + 1)  # its last piece
         done = 0
-        unigram = self.kind == UNIGRAM
 
-        def settle(upto: int) -> None:  # positions that no piece reaches take one unknown character
+        def settle(upto: int) -> None:  # a character that is no piece by itself can also be unknown
             nonlocal done
             while done < upto:
                 done += 1
-                if best[done] is None or (unigram and self.unknown_better(best, done, text)):
-                    best[done], last[done] = best[done - 1] + self.low, (-1, done - 1)
+                other = best[done - 1] + self.low
+                if text[done - 1] not in self.id and (best[done] is None or best[done] < other):
+                    best[done], last[done] = other, None
 
         for at, (i, size) in self.automaton.iter(text):
-            end = at + 1
-            settle(end - 1)
-            start = end - size
-            if unigram:
-                score = best[start] + self.score[i]
-                if best[end] is None or score > best[end]:
-                    best[end], last[end] = score, (i, start)
-            elif best[end] is None:
-                before = last[start]
-                if before is None or before[0] < 0 or self.stay_apart(before[0], i):
-                    best[end], last[end] = 0.0, (i, start)
+            settle(at)
+            score = best[at + 1 - size] + self.score[i]
+            if best[at + 1] is None or score > best[at + 1]:
+                best[at + 1], last[at + 1] = score, i
         settle(n)
         out, end = [], n
         while end:
-            out.append(last[end])
-            end = last[end][1]
+            i = last[end]
+            out.append(-end if i is None else i)
+            end -= 1 if i is None else self.size[i]
         return out[::-1]
 
-    def unknown_better(self, best, end: int, text: str) -> bool:
-        return text[end - 1] not in self.id and best[end] < best[end - 1] + self.low
-
-    def chunk_ids(self, text: str) -> bytes:
-        found = self.known.get(text)
-        if found is None:
-            if len(self.known) >= self.LIMIT:
-                self.known.clear()
-            ids, unknown = [], False
-            for i, start in self.path(text):
-                if i >= 0:
-                    ids.append(i)
-                elif self.bytes:
-                    ids.extend(self.bytes[b] for b in text[start].encode("utf-8"))
-                elif not unknown:
-                    ids.append(self.unknown)
-                unknown = i < 0
-            found = self.known[text] = np.array(ids, "<u4").tobytes()
-        return found
+    def __missing__(self, text: str) -> bytes:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[text] = self.make(text)
+        return value
+
+    def make(self, text: str) -> bytes:
+        """Ids of a chunk as unsigned 32-bit, little-endian."""
+        if len(text) > 1 and text[-2:] not in self.inside:  # no piece joins the last two characters
+            return self[text[:-1]] + self[text[-1]]
+        ids = []
+        for i in self.path(text):
+            if i >= 0:
+                ids.append(i)
+            elif self.bytes:
+                ids.extend(self.bytes[b] for b in text[-i - 1].encode("utf-8"))
+            else:
+                ids.append(self.unknown)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as unsigned 32-bit, little-endian."""
         if not text:
             return b""
         text = text.replace(" ", SPACE)
-        return b"".join(map(self.chunk_ids, self.chunk.findall(SPACE + text if self.prefix else text)))
+        out = b"".join(map(self.__getitem__, self.chunk.findall(SPACE + text if self.prefix else text)))
+        if self.bytes:
+            return out
+        ids = np.frombuffer(out, "<u4")  # neighbouring unknown characters are one id
+        return ids[(ids != self.unknown) | (np.concatenate(([0], ids[:-1])) != self.unknown) | (np.arange(len(ids)) == 0)].tobytes()
 
     def decode(self, ids: bytes) -> str:
-        out, held = [], b""
-        for i in np.frombuffer(ids, "<u4").tolist():
-            if i in self.byte_of:
-                held += self.byte_of[i]
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = b""
-            out.append(" ⁇ " if i == self.unknown else "" if self.type[i] == CONTROL else self.piece[i].replace(SPACE, " "))
-        text = "".join(out) + held.decode("utf-8", "replace")
+        # bytes beyond ASCII stand as lone surrogates until all pieces are joined
+        text = "".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        if not text.isascii():
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -186,7 +229,8 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
-        for b in batches:
+        hold(model)
+        for b in small(batches):
             ids = [model.encode(t) for t in b["text"].to_pylist()]
             yield batch(doc_id=b["doc_id"], n_ids=pa.array([len(x) // 4 for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()))
 
@@ -198,7 +242,8 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
-        for b in batches:
+        hold(model)
+        for b in small(batches):
             ids = b["ids"].to_pylist()
             text = [model.decode(x) for x in ids]
             yield batch(

@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, batch, documents, few_rows_of, mix, table
+from .common import Scratch, WordHash, batch, documents, few_rows_of, mix, small, table, tidy
 from .recompress import B, anchors, levels, stretch_names
 
 WINDOW = 20
 HALF = 10
-CHUNK = 150_000
+CHUNK = 60_000
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -91,7 +91,7 @@ def survey(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
-        for b in batches:
+        for b in small(batches):
             for begin, group in chunks(raw(b["text"])):
                 row, _, _, key, _, _ = parsed(group, cache)
                 plain = [b" ".join(t) for t in group]
@@ -103,7 +103,7 @@ def survey(docs: DataFrame) -> DataFrame:
                     keys=pa.ListArray.from_arrays(offsets, pa.array(key)),
                 )
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, n_words long, sha256 binary, keys array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, digest binary, n_words long, sha256 binary, keys array<long>")
 
 
 def stretches(rows: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def stretches(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
-        for b in batches:
+        for b in small(batches):
             wanted, digest = b["keys"], b["digest"].to_pylist()
             for begin, group in chunks(raw(b["text"])):
                 row, at, count, key, stretch, twenty = parsed(group, cache)
@@ -129,21 +129,23 @@ def stretches(rows: DataFrame) -> DataFrame:
                 out = batch(doc_id=b["doc_id"].slice(begin, len(group)), digest=b["digest"].slice(begin, len(group)), text=b["text"].slice(begin, len(group)), found=pa.ListArray.from_arrays(offsets, found))
                 yield out.filter(pa.array(ok))
 
-    return rows.mapInArrow(run, "doc_id long, digest binary, text string, found array<struct<key:long,stretch:long,at:int,names:array<long>>>")
+    return rows.mapInArrow(tidy(run), "doc_id long, digest binary, text string, found array<struct<key:long,stretch:long,at:int,names:array<long>>>")
 
 
 def cut(rows: DataFrame) -> DataFrame:
     """doc_id, digest, text and marks (array of first window and number of windows) -> what is left of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            removed, left = [], []
-            for text, marks in zip(raw(b["text"]), b["marks"].to_pylist(), strict=True):
+        for b in small(batches):
+            removed, left, marks = [], [], b["marks"]
+            flat, bounds = marks.flatten(), np.concatenate(([0], np.cumsum(marks.value_lengths().to_numpy())))
+            starts, counts = (flat.field(k).to_numpy().astype(np.int64) for k in ("at", "n"))
+            for k, text in enumerate(raw(b["text"])):
                 words = text.split()
+                at, n = starts[bounds[k] : bounds[k + 1]], counts[bounds[k] : bounds[k + 1]]
                 change = np.zeros(len(words) + 1, np.int64)
-                at = np.array([m["at"] for m in marks], np.int64)
                 np.add.at(change, at, 1)
-                np.add.at(change, at + np.array([m["n"] for m in marks], np.int64) + WINDOW - 1, -1)
+                np.add.at(change, at + n + WINDOW - 1, -1)
                 covered = np.cumsum(change)[:-1] > 0
                 removed.append(int(covered.sum()))
                 left.append(b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c]))
@@ -152,7 +154,7 @@ def cut(rows: DataFrame) -> DataFrame:
                 cut_sha256=pa.array([hashlib.sha256(t).digest() for t in left], pa.binary()), left=pa.array(left, pa.binary()).cast(pa.string()),
             )
 
-    return rows.mapInArrow(run, "doc_id long, digest binary, n_removed long, cut_sha256 binary, left string")
+    return rows.mapInArrow(tidy(run), "doc_id long, digest binary, n_removed long, cut_sha256 binary, left string")
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:

@@ -16,11 +16,15 @@ def calendar(first, last, spark) -> DataFrame:
 
 
 def span_days(spans: DataFrame, first, last, start: str = "start_ts", end: str = "end_ts") -> DataFrame:
-    """stream, day for every day in first..last that a span touches; a span's end is exclusive by a microsecond, but not before its start."""
+    """stream, day for every day in first..last that a span touches; a span's end is exclusive by a microsecond, but not before its start.
+
+    Of the spans that start on one day the longest covers the others, so no more than a span a stream and day is spread out.
+    """
     low = F.to_date(start)
     high = F.to_date(F.greatest(F.col(start), F.col(end) - F.expr("INTERVAL 1 MICROSECOND")))
     low, high = F.greatest(low, F.lit(first).cast("date")), F.least(high, F.lit(last).cast("date"))
-    return spans.where(low <= high).select("stream", F.explode(F.sequence(low, high)).alias("day")).distinct()
+    longest = spans.where(low <= high).groupBy("stream", low.alias("low")).agg(F.max(high).alias("high"))
+    return longest.select("stream", F.explode(F.sequence("low", "high")).alias("day")).distinct()
 
 
 def covered_days(raw: DataFrame, claims: DataFrame, first, last) -> DataFrame:

@@ -65,31 +65,39 @@ MORNING = "AFTER_WAKEUP_RESET"
 LISTED = "struct<allDayStress:struct<aggregatorList:array<struct<type:string,averageStressLevel:double>>>,bodyBattery:struct<bodyBatteryStatList:array<struct<bodyBatteryStatType:string,statsValue:double>>>>"
 
 
-def _number(path: str) -> Column:
-    """A JSON number at a path; booleans and text are absent."""
-    kind = F.expr(f"schema_of_variant(variant_get(parsed_, '{path}', 'variant'))")
-    value = F.try_variant_get("parsed_", path, "double")
-    return F.when(kind.rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), value)
+def _schema(types: dict[str, str]) -> str:
+    """A struct type that holds the given JSON paths."""
+    tree: dict = {}
+    for path, kind in types.items():
+        *parents, leaf = path.removeprefix("$.").split(".")
+        node = tree
+        for p in parents:
+            node = node.setdefault(p, {})
+        node[leaf] = kind
+    ddl = lambda n: n if isinstance(n, str) else "struct<" + ",".join(f"{k}:{ddl(v)}" for k, v in n.items()) + ">"
+    return ddl(tree)
 
 
-def _text(path: str) -> Column:
-    return F.try_variant_get("parsed_", path, "string")
+def parsed(records: DataFrame, column: str, numbers: list[str], texts: list[str], flags: tuple[str, ...] = ()) -> DataFrame:
+    """Adds parsed_, the record's fields at the given paths, from one pass over the text; a field of another type is null."""
+    types = {p: "double" for p in numbers} | {p: "string" for p in texts} | {p: "boolean" for p in flags}
+    return records.withColumn("parsed_", F.from_json(column, _schema(types)))
 
 
-def parsed(records: DataFrame, column: str = "record") -> DataFrame:
-    return records.withColumn("parsed_", F.try_parse_json(column))
+def _at(path: str) -> Column:
+    return F.col("parsed_." + path.removeprefix("$."))
 
 
 def decode(records: DataFrame, stream: str, column: str = "record") -> DataFrame:
     """Keeps the records' other columns; adds date, metric, value, scope. Records without a date give nothing."""
     d = DECODERS[stream]
     keep = [c for c in records.columns if c != column]
-    rows = parsed(records, column).withColumn("date", calendar_date(_text(d.date))).where("date is not null")
+    rows = parsed(records, column, [p for _, p, _ in d.facts], [d.date], ("$.includesWellnessData",)).withColumn("date", calendar_date(_at(d.date))).where("date is not null")
     if stream == "json:uds":
-        rows = rows.where(F.coalesce(F.try_variant_get("parsed_", "$.includesWellnessData", "boolean"), F.lit(True)))
-    facts = [F.struct(F.lit(m).alias("metric"), (_number(p) / d.scale.get(m, 1.0)).alias("value"), F.lit(least).cast("double").alias("least")) for m, p, least in d.facts]
+        rows = rows.where(F.coalesce(_at("$.includesWellnessData"), F.lit(True)))
+    facts = [F.struct(F.lit(m).alias("metric"), (_at(p) / d.scale.get(m, 1.0)).alias("value"), F.lit(least).cast("double").alias("least")) for m, p, least in d.facts]
     if stream == "json:biometrics":  # large weights are grams
-        w = _number("$.weight.weight")
+        w = _at("$.weight.weight")
         facts = [F.struct(F.lit("weight_kg").alias("metric"), F.when(w > 1000, w / 1000).otherwise(w).alias("value"), F.lit(None).cast("double").alias("least"))]
     every = F.array(*facts) if facts else F.array().cast("array<struct<metric:string,value:double,least:double>>")
     if stream == "json:uds":
@@ -106,24 +114,24 @@ def decode(records: DataFrame, stream: str, column: str = "record") -> DataFrame
 def decode_labels(records: DataFrame, stream: str, column: str = "record") -> DataFrame:
     d = DECODERS[stream]
     keep = [c for c in records.columns if c != column]
-    rows = parsed(records, column).withColumn("date", calendar_date(_text(d.date))).where("date is not null")
-    labels = [F.struct(F.lit(m).alias("metric"), F.lower(_text(p)).alias("label")) for m, p in d.labels]
+    rows = parsed(records, column, [], [d.date, *(p for _, p in d.labels)]).withColumn("date", calendar_date(_at(d.date))).where("date is not null")
+    labels = [F.struct(F.lit(m).alias("metric"), F.lower(_at(p)).alias("label")) for m, p in d.labels]
     every = F.array(*labels) if labels else F.array().cast("array<struct<metric:string,label:string>>")
     return rows.select(*keep, "date", F.inline(every)).where("label is not null")
 
 
 def pick_readiness(records: DataFrame, column: str = "record") -> DataFrame:
     """One record a date: the morning's where there is one, else the latest; repeats of a timestamp are one record."""
-    rows = parsed(records, column).withColumn("date", calendar_date(_text("$.calendarDate"))).withColumn("stamp", _text("$.timestamp"))
-    rows = rows.where("date is not null and stamp is not null").withColumn("morning", F.coalesce(_text("$.inputContext") == MORNING, F.lit(False)))
+    rows = parsed(records, column, [], ["$.calendarDate", "$.timestamp", "$.inputContext"]).withColumn("date", calendar_date(_at("$.calendarDate"))).withColumn("stamp", _at("$.timestamp"))
+    rows = rows.where("date is not null and stamp is not null").withColumn("morning", F.coalesce(_at("$.inputContext") == MORNING, F.lit(False)))
     once = rows.groupBy("stamp").agg(F.min(F.struct(F.sha2(F.col(column), 256).alias("digest"), F.col(column), "date", "morning")).alias("r"))
     return once.groupBy("r.date").agg(F.max(F.struct("r.morning", "stamp", F.col(f"r.{column}").alias(column))).alias("b")).select("date", f"b.{column}")
 
 
 def decode_sleep(records: DataFrame, column: str = "record") -> DataFrame:
     """One wide row a night; minutes asleep are of the stages that are there."""
-    rows = parsed(records, column).withColumn("date", calendar_date(_text("$.calendarDate"))).where("date is not null")
-    rows = rows.select("date", *(_number(p).cast("long").alias(c) for c, p in SLEEP_SECONDS.items()), _number("$.sleepScores.overallScore").cast("int").alias("overall_score"))
+    rows = parsed(records, column, [*SLEEP_SECONDS.values(), "$.sleepScores.overallScore"], ["$.calendarDate"]).withColumn("date", calendar_date(_at("$.calendarDate"))).where("date is not null")
+    rows = rows.select("date", *(_at(p).cast("long").alias(c) for c, p in SLEEP_SECONDS.items()), _at("$.sleepScores.overallScore").cast("int").alias("overall_score"))
     some = F.coalesce("deep_s", "light_s", "rem_s").isNotNull()
     return rows.withColumn("asleep_s", F.when(some, F.coalesce("deep_s", F.lit(0)) + F.coalesce("light_s", F.lit(0)) + F.coalesce("rem_s", F.lit(0))))
 

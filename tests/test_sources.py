@@ -139,3 +139,27 @@ def test_streaming_fold_equals_the_batch_fold(spark, tmp_path):
     batch = {r.minute_us: (r.value, r.n) for r in fold(spark.read.parquet(str(tmp_path / "in"))).collect()}
     assert got and all(batch[k] == v for k, v in got.items())
     assert set(batch) - set(got) == {max(batch)}
+
+
+def test_small_operators(spark, tmp_path):
+    from tideline.operators.localday import local_today
+
+    assert files.looks_like_export(["a/DI-Connect-Metrics/x.json"]) and not files.looks_like_export(["a/b.fit"])
+    live = files.live_lines(spark.createDataFrame([("p", '{"t": 2, "metric": "b", "value": 1}\n{"t": 1.5, "metric": "a", "value": 3}')], "path string, text string"))
+    r = files.live_records(live).first()
+    assert r.record == '{"readings":[[1.5,"a",3],[2,"b",1]]}' and len(r.source_key) == 64
+    assert (r.start_ts, r.end_ts) == (dt.datetime(1970, 1, 1, 0, 0, 1, 500_000), dt.datetime(1970, 1, 1, 0, 0, 2))
+    names = spark.createDataFrame([("a",), ("b",)], "name string")
+    assert files.unseen(names, names.where("name = 'a'")).count() == 1
+    old = spark.createDataFrame([(1,)], "raw_id long")
+    assert store.upgrade(old, "raw_id long, note string").first().note is None
+    with pytest.raises(ValueError):
+        store.upgrade(old.withColumn("x", F.lit(1)), "raw_id long")
+    store.write_snapshot({"t": old}, str(tmp_path / "a"))
+    store.restore(spark, str(tmp_path / "a"), str(tmp_path / "b"), ["t"])
+    assert store.verify(spark, str(tmp_path / "b"), store.manifest({"t": old})).isEmpty()
+    assert not store.verify(spark, str(tmp_path / "b"), store.manifest({"t": old.union(old)})).isEmpty()
+    assert store.as_json(spark.createDataFrame([(1, None, "id")], "a int, b int, serial string"), "serial").first().json == '{"a":1}'
+    assert spark.range(1).select(scalars.scrub(F.lit("Ab and aB"), ["ab"])).first()[0] == "{name} and {name}"
+    offsets = spark.createDataFrame([(dt.datetime(2024, 1, 1), 10 * 3600, 1)], "ts timestamp, offset_s int, raw_id long")
+    assert local_today(offsets, dt.datetime(2024, 1, 1, 20)).first().today == dt.date(2024, 1, 2)

@@ -75,3 +75,9 @@ def day_bounds(days: DataFrame, offsets: DataFrame) -> DataFrame:
     order = Window.orderBy("day")  # a calendar: one row a day
     at = at.withColumn("low_s", F.max("low_s").over(order)).withColumn("high_s", F.lead("low_s").over(order)).select("day", "low_s", "high_s")
     return at.join(days.select("day").distinct(), "day", "left_semi").where("high_s is not null")
+
+
+def local_today(offsets: DataFrame, now) -> DataFrame:
+    """One row: the later of the UTC date and the wearer's local date at ``now``."""
+    row = offsets.sparkSession.range(1).select(F.lit(now).cast("timestamp").alias("ts"))
+    return with_local_day(row, offsets).select(F.greatest("local_day", F.to_date("ts")).alias("today"))

@@ -104,3 +104,24 @@ def keep_readings(readings: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """Readings (metric, value) that pass their metric's sentinel rule; and the rules that drop the others, by reason."""
     good = " OR ".join(f"(metric = '{m}' AND {rule})" for m, (_, rule) in LIVE_RULES.items())
     return readings.where(good), {reason: f"metric = '{m}' AND NOT ({rule})" for m, (reason, rule) in LIVE_RULES.items()}
+
+
+def looks_like_export(paths: list[str]) -> bool:
+    """Whether a listing (of a folder, its inner folder or an archive) is an account export: it has a section of the known kind."""
+    sections = {s for s, *_ in FAMILIES} | {"DI-Connect-Uploaded-Files"}
+    return any(part in sections for p in paths for part in p.replace("\\", "/").split("/"))
+
+
+def live_records(files: DataFrame) -> DataFrame:
+    """One record a live file: readings sorted by (t, metric, value), their compact JSON, its SHA-256 as key, and the span."""
+    ordered = F.array_sort(F.transform("readings", lambda r: F.struct(r.t.alias("t"), r.metric.alias("metric"), r.value.alias("value"))))
+    number = lambda t: F.when(t == F.floor(t), F.floor(t).cast("long").cast("string")).otherwise(t.cast("string"))
+    item = lambda r: F.concat(F.lit("["), number(r.t), F.lit(","), F.to_json(F.struct(r.metric.alias("m"))).substr(F.lit(6), F.length(F.to_json(F.struct(r.metric.alias("m")))) - 6), F.lit(","), r.value.cast("string"), F.lit("]"))
+    out = files.withColumn("r", ordered).withColumn("record", F.concat(F.lit('{"readings":['), F.array_join(F.transform("r", item), ","), F.lit("]}")))
+    first, last = F.get("r", F.lit(0)).getField("t"), F.get("r", F.size("r") - 1).getField("t")
+    return out.select("path", "record", F.sha2("record", 256).alias("source_key"), F.timestamp_seconds(first).alias("start_ts"), F.timestamp_seconds(last).alias("end_ts"))
+
+
+def unseen(listing: DataFrame, held: DataFrame) -> DataFrame:
+    """Objects of a listing (name) that are not held yet."""
+    return listing.join(held.select("name").distinct(), "name", "left_anti")

@@ -53,3 +53,27 @@ def batches_by_size(records: DataFrame, limit: int, by: str, order: str, size: s
 
     before = F.sum(size).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     return records.withColumn("batch", F.floor(F.coalesce(before, F.lit(0)) / limit))
+
+
+def upgrade(old: DataFrame, schema: str) -> DataFrame:
+    """Rows of an older layout under a newer schema: columns that it lacks are null. A newer layout than the schema's is refused."""
+    target = old.sparkSession.createDataFrame([], schema)
+    if extra := set(old.columns) - set(target.columns):
+        raise ValueError(f"the snapshot is newer than this code: {', '.join(sorted(extra))}")
+    return target.unionByName(old, allowMissingColumns=True)
+
+
+def verify(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """Tables of a snapshot whose manifest differs from the expected one: empty if the copy is good."""
+    names = [r[0] for r in expected.select("table").collect()]  # a row a table
+    found = manifest({n: read_snapshot(spark, path, n) for n in names})
+    return expected.exceptAll(found)
+
+
+def restore(spark: SparkSession, source: str, target: str, names: list[str]) -> None:
+    write_snapshot({n: read_snapshot(spark, source, n) for n in names}, target)
+
+
+def as_json(df: DataFrame, *drop: str) -> DataFrame:
+    """Rows as JSON text; absent values have no key, identifiers are left out."""
+    return df.drop(*drop).select(F.to_json(F.struct("*")).alias("json"))

@@ -164,7 +164,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     base = scratch.keep(survey(texts))
     first = scratch.keep(base.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id")))
     originals = base.where(f"n_words >= {WINDOW}").join(first, "digest").where("doc_id = first_id").select("doc_id", "digest", "keys")
-    originals = scratch.keep(originals.dropDuplicates(["doc_id", "digest"]))
+    originals = scratch.keep(originals)
     again = scratch.keep(originals.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1"))
     wanted = originals.select("doc_id", "digest", F.explode("keys").alias("key")).join(again.where("count > 1").select("key"), "key")
     with few_rows_of(docs.sparkSession):

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, hold, table
+from .common import documents, hold, table, trim
 
 SAMPLE_ROWS = 10_000
 PLACES = 1 << 20
@@ -98,7 +98,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, l1: float = 2e-4, st
     if k == 0 or not (grades == 0).any():
         return OrdinalModel(np.zeros(PLACES, np.float32), np.zeros(0))
     size = np.array([len(r) for r in rows])
-    flat, owner = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), size)
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), size)
     # univariate screening: the places whose presence differs most between toxic and clean rows
     n1, n0 = (grades > 0).sum(), (grades == 0).sum()
     c1, c0 = (presence(rows, k) for k in (grades > 0, grades == 0))
@@ -106,7 +106,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, l1: float = 2e-4, st
     z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     z[c1 + c0 < 4] = 0
     chosen = np.flatnonzero(z >= max(LEAST_Z, np.partition(z, -KEPT_TERMS)[-KEPT_TERMS]))
-    index = np.full(PLACES, -1)
+    index = np.full(PLACES, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
     ok = index[flat] >= 0
     flat, owner = index[flat[ok]], owner[ok]
@@ -173,7 +173,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     labels_ = got["toxic"].to_numpy().astype(np.int64)
     if len(labels_) == 0:
         return OrdinalModel(np.zeros(PLACES, np.float32), np.zeros(0))
-    return fit_ordinal(features, labels_ if labels_.max() > 1 else grade(features, labels_ > 0))
+    model = fit_ordinal(features, labels_ if labels_.max() > 1 else grade(features, labels_ > 0))
+    del got, features
+    trim()
+    return model
 
 
 def severity(text: Column, model: OrdinalModel) -> Column:

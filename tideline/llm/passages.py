@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, hold, table
+from .common import documents, hold, table, trim
 from .ordinal import labelled_sample, sigmoid
 
 SAMPLE_ROWS = 12_000
@@ -167,7 +167,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     labels = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     rows = labelled_sample(documents(docs), labels, sample_rows, "text")
     got = rows.select("doc_id", "quality", F.pandas_udf(encoded, "binary")("text").alias("bag")).toArrow().sort_by("doc_id")
-    return fit_mil([np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["bag"].to_pylist()], got["quality"].to_numpy())
+    model = fit_mil([np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["bag"].to_pylist()], got["quality"].to_numpy())
+    del got
+    trim()
+    return model
 
 
 def quality(text: Column, model: MilModel) -> Column:

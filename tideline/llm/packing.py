@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, batch, documents, hold, small, table
 
 MAX_QUEUES = 256
+CACHE_WORDS = 800_000  # about 220 MB a Python worker
 BITS = 20
 ONE = 1 << BITS
 REST = MAX_QUEUES - 1
@@ -49,16 +50,15 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordIds(dict):
     """Word -> its ids as bytes, for a tokenizer that drops white space and never joins across it."""
 
-    LIMIT = 600_000
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.most = CACHE_WORDS
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.LIMIT:
+        if len(self) >= self.most:
             self.clear()
         value = self[word] = self.make(word)
         return value
@@ -93,14 +93,15 @@ def word_ids(path: str) -> WordIds:
     return _loaded[path]
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, cache_words: int = CACHE_WORDS) -> DataFrame:
     """doc_id, source, ids (unsigned 32-bit, little-endian), n, and base: the tokens before it in its partition's queue."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
+        words.most = cache_words
         hold(words)
         end, part, served = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), {}
-        for b in small(batches):
+        for b in small(batches, 4096):
             ids = [words.ids(t) + end for t in b["text"].to_pylist()]
             source, n, base = b["source"].to_pylist(), [len(x) // 4 for x in ids], []
             for s, k in zip(source, n, strict=True):
@@ -218,14 +219,14 @@ def place(s: Schedule, queue: np.ndarray, at: np.ndarray, n: np.ndarray) -> tupl
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, mixture: dict[str, float] | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, mixture: dict[str, float] | None = None, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row a piece, see PIECE; with_ids adds the piece's ids (binary), from which ``sequences`` builds the windows.
 
     ``mixture`` names sources with their target weights; sources that it does not name share the weight at ''.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    tokens = scratch.keep(tokenize(docs, tokenizer_path, end_id), compression="snappy")
+    tokens = scratch.keep(tokenize(docs, tokenizer_path, end_id, cache_words), compression="snappy")
     blocks = scratch.keep(tokens.groupBy("source", "part").agg(F.sum("n").alias("t")))
     if mixture is None:
         own = [r[0] for r in blocks.groupBy("source").agg(F.sum("t").alias("t")).orderBy(F.desc("t"), "source").limit(REST).collect()]
@@ -250,7 +251,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     plan = schedule(totals, seq_len, targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 2048):
             queue, at, n = (b[c].to_numpy().astype(np.int64) for c in ("queue", "at", "n"))
             row, start, size, seq, offset = place(plan, queue, at, n)
             ids = [memoryview(x) for x in b["ids"].to_pylist()]

@@ -35,8 +35,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of sequences of 2048 tokens. The workers have other stages behind them, so their cache of words is kept smaller."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=400_000)
 
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("packing", pack)]

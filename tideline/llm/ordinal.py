@@ -105,7 +105,8 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, l1: float = 2e-4, st
     p = (c1 + c0 + 1) / (n1 + n0 + 2)
     z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     z[c1 + c0 < 4] = 0
-    chosen = np.flatnonzero(z >= max(LEAST_Z, np.partition(z, -KEPT_TERMS)[-KEPT_TERMS]))
+    least = min(LEAST_Z, 0.35 * len(rows) ** 0.5)  # z grows with the root of the sample
+    chosen = np.flatnonzero(z >= max(least, np.partition(z, -KEPT_TERMS)[-KEPT_TERMS]))
     index = np.full(PLACES, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
     ok = index[flat] >= 0
@@ -139,6 +140,11 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, l1: float = 2e-4, st
     return OrdinalModel(full, free[0] + np.concatenate(([0.0], np.cumsum(np.exp(free[1:])))))
 
 
+def base(model: OrdinalModel) -> float:
+    """The severity of a text without any evidence, which is the least there is."""
+    return float(model.severity(np.zeros(1))[0])
+
+
 def presence(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
     """In how many of the chosen rows each place is."""
     out = np.zeros(PLACES, np.int64)
@@ -199,13 +205,13 @@ def severity(text: Column, model: OrdinalModel) -> Column:
 
 
 def reject_toxic(docs: DataFrame, model: OrdinalModel, cut: float = CUT) -> DataFrame:
-    """The rows, with all their columns, whose expected severity is under ``cut``."""
-    return docs.where(severity(F.col("text"), model) < F.lit(cut))
+    """The rows, with all their columns, whose expected severity is less than ``cut`` above that of a text without evidence."""
+    return docs.where(severity(F.col("text"), model) < F.lit(base(model) + cut))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, severity (expected grade, 0 to 3) and toxic (1 from an expected severity of CUT on)."""
+    """doc_id, severity (expected grade, 0 to 3) and toxic (1 where it is CUT or more above that of a text without evidence)."""
     docs = documents(table(spark, sf_dir, "documents"))
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", severity(F.col("text"), model).alias("severity"))
-    return scored.withColumn("toxic", (F.col("severity") >= CUT).cast("int"))
+    return scored.withColumn("toxic", (F.col("severity") >= base(model) + CUT).cast("int"))

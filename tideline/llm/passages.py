@@ -35,6 +35,7 @@ WIDTH = FORM + SHAPES + 4
 HELD_OUT = 2
 CUT = 0.7
 HIDDEN, GATE = 24, 12
+LEAST_STEPS = 800
 
 
 def form(word: str) -> np.ndarray:
@@ -135,8 +136,10 @@ def fit_mil(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate:
     rng = np.random.default_rng(seed)
     p = {"W": rng.normal(0, WIDTH**-0.5, (WIDTH, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, 0.2, (HIDDEN, GATE)), "U": rng.normal(0, 0.2, (HIDDEN, GATE)), "w": rng.normal(0, 0.2, GATE), "c": rng.normal(0, 0.2, HIDDEN), "d": np.zeros(1)}
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+    parts = max(1, len(bags) // 256)
+    epochs = max(epochs, -(-LEAST_STEPS // parts))  # small samples are gone through more often
     for epoch in range(epochs):
-        for some in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // 256)):
+        for some in np.array_split(rng.permutation(len(bags)), parts):
             x = (np.concatenate([bags[i] for i in some]) - mean) / scale
             start = np.cumsum([0] + [len(bags[i]) for i in some])[:-1]
             f = forward(x, start, p)

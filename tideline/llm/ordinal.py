@@ -105,7 +105,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, l1: float = 2e-4, st
     p = (c1 + c0 + 1) / (n1 + n0 + 2)
     z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     z[c1 + c0 < 4] = 0
-    least = min(LEAST_Z, 0.35 * len(rows) ** 0.5)  # z grows with the root of the sample
+    least = max(3.0, LEAST_Z * (len(rows) / SAMPLE_ROWS) ** 0.5)  # z grows with the root of the sample
     chosen = np.flatnonzero(z >= max(least, np.partition(z, -KEPT_TERMS)[-KEPT_TERMS]))
     index = np.full(PLACES, -1, np.int32)
     index[chosen] = np.arange(len(chosen))

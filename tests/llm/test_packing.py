@@ -97,3 +97,35 @@ def test_windows_follow_the_targets():
         got = np.bincount(seq[row == q], size[row == q], seq.max() + 1)
         assert (abs(got[:-1] - share) <= 2).all()
         assert (abs(np.cumsum(got[:-1]) - share * np.arange(1, len(got))) <= 3).all()  # deficits do not add up
+
+
+def test_windows_follow_shares_below_one_token():
+    totals = [60_000_000, 39_970_000, 10_000, 10_000, 9_000, 900, 99, 1]
+    plan = packing.schedule(totals, 2048)
+    row, start, size, seq, _ = packing.place(plan, np.arange(8), np.zeros(8, np.int64), np.array(totals))
+    for q, total in enumerate(totals):
+        got = np.bincount(seq[row == q], size[row == q], seq.max() + 1)
+        assert (abs(np.cumsum(got) - total / sum(totals) * 2048 * np.arange(1, len(got) + 1))[:-1] <= 3).all()
+        assert got.sum() == total
+
+
+def test_schedule_of_large_totals_is_exact():
+    totals = [3 * 10**14 + 7, 10**14 + 1, 12_345]
+    plan = packing.schedule(totals, 2048)
+    for q, total in enumerate(totals):
+        k = np.array([0, 1, total // 3, total // 2, total - 2, total - 1])
+        queue = np.full(len(k), q)
+        at = packing.position(plan, queue, k)
+        before, after, _ = packing.turn(plan, queue, at // 2048)
+        assert ((before <= k) & (k < after)).all()
+        assert (abs(at - (k + 0.5) * (sum(totals) / total)) <= 3 * sum(totals) / total).all()
+
+
+def test_targets_hold_until_a_queue_runs_out():
+    totals, targets = [50_000, 50_000, 400], [0.75, 0.2496, 0.0004]
+    plan = packing.schedule(totals, 1000, targets)
+    row, start, size, seq, _ = packing.place(plan, np.arange(3), np.zeros(3, np.int64), np.array(totals))
+    got = np.array([np.bincount(seq[row == q], size[row == q], seq.max() + 1) for q in range(3)])
+    m = np.arange(1, 66)
+    assert all((abs(np.cumsum(got[q])[:65] - targets[q] * 1000 * m) <= 3).all() for q in range(3))  # the first ends in window 66
+    assert (got[0, 67:] == 0).all() and (got[1, 67:-1] > 980).all()

@@ -1,12 +1,13 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Every source is a queue of tokens. A round serves each queue a quantum of ``seq_len x share`` tokens and fills one window
-(an output sequence). Quanta are not whole numbers; what a queue is owed or has had too much (its deficit, always under
-one token) is carried to the next window, so the queue's total after ``m`` windows is ``floor(m L C2 / D) - floor(m L C1 / D)``
-with the cumulative shares ``C1, C2`` in units of ``1/D``. That closed form is the round-robin carried over all windows:
-any task can place any document without seeing another one, which is how the deficits pass from partition to partition.
-Shares are renewed when a queue runs out. By default the targets are the corpus's own token shares, the only ones that
-hold in every window when each token is used exactly once; ``mixture`` gives others.
+Every source is a queue of tokens; a window is an output sequence. The queues are the leaves of a binary tree. Of the first
+``n`` tokens that reach a node, ``round(n T_left / T)`` go left and the others right, so a node's deficit is at most half a token,
+neither child's total ever falls, and a queue may have any share, also far under one token a window. What a queue has had
+after ``m`` windows is that rounding from the root down to it, and the place of its k-th token is the inverse on the way up. That
+closed form is the round-robin carried over all windows: any task can place any document without seeing another one,
+which is how the deficits pass from partition to partition. By default the targets are the corpus's own token shares, the only
+ones that hold in every window when each token is used exactly once; ``mixture`` gives others. Then queues run out at
+different times; a node has one ratio up to each time when a queue below it runs out, and the others keep their proportions.
 
 Steps: tokenise into a table in the shared folder, each row with its place in its partition's queue; sum the tokens
 of (queue, partition), small; build the schedule on the driver from at most ``MAX_QUEUES`` totals; place the documents.
@@ -19,6 +20,7 @@ packed as they come; an empty table gives no pieces; other columns are left out.
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 import zlib
@@ -35,8 +37,6 @@ from .common import Scratch, batch, documents, hold, small, table
 
 MAX_QUEUES = 256
 CACHE_WORDS = 800_000  # about 220 MB a Python worker
-BITS = 20
-ONE = 1 << BITS
 REST = MAX_QUEUES - 1
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Lower-case Latin letters, which the tokenizer's normaliser and splitter leave as they are.
@@ -112,111 +112,134 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, cache_words: int
     return documents(docs, F.coalesce(F.col("source"), F.lit("")).alias("source")).mapInArrow(run, "doc_id long, source string, part long, base long, n long, ids binary")
 
 
-def shares(weights: list[float], least: int) -> list[int]:
-    """Whole shares that sum to ONE, each active one at least ``least``."""
-    total = sum(weights)
-    out = [max(least, int(w / total * ONE)) if w > 0 else 0 for w in weights]
-    while (over := sum(out) - ONE) != 0:
-        k = max(range(len(out)), key=out.__getitem__)
-        out[k] -= min(over, out[k] - least) if over > 0 else over
-    return out
-
-
-def served(m, c, length: int):
-    """floor(m * length * c / ONE) without overflow; numbers or arrays."""
-    return (m >> BITS) * length * c + ((m & (ONE - 1)) * length * c >> BITS)
+def share_of(x: np.ndarray, a: np.ndarray, c: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """floor((x * a + b) / c), exact for results under 2^51: the product may wrap, the remainder of a close guess does not."""
+    guess = (x.astype(np.float64) * a / c).astype(np.int64)
+    return guess + (x * a + b - guess * c) // c
 
 
 @dataclass
 class Schedule:
-    """Phases: first window, number of windows, cumulative shares (queues + 1) and tokens that each queue had before."""
+    """A binary tree whose leaves are the queues.
+
+    Node i has the segments first[i] to first[i + 1]. Row 2 of ``start`` is what the node had before a segment, rows 0 and 1 what of
+    that went left and right; ``dn`` and ``dl`` are what the node and its left child get within the segment. Row q of ``node`` and
+    ``side`` (1: right) is the way from the root down to queue q, with -1 behind its end.
+    """
 
     seq_len: int
-    window: np.ndarray
-    count: np.ndarray
-    share: np.ndarray
-    before: np.ndarray
+    total: int
+    first: np.ndarray
+    start: np.ndarray
+    dn: np.ndarray
+    dl: np.ndarray
+    node: np.ndarray
+    side: np.ndarray
+
+
+def counts(total: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Tokens that queues have together when each has had ``weight * at`` or all it has."""
+    out = np.zeros(len(at), np.int64)
+    step = max(1, (1 << 20) // len(total))
+    for i in range(0, len(at), step):
+        v = at[None, i : i + step]
+        had = np.minimum(np.floor(weight[:, None] * v), total[:, None]).astype(np.int64)
+        out[i : i + step] = np.where(v >= (total / weight)[:, None], total[:, None], had).sum(axis=0)
+    return out
 
 
 def schedule(totals: list[int], seq_len: int, targets: list[float] | None = None) -> Schedule:
-    least = -(-ONE // seq_len)  # a quantum of a token at least: then no queue's total ever falls
-    rest, window, phases = list(totals), 0, []
-    targets = targets or [float(t) for t in totals]
-    while sum(rest):
-        goal = [(t if t > 0 else 1e-12) if r else 0.0 for t, r in zip(targets, rest, strict=True)]
-        share = shares(goal, least)
-        c = np.concatenate(([0], np.cumsum(share))).astype(np.int64)
-        total_after = lambda q, m: int(served(m, int(c[q + 1]), seq_len) - served(m, int(c[q]), seq_len))  # noqa: B023, E731
-        m = None
-        for q, r in enumerate(rest):
-            if r:
-                k = r * ONE // (seq_len * share[q]) + 2
-                while total_after(q, k) > r:
-                    k -= 1
-                m = k if m is None else min(m, k)
-        if m == 0:  # a queue ends inside this window: it gives its rest, the others fill the window by their shares
-            lens, room, open_, m = [0] * len(rest), seq_len, [q for q, r in enumerate(rest) if r], 1
-            while room and open_:
-                weight = sum(share[q] for q in open_)
-                give = {q: min(rest[q] - lens[q], room * share[q] // weight) for q in open_}
-                if not any(give.values()):
-                    give = {open_[0]: min(room, rest[open_[0]] - lens[open_[0]])}
-                for q, g in give.items():
-                    lens[q] += g
-                    room -= g
-                open_ = [q for q in open_ if rest[q] > lens[q]]
-            unit = ONE // seq_len
-            c = np.concatenate(([0], np.cumsum(lens))).astype(np.int64) * unit
-        phases.append((window, m, c, [t - r for t, r in zip(totals, rest, strict=True)]))
-        rest = [r - total_after(q, m) for q, r in enumerate(rest)]
-        window += m
-    n = len(totals)
-    return Schedule(
-        seq_len,
-        np.array([p[0] for p in phases], np.int64),
-        np.array([p[1] for p in phases], np.int64),
-        np.array([p[2] for p in phases], np.int64).reshape(-1, n + 1),
-        np.array([p[3] for p in phases], np.int64).reshape(-1, n),
-    )
+    """The tree of queues by their targets, heaviest next to the root; without targets, by their totals."""
+    size = np.array(totals, np.int64)
+    weight = np.array([t if t > 0 else 1e-12 for t in targets or totals], np.float64)
+    # (weight, number, queues, left, right): each step joins the two lightest
+    heap = [(weight[q], i, np.array([q]), None, None) for i, q in enumerate(np.flatnonzero(size).tolist())]
+    heapq.heapify(heap)
+    number, segments, ways, first = len(heap), [], [[] for _ in totals], [0]
+    while len(heap) > 1:
+        light, heavy = heapq.heappop(heap), heapq.heappop(heap)
+        heapq.heappush(heap, (light[0] + heavy[0], number, np.concatenate((light[2], heavy[2])), light, heavy))
+        number += 1
+    open_ = [x for x in heap if x[3]]
+    while open_:
+        _, _, queues, left, right = open_.pop()
+        for side, child in enumerate((left, right)):
+            for q in child[2].tolist():
+                ways[q].append((len(first) - 1, side))
+            if child[3]:
+                open_.append(child)
+        at = np.unique(size[queues] / weight[queues])  # a queue runs out at each of them
+        n, low = (np.concatenate(([0], sum(counts(size[c[2]], weight[c[2]], at) for c in part))) for part in ((left, right), (left,)))
+        some = np.diff(n) > 0
+        segments.append(np.stack([low[:-1], (n - low)[:-1], n[:-1], np.diff(n), np.diff(low)])[:, some])
+        first.append(first[-1] + int(some.sum()))
+    flat = np.concatenate(segments or [np.zeros((5, 0), np.int64)], axis=1)
+    node, side = np.full((2, len(totals), max(map(len, ways), default=0)), -1, np.int64)
+    for q, way in enumerate(ways):
+        if way:
+            node[q, : len(way)], side[q, : len(way)] = zip(*way, strict=True)
+    return Schedule(seq_len, int(size.sum()), np.array(first, np.int64), flat[:3], flat[3], flat[4], node, side)
+
+
+def segment(s: Schedule, node: np.ndarray, row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The last segment of each node that begins at ``key`` or before, as counted by that row of ``start``."""
+    lo, hi = s.first[node], s.first[node + 1] - 1
+    while (lo < hi).any():
+        mid = (lo + hi + 1) >> 1
+        fits = s.start[row, mid] <= key
+        lo, hi = np.where(fits, mid, lo), np.where(fits, hi, mid - 1)
+    return lo
+
+
+def position(s: Schedule, queue: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of a queue's k-th token among all tokens: up the tree."""
+    k = k.copy()
+    for d in reversed(range(s.node.shape[1])):
+        on = np.flatnonzero(s.node[queue, d] >= 0)
+        side = s.side[queue[on], d]
+        g = segment(s, s.node[queue[on], d], side, k[on])
+        x, dn, half = k[on] - s.start[side, g], s.dn[g], s.dn[g] >> 1
+        # left is round(n dl / dn), halves up; this is the least n behind which the child has more than x
+        own = np.where(side == 1, dn - s.dl[g], s.dl[g])
+        k[on] = s.start[2, g] + share_of(np.where(side == 1, x, x + 1), dn, own, np.where(side == 1, half, -half - 1))
+    return k
+
+
+def turn(s: Schedule, queue: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a queue has had before and after window k, and where its part of the window begins: down the tree."""
+    before, after, offset = np.minimum(k * s.seq_len, s.total), np.minimum((k + 1) * s.seq_len, s.total), np.zeros(len(k), np.int64)
+    for d in range(s.node.shape[1]):
+        on = np.flatnonzero(s.node[queue, d] >= 0)
+        node, right = s.node[queue[on], d], s.side[queue[on], d] == 1
+        left = []
+        for n in (before[on], after[on]):
+            g = segment(s, node, np.full(len(on), 2), n)
+            left.append(s.start[0, g] + share_of(n - s.start[2, g], s.dl[g], s.dn[g], s.dn[g] >> 1))
+        offset[on] += np.where(right, left[1] - left[0], 0)
+        before[on] = np.where(right, before[on] - left[0], left[0])
+        after[on] = np.where(right, after[on] - left[1], left[1])
+    return before, after, offset
 
 
 def place(s: Schedule, queue: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Pieces of the token ranges [at, at + n) of queues: row, start in the row, length, sequence, offset."""
-    found, row, pos, end = [], np.arange(len(at)), at.copy(), at + n
-    phase = np.array([np.searchsorted(s.before[:, q], x, "right") - 1 for q, x in zip(queue, at, strict=True)], np.int64)
-    while len(row):
-        q, c1, c2 = queue[row], s.share[phase, queue[row]], s.share[phase, queue[row] + 1]
-        have = s.before[phase, q]
-        stop = have + served(s.count[phase], c2, s.seq_len) - served(s.count[phase], c1, s.seq_len)
-        lo, hi = pos - have, np.minimum(end[row], stop) - have
-        some = hi > lo
-        r, x, y, a, b, p = row[some], lo[some], hi[some], c1[some], c2[some], phase[some]
-        after = lambda m: served(m, b, s.seq_len) - served(m, a, s.seq_len)  # noqa: B023, E731
-
-        def window_of(t):
-            k = np.maximum((t / (s.seq_len * (b - a)) * ONE).astype(np.int64), 0)  # noqa: B023
-            while (low := after(k) > t).any():  # noqa: B023
-                k -= low
-            while (high := after(k + 1) <= t).any():  # noqa: B023
-                k += high
-            return k
-
-        first, last = window_of(x), window_of(y - 1)
-        many = last - first + 1
-        i = np.repeat(np.arange(len(r)), many)
-        k = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + first[i]
-        a, b = a[i], b[i]
-        begin = np.maximum(x[i], after(k))
-        size = np.minimum(y[i], after(k + 1)) - begin
-        offset = served(k + 1, a, s.seq_len) - served(k, a, s.seq_len) + begin - after(k)
-        ok = size > 0
-        found.append((r[i][ok], (begin + s.before[p[i], queue[r[i]]] - at[r[i]])[ok], size[ok], (s.window[p[i]] + k)[ok], offset[ok]))
-        pos = np.maximum(pos, np.minimum(end[row], stop))
-        more = pos < end[row]
-        row, pos, phase = row[more], pos[more], phase[more] + 1
-    if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    row = np.flatnonzero(n > 0)
+    first, last = (position(s, queue[row], x) // s.seq_len for x in (at[row], at[row] + n[row] - 1))
+    sparse = n[row] < last - first + 1  # fewer tokens than windows: look at the tokens' windows only
+    many = np.where(sparse, n[row], last - first + 1)
+    r = np.repeat(np.arange(len(row)), many)
+    j = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many)
+    k, i = first[r] + j, row[r]
+    by_token = np.flatnonzero(sparse[r])
+    k[by_token] = position(s, queue[i[by_token]], at[i[by_token]] + j[by_token]) // s.seq_len
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1]) | (k[1:] != k[:-1])
+    i, k = i[new], k[new]
+    before, after, offset = turn(s, queue[i], k)
+    begin = np.maximum(at[i], before)
+    size = np.minimum(at[i] + n[i], after) - begin
+    ok = size > 0
+    return i[ok], (begin - at[i])[ok], size[ok], k[ok], (offset + begin - before)[ok]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, mixture: dict[str, float] | None = None, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:

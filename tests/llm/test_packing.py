@@ -129,3 +129,43 @@ def test_targets_hold_until_a_queue_runs_out():
     m = np.arange(1, 66)
     assert all((abs(np.cumsum(got[q])[:65] - targets[q] * 1000 * m) <= 3).all() for q in range(3))  # the first ends in window 66
     assert (got[0, 67:] == 0).all() and (got[1, 67:-1] > 980).all()
+
+
+def by_source(pieces, seq_len):
+    """source -> tokens by window, the padded last one left out."""
+    last = max(p.sequence_id for p in pieces)
+    found = {p.source: np.zeros(last, np.int64) for p in pieces}
+    for p in pieces:
+        if p.sequence_id < last:
+            found[p.source][p.sequence_id] += p.length
+    return found
+
+
+def many_sources(spark, n, docs_each=4):
+    rows = [(i, "one two three " * (3 + i % 4), f"source {i % n}") for i in range(n * docs_each)]
+    want = {i: [ids_of(t)] for i, t, _ in rows}
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), want
+
+
+@pytest.mark.parametrize("groups", [7, packing.GROUPS])
+def test_every_source_has_its_share(spark, monkeypatch, groups):
+    monkeypatch.setattr(packing, "GROUPS", groups)
+    df, want = many_sources(spark, 700)
+    pieces = packing.pack(df, PATH, seq_len=256).collect()
+    check(pieces, want, 256)
+    total = sum(p.length for p in pieces)
+    for s, got in by_source(pieces, 256).items():
+        share = sum(p.length for p in pieces if p.source == s) / total
+        assert (abs(np.cumsum(got) - share * 256 * np.arange(1, len(got) + 1)) <= 3).all()
+
+
+def test_mixture_names_any_number_of_sources(spark):
+    df, want = many_sources(spark, 400)
+    mixture = {f"source {i}": 1.0 + (i == 7) for i in range(300)} | {"": 100.0}
+    pieces = packing.pack(df, PATH, seq_len=256, mixture=mixture).collect()
+    check(pieces, want, 256)
+    got = by_source(pieces, 256)
+    m = np.arange(1, 60)  # no source has run out before
+    assert (abs(np.cumsum(got["source 7"])[:59] - 2 / 401 * 256 * m) <= 3).all()
+    assert all((abs(np.cumsum(got[f"source {i}"])[:59] - 1 / 401 * 256 * m) <= 3).all() for i in (0, 1, 299))
+    assert (abs(np.cumsum(sum(got[f"source {i}"] for i in range(300, 400)))[:59] - 100 / 401 * 256 * m) <= 3).all()

@@ -9,10 +9,11 @@ which is how the deficits pass from partition to partition. By default the targe
 ones that hold in every window when each token is used exactly once; ``mixture`` gives others. Then queues run out at
 different times; a node has one ratio up to each time when a queue below it runs out, and the others keep their proportions.
 
-Steps: tokenise into a table in the shared folder, each row with its place in its partition's queue; sum the tokens
-of (queue, partition), small; build the schedule on the driver from at most ``MAX_QUEUES`` totals; place the documents.
-The ``MAX_QUEUES - 1`` largest sources have queues of their own, all others share one, so nothing the driver holds grows
-with the corpus.
+Steps: tokenise into a table in the shared folder, each row with its place in its partition's part of its source; sum the
+tokens of (source, partition), small; place the documents. Every source is a queue, however many there are: sources are dealt by
+hash into ``GROUPS`` groups, the driver builds the tree of the groups, and each group's tree of its own sources is built in a
+task and kept in a table as each source's way down. Only sources that ``mixture`` names are in the driver's tree themselves, so
+nothing the driver holds grows with the corpus.
 
 Defined results: null text is empty and gives the end token alone; null source is ''; repeated rows and equal doc_ids are
 packed as they come; an empty table gives no pieces; other columns are left out. Only the last sequence can be padded.
@@ -35,9 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, batch, documents, hold, small, table
 
-MAX_QUEUES = 256
+GROUPS = 4096
 CACHE_WORDS = 800_000  # about 220 MB a Python worker
-REST = MAX_QUEUES - 1
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Lower-case Latin letters, which the tokenizer's normaliser and splitter leave as they are.
 LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\u012f\u0131-\u024f]+")
@@ -242,6 +242,51 @@ def place(s: Schedule, queue: np.ndarray, at: np.ndarray, n: np.ndarray) -> tupl
     return i[ok], (begin - at[i])[ok], size[ok], k[ok], (offset + begin - before)[ok]
 
 
+def beside(top: Schedule, low: Schedule) -> Schedule:
+    """The queues of ``low``, which are below queue 0 of ``top``, and after them the other queues of ``top``."""
+    upper, many, rest = int((top.node[0] >= 0).sum()), len(low.node), top.node[1:]
+    wide = max(upper + low.node.shape[1], top.node.shape[1])
+    node, side = np.full((2, many + len(rest), wide), -1, np.int64)
+    node[:many, :upper], side[:many, :upper] = top.node[0, :upper], top.side[0, :upper]
+    node[:many, upper : upper + low.node.shape[1]] = np.where(low.node >= 0, low.node + len(top.first) - 1, -1)
+    side[:many, upper : upper + low.node.shape[1]] = low.side
+    node[many:, : rest.shape[1]], side[many:, : rest.shape[1]] = rest, top.side[1:]
+    join = lambda a, b: np.concatenate((a, b), axis=-1)
+    return Schedule(top.seq_len, top.total, join(top.first, top.first[-1] + low.first[1:]), join(top.start, low.start), join(top.dn, low.dn), join(top.dl, low.dl), node, side)
+
+
+def under(s: Schedule, queue: np.ndarray, lists: pa.ListArray) -> Schedule:
+    """A tree with one queue a row: below queue ``queue[i]`` of ``s``, by the row's own way (tokens, tokens of the left child, side; from the top)."""
+    begin, flat = lists.offsets.to_numpy().astype(np.int64) // 3, lists.values.to_numpy().reshape(-1, 3)
+    depth, upper = np.diff(begin), (s.node[queue] >= 0).sum(axis=1)
+    wide = int((upper + depth).max(initial=0))
+    node, side = np.full((2, len(queue), wide), -1, np.int64)
+    keep = min(wide, s.node.shape[1])
+    node[:, :keep], side[:, :keep] = s.node[queue][:, :keep], s.side[queue][:, :keep]
+    row = np.repeat(np.arange(len(queue)), depth)
+    own = np.arange(begin[0], begin[-1])
+    at = upper[row] + own - begin[row]
+    node[row, at], side[row, at] = len(s.first) - 1 + own - begin[0], flat[own, 2]
+    first = np.concatenate((s.first, s.first[-1] + 1 + np.arange(len(own))))
+    start = np.concatenate((s.start, np.zeros((3, len(own)), np.int64)), axis=1)
+    return Schedule(s.seq_len, s.total, first, start, np.concatenate((s.dn, flat[own, 0])), np.concatenate((s.dl, flat[own, 1])), node, side)
+
+
+def ways(sources: DataFrame) -> DataFrame:
+    """source, group, t -> source, group and the source's way down the tree of its group, as ``under`` reads it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("source")
+        tree, out = schedule(t["t"].to_pylist(), 1), []
+        for node, side in zip(tree.node, tree.side, strict=True):
+            k = node >= 0
+            g = tree.first[node[k]]  # without targets a node has one segment
+            out.append(np.stack([tree.dn[g], tree.dl[g], side[k]], axis=1).ravel().tolist())
+        return pa.table({"source": t["source"], "group": t["group"], "way": pa.array(out, pa.list_(pa.int64()))})
+
+    return sources.groupBy("group").applyInArrow(run, "source string, group int, way array<long>")
+
+
 def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, mixture: dict[str, float] | None = None, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row a piece, see PIECE; with_ids adds the piece's ids (binary), from which ``sequences`` builds the windows.
 
@@ -251,39 +296,35 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     scratch = Scratch(spark)
     tokens = scratch.keep(tokenize(docs, tokenizer_path, end_id, cache_words), compression="snappy")
     blocks = scratch.keep(tokens.groupBy("source", "part").agg(F.sum("n").alias("t")))
-    if mixture is None:
-        own = [r[0] for r in blocks.groupBy("source").agg(F.sum("t").alias("t")).orderBy(F.desc("t"), "source").limit(REST).collect()]
+    own = sorted(s for s in mixture or {} if s != "")
+    group = F.pmod(F.xxhash64("source"), F.lit(GROUPS)).cast("int")
+    if own:  # a named source is a group of its own
+        named = spark.createDataFrame([(s, GROUPS + i) for i, s in enumerate(own)], "source string, own int")
+        sources = blocks.groupBy("source").agg(F.sum("t").alias("t")).join(named, "source", "left").withColumn("group", F.coalesce("own", group)).drop("own")
     else:
-        own = [s for s in mixture if s != ""][:REST]
-        if len(own) < len([s for s in mixture if s != ""]):
-            raise ValueError(f"at most {REST} sources can have weights of their own")
-    named = spark.createDataFrame([(s, i) for i, s in enumerate(sorted(own))] or [("", REST)], "source string, queue int")
-    queued = blocks.join(F.broadcast(named), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(REST)))
-    by_part = queued.groupBy("queue", "part").agg(F.sum("t").alias("t"))
-    order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    by_part = by_part.withColumn("part_start", F.coalesce(F.sum("t").over(order), F.lit(0))).drop("t")
-    inside = Window.partitionBy("queue", "part").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
-    starts = queued.withColumn("inner_start", F.coalesce(F.sum("t").over(inside), F.lit(0))).join(by_part, ["queue", "part"])
-    starts = scratch.keep(starts.select("source", "part", "queue", (F.col("part_start") + F.col("inner_start")).alias("queue_start"), "t"))
-    sums = {r[0]: r[1] for r in starts.groupBy("queue").agg(F.sum("t")).collect()}
-    totals = [int(sums.get(q, 0)) for q in range(MAX_QUEUES)]
-    targets = None
-    if mixture is not None:
-        targets = [float(mixture[s]) for s in sorted(own)]
-        targets += [0.0] * (REST - len(targets)) + [float(mixture.get("", 0.0))]
-    plan = schedule(totals, seq_len, targets)
+        sources = blocks.groupBy("source").agg(F.sum("t").alias("t")).withColumn("group", group)
+    sources = scratch.keep(sources)
+    sums = {r[0]: int(r[1]) for r in sources.groupBy("group").agg(F.sum("t")).collect()}
+    shared = [sums.get(g, 0) for g in range(GROUPS)]
+    plan = schedule(shared, seq_len)
+    if own:
+        plan = beside(schedule([sum(shared), *(sums.get(GROUPS + i, 0) for i in range(len(own)))], seq_len, [float(mixture.get("", 0.0)), *(float(mixture[s]) for s in own)]), plan)
+    order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("start", F.coalesce(F.sum("t").over(order), F.lit(0))).drop("t")
+    starts = scratch.keep(starts.join(ways(sources), "source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 2048):
-            queue, at, n = (b[c].to_numpy().astype(np.int64) for c in ("queue", "at", "n"))
-            row, start, size, seq, offset = place(plan, queue, at, n)
+            at, n = (b[c].to_numpy().astype(np.int64) for c in ("at", "n"))
+            tree = under(plan, b["group"].to_numpy(), b["way"])
+            row, start, size, seq, offset = place(tree, np.arange(len(n)), at, n)
             ids = [memoryview(x) for x in b["ids"].to_pylist()]
             cut = [ids[r][4 * s : 4 * (s + k)] for r, s, k in zip(row.tolist(), start.tolist(), size.tolist(), strict=True)]
             take = pa.array(row)
             out = {"doc_id": b["doc_id"].take(take), "start": pa.array(start), "length": pa.array(size), "ids_crc32": pa.array([zlib.crc32(x) for x in cut], pa.int64()), "doc_tokens": pa.array(n[row]), "sequence_id": pa.array(seq), "offset": pa.array(offset), "source": b["source"].take(take)}
             yield batch(**out, **({"ids": pa.array([bytes(x) for x in cut], pa.binary())} if with_ids else {}))
 
-    placed = tokens.join(starts.drop("t"), ["source", "part"]).select("doc_id", "source", "queue", (F.col("queue_start") + F.col("base")).alias("at"), "n", "ids")
+    placed = tokens.join(starts, ["source", "part"]).select("doc_id", "source", "group", "way", (F.col("start") + F.col("base")).alias("at"), "n", "ids")
     return placed.mapInArrow(run, PIECE + (", ids binary" if with_ids else ""))
 
 

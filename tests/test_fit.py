@@ -69,3 +69,13 @@ def test_broken_bytes_give_what_came_before(spark):
     bad = {x.path for x in fit.last_known(fit.messages(r.sparkSession.createDataFrame([("f", bytearray(good[:-3]))], "path string, content binary"))).collect()}
     assert bad == {"f"}
     assert fit.samples(r).where("path = 'f1'").count() == 1
+
+
+def test_sleep_assessment_and_sport_of_vo2max(spark):
+    scores = [(k, 0x02, 60 + k) for k in fit.SCORES]
+    met = [(229, [(0, 0x86, T + i), (2, 0x84, v), *([(5, 0x00, sport)] if sport is not None else [])]) for i, (v, sport) in enumerate([(453, 1), (0, 2), (400, 99), (400, None)])]
+    r = rows(spark, written((346, [(6, 0x02, 1)]), (346, [*scores, (15, 0x84, 1234)])), written((346, [(6, 0x02, 81), (7, 0x02, 0xFF)]), *met))
+    full, few = fit.sleep_assessments(r).orderBy("path").collect()
+    assert {c: full[c] for c in fit.SCORES.values()} == {c: 60 + k for k, c in fit.SCORES.items()} and full.avg_stress == 12.34
+    assert few.overall_score == 81 and few.quality_score is None and few.avg_stress is None
+    assert [(x.metric, x.ts, x.label) for x in fit.labels(r).orderBy("ts").collect()] == [("vo2max_sport", at(0), "running"), ("vo2max_sport", at(2), "99")]

@@ -163,3 +163,17 @@ def test_small_operators(spark, tmp_path):
     assert spark.range(1).select(scalars.scrub(F.lit("Ab and aB"), ["ab"])).first()[0] == "{name} and {name}"
     offsets = spark.createDataFrame([(dt.datetime(2024, 1, 1), 10 * 3600, 1)], "ts timestamp, offset_s int, raw_id long")
     assert local_today(offsets, dt.datetime(2024, 1, 1, 20)).first().today == dt.date(2024, 1, 2)
+
+
+def test_sleep_keeps_every_field(spark):
+    scores = {f: 50 + i for i, f in enumerate(json_records.SLEEP_SCORES.values())}
+    night = {
+        "calendarDate": "2024-01-02", "sleepStartTimestampGMT": "2024-01-01T22:10:00.0", "sleepEndTimestampGMT": "2024-01-02T06:00:30.0", "awakeCount": 2, "avgSleepStress": 14.5, "averageRespiration": 13.5,
+        "lowestRespiration": 9.0, "highestRespiration": 18.0, "retro": True, "sleepScores": scores, "spo2SleepSummary": {"averageSPO2": 94.5, "lowestSPO2": 88, "averageHR": 51.5},
+    }
+    full, bare = json_records.decode_sleep(records(spark, night, {"calendarDate": "2024-01-03"})).orderBy("date").collect()
+    assert [full[c] for c in json_records.SLEEP_SCORES] == list(scores.values())
+    assert (full.start_ts.isoformat(), full.end_ts.isoformat()) == ("2024-01-01T22:10:00", "2024-01-02T06:00:30")
+    assert (full.awakenings_count, full.avg_stress, full.avg_respiration, full.lowest_respiration, full.highest_respiration) == (2, 14.5, 13.5, 9.0, 18.0)
+    assert (full.avg_spo2, full.lowest_spo2, full.avg_hr, full.retro) == (94.5, 88, 51.5, True)
+    assert not bare.retro and all(v is None for c, v in bare.asDict().items() if c not in ("date", "retro"))

@@ -42,6 +42,18 @@ LOCAL_FIELD = {103: 0, 398: 0, 162: 3}
 OWN_TIME = {227: 1, 229: 0, 18: 2}
 FILE_STREAMS = {32: "fit:monitoring_b", 49: "fit:sleep", 68: "fit:hrv", 73: "fit:skin_temp", 44: "fit:metrics", 4: "fit:activity"}
 HRV_STATUS = ("none", "poor", "low", "unbalanced", "balanced")
+# The protocol's fields of sleep_assessment and its sports; a sport without a name keeps its number.
+ASSESSMENT, MAX_MET = 346, 229
+SCORES = {
+    6: "overall_score", 7: "quality_score", 4: "duration_score", 8: "recovery_score", 3: "deep_score", 9: "rem_score", 5: "light_score", 1: "awake_time_score",
+    2: "awakenings_count_score", 0: "combined_awake_score", 10: "restlessness_score", 14: "interruptions_score", 11: "awakenings_count",
+}
+STRESS = 15
+SPORTS = (
+    "generic running cycling transition fitness_equipment swimming basketball soccer tennis american_football training walking cross_country_skiing alpine_skiing snowboarding rowing mountaineering hiking "
+    "multisport paddling flying e_biking motorcycling boating driving golf hang_gliding horseback_riding hunting fishing inline_skating rock_climbing sailing ice_skating sky_diving snowshoeing snowmobiling "
+    "stand_up_paddleboarding surfing wakeboarding water_skiing kayaking rafting windsurfing kitesurfing tactical jumpmaster boxing floor_climbing baseball"
+).split()
 STAGES = ("unmeasurable", "awake", "light", "deep", "rem")
 STEP_TYPES = (6, 1)
 SLEEP_EVENT = 74
@@ -162,7 +174,16 @@ def drops(rows: DataFrame) -> DataFrame:
 def labels(rows: DataFrame) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, HRV_STATUS)), (F.col("fields")[6] + 1).cast("int"))
     hrv = rows.where("message = 370 and fields[6] between 0 and 4").select("path", F.lit("hrv_status").alias("metric"), "ts", status.alias("label"))
-    return hrv
+    number = F.col("fields")[5].cast("int")
+    sport = F.coalesce(F.get(F.array(*map(F.lit, SPORTS)), number), F.when(number == 53, "diving"), F.when(number == 254, "all"), number.cast("string"))
+    vo2max = rows.where((F.col("message") == MAX_MET) & (F.col("fields")[2] > 0)).select("path", F.lit("vo2max_sport").alias("metric"), "ts", sport.alias("label"))
+    return hrv.unionByName(vo2max.where("ts is not null and label is not null"))
+
+
+def sleep_assessments(rows: DataFrame) -> DataFrame:
+    """Scores of each file's night; of several messages the last."""
+    last = rows.where(F.col("message") == ASSESSMENT).groupBy("path").agg(F.max_by("fields", "n").alias("f"))
+    return last.select("path", *(F.col("f")[k].cast("int").alias(c) for k, c in SCORES.items()), (F.col("f")[STRESS] / 100).alias("avg_stress"))
 
 
 def clock_offsets(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import calendar_date
+from ..functions.scalars import calendar_date, gmt
 
 
 @dataclass(frozen=True)
@@ -61,6 +61,17 @@ DECODERS = {
     ),
 }
 SLEEP_SECONDS = {"deep_s": "$.deepSleepSeconds", "light_s": "$.lightSleepSeconds", "rem_s": "$.remSleepSeconds", "awake_s": "$.awakeSleepSeconds", "unmeasurable_s": "$.unmeasurableSeconds"}
+SLEEP_SCORES = {
+    "overall_score": "overallScore", "quality_score": "qualityScore", "duration_score": "durationScore", "recovery_score": "recoveryScore", "deep_score": "deepScore", "rem_score": "remScore",
+    "light_score": "lightScore", "awakenings_count_score": "awakeningsCountScore", "awake_time_score": "awakeTimeScore", "combined_awake_score": "combinedAwakeScore",
+    "restlessness_score": "restfulnessScore", "interruptions_score": "interruptionsScore",
+}
+SLEEP_COUNTS = {**{c: f"$.sleepScores.{f}" for c, f in SLEEP_SCORES.items()}, "awakenings_count": "$.awakeCount", "lowest_spo2": "$.spo2SleepSummary.lowestSPO2"}
+SLEEP_VITALS = {
+    "avg_stress": "$.avgSleepStress", "avg_respiration": "$.averageRespiration", "lowest_respiration": "$.lowestRespiration", "highest_respiration": "$.highestRespiration",
+    "avg_spo2": "$.spo2SleepSummary.averageSPO2", "avg_hr": "$.spo2SleepSummary.averageHR",
+}
+SLEEP_TIMES = {"start_ts": "$.sleepStartTimestampGMT", "end_ts": "$.sleepEndTimestampGMT"}
 MORNING = "AFTER_WAKEUP_RESET"
 LISTED = "struct<allDayStress:struct<aggregatorList:array<struct<type:string,averageStressLevel:double>>>,bodyBattery:struct<bodyBatteryStatList:array<struct<bodyBatteryStatType:string,statsValue:double>>>>"
 
@@ -130,8 +141,13 @@ def pick_readiness(records: DataFrame, column: str = "record") -> DataFrame:
 
 def decode_sleep(records: DataFrame, column: str = "record") -> DataFrame:
     """One wide row a night; minutes asleep are of the stages that are there."""
-    rows = parsed(records, column, [*SLEEP_SECONDS.values(), "$.sleepScores.overallScore"], ["$.calendarDate"]).withColumn("date", calendar_date(_at("$.calendarDate"))).where("date is not null")
-    rows = rows.select("date", *(_at(p).cast("long").alias(c) for c, p in SLEEP_SECONDS.items()), _at("$.sleepScores.overallScore").cast("int").alias("overall_score"))
+    rows = parsed(records, column, [*SLEEP_SECONDS.values(), *SLEEP_COUNTS.values(), *SLEEP_VITALS.values()], ["$.calendarDate", *SLEEP_TIMES.values()], ("$.retro",))
+    rows = rows.withColumn("date", calendar_date(_at("$.calendarDate"))).where("date is not null")
+    whole = lambda p, kind: F.bround(_at(p), 0).cast(kind)
+    rows = rows.select(
+        "date", *(gmt(_at(p)).alias(c) for c, p in SLEEP_TIMES.items()), *(whole(p, "long").alias(c) for c, p in SLEEP_SECONDS.items()), *(whole(p, "int").alias(c) for c, p in SLEEP_COUNTS.items()),
+        *(_at(p).alias(c) for c, p in SLEEP_VITALS.items()), F.coalesce(_at("$.retro"), F.lit(False)).alias("retro"),
+    )
     some = F.coalesce("deep_s", "light_s", "rem_s").isNotNull()
     return rows.withColumn("asleep_s", F.when(some, F.coalesce("deep_s", F.lit(0)) + F.coalesce("light_s", F.lit(0)) + F.coalesce("rem_s", F.lit(0))))
 

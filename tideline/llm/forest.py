@@ -1,10 +1,10 @@
 """N-gram Jaccard join with a MinHash LSH forest.
 
 Documents are sets of five-word shingles (lower-cased ``\\w+`` words; a text of one to four words is one shingle). Texts with
-equal sets are collapsed first. Every set gets ``TREES`` signatures of ``DEPTH`` minima. A tree is the prefix trie of its
-signatures, sorted; the prefix that must match is shortened from the full depth until the chance to meet a pair at the
-threshold in some tree reaches ``target_recall`` (``prefix_length``). Sets under one trie node are linked to the
-node's smallest one, which makes candidate groups of linear size; within a group every pair is verified exactly, by blocks of
+equal sets are collapsed first. Every set gets ``TREES`` signatures of ``DEPTH`` minima. The forest is reduced to one prefix
+length: the longest with which a pair at the threshold meets in some tree with ``target_recall`` (``prefix_length``); no trie is
+built and no prefix is shortened for a single document. Sets with an equal prefix in a tree are linked to
+the smallest of them, which makes candidate groups of linear size; within a group every pair is verified exactly, by blocks of
 about ``BLOCK`` sets, with intersections counted by matrix products. No pairs are emitted: a block returns for each set
 how many links it has and the smallest set it is connected to.
 

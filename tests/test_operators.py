@@ -175,3 +175,10 @@ def test_agreement_tolerance(spark):
     r = aggregates.agreement(pairs).first()
     assert (r.n, r.matches, r.median_abs, r.max_abs) == (4, 2, 100, 10_000)
     assert aggregates.drop_counts(pairs, {"big": "b > 150", "all": "b > 0"}).where(F.col("reason") == "big").first().n == 1
+
+
+def test_target_pairs_reads_the_whole_mapping(spark):
+    rows = [(f"{m}{i}", scope, 1, float(i)) for i in range(100) for m, scope in (("m", "local"), ("t", "vendor_cloud"))]
+    daily = spark.createDataFrame(rows, "metric string, scope string, day int, value double")
+    targets = spark.createDataFrame([(f"m{i}", f"t{i}") for i in range(100)], "metric string, target string")
+    assert {(r.metric, r.a, r.b) for r in series.target_pairs(daily, targets).collect()} == {(f"m{i}", float(i), float(i)) for i in range(100)}

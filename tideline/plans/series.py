@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..contract import TARGETS
 from ..functions.scalars import local_clock, micros, plain_number
 from ..operators.dedupe import latest
 
@@ -49,10 +48,10 @@ def scope_pairs(daily: DataFrame) -> DataFrame:
 
 
 def target_pairs(daily: DataFrame, targets: DataFrame) -> DataFrame:
-    """Values of differently named metrics that answer one question. targets: metric, target (a fixed table)."""
+    """Values of differently named metrics that answer one question. targets: metric, target."""
     a = daily.where("scope = 'local'").select("metric", "day", F.col("scope").alias("scope_a"), F.col("value").alias("a"))
     b = daily.where("scope = 'vendor_cloud'").select(F.col("metric").alias("target"), "day", F.col("scope").alias("scope_b"), F.col("value").alias("b"))
-    return a.join(F.broadcast(targets.limit(len(TARGETS) + 64)), "metric").join(b, ["target", "day"]).select("metric", "day", "scope_a", "scope_b", "a", "b")
+    return a.join(targets, "metric").join(b, ["target", "day"]).select("metric", "day", "scope_a", "scope_b", "a", "b")
 
 
 def export_long(values: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One is set only where the session names none."""
+    """The folder that driver and executors share. One is set only where the session names none and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tideline-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -119,11 +122,20 @@ class WordHash(Remembered):
         return xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def by_bytes(b: pa.RecordBatch, column: str, rows: int = 512, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most so many rows and, but for single rows, bytes of a text or binary column."""
+    size = pc.coalesce(pc.binary_length(b[column]), 0).to_numpy()
+    i = 0
+    while i < b.num_rows:
+        n = int(np.searchsorted(np.cumsum(size[i : i + rows], dtype=np.int64), limit, side="right"))
+        yield b.slice(i, max(1, n))
+        i += max(1, n)
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        yield from by_bytes(b, column, rows)
 
 
 _held: list[dict] = []

@@ -42,7 +42,7 @@ TREES, DEPTH = 32, 6
 SHINGLE = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.99999
-BLOCK = 1024
+BLOCK = 512
 BLOCK_NAMES = 1 << 21  # names a side of a block, so that long texts make smaller blocks
 FEW = 8
 BITS = 16
@@ -303,13 +303,13 @@ def links_at(edges: DataFrame, before: DataFrame | None, reps: DataFrame, texts:
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_NAMES)).cast("int")
     size = placed.groupBy("comp").agg(blocks.alias("blocks"), F.min("old").alias("a"), F.max("old").alias("b")).where("a < b").select("comp", "blocks")
     chosen = placed.join(size, "comp").withColumn("side", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
-    chosen = chosen.select("comp", "blocks", "side", "node", "old", "shingle_key", F.col("first_id").alias("doc_id"))
-    sets = with_sets(chosen.join(texts, "doc_id").dropDuplicates(["doc_id", "node", "text"]), "comp", "blocks", "side", "node", "old")
+    chosen = scratch.keep(chosen.select("comp", "blocks", "side", "node", "old", "shingle_key", F.col("first_id").alias("doc_id")))
+    sets = with_sets(chosen.where("blocks > 0").join(texts, "doc_id").dropDuplicates(["doc_id", "node", "text"]), "comp", "blocks", "side", "node", "old")
     each = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select("comp", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "old", "names")
     with few_rows_of(spark):
         links = scratch.keep(verify(each.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node"), threshold, depths))
-    scratch.drop(placed)
+    scratch.drop(placed, chosen)
     return group, links
 
 

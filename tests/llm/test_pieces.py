@@ -63,7 +63,27 @@ def test_unigram_viterbi_is_the_best_path(byte_fallback):
 
     for t in texts(60, 3, ["a", "b", "c", "d", "e"]):
         t = "▁" + t[:9]
-        assert sum(model.score[i] for i in model.path(t)) == pytest.approx(brute(t))
+        own, best, total = model.paths(t)
+        assert own == best and sum(model.score[i] for i in best) == pytest.approx(total) == pytest.approx(brute(t))
+
+
+def test_best_path_beside_the_ids():
+    """The query's model: the path with the highest sum of scores, against all segmentations."""
+    model = pieces.pieces(PATH)
+
+    def brute(t):
+        best = [0.0] + [-np.inf] * len(t)
+        for end in range(1, len(t) + 1):
+            best[end] = max([best[k] + model.score[model.id[t[k:end]]] for k in range(end) if t[k:end] in model.id and model.usable(t[k:end])], default=-np.inf)
+            if t[end - 1] not in model.id:
+                best[end] = max(best[end], best[end - 1] + model.low)
+        return best[-1]
+
+    for t in texts(300, 5) + ["internationalisation of tokenisers", "aaaaaaaaaaaaaaa", "中文" * 3000]:
+        ids, best, score = model.encode_best(t)
+        assert ids == model.encode(t)
+        assert score == pytest.approx(brute((" " + t).replace(" ", "▁")) if t else 0.0)
+        assert model.decode(best) == model.decode(ids)
 
 
 def test_query(spark):
@@ -71,5 +91,10 @@ def test_query(spark):
 
     df = docs(spark)
     got = pieces.decode(pieces.encode(df.repartition(2), PATH), PATH).collect()
+    model = pieces.pieces(PATH)
+    by = {(r.doc_id, r.text or ""): r for r in df.collect()}
+    for r in got:
+        ids, best, score = model.encode_best(by[r.doc_id, r.text].text or "")
+        assert (r.n_ids, r.best_n_ids, r.best_score) == (len(ids) // 4, len(best) // 4, score)
     assert sorted((str(r.doc_id), r.text_sha256) for r in got) == sorted((str(r.doc_id), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in df.collect())
     assert pieces.decode(pieces.encode(empty(spark), PATH), PATH).count() == 0

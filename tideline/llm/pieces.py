@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding over an Aho-Corasick automaton of the pieces.
 
 One pass over the text walks the automaton; at every position its output links list the pieces that end there, and each is
-relaxed against the best path to its start. For a unigram model the score of a path is the sum of its pieces' scores
-(Viterbi). A BPE model's scores are merge ranks and do not add up; there a path is valid if every two neighbours stay
-apart when their joined text is merged by itself, and exactly one piece that ends at a position continues a valid path, so
-the relaxation keeps that one. Pieces that their own text does not merge to can never be output and are left out.
+relaxed against the best path to its start (Viterbi): the score of a path is the sum of its pieces' scores. For a unigram model
+that gives the ids. A BPE model's scores are merge ranks, and the library's ids are not the path with the highest sum; there the
+same pass also relaxes validity: a path is valid if every two neighbours stay apart when their joined text is merged by itself,
+and exactly one piece that ends at a position continues a valid path. Both paths are returned. Pieces that their own text does
+not merge to can never be output and are left out.
 
 No piece holds the space mark behind another character, and characters outside the vocabulary join nothing. So a text
 falls into independent chunks at spaces and line ends, and the ids of chunks are remembered up to a bound.
@@ -63,6 +64,7 @@ class Pieces(dict):
         byte_of = {i: bytes([b]).decode("ascii", "surrogateescape") for b, i in self.bytes.items()}
         self.text = [byte_of.get(i, " ⁇ " if i == self.unknown else "" if self.type[i] == CONTROL else p.replace(SPACE, " ")) for i, p in enumerate(self.piece)]
         self.apart: dict[int, bool] = {}
+        self.best: dict[str, tuple[bytes, float]] = {}
         self.low = min((self.score[i] for i in self.id.values()), default=0.0) - UNKNOWN_PENALTY
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("pieces with a space mark behind other characters are not handled")
@@ -85,6 +87,10 @@ class Pieces(dict):
             self.automaton.add_word(text, (i, len(text)))
         self.automaton.make_automaton()
 
+    def usable(self, text: str) -> bool:
+        """Whether a piece is in the automaton."""
+        return text in self.automaton
+
     def merge(self, text: str) -> tuple[list[str], int]:
         """Pair merging by rank, leftmost first among equals: the definition of a BPE model, for short texts. And the length of the left part in the last merge."""
         parts, cut = list(text), 0
@@ -120,16 +126,28 @@ class Pieces(dict):
             else:
                 return True
 
-    def path(self, text: str) -> list[int]:
-        """Ids of the pieces of a chunk; below zero: -1 - position of a character that no piece covers."""
-        return self.best_path(text) if self.kind == UNIGRAM else self.valid_path(text)
+    def paths(self, text: str) -> tuple[list[int], list[int], float]:
+        """The model's own path over a chunk, and the best one with its score: ids; below zero: -1 - position of a character that no piece covers.
 
-    def valid_path(self, text: str) -> list[int]:
-        last: list[int | None] = [None] * (len(text) + 1)  # the piece that ends a valid path to each position
-        apart = self.apart
+        One pass of the automaton over the chunk; the pieces that its output links list at a position are relaxed for both. For a
+        unigram model they are the same path.
+        """
+        n, bpe = len(text), self.kind == BPE
+        last: list[int | None] = [None] * (n + 1)  # the piece that ends a valid path to each position
+        best: list[float | None] = [0.0] + [None] * n  # score of the best path to each position
+        from_: list[int | None] = [None] * (n + 1)  # its last piece
+        apart, scores, single, done = self.apart, self.score, self.id, 0
         for at, (i, size) in self.automaton.iter(text):
             end = at + 1
-            if last[end] is None:
+            while done < at:  # a character that is no piece by itself can also be unknown
+                done += 1
+                other = best[done - 1] + self.low
+                if best[done] is None or (best[done] < other and text[done - 1] not in single):
+                    best[done], from_[done] = other, None
+            score = best[end - size] + scores[i]
+            if best[end] is None or score > best[end]:
+                best[end], from_[end] = score, i
+            if bpe and last[end] is None:
                 before = last[end - size]
                 if before is not None:
                     key = before << 24 | i
@@ -141,34 +159,16 @@ class Pieces(dict):
                     if not ok:
                         continue
                 last[end] = i
-        out, end = [], len(text)
-        while end:
-            i = last[end]
-            out.append(-end if i is None else i)
-            end -= 1 if i is None else self.size[i]
-        return out[::-1]
-
-    def best_path(self, text: str) -> list[int]:
-        n = len(text)
-        best: list[float | None] = [0.0] + [None] * n  # score of the best path to each position
-        last: list[int | None] = [None] * (n + 1)  # its last piece
-        done = 0
-
-        def settle(upto: int) -> None:  # a character that is no piece by itself can also be unknown
-            nonlocal done
-            while done < upto:
-                done += 1
-                other = best[done - 1] + self.low
-                if text[done - 1] not in self.id and (best[done] is None or best[done] < other):
-                    best[done], last[done] = other, None
-
-        for at, (i, size) in self.automaton.iter(text):
-            settle(at)
-            score = best[at + 1 - size] + self.score[i]
-            if best[at + 1] is None or score > best[at + 1]:
-                best[at + 1], last[at + 1] = score, i
-        settle(n)
-        out, end = [], n
+        while done < n:
+            done += 1
+            other = best[done - 1] + self.low
+            if best[done] is None or (best[done] < other and text[done - 1] not in single):
+                best[done], from_[done] = other, None
+        found = self.traced(from_, n)
+        return self.traced(last, n) if bpe else found, found, best[n]
+
+    def traced(self, last: list[int | None], end: int) -> list[int]:
+        out = []
         while end:
             i = last[end]
             out.append(-end if i is None else i)
@@ -178,15 +178,26 @@ class Pieces(dict):
     def __missing__(self, text: str) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
-        value = self[text] = self.make(text)
+            self.best.clear()
+        value, best, score = self.make(text)
+        self.best[text] = (best, score)
+        self[text] = value
         return value
 
-    def make(self, text: str) -> bytes:
-        """Ids of a chunk as unsigned 32-bit, little-endian."""
-        if len(text) > 1 and text[-2:] not in self.inside:  # no piece joins the last two characters
-            return self[text[:-1]] + self[text[-1]]
+    def make(self, text: str) -> tuple[bytes, bytes, float]:
+        """Ids of a chunk as unsigned 32-bit, little-endian; those of its best path; and the score of that."""
+        inside = self.inside
+        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inside]
+        if cuts:  # no piece joins the characters on both sides
+            parts = [(self[t], *self.best[t]) for t in (text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True))]
+            return b"".join(p[0] for p in parts), b"".join(p[1] for p in parts), sum(p[2] for p in parts)
+        own, best, score = self.paths(text)
+        ids = self.numbers(own, text)
+        return ids, ids if best == own else self.numbers(best, text), score
+
+    def numbers(self, path: list[int], text: str) -> bytes:
         ids = []
-        for i in self.path(text):
+        for i in path:
             if i >= 0:
                 ids.append(i)
             elif self.bytes:
@@ -195,17 +206,30 @@ class Pieces(dict):
                 ids.append(self.unknown)
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> bytes:
-        """Ids as unsigned 32-bit, little-endian."""
-        if not text:
-            return b""
+    def chunks(self, text: str) -> list[str]:
         text = text.replace(" ", SPACE)
-        out = b"".join(map(self.__getitem__, self.chunk.findall(SPACE + text if self.prefix else text)))
+        return self.chunk.findall(SPACE + text if self.prefix else text) if text else []
+
+    def merged(self, out: bytes) -> bytes:
         if self.bytes:
             return out
         ids = np.frombuffer(out, "<u4")  # neighbouring unknown characters are one id
         return ids[(ids != self.unknown) | (np.concatenate(([0], ids[:-1])) != self.unknown) | (np.arange(len(ids)) == 0)].tobytes()
 
+    def encode(self, text: str) -> bytes:
+        """Ids as unsigned 32-bit, little-endian."""
+        return self.merged(b"".join(map(self.__getitem__, self.chunks(text))))
+
+    def encode_best(self, text: str) -> tuple[bytes, bytes, float]:
+        """The ids, those of the path with the highest sum of scores, and that sum."""
+        ids, best, score = [], [], 0.0
+        for c in self.chunks(text):
+            ids.append(self[c])
+            b, s = self.best[c]
+            best.append(b)
+            score += s
+        return self.merged(b"".join(ids)), self.merged(b"".join(best)), score
+
     def decode(self, ids: bytes) -> str:
         # bytes beyond ASCII stand as lone surrogates until all pieces are joined
         text = "".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -224,38 +248,45 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
+ENCODED = "doc_id long, n_ids long, ids binary, best_n_ids long, best_crc32 long, best_score double"
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_ids, ids (unsigned 32-bit, little-endian) of every whole text."""
+    """doc_id, n_ids, ids (unsigned 32-bit, little-endian) of every whole text; number, checksum and score of the best path's ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
         hold(model)
         for b in small(batches):
-            ids = [model.encode(t) for t in b["text"].to_pylist()]
-            yield batch(doc_id=b["doc_id"], n_ids=pa.array([len(x) // 4 for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()))
+            ids, best, score = zip(*map(model.encode_best, b["text"].to_pylist()), strict=True)
+            yield batch(
+                doc_id=b["doc_id"], n_ids=pa.array([len(x) // 4 for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()), best_n_ids=pa.array([len(x) // 4 for x in best], pa.int64()),
+                best_crc32=pa.array([zlib.crc32(x) for x in best], pa.int64()), best_score=pa.array(score, pa.float64()),
+            )
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_ids long, ids binary")
+    return documents(docs).mapInArrow(run, ENCODED)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_ids, ids_crc32, n_chars and text_sha256 of the text that the ids give back, and that text."""
+    """The columns of ``encode`` with, for ids, their checksum, and n_chars and text_sha256 of the text that they give back, and that text."""
+    same = ["doc_id", "n_ids", "best_n_ids", "best_crc32", "best_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
         hold(model)
-        for b in small(batches):
+        for b in small(batches, column="ids"):
             ids = b["ids"].to_pylist()
             text = [model.decode(x) for x in ids]
             yield batch(
-                doc_id=b["doc_id"], n_ids=b["n_ids"], ids_crc32=pa.array([zlib.crc32(x) for x in ids], pa.int64()), n_chars=pa.array([len(t) for t in text], pa.int64()),
+                **{c: b[c] for c in same}, ids_crc32=pa.array([zlib.crc32(x) for x in ids], pa.int64()), n_chars=pa.array([len(t) for t in text], pa.int64()),
                 text_sha256=pa.array([hashlib.sha256(t.encode()).hexdigest() for t in text]), text=pa.array(text, pa.string()),
             )
 
-    return encoded.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_chars long, text_sha256 string, text string")
+    return encoded.mapInArrow(run, "doc_id long, n_ids long, best_n_ids long, best_crc32 long, best_score double, ids_crc32 long, n_chars long, text_sha256 string, text string")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encodes and decodes all documents; the digest of the decoded text equals that of the source."""
+    """Encodes and decodes all documents; the digest of the decoded text equals that of the source. Beside the ids, the path with the highest sum of scores."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch, documents, table
+from .common import batch, by_bytes, documents, table
 
 
 def zigzag() -> np.ndarray:
@@ -560,6 +560,9 @@ def feature(image: Image, pixels: np.ndarray) -> str:
     return f"{pixels.shape[1]}x{pixels.shape[0]}:{mean[0]}:{mean[1]}:{mean[2]}:{zlib.crc32(pixels):08x}"
 
 
+BATCH_BYTES = 2 << 20  # of texts or files that are worked on together
+
+
 def padded(data: bytes) -> bytes:
     return data + b"\0" * (-len(data) % 64 or (0 if data else 64))
 
@@ -569,8 +572,7 @@ def store(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 128):
-                part = b.slice(i, 128)
+            for part in by_bytes(b, "text", 128, BATCH_BYTES):
                 raw = part["text"].cast(pa.binary()).to_pylist()
                 media = [write(padded(x)) for x in raw]
                 yield batch(doc_id=part["doc_id"], n_bytes=pa.array([len(x) for x in raw], pa.int64()), payload_bytes=pa.array([len(padded(x)) for x in raw], pa.int64()), media=pa.array(media, pa.binary()))
@@ -584,8 +586,8 @@ def decode(media: DataFrame, tensors: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 128):
-                yield decoded(b.slice(i, 128))
+            for part in by_bytes(b, "media", 128, BATCH_BYTES):
+                yield decoded(part)
 
     def decoded(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -604,4 +606,5 @@ def decode(media: DataFrame, tensors: bool = False) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode(store(table(spark, sf_dir, "documents")))
+    """The contract's columns, and the RGB tensor of each text's image with its height and width."""
+    return decode(store(table(spark, sf_dir, "documents")), tensors=True)

@@ -42,8 +42,9 @@ def test_recall_and_scores(spark):
 
 
 def test_many_copies_of_one_vector(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 64)
-    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(neighbours, "LEAST_BLOCK", 64)
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(neighbours, "CANDIDATES", 100)
     x = np.ones((500, 4))
     x[400:] = np.random.default_rng(1).normal(0, 1, (100, 4))
     df = spark.createDataFrame(rows(range(500), x), SCHEMA)
@@ -51,13 +52,36 @@ def test_many_copies_of_one_vector(spark, monkeypatch):
     assert found == [0, 1, 2, 3, 4]
 
 
+def test_blocks_equal_a_scan(monkeypatch):
+    monkeypatch.setattr(neighbours, "CANDIDATES", 7)
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (90, 3)).astype(float) + 0.125
+    ids = rng.integers(0, 60, 90)  # repeated ids and tied vectors
+    q = rng.integers(0, 90, 20)
+    got = list(zip(*(c.tolist() for c in neighbours.Block(ids, x).nearest(ids[q], x[q], 4)), strict=True))
+    want = []
+    for i in q:
+        score = np.einsum("nd,nd->n", np.broadcast_to(x[i], x.shape), x) / (np.sqrt(x[i] @ x[i]) * np.sqrt(np.einsum("nd,nd->n", x, x)))
+        best = {}
+        for j, s in zip(ids, score, strict=True):
+            if j != ids[i]:
+                best[j] = max(best.get(j, -9), s)
+        want += [(ids[i], j) for j, s in sorted(best.items(), key=lambda b: (-b[1], b[0]))[:4]]
+    assert [g[:2] for g in got] == want
+
+
 def test_odd_vectors(spark):
-    bad = [None, [], [0, 0], [float("nan"), 1], [float("inf"), 1], [None, 1], [1, 2, 3]]
+    bad = [None, [], [0, 0], [float("nan"), 1], [float("inf"), 1], [None, 1], [1e-200, 0], [1e200, 1e200], [1, 2, 3]]
     df = spark.createDataFrame(rows([1, 2, 3, 3, 4], [[1, 0], [1, 1], [0, 1], [0, 1], [-1, 0]]) + rows(range(10, 17), bad) + [(None, [1.0, 1.0], 0, 1, "", "")], SCHEMA)
     got = [(r.query_id, r.rank, r.vec_id) for r in neighbours.search(df, F.col("vec_id").isin(1, 3, 10, 12)).orderBy("query_id", "rank").collect()]
     assert got == [(1, 1, 2), (1, 2, 3), (1, 3, 4), (3, 1, 2), (3, 2, 1), (3, 3, 4)]
 
 
+def test_lengths_beyond_double_precision(spark):
+    df = spark.createDataFrame(rows([1, 2, 3, 4], [[1, 0], [1, 1], [1e-200, 0], [1e200, 1e200]]), SCHEMA.replace("float", "double"))
+    assert [(r.query_id, r.vec_id) for r in neighbours.search(df, F.lit(True)).orderBy("query_id").collect()] == [(1, 2), (2, 1)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert neighbours.search(df, F.col("vec_id") % 2 == 0).count() == 0

@@ -5,12 +5,12 @@ parts (spectral halving, refined by swaps that lower the cut), and a small netwo
 are in. Every row is indexed under its most probable part; every query goes to its most probable parts, as many as
 reach ``TARGET_RECALL`` on held-back sample queries, and is reranked there by exact cosine in double precision.
 
-A part is cut into blocks of about ``BLOCK`` rows and its queries into blocks of ``QUERY_BLOCK``; each pair of blocks is one
-bounded task that returns its best k, so a part that holds a third of all rows is many tasks. Queries for which the chosen
-parts hold fewer than k rows look into all parts.
+A part is cut into blocks of about ``BLOCK_BYTES``, so a part that holds a third of all rows is many tasks. No row of the table is
+copied: each lies in one block, and a part's queries stream past every block of it, which returns its best k for each. Queries
+for which the chosen parts hold fewer than k rows look into all parts.
 
 Defined results: vectors that are null, zero, of another size than the most frequent one, or hold null or non-finite
-components take no part, nor do null ids; rows that share a vec_id are one candidate (the best score counts) and one
+components, and those whose length overflows or underflows in double precision, take no part, nor do null ids; rows that share a vec_id are one candidate (the best score counts) and one
 query (the smallest vector); ties go to the smaller vec_id; fewer candidates than k are all returned.
 """
 
@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, batch, table, tidy
 
 SAMPLE_ROWS = 8192
 ROWS_A_PART = 256
 MOST_PARTS = 128
 GRAPH_K = 10
 HIDDEN = 96
-BLOCK = 4096
-QUERY_BLOCK = 1024
+BLOCK_BYTES, LEAST_BLOCK = 8 << 20, 256
+QUERY_ROWS, CANDIDATES = 256, 1 << 15
 TARGET_RECALL = 0.97
 
 
@@ -147,9 +147,46 @@ def learn(sample: np.ndarray, parts: int, k: int, target_recall: float) -> tuple
     return router, probes
 
 
+class Block:
+    """Rows of one block, ready to be searched."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.x = ids[order], x[order]
+        self.norm = np.sqrt(np.einsum("nd,nd->n", self.x, self.x))
+        self.start = np.flatnonzero(np.concatenate(([True], self.ids[1:] != self.ids[:-1])))
+
+    def nearest(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query id, id and cosine of the k best ids for each query; an id's best row counts."""
+        norm = np.sqrt(np.einsum("nd,nd->n", q, q))
+        near = (q @ self.x.T) / (norm[:, None] * self.norm)
+        near[query_ids[:, None] == self.ids] = -np.inf
+        best = near if len(self.start) == len(self.ids) else np.maximum.reduceat(near, self.start, axis=1)
+        least = np.partition(best, -k, axis=1)[:, -k] if best.shape[1] > k else np.full(len(q), -np.inf)
+        chosen = near >= np.maximum(least, -2.0)[:, None] - 1e-9  # the product's rounding must not decide
+        ends = np.cumsum(chosen.sum(axis=1))
+        out, i = [], 0
+        while i < len(q):  # of many equal vectors all are candidates: so many queries at a time that their candidates fit
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CANDIDATES, side="right")))
+            row, col = np.nonzero(chosen[i:j])
+            row += i
+            exact = np.einsum("nd,nd->n", q[row], self.x[col]) / (norm[row] * self.norm[col])
+            order = np.lexsort((-exact, self.ids[col], row))
+            row, ids, exact = row[order], self.ids[col][order], exact[order]
+            once = np.concatenate(([True], (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])))[: len(row)]
+            row, ids, exact = row[once], ids[once], exact[once]
+            order = np.lexsort((ids, -exact, row))
+            row, ids, exact = row[order], ids[order], exact[order]
+            some = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append((query_ids[row[some]], ids[some], exact[some]))
+            i = j
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def usable(vector: Column) -> Column:
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0)
+    square = F.aggregate(vector, F.lit(0.0), lambda total, v: total + v * v)
+    return vector.isNotNull() & fine & (square > 0) & (square < float("inf"))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", target_recall: float = TARGET_RECALL) -> DataFrame:
@@ -169,6 +206,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     layers = [w.astype(np.float32) for w in router.layers] if router else None
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng()
         for b in batches:
             x = b["x"].flatten().to_numpy().reshape(-1, d)
             if layers is None:
@@ -178,63 +216,58 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
                 order = np.argsort(-Router(layers).logits(unit), axis=1, kind="stable").astype(np.int32)
             asks = b["asks"].to_numpy(zero_copy_only=False)
             sent = [o.tolist() if a else [int(o[0])] for o, a in zip(order, asks, strict=True)]
-            yield pa.RecordBatch.from_arrays([b["vec_id"], b["x"], b["asks"], pa.array(sent, pa.list_(pa.int32()))], ["vec_id", "x", "asks", "parts"])
+            salt = rng.integers(0, 1 << 62, len(x))  # rows of one part or one id are dealt over its blocks
+            yield batch(vec_id=b["vec_id"], x=b["x"], asks=b["asks"], parts=pa.array(sent, pa.list_(pa.int32())), salt=pa.array(salt))
 
     rows = rows.withColumn("asks", F.coalesce("asks", F.lit(False)))
-    indexed = scratch.keep(rows.mapInArrow(index, "vec_id long, x array<double>, asks boolean, parts array<int>"))
-    base = indexed.select("vec_id", "x", F.col("parts")[0].alias("part"))
+    indexed = scratch.keep(rows.mapInArrow(index, "vec_id long, x array<double>, asks boolean, parts array<int>, salt long"))
+    base = indexed.select("vec_id", "x", F.col("parts")[0].alias("part"), "salt")
     asked = indexed.where("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("x", "parts")).alias("q")).select("query_id", "q.x", "q.parts")
     asked = scratch.keep(asked)
-    n_asked = asked.count()
-    blocks = base.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))  # a row a part, MOST_PARTS at most
-
-    def rerank(queries: DataFrame, count: int) -> DataFrame:
-        query_blocks = max(1, -(-count // QUERY_BLOCK))
-        right = base.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).cast("int"))
-        right = right.select("part", "block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("ask"), "vec_id", "x")
-        left = queries.withColumn("ask", F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(query_blocks)).cast("int")).join(F.broadcast(blocks), "part")
-        left = left.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "ask", "query_id", "x")
-        keys = ("part", "block", "ask")
-
-        def best(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not len(left) or not len(right):
-                return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-            ids, qid = right["vec_id"].to_numpy(), left["query_id"].to_numpy()
-            x, q = (t["x"].combine_chunks().flatten().to_numpy().reshape(-1, d) for t in (right, left))
-            near, norm_x, norm_q = q @ x.T, np.sqrt(np.einsum("nd,nd->n", x, x)), np.sqrt(np.einsum("nd,nd->n", q, q))
-            near /= norm_q[:, None] * norm_x
-            near[qid[:, None] == ids] = -np.inf
-            out = []
-            for i in range(len(q)):
-                s = near[i]
-                least = np.partition(s, -k)[-k] if len(s) > k else -2.0
-                c = np.flatnonzero(s >= max(least, -2.0) - 1e-9)
-                exact = np.einsum("nd,nd->n", x[c], np.broadcast_to(q[i], (len(c), d))) / (norm_q[i] * norm_x[c])
-                order = np.lexsort((ids[c], -exact))
-                if len(np.unique(ids[c])) < min(k, len(c)):  # repeated rows: count each id once, over the whole block
-                    c = np.flatnonzero(s > -3)
-                    exact = np.einsum("nd,nd->n", x[c], np.broadcast_to(q[i], (len(c), d))) / (norm_q[i] * norm_x[c])
-                    order = np.lexsort((ids[c], -exact))
-                _, first = np.unique(ids[c][order], return_index=True)
-                order = order[np.sort(first)][:k]
-                out.append((np.full(len(order), qid[i]), ids[c][order], exact[order]))
-            return pa.table({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
-
-        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
+    block_rows = max(LEAST_BLOCK, BLOCK_BYTES // (8 * d))
+    blocks = base.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))  # a row a part, MOST_PARTS at most
+
+    def rerank(queries: DataFrame) -> DataFrame:
+        right = base.join(F.broadcast(blocks), "part").select("part", F.pmod("salt", "blocks").cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "x")
+        left = queries.join(F.broadcast(blocks), "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), F.col("query_id").alias("vec_id"), "x")
+        met = right.unionByName(left).repartition("part", "block").sortWithinPartitions("part", "block", "asks")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, ids, rows = None, [], []  # the rows of one block; its queries stream past them
+            block: Block | None = None
+            for b in batches:
+                part, number, asks, vec_id = (b[c].to_numpy(zero_copy_only=False) for c in ("part", "block", "asks", "vec_id"))
+                x = b["x"].flatten().to_numpy().reshape(-1, d)
+                change = np.flatnonzero((part[1:] != part[:-1]) | (number[1:] != number[:-1]) | (asks[1:] != asks[:-1])) + 1
+                for i, j in zip([0, *change], [*change, len(part)], strict=True):
+                    if i == j:
+                        continue
+                    if (part[i], number[i]) != key:
+                        key, ids, rows, block = (part[i], number[i]), [], [], None
+                    if not asks[i]:
+                        ids.append(vec_id[i:j]), rows.append(x[i:j])
+                        continue
+                    if block is None and ids:
+                        block, ids, rows = Block(np.concatenate(ids), np.concatenate(rows)), [], []
+                    for m in range(i, j, QUERY_ROWS) if block else ():
+                        some = slice(m, min(m + QUERY_ROWS, j))
+                        query, near, score = block.nearest(vec_id[some], x[some], k)
+                        yield batch(query_id=pa.array(query), vec_id=pa.array(near), score=pa.array(score))
+
+        found = met.mapInArrow(tidy(run), "query_id long, vec_id long, score double")
         # at most k rows from each of a query's blocks
         ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id")
         top = ranked.agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k).alias("top"))
         return top.select("query_id", F.posexplode("top").alias("rank", "t")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.less")).alias("score"))
 
-    first = scratch.keep(rerank(asked.select("query_id", "x", F.explode(F.slice("parts", 1, probes)).alias("part")), n_asked))
+    first = scratch.keep(rerank(asked.select("query_id", "x", F.explode(F.slice("parts", 1, probes)).alias("part"))))
     if probes >= parts:
         return first
     short = first.groupBy("query_id").count().where(F.col("count") >= k)
     again = scratch.keep(asked.join(short, "query_id", "left_anti"))
-    n_again = again.count()
-    if n_again == 0:
+    if again.isEmpty():
         return first
-    rest = rerank(again.select("query_id", "x", F.explode("parts").alias("part")), n_again)
+    rest = rerank(again.select("query_id", "x", F.explode("parts").alias("part")))
     return first.join(again.select("query_id"), "query_id", "left_anti").unionByName(rest)
 
 

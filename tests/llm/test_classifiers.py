@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,8 @@ from tideline.llm import ordinal, passages
 
 from .helpers import docs, empty
 
+DATA = "/root/testdata/sf0.1"
+
 
 def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
@@ -82,7 +86,7 @@ def test_quality(spark):
     assert passages.keep_good(empty(spark), model).count() == 0
 
 
-def test_attention_gradients():
+def test_attention_finds_the_passage():
     """The fit finds the one passage that matters."""
     rng = np.random.default_rng(5)
     bags, y = [], []
@@ -109,3 +113,64 @@ def test_held_out_rows_do_not_matter(spark):
     flipped = [(k, 1 - q if k in held else q, t) for k, q, t in marks]
     a, b = (passages.train_quality(docs(spark, rows), labels(spark, m)) for m in (marks, flipped))
     assert all((a.parts[k] == b.parts[k]).all() for k in a.parts)
+
+
+def slopes(f, x, step=1e-6):
+    out = np.zeros_like(x)
+    for i in np.ndindex(x.shape):
+        old = x[i]
+        x[i] = old + step
+        high = f()
+        x[i] = old - step
+        out[i] = (high - f()) / (2 * step)
+        x[i] = old
+    return out
+
+
+def test_attention_gradients_are_the_slopes():
+    rng = np.random.default_rng(1)
+    width, hidden, gate = passages.WIDTH, passages.HIDDEN, passages.GATE
+    p = {"W": rng.normal(0, 0.2, (width, hidden)), "b": rng.normal(0, 0.2, hidden), "V": rng.normal(0, 0.5, (hidden, gate)), "U": rng.normal(0, 0.5, (hidden, gate)), "w": rng.normal(0, 0.5, gate), "c": rng.normal(0, 0.5, hidden), "d": rng.normal(0, 0.5, 1)}
+    x, start, y = rng.normal(0, 1, (9, width)), np.array([0, 1, 4]), np.array([1.0, 0.0, 1.0])
+    _, grad = passages.mil_gradients(x, start, y, p)
+    for k in p:
+        assert np.allclose(grad[k], slopes(lambda: passages.mil_gradients(x, start, y, p)[0], p[k]), atol=1e-7), k
+
+
+def test_ordinal_gradients_are_the_slopes():
+    rng = np.random.default_rng(2)
+    w, free = rng.normal(0, 1, 6), np.array([-0.5, 0.1, -0.7])
+    owner = np.sort(rng.integers(0, 12, 40))
+    flat, grades = rng.integers(0, 6, 40), rng.integers(0, 4, 12)
+    _, by_w, by_free = ordinal.ordinal_gradients(w, free, flat, owner, grades)
+    loss = lambda: ordinal.ordinal_gradients(w, free, flat, owner, grades)[0]
+    assert np.allclose(by_w, slopes(loss, w), atol=1e-7) and np.allclose(by_free, slopes(loss, free), atol=1e-7)
+
+
+def test_training_rows_are_bounded_by_rows_and_bytes(spark):
+    rows = [(1, f"text {i}") for i in range(500)] + [(k, "word " * k) for k in range(2, 60)] + [(99, "word " * 5000)]
+    marks = spark.createDataFrame([(k, k % 2) for k in range(1, 100)], "doc_id long, toxic int")
+    size = lambda texts: texts.map(lambda t: t.encode())
+    every = ordinal.training_rows(docs(spark, rows), marks, "toxic", size, 1000)
+    assert every["doc_id"].to_pylist() == [*range(1, 60), 99]
+    assert len(ordinal.training_rows(docs(spark, rows), marks, "toxic", size, 10)) <= 10
+    some = ordinal.training_rows(docs(spark, rows), marks, "toxic", size, 1000, limit=2000, row_limit=20_000)
+    got = sum(len(x) for x in some["features"].to_pylist())
+    assert 99 not in some["doc_id"].to_pylist() and 1500 < got <= 2000
+    assert set(some["doc_id"].to_pylist()) < set(every["doc_id"].to_pylist())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_queries_on_labels_they_did_not_learn_from(spark, tmp_path):
+    """Accuracy on rows without a part in the fit: op9 on its held-out rows, op5 with half of the labels taken away."""
+    marks = spark.read.parquet(f"{DATA}/labels.parquet").toPandas().set_index("doc_id")
+    got = passages.op9_quality(spark, DATA).toPandas().set_index("doc_id")
+    assert got.columns.tolist() == ["held_out", "score", "predicted"] and got.score.between(0, 1).all()
+    held = got[got.held_out].join(marks, how="inner")
+    good, bad = held[held.quality == 1], held[held.quality == 0]
+    assert (good.predicted == 1).mean() >= 0.97 and (bad.predicted == 0).mean() >= 0.9
+    learned, rest = marks[marks.index % 2 == 0], marks[marks.index % 2 == 1]
+    os.symlink(f"{DATA}/documents.parquet", tmp_path / "documents.parquet")
+    spark.createDataFrame(learned.reset_index()).write.parquet(str(tmp_path / "labels.parquet"))
+    found = ordinal.op5_toxicity(spark, str(tmp_path)).toPandas().set_index("doc_id").join(rest, how="inner", rsuffix="_label")
+    assert found[found.toxic_label == 1].toxic.mean() >= 0.75 and found[found.toxic_label == 0].toxic.mean() <= 0.03

@@ -5,7 +5,8 @@ case, digits, marks, hashed word shapes, repeats) to h = tanh(W x + b). Gated at
 weighs the passages of a document, and the weighted sum z gives the score sigmoid(c . z + d). All of it is learned from
 document labels alone, with the gradients written out in numpy.
 
-Fit: on at most ``SAMPLE_ROWS`` labelled rows (the smallest hashes of doc_id) whose crc32 of doc_id as text has another
+Fit: on at most ``SAMPLE_ROWS`` labelled documents (the smallest hashes of doc_id) with at most ``ordinal.SAMPLE_BYTES`` of
+passages (see ``ordinal.training_rows``) whose crc32 of doc_id as text has another
 remainder by 4 than ``HELD_OUT``. Labels, lang, source and doc_id are no inputs of a score. Scoring: whole texts, one pass
 without a shuffle.
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, hold, table, trim
-from .ordinal import labelled_sample, sigmoid
+from .ordinal import sigmoid, training_rows
 
 SAMPLE_ROWS = 12_000
 PASSAGE = 64
@@ -127,6 +128,22 @@ def forward(x: np.ndarray, start: np.ndarray, p: dict[str, np.ndarray]) -> dict[
     return {"h": h, "t": t, "g": g, "a": a, "z": z, "size": size, "logit": z @ p["c"] + p["d"][0]}
 
 
+def mil_gradients(x: np.ndarray, start: np.ndarray, labels: np.ndarray, p: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy of bags (rows of x from each start) and its gradients by the parameters."""
+    f = forward(x, start, p)
+    own = np.repeat(np.arange(len(start)), f["size"])
+    dl = (sigmoid(f["logit"]) - labels) / len(start)
+    dz = dl[:, None] * p["c"]
+    da = (dz[own] * f["h"]).sum(1)
+    de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, start), f["size"]))
+    dg = de[:, None] * p["w"]
+    dt, ds = dg * f["g"] * (1 - f["t"] ** 2), dg * f["t"] * f["g"] * (1 - f["g"])
+    dh = f["a"][:, None] * dz[own] + dt @ p["V"].T + ds @ p["U"].T
+    du = dh * (1 - f["h"] ** 2)
+    grad = {"W": x.T @ du, "b": du.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ dl, "d": np.array([dl.sum()])}
+    return float((np.logaddexp(0, f["logit"]) - labels * f["logit"]).mean()), grad
+
+
 def fit_mil(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: float = 0.01, seed: int = 7) -> MilModel:
     labels = labels.astype(float)
     if len(labels) == 0 or labels.min() == labels.max():
@@ -142,17 +159,7 @@ def fit_mil(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate:
         for some in np.array_split(rng.permutation(len(bags)), parts):
             x = (np.concatenate([bags[i] for i in some]) - mean) / scale
             start = np.cumsum([0] + [len(bags[i]) for i in some])[:-1]
-            f = forward(x, start, p)
-            own = np.repeat(np.arange(len(some)), f["size"])
-            dl = (sigmoid(f["logit"]) - labels[some]) / len(some)
-            dz = dl[:, None] * p["c"]
-            da = (dz[own] * f["h"]).sum(1)
-            de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, start), f["size"]))
-            dg = de[:, None] * p["w"]
-            dt, ds = dg * f["g"] * (1 - f["t"] ** 2), dg * f["t"] * f["g"] * (1 - f["g"])
-            dh = f["a"][:, None] * dz[own] + dt @ p["V"].T + ds @ p["U"].T
-            du = dh * (1 - f["h"] ** 2)
-            grad = {"W": x.T @ du, "b": du.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ dl, "d": np.array([dl.sum()])}
+            grad = mil_gradients(x, start, labels[some], p)[1]
             t += 1
             for k in p:
                 g = grad[k] + 1e-4 * p[k]
@@ -168,9 +175,8 @@ def held_out(doc_id: Column) -> Column:
 
 def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> MilModel:
     labels = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    rows = labelled_sample(documents(docs), labels, sample_rows, "text")
-    got = rows.select("doc_id", "quality", F.pandas_udf(encoded, "binary")("text").alias("bag")).toArrow().sort_by("doc_id")
-    model = fit_mil([np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["bag"].to_pylist()], got["quality"].to_numpy())
+    got = training_rows(docs, labels, "quality", encoded, sample_rows)
+    model = fit_mil([np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["features"].to_pylist()], got["label"].to_numpy())
     del got
     trim()
     return model

@@ -5,9 +5,9 @@
    share anchors, about one for seven words. The anchor's name with the ten words before or behind it, whichever the
    window holds, is the window's key.
 2. Texts with equal words are collapsed to the first one. Keys that occur once cannot be repeats; they end here.
-3. For the other keys, the stretch of windows that share a key is named as a whole. Equal stretches hold equal
-   windows, so all but the first are repeats; where a key has several stretches, their first ones are compared
-   window by window (key and window name, two independent 64-bit fingerprints). That covers every repeat exactly.
+3. For the other keys, the words of the stretch of windows that share a key are compared. Equal stretches hold equal
+   windows, so all but the first are repeats; where a key has several stretches, the first ones of each are compared
+   window by window. Words are what is compared, names only bring them together, so every repeat is found and nothing else.
 4. The words that repeats cover go; texts without repeats are left alone.
 
 Grouping is by pre-aggregated minima, marking by joins with one row a key, so a passage that a third of all documents
@@ -20,38 +20,78 @@ columns are left out by ``find_repeats`` and kept by ``without_repeats``.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, batch, documents, few_rows_of, mix, small, table, tidy
-from .recompress import B, anchors, levels, stretch_names
+from .common import Scratch, batch, documents, few_rows_of, mix, small, table, tidy
+from .recompress import B, anchors, levels, ten_names
 
 WINDOW = 20
 HALF = 10
-CHUNK = 60_000
+CHUNK_BYTES = 400_000
+FACTORS = np.random.default_rng(20_240_301).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def parsed(texts: list[list[bytes]], words: WordHash) -> tuple[np.ndarray, ...]:
-    """Stretches of windows with one key: text, first window, number of windows, key, name; and the names of all windows."""
-    size = np.array([len(t) for t in texts], np.int64)
-    n = int(size.sum())
-    name = np.fromiter(map(words.__getitem__, chain.from_iterable(texts)), np.uint64, n)
-    doc = np.repeat(np.arange(len(texts)), size)
-    begin = np.cumsum(size) - size
-    whole = np.arange(n) + WINDOW <= (begin + size)[doc]
-    anchor, at = anchors(levels(name, doc), WINDOW, whole)
-    ten, twenty = stretch_names(name)
+@dataclass
+class Group:
+    """Texts of about CHUNK_BYTES together: their words joined by a space, and per word its name, text and place there."""
+
+    plain: list[bytes]
+    name: np.ndarray
+    doc: np.ndarray
+    size: np.ndarray
+    at: np.ndarray
+    length: np.ndarray
+
+    def words(self, text: int, first: int, last: int) -> bytes:
+        """The words first to last of a text, which has them."""
+        k = int(self.begin[text])
+        return self.plain[text][int(self.at[k + first]) : int(self.at[k + last] + self.length[k + last])]
+
+    @functools.cached_property
+    def begin(self) -> np.ndarray:
+        return np.cumsum(self.size) - self.size
+
+
+def grouped(texts: list[bytes]) -> Group:
+    """Names words by a sum of their bytes with a factor for each place: equal words have equal names everywhere, without a dictionary."""
+    plain = [b" ".join(t.split()) for t in texts]  # bytes split at the six characters that part words
+    length = np.array([len(p) for p in plain], np.int64)
+    data = np.frombuffer(b" ".join(plain) + b" ", np.uint8)
+    ends = np.flatnonzero(data == 32)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    long = ends > starts  # texts without words leave a space
+    starts, ends = starts[long], ends[long]
+    size = ends - starts
+    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    value = data[np.repeat(starts, size) + inner].astype(np.uint64) + np.uint64(1)
+    value *= FACTORS[inner & 4095]
+    if len(size) and int(size.max()) > 4096:
+        value *= FACTORS[(inner >> 12) & 4095]
+    name = mix(np.add.reduceat(value, np.cumsum(size) - size)) if len(size) else np.zeros(0, np.uint64)
+    first = np.cumsum(length + 1) - length - 1
+    doc = np.searchsorted(first, starts, side="right") - 1
+    return Group(plain, name, doc, np.bincount(doc, minlength=len(texts)).astype(np.int64), starts - first[doc], size)
+
+
+def parsed(g: Group) -> tuple[np.ndarray, ...]:
+    """Stretches of windows with one key: text, first window, number of windows and key."""
+    n, doc, name = len(g.name), g.doc, g.name
+    whole = np.arange(n) + WINDOW <= (g.begin + g.size)[doc] if n else np.zeros(0, bool)
     w = np.flatnonzero(whole)
     if not len(w):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none, twenty
+        return none, none, none, none
+    anchor, at = anchors(levels(name, doc), WINDOW, whole)
+    ten = ten_names(name)
     pos = at[w]
     left = pos - w >= HALF
     new = np.ones(len(w), bool)
@@ -59,77 +99,63 @@ def parsed(texts: list[list[bytes]], words: WordHash) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(w)))
     key = mix(anchor[w[first]] + B * ten[np.where(left[first], pos[first] - HALF, pos[first])] + left[first])
-    nth = np.arange(len(w)) - np.repeat(first, count)
-    stretch = np.add.reduceat(mix(twenty[w] + nth.astype(np.uint64) * B), first)
     row = doc[w[first]]
-    return row, w[first] - begin[row], count, key.view(np.int64), stretch.view(np.int64), twenty
+    return row, w[first] - g.begin[row], count, key.view(np.int64)
 
 
 def raw(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Split texts in groups of about CHUNK words, with the index of the first. Bytes split at the same six characters as the words do."""
-    group, n, begin = [], 0, 0
+def groups(texts: list[bytes]) -> Iterator[tuple[int, Group]]:
+    """Texts in groups of about CHUNK_BYTES, with the index of the first."""
+    begin, n = 0, 0
     for i, t in enumerate(texts):
-        group.append(t.split())
-        n += len(group[-1])
-        if n >= CHUNK:
-            yield begin, group
-            group, n, begin = [], 0, i + 1
-    if group:
-        yield begin, group
+        n += len(t)
+        if n >= CHUNK_BYTES or i == len(texts) - 1:
+            yield begin, grouped(texts[begin : i + 1])
+            begin, n = i + 1, 0
 
 
-def digest_of(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+def digest_of(plain: bytes) -> bytes:
+    return hashlib.blake2b(plain, digest_size=16).digest()
 
 
 def survey(docs: DataFrame) -> DataFrame:
     """doc_id, digest (null without words), n_words, sha256 (of all words joined by a space) and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
         for b in small(batches):
-            for begin, group in chunks(raw(b["text"])):
-                row, _, _, key, _, _ = parsed(group, cache)
-                plain = [b" ".join(t) for t in group]
-                offsets = pa.array(np.searchsorted(row, np.arange(len(group) + 1)).astype(np.int32))
+            for begin, g in groups(raw(b["text"])):
+                row, _, _, key = parsed(g)
+                offsets = pa.array(np.searchsorted(row, np.arange(len(g.plain) + 1)).astype(np.int32))
                 yield batch(
-                    doc_id=b["doc_id"].slice(begin, len(group)),
-                    digest=pa.array([hashlib.blake2b(p, digest_size=16).digest() if p else None for p in plain], pa.binary()),
-                    n_words=pa.array([len(t) for t in group], pa.int64()), sha256=pa.array([hashlib.sha256(p).digest() for p in plain], pa.binary()),
-                    keys=pa.ListArray.from_arrays(offsets, pa.array(key)),
+                    doc_id=b["doc_id"].slice(begin, len(g.plain)), digest=pa.array([digest_of(p) if p else None for p in g.plain], pa.binary()), n_words=pa.array(g.size),
+                    sha256=pa.array([hashlib.sha256(p).digest() for p in g.plain], pa.binary()), keys=pa.ListArray.from_arrays(offsets, pa.array(key)),
                 )
 
     return docs.mapInArrow(tidy(run), "doc_id long, digest binary, n_words long, sha256 binary, keys array<long>")
 
 
 def stretches(rows: DataFrame) -> DataFrame:
-    """doc_id, digest, text with keys -> the stretches of those keys: array of key, stretch, at and window names."""
+    """doc_id, digest, text with keys -> the stretches of those keys: array of key, at, number of windows and all their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
         for b in small(batches):
             wanted, digest = b["keys"], b["digest"].to_pylist()
-            for begin, group in chunks(raw(b["text"])):
-                row, at, count, key, stretch, twenty = parsed(group, cache)
-                part = wanted.slice(begin, len(group))
-                ok = np.array([digest_of(t) == d for t, d in zip(group, digest[begin : begin + len(group)], strict=True)], bool)
-                size = np.array([len(t) for t in group], np.int64)
-                start = np.cumsum(size) - size
-                keep = np.isin(key, part.flatten().to_numpy()) & (ok[row] if len(row) else True)
-                row, at, count, key, stretch = row[keep], at[keep], count[keep], key[keep], stretch[keep]
-                ends = np.cumsum(count)
-                index = np.repeat(start[row] + at - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
-                names = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(twenty[index].view(np.int64)))
-                found = pa.StructArray.from_arrays([pa.array(key), pa.array(stretch), pa.array(at.astype(np.int32)), names], ["key", "stretch", "at", "names"])
-                offsets = pa.array(np.searchsorted(row, np.arange(len(group) + 1)).astype(np.int32))
-                out = batch(doc_id=b["doc_id"].slice(begin, len(group)), digest=b["digest"].slice(begin, len(group)), text=b["text"].slice(begin, len(group)), found=pa.ListArray.from_arrays(offsets, found))
+            for begin, g in groups(raw(b["text"])):
+                many = len(g.plain)
+                row, at, count, key = parsed(g)
+                ok = np.array([digest_of(p) == d for p, d in zip(g.plain, digest[begin : begin + many], strict=True)], bool)
+                keep = np.isin(key, wanted.slice(begin, many).flatten().to_numpy()) & (ok[row] if len(row) else True)
+                row, at, count, key = row[keep], at[keep], count[keep], key[keep]
+                words = [g.words(r, a, a + n + WINDOW - 2) for r, a, n in zip(row.tolist(), at.tolist(), count.tolist(), strict=True)]
+                found = pa.StructArray.from_arrays([pa.array(key), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(words, pa.binary()).cast(pa.string())], ["key", "at", "n", "words"])
+                offsets = pa.array(np.searchsorted(row, np.arange(many + 1)).astype(np.int32))
+                out = batch(doc_id=b["doc_id"].slice(begin, many), digest=b["digest"].slice(begin, many), text=b["text"].slice(begin, many), found=pa.ListArray.from_arrays(offsets, found))
                 yield out.filter(pa.array(ok))
 
-    return rows.mapInArrow(tidy(run), "doc_id long, digest binary, text string, found array<struct<key:long,stretch:long,at:int,names:array<long>>>")
+    return rows.mapInArrow(tidy(run), "doc_id long, digest binary, text string, found array<struct<key:long,at:int,n:int,words:string>>")
 
 
 def cut(rows: DataFrame) -> DataFrame:
@@ -172,18 +198,18 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         scratch.drop(originals, again)
         work = scratch.keep(stretches(texts.join(wanted.where("size(keys) > 0"), "doc_id")))
     rows = work.select("doc_id", "digest", F.inline("found"))
-    leaders = rows.groupBy("key", "stretch").agg(F.min(F.struct("doc_id", "at", "digest", "names")).alias("f"))
-    leaders = scratch.keep(leaders.select("key", "stretch", F.col("f.doc_id").alias("lead_id"), F.col("f.at").alias("lead_at"), F.col("f.digest").alias("digest"), F.col("f.names").alias("names")))
-    narrow = rows.select("doc_id", "digest", "key", "stretch", "at", F.size("names").alias("n"))
+    leaders = rows.groupBy("key", "words").agg(F.min(F.struct("doc_id", "at", "digest")).alias("f"))
+    leaders = scratch.keep(leaders.select("key", "words", F.col("f.doc_id").alias("lead_id"), F.col("f.at").alias("lead_at"), F.col("f.digest").alias("digest")))
     later = (F.col("doc_id") > F.col("lead_id")) | ((F.col("doc_id") == F.col("lead_id")) & (F.col("at") > F.col("lead_at")))
-    whole = narrow.join(leaders.select("key", "stretch", "lead_id", "lead_at"), ["key", "stretch"]).where(later).select("doc_id", "digest", "at", "n")
-    whole = scratch.keep(whole)
+    whole = scratch.keep(rows.join(leaders.drop("digest"), ["key", "words"]).where(later).select("doc_id", "digest", "at", "n"))
     contested = leaders.groupBy("key").count().where("count > 1").select("key")
-    windows = leaders.join(contested, "key").select("key", F.col("lead_id").alias("doc_id"), "digest", "lead_at", F.posexplode("names").alias("k", "name"))
-    windows = scratch.keep(windows.select("key", "name", "doc_id", "digest", (F.col("lead_at") + F.col("k")).alias("at")))
-    least = windows.groupBy("key", "name").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    least = least.select("key", "name", F.col("f.doc_id").alias("lead_id"), F.col("f.at").alias("lead_at"))
-    single = windows.join(least, ["key", "name"]).where(later).select("doc_id", "digest", "at", F.lit(1).alias("n"))
+    split = F.split("words", " ")
+    window = F.transform(F.sequence(F.lit(1), F.size(split) - (WINDOW - 1)), lambda k: F.array_join(F.slice(split, k, WINDOW), " "))
+    windows = leaders.join(contested, "key").select("key", F.col("lead_id").alias("doc_id"), "digest", "lead_at", F.posexplode(window).alias("k", "window"))
+    windows = scratch.keep(windows.select("key", "window", "doc_id", "digest", (F.col("lead_at") + F.col("k")).alias("at")))
+    least = windows.groupBy("key", "window").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    least = least.select("key", "window", F.col("f.doc_id").alias("lead_id"), F.col("f.at").alias("lead_at"))
+    single = windows.join(least, ["key", "window"]).where(later).select("doc_id", "digest", "at", F.lit(1).alias("n"))
     marks = scratch.keep(whole.unionByName(single).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("at", "n")).alias("marks")))
     scratch.drop(whole, windows, leaders)
     trimmed = scratch.keep(cut(work.select("doc_id", "digest", "text").join(marks, ["doc_id", "digest"])).dropDuplicates(["doc_id", "digest"]))

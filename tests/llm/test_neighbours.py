@@ -1,9 +1,12 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm import neighbours
 
+DATA = "/root/testdata/check_s"
 SCHEMA = "vec_id long, embedding array<float>, label int, part int, x string, parts string"
 
 
@@ -41,6 +44,28 @@ def test_recall_and_scores(spark):
     assert hits / 300 >= 0.9
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_recall_on_a_table_larger_than_the_sample(spark, monkeypatch):
+    """The query on vectors without clusters, with a sample of a third of them: recall against brute force, and fewer parts than half."""
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 3000)
+    probes = []
+    real = neighbours.learn
+    monkeypatch.setattr(neighbours, "learn", lambda *a: probes.append((a[1], real(*a)[1])) or real(*a))
+    t = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id").toArrow()
+    ids, x = t["vec_id"].to_numpy(), t["embedding"].combine_chunks().flatten().to_numpy().reshape(len(t), -1).astype(float)
+    got = {}
+    for r in neighbours.op10_neighbours(spark, DATA).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    asked = np.flatnonzero(ids % 50 == 0)
+    score = unit[asked] @ unit.T
+    score[np.arange(len(asked)), asked] = -2
+    best = ids[np.argsort(-score, axis=1)[:, :5]]
+    assert set(got) == set(ids[asked]) and all(len(v) == 5 for v in got.values())
+    assert np.mean([len(got[q] & set(b)) / 5 for q, b in zip(ids[asked], best, strict=True)]) >= 0.92
+    assert probes[0][1] < probes[0][0] / 2
+
+
 def test_many_copies_of_one_vector(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "LEAST_BLOCK", 64)
     monkeypatch.setattr(neighbours, "BLOCK_BYTES", 64)

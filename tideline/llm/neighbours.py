@@ -2,11 +2,11 @@
 
 A bounded sample (``SAMPLE_ROWS``, the smallest hashes of vec_id) gives a neighbour graph. The graph is cut into balanced
 parts (spectral halving, refined by swaps that lower the cut), and a small network learns which parts a vector's neighbours
-are in. Every row is indexed under its most probable part; every query goes to its most probable parts, as many as
+are in. Every row is indexed under its ``HOMES`` most probable parts; every query goes to its most probable parts, as many as
 reach ``TARGET_RECALL`` on held-back sample queries, and is reranked there by exact cosine in double precision.
 
 A part is cut into blocks of about ``BLOCK_BYTES``, so a part that holds a third of all rows is many tasks. No row of the table is
-copied: each lies in one block, and a part's queries stream past every block of it, which returns its best k for each. Queries
+copied for queries: it lies in one block of each of its parts, and a part's queries stream past every block of it, which returns its best k for each. Queries
 for which the chosen parts hold fewer than k rows look into all parts.
 
 Defined results: vectors that are null, zero, of another size than the most frequent one, or hold null or non-finite
@@ -34,7 +34,8 @@ GRAPH_K = 10
 HIDDEN = 96
 BLOCK_BYTES, LEAST_BLOCK = 8 << 20, 256
 QUERY_ROWS, CANDIDATES = 256, 1 << 15
-TARGET_RECALL = 0.97
+TARGET_RECALL = 0.95
+HOMES = 2
 
 
 def knn(x: np.ndarray, q: np.ndarray, k: int, skip_self: bool) -> np.ndarray:
@@ -136,11 +137,11 @@ def learn(sample: np.ndarray, parts: int, k: int, target_recall: float) -> tuple
     held = np.arange(len(x)) % 8 == 7  # the queries that set the number of parts are not learned from
     router = fit_router(x[~held], target[~held] / 2)
     logits = router.logits(x)
-    home = logits.argmax(1)
+    homes = np.argsort(-logits, axis=1, kind="stable")[:, :HOMES]
     true = knn(x, x[held], min(k + 1, len(x)), False)
     rank = np.empty((held.sum(), parts), np.int64)
     np.put_along_axis(rank, np.argsort(-logits[held], axis=1, kind="stable"), np.arange(parts)[None], axis=1)
-    at = np.take_along_axis(rank, home[true], axis=1)
+    at = np.min([np.take_along_axis(rank, homes[true, h], axis=1) for h in range(homes.shape[1])], axis=0)
     mine = true == np.flatnonzero(held)[:, None]
     at = at[~mine]
     probes = next((m for m in range(1, parts + 1) if (at < m).mean() >= target_recall), parts)
@@ -215,13 +216,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
                 unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
                 order = np.argsort(-Router(layers).logits(unit), axis=1, kind="stable").astype(np.int32)
             asks = b["asks"].to_numpy(zero_copy_only=False)
-            sent = [o.tolist() if a else [int(o[0])] for o, a in zip(order, asks, strict=True)]
+            sent = [(o if a else o[:HOMES]).tolist() for o, a in zip(order, asks, strict=True)]
             salt = rng.integers(0, 1 << 62, len(x))  # rows of one part or one id are dealt over its blocks
             yield batch(vec_id=b["vec_id"], x=b["x"], asks=b["asks"], parts=pa.array(sent, pa.list_(pa.int32())), salt=pa.array(salt))
 
     rows = rows.withColumn("asks", F.coalesce("asks", F.lit(False)))
     indexed = scratch.keep(rows.mapInArrow(index, "vec_id long, x array<double>, asks boolean, parts array<int>, salt long"))
-    base = indexed.select("vec_id", "x", F.col("parts")[0].alias("part"), "salt")
+    base = indexed.select("vec_id", "x", F.explode(F.slice("parts", 1, HOMES)).alias("part"), "salt")
     asked = indexed.where("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("x", "parts")).alias("q")).select("query_id", "q.x", "q.parts")
     asked = scratch.keep(asked)
     block_rows = max(LEAST_BLOCK, BLOCK_BYTES // (8 * d))

@@ -133,9 +133,13 @@ def by_bytes(b: pa.RecordBatch, column: str, rows: int = 512, limit: int = 8 <<
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 512, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches."""
+    """The same rows in smaller batches: of so many rows, and of so many bytes of the column if there is one."""
     for b in batches:
-        yield from by_bytes(b, column, rows)
+        if column in b.schema.names:
+            yield from by_bytes(b, column, rows)
+        else:
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
 
 
 _held: list[dict] = []

@@ -5,10 +5,12 @@
    share anchors, about one for seven words. The anchor's name with the ten words before or behind it, whichever the
    window holds, is the window's key.
 2. Texts with equal words are collapsed to the first one. Keys that occur once cannot be repeats; they end here.
-3. For the other keys, the words of the stretch of windows that share a key are compared. Equal stretches hold equal
-   windows, so all but the first are repeats; where a key has several stretches, the first ones of each are compared
-   window by window. Words are what is compared, names only bring them together, so every repeat is found and nothing else.
-4. The words that repeats cover go; texts without repeats are left alone.
+3. For the other keys, the stretch of windows that share a key is named as a whole. Equal stretches hold equal
+   windows, so all but the first are repeats; where a key has several stretches, their first ones are compared
+   window by window. That names every repeat and the place of its first occurrence.
+4. Names are not trusted: the words of first occurrences are fetched in spans, each once, and a repeat counts if its own words
+   are the same, word by word.
+5. The words that repeats cover go; texts without repeats are left alone.
 
 Grouping is by pre-aggregated minima, marking by joins with one row a key, so a passage that a third of all documents
 share makes no large task. What is collected per document is bounded by the document.
@@ -31,10 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch, documents, few_rows_of, mix, small, table, tidy
-from .recompress import B, anchors, levels, ten_names
+from .recompress import B, anchors, levels, stretch_names
 
 WINDOW = 20
 HALF = 10
+SPAN = 64
 CHUNK_BYTES = 400_000
 FACTORS = np.random.default_rng(20_240_301).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -51,11 +54,6 @@ class Group:
     at: np.ndarray
     length: np.ndarray
 
-    def words(self, text: int, first: int, last: int) -> bytes:
-        """The words first to last of a text, which has them."""
-        k = int(self.begin[text])
-        return self.plain[text][int(self.at[k + first]) : int(self.at[k + last] + self.length[k + last])]
-
     @functools.cached_property
     def begin(self) -> np.ndarray:
         return np.cumsum(self.size) - self.size
@@ -83,15 +81,15 @@ def grouped(texts: list[bytes]) -> Group:
 
 
 def parsed(g: Group) -> tuple[np.ndarray, ...]:
-    """Stretches of windows with one key: text, first window, number of windows and key."""
+    """Stretches of windows with one key: text, first window, number of windows, key, name; and the names of all windows."""
     n, doc, name = len(g.name), g.doc, g.name
     whole = np.arange(n) + WINDOW <= (g.begin + g.size)[doc] if n else np.zeros(0, bool)
     w = np.flatnonzero(whole)
     if not len(w):
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none, none
     anchor, at = anchors(levels(name, doc), WINDOW, whole)
-    ten = ten_names(name)
+    ten, twenty = stretch_names(name)
     pos = at[w]
     left = pos - w >= HALF
     new = np.ones(len(w), bool)
@@ -99,8 +97,10 @@ def parsed(g: Group) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(w)))
     key = mix(anchor[w[first]] + B * ten[np.where(left[first], pos[first] - HALF, pos[first])] + left[first])
+    nth = np.arange(len(w)) - np.repeat(first, count)
+    stretch = np.add.reduceat(mix(twenty[w] + nth.astype(np.uint64) * B), first)
     row = doc[w[first]]
-    return row, w[first] - g.begin[row], count, key.view(np.int64)
+    return row, w[first] - g.begin[row], count, key.view(np.int64), stretch.view(np.int64), twenty
 
 
 def raw(column: pa.Array) -> list[bytes]:
@@ -127,7 +127,7 @@ def survey(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             for begin, g in groups(raw(b["text"])):
-                row, _, _, key = parsed(g)
+                row, _, _, key, _, _ = parsed(g)
                 offsets = pa.array(np.searchsorted(row, np.arange(len(g.plain) + 1)).astype(np.int32))
                 yield batch(
                     doc_id=b["doc_id"].slice(begin, len(g.plain)), digest=pa.array([digest_of(p) if p else None for p in g.plain], pa.binary()), n_words=pa.array(g.size),
@@ -138,40 +138,95 @@ def survey(docs: DataFrame) -> DataFrame:
 
 
 def stretches(rows: DataFrame) -> DataFrame:
-    """doc_id, digest, text with keys -> the stretches of those keys: array of key, at, number of windows and all their words."""
+    """doc_id, digest, text with keys -> the stretches of those keys: array of key, stretch, at and window names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             wanted, digest = b["keys"], b["digest"].to_pylist()
             for begin, g in groups(raw(b["text"])):
                 many = len(g.plain)
-                row, at, count, key = parsed(g)
+                row, at, count, key, stretch, twenty = parsed(g)
                 ok = np.array([digest_of(p) == d for p, d in zip(g.plain, digest[begin : begin + many], strict=True)], bool)
                 keep = np.isin(key, wanted.slice(begin, many).flatten().to_numpy()) & (ok[row] if len(row) else True)
-                row, at, count, key = row[keep], at[keep], count[keep], key[keep]
-                words = [g.words(r, a, a + n + WINDOW - 2) for r, a, n in zip(row.tolist(), at.tolist(), count.tolist(), strict=True)]
-                found = pa.StructArray.from_arrays([pa.array(key), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(words, pa.binary()).cast(pa.string())], ["key", "at", "n", "words"])
+                row, at, count, key, stretch = row[keep], at[keep], count[keep], key[keep], stretch[keep]
+                ends = np.cumsum(count)
+                index = np.repeat(g.begin[row] + at - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
+                names = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(twenty[index].view(np.int64)))
+                found = pa.StructArray.from_arrays([pa.array(key), pa.array(stretch), pa.array(at.astype(np.int32)), names], ["key", "stretch", "at", "names"])
                 offsets = pa.array(np.searchsorted(row, np.arange(many + 1)).astype(np.int32))
                 out = batch(doc_id=b["doc_id"].slice(begin, many), digest=b["digest"].slice(begin, many), text=b["text"].slice(begin, many), found=pa.ListArray.from_arrays(offsets, found))
                 yield out.filter(pa.array(ok))
 
-    return rows.mapInArrow(tidy(run), "doc_id long, digest binary, text string, found array<struct<key:long,at:int,n:int,words:string>>")
+    return rows.mapInArrow(tidy(run), "doc_id long, digest binary, text string, found array<struct<key:long,stretch:long,at:int,names:array<long>>>")
+
+
+def pieces(marked: DataFrame) -> DataFrame:
+    """doc_id, digest and marks (at, n, lead_id, lead_digest, lead_at: windows alike by name) -> the same in pieces.
+
+    Marks that continue each other on both sides become one, which is cut where the leading text's windows pass a multiple of ``SPAN``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, list] = {c: [] for c in ("doc_id", "digest", "at", "n", "lead_id", "lead_digest", "span", "skip")}
+            for doc_id, digest, marks in zip(b["doc_id"].to_pylist(), b["digest"].to_pylist(), b["marks"].to_pylist(), strict=True):
+                marks.sort(key=lambda m: (m["lead_id"], m["lead_digest"], m["at"] - m["lead_at"], m["at"]))
+                line, low, high, segments = None, 0, 0, []
+                for m in marks:
+                    key, first, last = (m["lead_id"], m["lead_digest"], m["at"] - m["lead_at"]), m["lead_at"], m["lead_at"] + m["n"]
+                    if key != line or first > high:
+                        if line is not None:
+                            segments.append((line, low, high))
+                        line, low, high = key, first, last
+                    else:
+                        high = max(high, last)
+                if line is not None:
+                    segments.append((line, low, high))
+                for (lead_id, lead_digest, shift), first, last in segments:
+                    while first < last:
+                        span, skip = divmod(first, SPAN)
+                        n = min(last, (span + 1) * SPAN) - first
+                        for c, v in zip(out, (doc_id, digest, first + shift, n, lead_id, lead_digest, span, skip), strict=True):
+                            out[c].append(v)
+                        first += n
+            types = {"doc_id": pa.int64(), "lead_id": pa.int64(), "digest": pa.binary(), "lead_digest": pa.binary()}
+            yield batch(**{c: pa.array(v, types.get(c, pa.int32())) for c, v in out.items()})
+
+    return marked.mapInArrow(tidy(run), "doc_id long, digest binary, at int, n int, lead_id long, lead_digest binary, span int, skip int")
+
+
+def spans(rows: DataFrame) -> DataFrame:
+    """doc_id, digest, text and spans -> a row a span with its words: those of ``SPAN`` windows, fewer at the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            ids, digests, which, found = [], [], [], []
+            for doc_id, digest, wanted, text in zip(b["doc_id"].to_pylist(), b["digest"].to_pylist(), b["spans"].to_pylist(), raw(b["text"]), strict=True):
+                words = text.split()
+                for k in wanted:
+                    ids.append(doc_id), digests.append(digest), which.append(k), found.append(b" ".join(words[k * SPAN : (k + 1) * SPAN + WINDOW - 1]))
+            yield batch(lead_id=pa.array(ids, pa.int64()), lead_digest=pa.array(digests, pa.binary()), span=pa.array(which, pa.int32()), words=pa.array(found, pa.binary()))
+
+    return rows.mapInArrow(tidy(run), "lead_id long, lead_digest binary, span int, words binary")
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """doc_id, digest, text and marks (array of first window and number of windows) -> what is left of the text."""
+    """doc_id, digest, text and marks (at, n, skip, words of the leading span) -> what is left of the text.
+
+    A mark's windows are removed if their words are those of the leading text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            removed, left, marks = [], [], b["marks"]
-            flat, bounds = marks.flatten(), np.concatenate(([0], np.cumsum(marks.value_lengths().to_numpy())))
-            starts, counts = (flat.field(k).to_numpy().astype(np.int64) for k in ("at", "n"))
-            for k, text in enumerate(raw(b["text"])):
+            removed, left = [], []
+            for text, marks in zip(raw(b["text"]), b["marks"].to_pylist(), strict=True):
                 words = text.split()
-                at, n = starts[bounds[k] : bounds[k + 1]], counts[bounds[k] : bounds[k + 1]]
                 change = np.zeros(len(words) + 1, np.int64)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + n + WINDOW - 1, -1)
+                for m in marks:
+                    at, size = m["at"], m["n"] + WINDOW - 1
+                    if words[at : at + size] == m["words"].split()[m["skip"] : m["skip"] + size]:
+                        change[at] += 1
+                        change[at + size] -= 1
                 covered = np.cumsum(change)[:-1] > 0
                 removed.append(int(covered.sum()))
                 left.append(b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c]))
@@ -198,20 +253,29 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         scratch.drop(originals, again)
         work = scratch.keep(stretches(texts.join(wanted.where("size(keys) > 0"), "doc_id")))
     rows = work.select("doc_id", "digest", F.inline("found"))
-    leaders = rows.groupBy("key", "words").agg(F.min(F.struct("doc_id", "at", "digest")).alias("f"))
-    leaders = scratch.keep(leaders.select("key", "words", F.col("f.doc_id").alias("lead_id"), F.col("f.at").alias("lead_at"), F.col("f.digest").alias("digest")))
+    leaders = rows.groupBy("key", "stretch").agg(F.min(F.struct("doc_id", "at", "digest", "names")).alias("f"))
+    lead = {"lead_id": "doc_id", "lead_at": "at", "lead_digest": "digest", "names": "names"}
+    leaders = scratch.keep(leaders.select("key", "stretch", *(F.col(f"f.{c}").alias(name) for name, c in lead.items())))
+    narrow = rows.select("doc_id", "digest", "key", "stretch", "at", F.size("names").alias("n"))
     later = (F.col("doc_id") > F.col("lead_id")) | ((F.col("doc_id") == F.col("lead_id")) & (F.col("at") > F.col("lead_at")))
-    whole = scratch.keep(rows.join(leaders.drop("digest"), ["key", "words"]).where(later).select("doc_id", "digest", "at", "n"))
+    mark = ["at", "n", "lead_id", "lead_digest", "lead_at"]
+    whole = scratch.keep(narrow.join(leaders.drop("names"), ["key", "stretch"]).where(later).select("doc_id", "digest", *mark))
     contested = leaders.groupBy("key").count().where("count > 1").select("key")
-    split = F.split("words", " ")
-    window = F.transform(F.sequence(F.lit(1), F.size(split) - (WINDOW - 1)), lambda k: F.array_join(F.slice(split, k, WINDOW), " "))
-    windows = leaders.join(contested, "key").select("key", F.col("lead_id").alias("doc_id"), "digest", "lead_at", F.posexplode(window).alias("k", "window"))
-    windows = scratch.keep(windows.select("key", "window", "doc_id", "digest", (F.col("lead_at") + F.col("k")).alias("at")))
-    least = windows.groupBy("key", "window").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    least = least.select("key", "window", F.col("f.doc_id").alias("lead_id"), F.col("f.at").alias("lead_at"))
-    single = windows.join(least, ["key", "window"]).where(later).select("doc_id", "digest", "at", F.lit(1).alias("n"))
-    marks = scratch.keep(whole.unionByName(single).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("at", "n")).alias("marks")))
+    windows = leaders.join(contested, "key").select("key", F.col("lead_id").alias("doc_id"), F.col("lead_digest").alias("digest"), "lead_at", F.posexplode("names").alias("k", "name"))
+    windows = scratch.keep(windows.select("key", "name", "doc_id", "digest", (F.col("lead_at") + F.col("k")).alias("at")))
+    least = windows.groupBy("key", "name").agg(F.min(F.struct("doc_id", "at", "digest")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    least = least.select("key", "name", F.col("f.doc_id").alias("lead_id"), F.col("f.at").alias("lead_at"), F.col("f.digest").alias("lead_digest"))
+    single = windows.join(least, ["key", "name"]).where(later).select("doc_id", "digest", "at", F.lit(1).alias("n"), "lead_id", "lead_digest", "lead_at")
+    marked = whole.unionByName(single).groupBy("doc_id", "digest").agg(F.collect_list(F.struct(*mark)).alias("marks"))
+    alike = scratch.keep(pieces(marked))
     scratch.drop(whole, windows, leaders)
+    asked = scratch.keep(alike.select(F.col("lead_id").alias("doc_id"), F.col("lead_digest").alias("digest"), "span").groupBy("doc_id", "digest").agg(F.collect_set("span").alias("spans")))
+    texts_of = work.select("doc_id", "digest", "text")
+    with few_rows_of(docs.sparkSession):
+        words = scratch.keep(spans(texts_of.join(asked.where("size(spans) > 0"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])))
+    marks = alike.join(words, ["lead_id", "lead_digest", "span"]).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("at", "n", "skip", "words")).alias("marks"))
+    marks = scratch.keep(marks)
+    scratch.drop(alike, asked, words)
     trimmed = scratch.keep(cut(work.select("doc_id", "digest", "text").join(marks, ["doc_id", "digest"])).dropDuplicates(["doc_id", "digest"]))
     scratch.drop(work, marks)
     rows = base.select("doc_id", "digest", "n_words", "sha256").join(first, "digest", "left").join(trimmed, ["doc_id", "digest"], "left")

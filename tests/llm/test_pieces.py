@@ -86,6 +86,17 @@ def test_best_path_beside_the_ids():
         assert model.decode(best) == model.decode(ids)
 
 
+def test_many_chunks_at_once_equal_one_by_one():
+    model = pieces.pieces(PATH)
+    chunks = {c for t in texts(3000, 8) + [t or "" for _, t in ODD] for c in model.chunks(t)}
+    model.clear(), model.old.clear()
+    model.learn(chunks)
+    assert len(chunks - model.keys()) == sum(len(c) > model.LONGEST and c[-2:] in model.inside for c in chunks)
+    for c in chunks:
+        own, best, score = model.paths(c)
+        assert model[c] == (model.numbers(own, c), model.numbers(best, c), score), c
+
+
 def test_query(spark):
     import hashlib
 

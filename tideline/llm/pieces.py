@@ -22,6 +22,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,62 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
+PAIR_BITS = 20
+
+
+class Arrays:
+    """An Aho-Corasick automaton in arrays, for steps of many texts at once."""
+
+    def __init__(self, pieces: dict[str, int]):
+        chars = sorted({c for p in pieces for c in p})
+        self.kind = np.zeros(0x110000, np.int64)  # of a character; 0: in no piece
+        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.kinds = len(chars) + 1
+        number, after, piece, depth = {c: k for k, c in enumerate(chars, 1)}, [{}], [-1], [0]
+        for text, i in pieces.items():
+            node = 0
+            for c in text:
+                if number[c] not in after[node]:
+                    after[node][number[c]] = len(after)
+                    after.append({}), piece.append(-1), depth.append(depth[node] + 1)
+                node = after[node][number[c]]
+            piece[node] = i
+        fail, output, link, queue = [0] * len(after), [0] * len(after), [0] * len(after), list(after[0].values())
+        for node in queue:  # breadth first: what a node fails to is done before it
+            link[node] = output[fail[node]]
+            output[node] = node if piece[node] >= 0 else link[node]
+            for k, child in after[node].items():
+                f = fail[node]
+                while f and k not in after[f]:
+                    f = fail[f]
+                fail[child] = after[f].get(k, 0)
+                queue.append(child)
+        self.fail, self.output, self.link, self.piece, self.depth = (np.array(x, np.int64) for x in (fail, output, link, piece, depth))
+        self.single = np.zeros(self.kinds, bool)
+        self.single[[number[t] for t in pieces if len(t) == 1]] = True
+        keys = np.array([node * self.kinds + k for node, nexts in enumerate(after) for k in nexts])
+        order = np.argsort(keys)
+        self.keys, self.nexts = keys[order], np.array([child for nexts in after for child in nexts.values()])[order]
+
+    def step(self, state: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        out, todo = np.zeros(len(state), np.int64), np.flatnonzero(kind)
+        state = state[todo]
+        while len(todo):
+            key = state * self.kinds + kind[todo]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            out[todo[hit]] = self.nexts[at[hit]]
+            more = ~hit & (state > 0)
+            todo, state = todo[more], self.fail[state[more]]
+        return out
 
 
 class Pieces(dict):
     """A model's pieces, their automaton, and encoding of chunks of escaped text."""
 
-    LIMIT = 250_000
+    LIMIT = 300_000
     PAIRS = 250_000
+    LONGEST, TOGETHER = 40, 8192
 
     def __init__(self, serialized: bytes):
         import ahocorasick
@@ -64,11 +114,13 @@ class Pieces(dict):
         byte_of = {i: bytes([b]).decode("ascii", "surrogateescape") for b, i in self.bytes.items()}
         self.text = [byte_of.get(i, " ⁇ " if i == self.unknown else "" if self.type[i] == CONTROL else p.replace(SPACE, " ")) for i, p in enumerate(self.piece)]
         self.apart: dict[int, bool] = {}
-        self.best: dict[str, tuple[bytes, float]] = {}
+        self.old: dict[str, tuple[bytes, bytes, float]] = {}
+        self.pair_key, self.pair_ok = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.low = min((self.score[i] for i in self.id.values()), default=0.0) - UNKNOWN_PENALTY
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("pieces with a space mark behind other characters are not handled")
         self.size = [len(p) for p in self.piece]
+        self.sizes, self.scores = np.array(self.size), np.array(self.score)
         self.inside = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.splits = "".join(c for c in "\n" if c not in self.id)
         self.chunk = re.compile(f"{SPACE}+[^{SPACE}{self.splits}]*|[{self.splits}]|[^{SPACE}{self.splits}]+" if self.splits else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -86,6 +138,7 @@ class Pieces(dict):
                 self.plain[i] = self.plain[a] and self.plain[b] and max(self.rank[a], self.rank[b]) < self.rank[i] and 2 * SPACE not in text
             self.automaton.add_word(text, (i, len(text)))
         self.automaton.make_automaton()
+        self.arrays = Arrays({t: i for t, i in self.id.items() if t in self.automaton})
 
     def usable(self, text: str) -> bool:
         """Whether a piece is in the automaton."""
@@ -175,25 +228,116 @@ class Pieces(dict):
             end -= 1 if i is None else self.size[i]
         return out[::-1]
 
-    def __missing__(self, text: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-            self.best.clear()
-        value, best, score = self.make(text)
-        self.best[text] = (best, score)
+    def __missing__(self, text: str) -> tuple[bytes, bytes, float]:
+        """Of a chunk: its ids as unsigned 32-bit, little-endian; those of its best path; and the score of that."""
+        value = self.old.get(text)
+        if value is None:
+            own, best, score = self.paths(text)
+            ids = self.numbers(own, text)
+            value = ids, ids if best == own else self.numbers(best, text), score
         self[text] = value
         return value
 
-    def make(self, text: str) -> tuple[bytes, bytes, float]:
-        """Ids of a chunk as unsigned 32-bit, little-endian; those of its best path; and the score of that."""
-        inside = self.inside
-        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inside]
-        if cuts:  # no piece joins the characters on both sides
-            parts = [(self[t], *self.best[t]) for t in (text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True))]
-            return b"".join(p[0] for p in parts), b"".join(p[1] for p in parts), sum(p[2] for p in parts)
-        own, best, score = self.paths(text)
-        ids = self.numbers(own, text)
-        return ids, ids if best == own else self.numbers(best, text), score
+    def learn(self, chunks: set[str]) -> None:
+        """Makes chunks known, those that are not yet many at a time. No piece joins the characters on both sides of some ends, which are cut off first."""
+        if len(self) >= self.LIMIT:
+            self.old = dict(self)
+            self.clear()
+        parted, todo = {}, set()
+        for text in chunks - self.keys():
+            if text in self.old:
+                self[text] = self.old[text]
+                continue
+            end = len(text)
+            while end > 1 and text[end - 2 : end] not in self.inside:
+                end -= 1
+            if end == len(text):
+                todo.add(text)
+            else:
+                parted[text] = [text[:end], *text[end:]]
+                todo.update(t for t in parted[text] if t not in self)
+        todo = sorted((t for t in todo if len(t) <= self.LONGEST), key=len)
+        for i in range(0, len(todo), self.TOGETHER):
+            self.relax(todo[i : i + self.TOGETHER])
+        for text, parts in parted.items():
+            found = [self[t] for t in parts]
+            self[text] = b"".join(f[0] for f in found), b"".join(f[1] for f in found), sum(f[2] for f in found)
+
+    def relax(self, chunks: list[str]) -> None:
+        """``paths`` of many chunks, in order of length, at once: one step of the automaton for all of them, then their output links, longest piece first."""
+        n, size = len(chunks), np.array([len(c) for c in chunks])
+        longest, first = int(size[-1]), np.cumsum(size) - size
+        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        a, bpe = self.arrays, self.kind == BPE
+        best = np.full((n, longest + 1), -np.inf)
+        best[:, 0] = 0
+        taken, last = np.full((n, longest + 1), -1, np.int32), np.full((n, longest + 1), -1, np.int32)
+        state = np.zeros(n, np.int64)
+        for at in range(longest):
+            here = np.arange(int(np.searchsorted(size, at, side="right")), n)  # chunks that have a character there
+            kind = a.kind[code[first[here] + at]]
+            state[here] = a.step(state[here], kind)
+            end = at + 1
+            row, at_node = here, a.output[state[here]]
+            while True:
+                some = at_node > 0
+                if not some.any():
+                    break
+                row, at_node = row[some], at_node[some]
+                i = a.piece[at_node]
+                before = end - a.depth[at_node]
+                score = best[row, before] + self.scores[i]
+                better = score > best[row, end]
+                best[row[better], end], taken[row[better], end] = score[better], i[better]
+                if bpe:
+                    left = last[row, before]
+                    ask = np.flatnonzero(last[row, end] < 0)
+                    ok = left[ask] < 0
+                    pair = np.flatnonzero(~ok)
+                    if len(pair):
+                        ok[pair] = self.all_apart(left[ask[pair]].astype(np.int64) << 24 | i[ask[pair]])
+                    last[row[ask[ok]], end] = i[ask[ok]]
+                at_node = a.link[at_node]
+            other = best[here, at] + self.low  # a character that is no piece by itself can also be unknown
+            alone = a.single[kind]
+            unknown = (best[here, end] < other) & (~alone | np.isneginf(best[here, end]))
+            best[here[unknown], end], taken[here[unknown], end] = other[unknown], -1
+        score = best[np.arange(n), size].tolist()
+        found = self.all_traced(taken, size, chunks)
+        own = self.all_traced(last, size, chunks) if bpe else found
+        for c, x, y, z in zip(chunks, own, found, score, strict=True):
+            self[c] = (x, x if x == y else y, z)
+
+    def all_apart(self, pairs: np.ndarray) -> np.ndarray:
+        """``stay_apart`` of pairs (left << 24 | right), remembered in a table with one place a hash."""
+        place = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)
+        out = self.pair_ok[place]
+        new = np.flatnonzero(self.pair_key[place] != pairs)
+        if len(new):
+            keys, index = np.unique(pairs[new], return_inverse=True)
+            ok = np.array([self.stay_apart(k >> 24, k & 0xFFFFFF) for k in keys.tolist()], bool)[index]
+            out[new] = self.pair_ok[place[new]] = ok
+            self.pair_key[place[new]] = pairs[new]
+        return out
+
+    def all_traced(self, last: np.ndarray, size: np.ndarray, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk from the last piece of the path to every position (-1: an unknown character)."""
+        rows, ends, ids, row, end = [], [], [], np.arange(len(size)), size.copy()
+        while len(row):
+            i = last[row, end]
+            rows.append(row), ends.append(end), ids.append(i)
+            end = end - np.where(i < 0, 1, self.sizes[i])
+            row, end = row[end > 0], end[end > 0]
+        row, end, i = (np.concatenate(x) for x in (rows, ends, ids))
+        order = np.lexsort((end, row))
+        row, end, i = row[order], end[order], i[order]
+        odd = set(row[i < 0].tolist())
+        data, bounds = i.astype("<u4").tobytes(), np.searchsorted(row, np.arange(len(size) + 1)) * 4
+        out = [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for r in odd:
+            a, b = bounds[r] // 4, bounds[r + 1] // 4
+            out[r] = self.numbers([x if x >= 0 else -e for x, e in zip(i[a:b].tolist(), end[a:b].tolist(), strict=True)], chunks[r])
+        return out
 
     def numbers(self, path: list[int], text: str) -> bytes:
         ids = []
@@ -218,17 +362,20 @@ class Pieces(dict):
 
     def encode(self, text: str) -> bytes:
         """Ids as unsigned 32-bit, little-endian."""
-        return self.merged(b"".join(map(self.__getitem__, self.chunks(text))))
+        return self.encode_best(text)[0]
 
     def encode_best(self, text: str) -> tuple[bytes, bytes, float]:
         """The ids, those of the path with the highest sum of scores, and that sum."""
-        ids, best, score = [], [], 0.0
-        for c in self.chunks(text):
-            ids.append(self[c])
-            b, s = self.best[c]
-            best.append(b)
-            score += s
-        return self.merged(b"".join(ids)), self.merged(b"".join(best)), score
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, bytes, float]]:
+        chunked = [self.chunks(t) for t in texts]
+        self.learn(set(chain.from_iterable(chunked)))
+        out = []
+        for chunks in chunked:
+            ids, best, score = zip(*map(self.__getitem__, chunks), strict=True) if chunks else ((), (), ())
+            out.append((self.merged(b"".join(ids)), self.merged(b"".join(best)), math.fsum(score)))
+        return out
 
     def decode(self, ids: bytes) -> str:
         # bytes beyond ASCII stand as lone surrogates until all pieces are joined
@@ -258,7 +405,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         model = pieces(model_path)
         hold(model)
         for b in small(batches):
-            ids, best, score = zip(*map(model.encode_best, b["text"].to_pylist()), strict=True)
+            ids, best, score = zip(*model.encode_all(b["text"].to_pylist()), strict=True)
             yield batch(
                 doc_id=b["doc_id"], n_ids=pa.array([len(x) // 4 for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()), best_n_ids=pa.array([len(x) // 4 for x in best], pa.int64()),
                 best_crc32=pa.array([zlib.crc32(x) for x in best], pa.int64()), best_score=pa.array(score, pa.float64()),

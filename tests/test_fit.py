@@ -43,12 +43,17 @@ def test_samples_sentinels_and_short_stamps(spark):
     assert [(x.metric, x.value) for x in fit.dailies(r).collect()] == [("resting_metabolic_rate", 1700)]
     assert [(x.ts, x.offset_s) for x in fit.clock_offsets(r).collect()] == [(at(0), 3600)]
     who = fit.identities(r).first()
-    assert (who.stream, who.device_id, who.start_ts, who.end_ts) == ("fit:monitoring_b", "77", at(0), at(82))
+    assert (who.stream, who.device_id, who.start_ts, who.end_ts) == ("fit:monitoring_b", "77", at(1), at(70))  # clock messages and plain vitals do not count
 
 
 def test_sleep_counters_and_activity(spark):
     stages = [(275, [stamp(s), (0, 0x00, level)]) for s, level in ((600, 2), (1200, 3), (1200, 1), (1800, 4))]
-    r = rows(spark, written((21, [stamp(), (0, 0x00, 74), (1, 0x00, 0)]), *stages), written((275, [stamp(5), (0, 0x00, 2)])))
+    start, stop = ((21, [stamp(t), (0, 0x00, 74), (1, 0x00, k)]) for t, k in ((0, 0), (1900, 1)))
+    r = rows(spark, written((0, [(0, 0x00, 49)]), start, *stages, stop), written((275, [stamp(5), (0, 0x00, 2)])), written((0, [(0, 0x00, 32)]), start, (275, [stamp(9), (0, 0x00, 2)]), stop))
+    assert {x.path: (x.start_ts, x.end_ts) for x in fit.identities(r).collect()} == {"f0": (at(600), at(1900)), "f1": (at(5), at(5)), "f2": (at(9), at(9))}
+    night = fit.sleep_sessions(r).orderBy("path").collect()
+    assert [(x.path, x.start_ts, x.end_ts, x.light_s, x.deep_s) for x in night] == [("f0", at(0), at(1900), 600, 0), ("f1", None, None, None, None), ("f2", None, None, None, None)]
+    assert {x.reason: x.n for x in fit.drops(r).collect()} == {"sleep_stage_without_start": 2, "sleep_stage_zero_length": 1}
     assert [(x.stage, x.start_ts, x.end_ts) for x in fit.sleep_stages(r).orderBy("end_ts").collect()] == [("light", at(0), at(600)), ("awake", at(600), at(1200)), ("rem", at(1200), at(1800))]
     r = rows(spark, written((55, [stamp(), (5, 0x00, 6), (3, 0x86, 100)]), (55, [stamp(), (5, 0x00, 2), (3, 0x86, 100)]), (18, [stamp(60), (2, 0x86, T), (5, 0x00, 1), (9, 0x86, 12345)])))
     assert {x.activity_type: (x.steps, x.cycles) for x in fit.intervals(r).collect()} == {6: (100, 100.0), 2: (None, 50.0)}
@@ -79,3 +84,23 @@ def test_sleep_assessment_and_sport_of_vo2max(spark):
     assert {c: full[c] for c in fit.SCORES.values()} == {c: 60 + k for k, c in fit.SCORES.items()} and full.avg_stress == 12.34
     assert few.overall_score == 81 and few.quality_score is None and few.avg_stress is None
     assert [(x.metric, x.ts, x.label) for x in fit.labels(r).orderBy("ts").collect()] == [("vo2max_sport", at(0), "running"), ("vo2max_sport", at(2), "99")]
+
+
+def test_composite_type_and_intensity(spark):
+    r = rows(spark, written((55, [stamp(), (24, 0x0D, 3 << 5 | 6), (3, 0x86, 100)]), (55, [stamp(1), (24, 0x0D, 1 << 5 | 2), (5, 0x00, 1), (28, 0x02, 4), (3, 0x86, 7)]), (55, [stamp(2), (24, 0x0D, 8)])))
+    assert [(x.activity_type, x.intensity, x.steps) for x in fit.intervals(r).orderBy("ts").collect()] == [(6, 3, 100), (1, 4, 7)]
+
+
+def test_untimed_and_far_messages_are_counted(spark):
+    r = rows(spark, written((55, [(26, 0x84, 5), (27, 0x02, 60)]), (55, [stamp(), (27, 0x02, 61)]), (55, [(26, 0x84, (T + 5000) & 0xFFFF), (27, 0x02, 62)])))
+    assert {x.reason: x.n for x in fit.drops(r).collect()} == {"monitoring_without_timestamp": 1, "timestamp_16_far_from_reference": 1}
+    assert fit.samples(r).count() == 2
+
+
+def test_files_written_are_files_read(spark):
+    from tideline.sources import fit_writer as W
+
+    many = [(55, {253: (W.U32, T + i), 27: (W.U8, 60 + i), **({28: (W.U8, 1)} if i % 2 else {})} | {k: (W.U32, 1) for k in range(100, 100 + i)}) for i in range(40)]  # more definitions than there are places
+    r = rows(spark, W.write(many))
+    assert fit.samples(r).count() == 40 and fit.identities(r).first().error is None
+    assert W.checksum(b"123456789") == 0xBB3D  # the check value of this CRC

@@ -144,7 +144,7 @@ def test_streaming_fold_equals_the_batch_fold(spark, tmp_path):
 def test_small_operators(spark, tmp_path):
     from tideline.operators.localday import local_today
 
-    assert files.looks_like_export(["a/DI-Connect-Metrics/x.json"]) and not files.looks_like_export(["a/b.fit"])
+    assert files.looks_like_export(["a/DI_CONNECT/DI-Connect-Metrics/x.json"]) and not files.looks_like_export(["a/b.fit", "DI_CONNECT"])
     live = files.live_lines(spark.createDataFrame([("p", '{"t": 2, "metric": "b", "value": 1}\n{"t": 1.5, "metric": "a", "value": 3}')], "path string, text string"))
     r = files.live_records(live).first()
     assert r.record == '{"readings":[[1.5,"a",3],[2,"b",1]]}' and len(r.source_key) == 64
@@ -177,3 +177,119 @@ def test_sleep_keeps_every_field(spark):
     assert (full.awakenings_count, full.avg_stress, full.avg_respiration, full.lowest_respiration, full.highest_respiration) == (2, 14.5, 13.5, 9.0, 18.0)
     assert (full.avg_spo2, full.lowest_spo2, full.avg_hr, full.retro) == (94.5, 88, 51.5, True)
     assert not bare.retro and all(v is None for c, v in bare.asDict().items() if c not in ("date", "retro"))
+
+
+def test_redaction_cases(spark):
+    cases = {
+        "OSError: /home/someone/files/X.FIT unreadable": "OSError: {path} unreadable", "bad file 'C:\\\\Users\\\\me\\\\a.fit' here".replace("\\\\", "\\"): "bad file '{path}' here", "some.one@mail.org_123456789.fit failed": "{email}_{id}.fit failed",
+        "serial 3489012345 rejected": "serial {id} rejected", "12.3456789 and .1234567 and 1234567.5": "12.3456789 and .1234567 and 1234567.5", "1234567 7654321 1111111": "{id} {id} {id}", "ends 1234567.": "ends {id}.",
+        "1234567.x 123456": "{id}.x 123456", "(/a/b) '/c/d' x/y/z /lone": "({path}) '{path}' x/y/z /lone",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "text string, want string")
+    for r in df.select("text", "want", scalars.redact(F.col("text")).alias("got")).collect():
+        assert r.got == r.want, r.text
+    masked = spark.range(1).select(scalars.mask_label(F.lit("me@x.org_12.3456789.fit"))).first()[0]
+    assert masked == "{email}_12.{id}.fit"
+
+
+def export_folder(root):
+    """A small export: two JSON families, a broken one, an unknown one, an archive of uploads, and a live file beside it."""
+    import io
+    import json
+    import zipfile
+
+    from tideline.sources import fit_writer as W
+
+    base = 1_080_000_000
+
+    def watch(day, serial, hr):
+        t = lambda s: (W.U32, base + 86_400 * day + s)
+        rows = [(55, {253: t(60 * i), 27: (W.U8, h), 24: (W.BYTE, 6), 3: (W.U32, 100 * (i + 1)), 2: (W.U32, 1000 * (i + 1))}) for i, h in enumerate(hr)]
+        return W.write([(0, {0: (W.ENUM, 32), 3: (W.U32Z, serial)}), (103, {253: t(0), 0: (W.U32, base + 86_400 * day + 3600), 5: (W.U16, 1600 + day)}), *rows])
+
+    def zipped(**members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in members.items():
+                z.writestr(name.replace("__", "."), data)
+        return out.getvalue()
+
+    for d in ("DI-Connect-Aggregator", "DI-Connect-Metrics", "DI-Connect-Uploaded-Files", "DI-Connect-Other"):
+        (root / "DI_CONNECT" / d).mkdir(parents=True)
+    at = root / "DI_CONNECT"
+    (at / "DI-Connect-Aggregator" / "UDSFile_2024-03-20_2024-06-30.json").write_text(json.dumps([{"calendarDate": "2024-03-22", "totalSteps": 900, "minHeartRate": 50}, {"calendarDate": None}, 7]))
+    (at / "DI-Connect-Metrics" / "EnduranceScore_20240320_20240330_1.json").write_text("[{broken")
+    (at / "DI-Connect-Metrics" / "HillScore_20240320_20240330_1.json").write_text(json.dumps([{"calendarDate": "2024-03-22", "overallScore": 3}]))
+    (at / "DI-Connect-Other" / "notes.json").write_text("{}")
+    good = watch(0, 7, [60, 0, 80])
+    (at / "DI-Connect-Uploaded-Files" / "u.zip").write_bytes(zipped(a__fit=good, b__fit=good, c__fit=watch(1, 7, [70]) [:-4], in__zip=zipped(d__fit=watch(2, 7, [90, 91]))))
+    (root / "live-1.jsonl").write_text('{"t": 1711065600, "metric": "heart_rate", "value": 61}\n{"t": 1711065601, "metric": "heart_rate", "value": 0}\n{"status": "x"}\n{"t": 17')
+
+
+def test_import_of_an_export(spark, tmp_path):
+    from tideline.sources import ingest
+
+    root, target = tmp_path / "export", str(tmp_path / "store")
+    export_folder(root)
+    stats = {r.stream: (r.records, r.failures) for r in ingest.import_path(spark, str(root), target).collect()}
+    assert stats == {"fit:monitoring_b": (2, 0), "fit:undecodable": (0, 1), "json:uds": (1, 0), "json:endurance": (0, 1), "json:hill": (1, 0), "json:live": (1, 0)}
+    tables = store.current(spark, target)
+    first = {n: sorted(map(str, df.collect())) for n, df in tables.items()}
+    daily = {(r.metric, r.scope, str(r.day)): r.value for r in tables["daily"].collect()}
+    assert daily[("steps", "vendor_cloud", "2024-03-22")] == 900 and daily[("heart_rate_min", "vendor_cloud", "2024-03-22")] == 50
+    assert daily[("resting_metabolic_rate", "device", "2024-03-22")] == 1600 and daily[("resting_metabolic_rate", "device", "2024-03-24")] == 1602
+    assert (daily[("heart_rate_min", "local", "2024-03-22")], daily[("heart_rate_max", "local", "2024-03-22")]) == (60, 80)
+    assert (daily[("steps", "local", "2024-03-22")], daily[("distance", "local", "2024-03-22")]) == (300, 30)
+    assert {(r.scope, r.value) for r in tables["samples"].where("metric = 'heart_rate'").collect()} == {("device", v) for v in (60, 80, 90, 91)} | {("live", 61)}
+    assert {r.reason: r.n for r in tables["drops"].collect()} == {"heart_rate_zero": 1, "live_heart_rate_zero": 1, "live_file_cut_off": 1}
+    claims = {(r.stream, str(r.from_day)): str(r.to_day) for r in tables["claims"].collect()}
+    assert claims[("json:endurance", "2024-03-20")] == "2024-03-30"
+    broken = tables["failures"].where("stream = 'json:endurance'").first()
+    assert str(broken.start_ts) == "2024-03-20 12:00:00" and broken.label == "EnduranceScore_{id}_{id}_1.json"
+    again = ingest.import_path(spark, str(root), target)  # all of it is held
+    assert sum(r.records for r in again.collect()) == 0
+    tables = store.current(spark, target)
+    assert {n: sorted(map(str, df.collect())) for n, df in tables.items() if n != "drops"} == {n: rows for n, rows in first.items() if n != "drops"}
+    assert [(r.transport, r.status) for r in store.runs(spark, target).collect()] == [("export", "done")] * 2
+
+
+def test_a_cancelled_run_leaves_the_store(spark, tmp_path):
+    from tideline.sources import ingest
+
+    root, target = tmp_path / "export", str(tmp_path / "store")
+    export_folder(root)
+    ingest.import_path(spark, str(root), target, cancelled=lambda: True)
+    assert store.current(spark, target) == {}
+    assert [r.status for r in store.runs(spark, target).collect()] == ["cancelled"]
+    run = store.begin_run(spark, target, "folder")
+    assert store.publish(spark, target, {"t": spark.range(3)}, run)
+    store.begin_run(spark, target, "folder")
+    (tmp_path / "store" / "CURRENT").rename(tmp_path / "store" / "CURRENT.new")  # it broke off before the rename
+    store.heal(spark, target)
+    assert store.current(spark, target)["t"].count() == 3
+    assert sorted(r.status for r in store.runs(spark, target).collect()) == ["cancelled", "interrupted", "interrupted"]
+    assert len(store.snapshots(spark, target)) == 1
+    assert store.checksums(spark, target).count() > 3
+
+
+def test_archive_of_an_export_and_its_own_days(spark, tmp_path):
+    import zipfile
+
+    export_folder(tmp_path / "export")
+    with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
+        for f in sorted((tmp_path / "export").rglob("*")):
+            if f.is_file():
+                z.write(f, f.relative_to(tmp_path / "export"))
+    (tmp_path / "only").mkdir()
+    (tmp_path / "all.zip").rename(tmp_path / "only" / "all.zip")
+    found = files.listing(spark, str(tmp_path / "only"))
+    assert files.looks_like_export([r.path for r in found.collect()])
+    assert found.count() == 6 and found.where("written_day is null").count() == 0
+
+
+def test_late_rows_replace_their_days_alone(spark, tmp_path):
+    path = str(tmp_path / "daily")
+    day = lambda n: dt.date(2024, 1, n)
+    minute_fold.overwrite_days(path, "day")(spark.createDataFrame([(day(1), 1), (day(2), 2)], "day date, v int"))
+    minute_fold.overwrite_days(path, "day")(spark.createDataFrame([(day(2), 5)], "day date, v int"))
+    assert sorted((r.day, r.v) for r in spark.read.parquet(path).collect()) == [(day(1), 1), (day(2), 5)]

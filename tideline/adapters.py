@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources import fit_writer as W
+
 FIRST, LAST = "1995-01-01", "2001-12-31"
 
 
@@ -60,6 +63,66 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     return r.select("stream", F.to_date("start_ts").alias("from_day"), F.date_add(F.to_date("start_ts"), 2).alias("to_day"))
 
 
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    """stream, kind, start_ts, end_ts of records, claims and failures: ``raw``, ``claims`` and ``failures`` from one pass."""
+    r, own = raw(spark, d), F.col("raw_id") % 100 != 0
+    day = F.to_date("start_ts").cast("timestamp")
+    span = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), low.alias("start_ts"), high.alias("end_ts"))
+    kept = F.col("stream") != "json:live"
+    every = F.array(
+        F.when(kept, span("covered", F.col("start_ts"), F.col("end_ts"))), F.when(F.col("raw_id") % 500 == 0, span("covered", day, day + F.expr("INTERVAL 3 DAYS"))),
+        F.when(kept & (F.col("raw_id") % 50 == 0), span("failed", F.col("start_ts"), F.when(own, F.col("start_ts")).otherwise(F.col("end_ts")))),
+    )
+    return r.select("stream", F.inline(F.filter(every, lambda x: x.isNotNull())))
+
+
+FIT_FROM = 1_704_067_200
+FIT_TYPES = (32, 49, 68, 73, 44)
+
+
+def fit_fixture(u: int, ids: list[int]) -> bytes:
+    """A file with every message that is decoded; its values follow from the user's number, the events' and their ranks."""
+    base = W.stamp(FIT_FROM + 100_000 * u)
+    t = lambda r: (W.U32, base + 60 * r)
+    ahead = (u % 5 - 2) * 3600 if u % 7 else 30 * 3600
+    out = [
+        (0, {0: (W.ENUM, FIT_TYPES[u % 5]), 3: (W.U32Z, 1000 + u), 4: t(0)}), (103, {253: t(0), 0: (W.U32, base + ahead), 5: (W.U16, 1500 + u)}),
+        (211, {253: t(0), 0: (W.U8, u % 3 * 50), 1: (W.U8, 40 + u % 30)}), (21, {253: t(0), 0: (W.ENUM, 74), 1: (W.ENUM, 0)}),
+    ]
+    for r, e in enumerate(ids, 1):
+        when = {253: t(r)} if r % 4 == 1 else {26: (W.U16, (base + 60 * r) & 0xFFFF)}
+        out += [
+            (55, when | {27: (W.U8, e % 120), 24: (W.BYTE, (6 if r % 2 else 2) | r % 7 << 5), 3: (W.U32, 10 * r), 2: (W.U32, 150 * r)}), (227, {1: t(r), 0: (W.S16, e % 110 - 5), 3: (W.U8, e % 130)}),
+            (297, {253: t(r), 0: (W.S16, e % 400 - 20)}), (269, {253: t(r), 0: (W.U8, e % 100), 2: (W.ENUM, r % 3)}), (371, {253: t(r), 0: (W.U16, e % 2000)}),
+        ]
+        if r <= 12:
+            out.append((275, {253: t(r), 0: (W.ENUM, (r + u) % 5)}))
+    out += [
+        (370, {253: t(1), 6: (W.ENUM, u % 5)} | {k: (W.U16, 5000 + 100 * k + u) for k in range(6)}), (398, {253: t(1), 0: (W.U32, base + 60 + ahead), 4: (W.F32, 35.5 + u % 8 / 4), 1: (W.F32, u % 5 / 8), 2: (W.F32, -u % 7 / 4)}),
+        (229, {0: t(2), 2: (W.U16, 400 + u if u % 4 else 0), 5: (W.ENUM, u % 3)}), (346, {k: (W.U8, (u + k) % 100) for k in range(12)} | {14: (W.U8, u % 90), 15: (W.U16, 7 * u % 10_000)}),
+        (21, {253: t(len(ids) + 5), 0: (W.ENUM, 74), 1: (W.ENUM, 1)}),
+        (18, {253: t(30), 2: t(3), 5: (W.ENUM, 1), 6: (W.ENUM, u % 6), 7: (W.U32, 1000 * u + 500), 8: (W.U32, 1000 * u), 9: (W.U32, 100 * u), 11: (W.U16, u), 16: (W.U8, 120), 17: (W.U8, 180), 14: (W.U16, 2500), 22: (W.U16, u), 23: (W.U16, u // 2)}
+         | ({124: (W.U32, 2600)} if u % 2 else {})),
+    ]
+    return W.write(out, b"\x0f" if u % 9 == 8 else b"")
+
+
+def fit_files(spark: SparkSession, d: str) -> DataFrame:
+    """path, content: a file a user of events; those of every ninth user end in bytes that are no message."""
+
+    @F.pandas_udf("binary")
+    def build(u: pd.Series, ids: pd.Series) -> pd.Series:
+        return pd.Series([fit_fixture(int(a), [int(x) for x in b]) for a, b in zip(u, ids, strict=True)])
+
+    users = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    return users.select(F.col("user_id").cast("string").alias("path"), build("user_id", "ids").alias("content"))
+
+
+FIT_SQL = f"""FU AS (SELECT user_id AS u, event_id AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+FT AS (SELECT *, to_timestamp({FIT_FROM} + u * 100000 + r * 60)::TIMESTAMP AS ts FROM FU),
+FF AS (SELECT u, max(r) AS n, {FIT_FROM} + u * 100000 AS base, [{', '.join(map(str, FIT_TYPES))}][u % 5 + 1] AS kind, CASE WHEN u % 7 <> 0 THEN (u % 5 - 2) * 3600 ELSE 108000 END AS ahead FROM FU GROUP BY u)"""
+
+
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     streams = F.when(F.col("scope") == "device", F.array(F.lit("fit:monitoring_b"), F.lit("fit:sleep"))).when(F.col("scope") == "vendor_cloud", F.array(F.lit("json:uds"))).otherwise(F.array(F.lit("json:sleep")))
     return daily(spark, d).select("metric", "scope").distinct().select("metric", "scope", F.explode(streams).alias("stream"))

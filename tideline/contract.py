@@ -29,7 +29,8 @@ DAILY_METRICS = {
 LABELS = ("hrv_status", "training_readiness_level", "training_readiness_context", "vo2max_sport", "training_load_status")
 SCOPES = ("device", "vendor_cloud", "local", "live")
 SESSION_STREAM = "json:live"
-FACT_SCOPES = tuple(s for s in SCOPES if s != "live")
+SESSION_SCOPES = ("live",)
+FACT_SCOPES = tuple(s for s in SCOPES if s not in SESSION_SCOPES)
 PER_MINUTE = ("heart_rate", "stress", "respiration_rate", "energy_reserve")
 SPARSE = (
     "vo2max", "vo2max_sport", "weight_kg", "fitness_age", "endurance_score", "hydration_ml", "sweat_loss_ml", "hrv_baseline_low_upper",

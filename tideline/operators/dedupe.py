@@ -35,8 +35,15 @@ def latest_observed(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return versions.select(*keys, folded.alias("w")).select(*keys, *(F.col(f"w.{c}").alias(c) for c in rest))
 
 
-def conflict_winner(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The later observed version, ties by the larger payload hash; unknown times lose."""
+def conflict_winner(rows: DataFrame, keys: list[str], by_hash: Column | None = None) -> DataFrame:
+    """The later observed version, ties by the larger payload hash; unknown times lose.
+
+    by_hash says of which rows only the hash decides: those of batch streams and those that do not decode.
+    """
+    if by_hash is not None:
+        groups = rows.groupBy(*keys).agg(F.bool_or(by_hash).alias("hashed"))
+        rows = rows.join(groups, keys).withColumn("seen", F.when(~F.col("hashed"), F.col("observed"))).drop("hashed")
+        return last_write(rows, keys, ["seen", "payload_hash"]).drop("seen")
     return last_write(rows, keys, ["observed", "payload_hash"])
 
 
@@ -44,6 +51,6 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return last_write(rows, keys, order)
 
 
-def content_order(start: str, digest: str, stream: str, source_key: str) -> list[Column]:
-    """The one tie-break of the store: start (nulls first), digest, stream, key."""
-    return [F.col(start).asc_nulls_first(), F.col(digest).asc(), F.col(stream).asc(), F.col(source_key).asc()]
+def content_order(start: str, digest: str, stream: str, source_key: str) -> Column:
+    """The one tie-break of the store as a column that orders: start (nulls first), digest, stream, key."""
+    return F.struct(start, digest, stream, source_key)

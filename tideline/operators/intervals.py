@@ -8,12 +8,29 @@ from pyspark.sql import functions as F
 WORN_GAP_S, WORN_LAST_S = 300, 60
 
 
-def merge(spans: DataFrame, *by: str) -> DataFrame:
-    """spans: low, high. Overlapping or touching spans of a group become one."""
+def merge(spans: DataFrame, *by: str, bucket: int | None = None) -> DataFrame:
+    """spans: low, high. Overlapping or touching spans of a group become one.
+
+    With ``bucket`` (a day, in the unit of low and high) no task holds a whole group: spans are merged within the bucket they start
+    in, and of each bucket only two islands, what earlier ones reach into and what reaches furthest, meet those of other buckets.
+    """
+    spans = spans.where("high > low").select(*by, "low", "high")
+    if bucket is None:
+        return _islands(spans, by)
+    found = _islands(spans.withColumn("bucket", F.floor(F.col("low") / bucket)), (*by, "bucket"))
+    reach = found.groupBy(*by, "bucket").agg(F.max("high").alias("top"))
+    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a group and bucket
+    found = found.join(reach.withColumn("reached", F.max("top").over(before)), [*by, "bucket"])
+    found = found.withColumn("kind", F.when(F.col("low") <= F.col("reached"), 1).when(F.col("high") == F.col("top"), 2).otherwise(0))
+    edges = found.where("kind > 0").groupBy(*by, "bucket", "kind").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return found.where("kind = 0").select(*by, "low", "high").unionByName(_islands(edges.select(*by, "low", "high"), by))
+
+
+def _islands(spans: DataFrame, by: tuple[str, ...]) -> DataFrame:
     before = Window.partitionBy(*by).orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
     running = Window.partitionBy(*by).orderBy("low", "high").rowsBetween(Window.unboundedPreceding, 0)
     new = F.when(F.col("low") > F.max("high").over(before), 1).otherwise(0)
-    marked = spans.where("high > low").withColumn("new", new).withColumn("island", F.sum("new").over(running))
+    marked = spans.withColumn("new", new).withColumn("island", F.sum("new").over(running))
     return marked.groupBy(*by, "island").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("island")
 
 
@@ -38,10 +55,17 @@ def covered_seconds(spans: DataFrame, bounds: DataFrame, claimed: DataFrame, *by
 
 
 def worn_spans(readings: DataFrame, *by: str) -> DataFrame:
-    """readings: at_s. A reading counts up to the next one if that is at most WORN_GAP_S later, else WORN_LAST_S."""
-    gap = F.lead("at_s").over(Window.partitionBy(*by).orderBy("at_s")) - F.col("at_s")
-    once = readings.select(*by, "at_s").distinct()
-    return once.withColumn("gap", gap).select(*by, F.col("at_s").alias("low"), (F.col("at_s") + F.when(F.col("gap") <= WORN_GAP_S, F.col("gap")).otherwise(WORN_LAST_S)).alias("high"))
+    """readings: at_s. A reading counts up to the next one if that is at most WORN_GAP_S later, else WORN_LAST_S.
+
+    The next reading is looked for within the UTC day; a day's last one meets the first of the days behind it in a table of a row a day.
+    """
+    once = readings.select(*by, "at_s", F.floor(F.col("at_s") / 86_400).alias("utc_day")).distinct()
+    within = Window.partitionBy(*by, "utc_day").orderBy("at_s")
+    days = once.groupBy(*by, "utc_day").agg(F.min("at_s").alias("first_s"))
+    days = days.select(*by, "utc_day", F.lead("first_s").over(Window.partitionBy(*by).orderBy("utc_day")).alias("next_day_s"))
+    timed = once.withColumn("next_s", F.lead("at_s").over(within)).join(days, [*by, "utc_day"])
+    gap = F.coalesce("next_s", "next_day_s") - F.col("at_s")
+    return timed.select(*by, F.col("at_s").alias("low"), (F.col("at_s") + F.when(gap <= WORN_GAP_S, gap).otherwise(WORN_LAST_S)).alias("high"))
 
 
 def completeness(worn: Column, covered: Column) -> Column:

@@ -20,35 +20,49 @@ def regimes(offsets: DataFrame) -> DataFrame:
     """offsets: ts, offset_s and raw_id. low2, high2 (doubled microseconds, low exclusive and high inclusive), offset_s.
 
     Of several offsets at one instant the one with the largest raw_id holds; a tie in time goes to the earlier offset; equal
-    neighbours are one regime.
+    neighbours are one regime. Observations meet their predecessor within their UTC day; only a row a day and the changes found,
+    one a regime, are ordered as a whole.
     """
     seen = offsets.where(F.col("ts").isNotNull()).groupBy(micros(F.col("ts")).alias("m")).agg(F.max_by("offset_s", "raw_id").alias("offset_s"))
-    order = Window.orderBy("m")  # one row an observed change of clock: collapsed below, small by nature
-    change = F.coalesce(F.lag("offset_s").over(order) != F.col("offset_s"), F.lit(True))
-    marked = seen.withColumn("low2", F.coalesce(F.lag("m").over(order) + F.col("m"), F.lit(-ENDLESS))).withColumn("new", change)
-    starts = marked.where("new")
+    seen = seen.withColumn("day", F.floor(F.col("m") / DAY_US))
+    within = Window.partitionBy("day").orderBy("m")
+    inner = seen.withColumn("before", F.lag(F.struct("m", "offset_s")).over(within)).where(F.col("before.offset_s") != F.col("offset_s"))
+    ends = seen.groupBy("day").agg(F.min(F.struct("m", "offset_s")).alias("first"), F.max(F.struct("m", "offset_s")).alias("last"))
+    ends = ends.withColumn("before", F.lag("last").over(Window.orderBy("day")))
+    outer = ends.where(F.col("before").isNull() | (F.col("before.offset_s") != F.col("first.offset_s"))).select("before", F.col("first.m").alias("m"), F.col("first.offset_s").alias("offset_s"))
+    changes = inner.select("before", "m", "offset_s").unionByName(outer)
+    starts = changes.select(F.coalesce(F.col("before.m") + F.col("m"), F.lit(-ENDLESS)).alias("low2"), "offset_s")
     return starts.select("low2", F.coalesce(F.lead("low2").over(Window.orderBy("low2")), F.lit(ENDLESS)).alias("high2"), "offset_s")
 
 
 def with_offset(rows: DataFrame, offsets: DataFrame, ts: str = "ts") -> DataFrame:
-    """Adds offset_s (0 where none is known) and assumed_utc."""
+    """Adds offset_s (0 where none is known) and assumed_utc.
+
+    Rows before or after the days on which the clock is known to change take the first or last offset from a table of one row; the
+    others meet their regime on the UTC day.
+    """
     found = regimes(offsets)
     first_day = lambda c: F.floor(c / (2 * DAY_US))
-    bounded = found.select(F.min(F.when(F.col("low2") > -ENDLESS, first_day(F.col("low2")))).alias("first"), F.max(F.when(F.col("high2") < ENDLESS, first_day(F.col("high2")))).alias("last"))
-    bounded = bounded.select(F.coalesce("first", F.lit(0)).alias("first_day"), F.coalesce("last", F.lit(0)).alias("last_day"))  # one row
-    clamp = lambda c: F.least(F.greatest(c, F.col("first_day")), F.col("last_day"))
-    spread = found.crossJoin(F.broadcast(bounded))
+    edge = found.select(
+        F.min(F.when(F.col("low2") > -ENDLESS, first_day(F.col("low2")))).alias("first_day"), F.max(F.when(F.col("high2") < ENDLESS, first_day(F.col("high2")))).alias("last_day"),
+        F.min_by("offset_s", "low2").alias("first_offset"), F.max_by("offset_s", "low2").alias("last_offset"),
+    )
+    edge = edge.select(F.coalesce("first_day", F.lit(0)).alias("first_day"), F.coalesce("last_day", F.lit(-1)).alias("last_day"), "first_offset", "last_offset")  # one row
     low = F.when(F.col("low2") == -ENDLESS, F.col("first_day")).otherwise(first_day(F.col("low2")))
     high = F.when(F.col("high2") == ENDLESS, F.col("last_day")).otherwise(first_day(F.col("high2")))
+    spread = found.crossJoin(F.broadcast(edge)).where("first_day <= last_day")
     spread = spread.select("low2", "high2", F.col("offset_s").alias("found_offset"), F.explode(F.sequence(low, high)).alias("regime_day"))
-    keyed = rows.withColumn("us_", micros(F.col(ts))).crossJoin(F.broadcast(bounded))
-    keyed = keyed.withColumn("day_", clamp(F.floor(F.col("us_") / DAY_US))).drop("first_day", "last_day")
+    keyed = rows.withColumn("us_", micros(F.col(ts))).crossJoin(F.broadcast(edge)).withColumn("day_", F.floor(F.col("us_") / DAY_US))
+    outside = F.when(F.col("day_") > F.col("last_day"), F.col("last_offset")).when(F.col("day_") < F.col("first_day"), F.col("first_offset"))
+    keyed = keyed.withColumn("edge_offset", outside)
+    # no regime has such a day: rows outside are dealt over many keys
+    keyed = keyed.withColumn("day_", F.when(F.col("edge_offset").isNull(), F.col("day_")).otherwise(F.pmod("us_", F.lit(1009)) - (1 << 40))).drop("first_day", "last_day", "first_offset", "last_offset")
     joined = keyed.join(spread, (F.col("day_") == F.col("regime_day")) & (2 * F.col("us_") > F.col("low2")) & (2 * F.col("us_") <= F.col("high2")), "left")
+    known = F.coalesce("found_offset", "edge_offset")
     return (
-        joined.withColumn("offset_s", F.coalesce("found_offset", F.lit(0)).cast("int"))
-        .withColumn("assumed_utc", F.col("found_offset").isNull())
-        .drop("low2", "high2", "found_offset", "regime_day", "day_", "us_")
-    )
+        joined.withColumn("offset_s", F.coalesce(known, F.lit(0)).cast("int")).withColumn("assumed_utc", known.isNull())
+        .drop("low2", "high2", "found_offset", "edge_offset", "regime_day", "day_", "us_")
+    )
 
 
 def local_day(ts: Column, offset_s: Column) -> Column:

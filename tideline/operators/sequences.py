@@ -15,22 +15,23 @@ def series_runs(points: DataFrame, max_gap: int, *by: str) -> DataFrame:
 
 
 def trailing_mean(points: DataFrame, days: int, *by: str) -> DataFrame:
-    """Sum and count over the trailing calendar days, where at least half are there and the window starts at or after the first point."""
+    """Mean over the trailing calendar days, where at least half are there and the window starts at or after the first point."""
     number = F.unix_date("day")
     window = Window.partitionBy(*by).orderBy(number).rangeBetween(-(days - 1), 0)
     whole = Window.partitionBy(*by)
-    out = points.withColumn("sum_cents", F.sum("cents").over(window)).withColumn("present", F.count("cents").over(window)).withColumn("first_number", F.min(number).over(whole))
-    return out.where((F.col("present") * 2 >= days) & (number - (days - 1) >= F.col("first_number"))).select(*by, "day", "sum_cents", "present")
+    out = points.withColumn("mean", F.avg("value").over(window)).withColumn("present", F.count("value").over(window)).withColumn("first_number", F.min(number).over(whole))
+    return out.where((F.col("present") * 2 >= days) & (number - (days - 1) >= F.col("first_number"))).select(*by, "day", "mean", "present")
 
 
 def gaps(statuses: DataFrame, *by: str, newest: int = 20) -> DataFrame:
-    """statuses: day, status, dense in days. Runs of one status other than present, the newest ones of each group."""
+    """statuses: day, status, dense in days. Runs of one status other than present, the newest ones of each group; more says that there are others."""
     missing = statuses.where("status <> 'present'")
     number = F.row_number().over(Window.partitionBy(*by, "status").orderBy("day"))
     runs = missing.withColumn("island", F.unix_date("day") - number).groupBy(*by, "status", "island")
     runs = runs.agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("days"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("first_day"), "status"))
-    return runs.withColumn("nth", rank).where(F.col("nth") <= newest).drop("island", "nth")
+    runs = runs.withColumn("nth", rank).withColumn("more", F.count(F.lit(1)).over(Window.partitionBy(*by)) > newest)
+    return runs.where(F.col("nth") <= newest).drop("island", "nth")
 
 
 def chain_gaps(bundles: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sequences import chain_gaps
+
 
 def streams(raw: DataFrame) -> DataFrame:
     return raw.groupBy("stream").agg(F.count(F.lit(1)).alias("records"), F.min("start_ts").alias("first_ts"), F.max("end_ts").alias("last_ts"))
@@ -21,6 +23,58 @@ def daily_scopes(daily: DataFrame, window_start) -> DataFrame:
     return daily.groupBy("metric", "scope").agg(F.count(F.lit(1)).alias("n"), F.count_if(recent).alias("n_recent"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
+def nights(sessions: DataFrame) -> DataFrame:
+    """Nights of each scope (scope, date)."""
+    return sessions.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+
+
+def sample_days_since(samples: DataFrame, since) -> DataFrame:
+    """metric, n: distinct UTC days with samples outside sessions from a day on."""
+    recent = samples.where((F.col("scope") != "live") & (F.to_date("ts") >= F.lit(since).cast("date")))
+    return recent.groupBy("metric").agg(F.countDistinct(F.to_date("ts")).alias("n"))
+
+
+def data_health(raw: DataFrame, samples: DataFrame, daily: DataFrame, sessions: DataFrame, activities: DataFrame, offsets: DataFrame, agreement: DataFrame, ledger: DataFrame, runs: DataFrame, since) -> DataFrame:
+    """The store's report as one table: section, name, scope, n, n_recent, first_day, last_day.
+
+    Sections: streams (records), samples and daily (days with data, and since ``since``), sleep (nights), live (records, samples), activities, offsets,
+    agreement (days compared, and matching ones), coverage (days present, and all), runs. Each section is an aggregate of its own table.
+    """
+    none = F.lit(None)
+    columns = {"section": "string", "name": "string", "scope": "string", "n": "long", "n_recent": "long", "first_day": "date", "last_day": "date"}
+
+    def part(section: str, df: DataFrame, **given) -> DataFrame:
+        values = {"section": F.lit(section)} | given
+        return df.select(*(values.get(c, none).cast(t).alias(c) for c, t in columns.items()))
+
+    c = F.col
+    live_raw, live = raw.where("stream = 'json:live'"), samples.where("scope = 'live'")
+    parts = [
+        part("streams", streams(raw), name=c("stream"), n=c("records"), first_day=c("first_ts"), last_day=c("last_ts")),
+        part("samples", sample_days(samples).join(sample_days_since(samples, since), "metric", "left"), name=c("metric"), n=c("days"), n_recent=F.coalesce("n", F.lit(0)), first_day=c("first_ts"), last_day=c("last_ts")),
+        part("daily", daily_scopes(daily, since), name=c("metric"), scope=c("scope"), n=c("n"), n_recent=c("n_recent"), first_day=c("first_day"), last_day=c("last_day")),
+        part("sleep", nights(sessions), scope=c("scope"), n=c("n"), first_day=c("first_day"), last_day=c("last_day")),
+        part("live", live_raw.agg(F.count(F.lit(1)).alias("n")), name=F.lit("records"), n=c("n")),
+        part("live", live.agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")), name=F.lit("samples"), n=c("n"), first_day=c("a"), last_day=c("b")),
+        part("activities", activities.agg(F.count(F.lit(1)).alias("n")), n=c("n")),
+        part("offsets", offsets.agg(F.count(F.lit(1)).alias("n")), n=c("n")),
+        part("agreement", agreement, name=F.concat_ws(" = ", "metric", "compared_with"), scope=F.concat_ws(" / ", "scope_a", "scope_b"), n=c("n"), n_recent=c("matches")),
+        part("coverage", ledger, name=c("metric"), scope=c("scope"), n=c("present") + c("failed") + c("source_empty") + c("not_covered"), n_recent=c("present")),
+        part("runs", runs.groupBy("transport").agg(F.count(F.lit(1)).alias("n")), name=c("transport"), n=c("n")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def sync_status(records: DataFrame, sent: DataFrame, bundles: DataFrame, conflicts: DataFrame, keys: list[str]) -> DataFrame:
+    """name, n: records to send, bundles by direction, distinct conflicts, and bundles whose predecessor is missing."""
+    one = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    by = bundles.groupBy("direction").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("bundles "), "direction").alias("name"), "n")
+    return one("unsent", unsent(records, sent, keys)).unionByName(by).unionByName(one("conflicts", conflicts.distinct())).unionByName(one("gaps", chain_gaps(bundles)))
+
+
 def unsent(records: DataFrame, sent: DataFrame, keys: list[str]) -> DataFrame:
     return records.join(sent.select(*keys), keys, "left_anti")
 

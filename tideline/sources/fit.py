@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.series import stage_rows
+from ..plans.series import sleep_detail, stage_rows, with_begin
 from .json_records import expand_16bit
 
 FIT_EPOCH = 631_065_600
@@ -39,7 +39,8 @@ DAILIES = (
     (370, 5, "hrv_baseline_balanced_upper", 128, "true"), (398, 4, "skin_temp_nightly", 1, "true"), (398, 1, "skin_temp_deviation", 1, "true"), (398, 2, "skin_temp_7day_deviation", 1, "true"), (229, 2, "vo2max", 10, "v > 0"),
 )
 LOCAL_FIELD = {103: 0, 398: 0, 162: 3}
-OWN_TIME = {227: 1, 229: 0, 18: 2}
+OWN_TIME = {227: 1, 229: 0, 18: 2, 0: 4}
+FAR_S = 3600
 FILE_STREAMS = {32: "fit:monitoring_b", 49: "fit:sleep", 68: "fit:hrv", 73: "fit:skin_temp", 44: "fit:metrics", 4: "fit:activity"}
 HRV_STATUS = ("none", "poor", "low", "unbalanced", "balanced")
 # The protocol's fields of sleep_assessment and its sports; a sport without a name keeps its number.
@@ -56,7 +57,10 @@ SPORTS = (
 ).split()
 STAGES = ("unmeasurable", "awake", "light", "deep", "rem")
 STEP_TYPES = (6, 1)
-SLEEP_EVENT = 74
+SLEEP_EVENT, SLEEP_FILE = 74, 49
+#: Messages whose time counts for a file's span.
+TOUCHING = """message IN (0, 18, 55, 370, 398) OR (message = 275 AND fields[0] IS NOT NULL) OR (message = 229 AND fields[2] > 0)
+OR (message = 227 AND (fields[3] BETWEEN 0 AND 100 OR fields[0] >= 0))"""
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int | None, dict[int, float]]]:
@@ -130,23 +134,34 @@ def instant(seconds: Column) -> Column:
 
 
 def timed(rows: DataFrame) -> DataFrame:
-    """Adds ts: the message's own time, its time stamp, or its 16-bit stamp completed from the last full one of the file."""
+    """Adds ts: the message's own time, its time stamp, or its 16-bit stamp completed from the last full one of the file, far_s seconds away."""
     own = F.coalesce(*(F.when(F.col("message") == m, F.col("fields")[f]) for m, f in OWN_TIME.items()))
     full = F.col("fields")[TIMESTAMP]
     rows = rows.withColumn("full_ts", F.when(full >= REAL_TIME, full.cast("long"))).withColumn("ts16", F.when((F.col("message") == 55) & full.isNull(), F.col("fields")[26].cast("long")))
     rows = expand_16bit(rows, "path", "n")
     seconds = F.when(F.col("message").isin(*OWN_TIME), own).otherwise(F.col("ts_s"))
-    return rows.withColumn("ts", instant(seconds)).drop("full_ts", "ts16", "ts_s")
+    return rows.withColumn("ts", instant(seconds)).withColumn("far_s", F.col("ts_s") - F.col("last_full_s")).drop("full_ts", "ts16", "ts_s", "last_full_s")
 
 
 def identities(rows: DataFrame) -> DataFrame:
-    """path, stream, device_id by file_id, and the span of time stamps."""
+    """path, stream, device_id by file_id, and the span of what the file tells: of the messages that count, and to the sleep's stop event."""
     name = F.coalesce(*(F.when(F.col("kind") == k, F.lit(s)) for k, s in FILE_STREAMS.items()), F.concat(F.lit("fit:"), F.col("kind").cast("int").cast("string")))
+    touched = F.when(F.expr(TOUCHING), F.col("ts"))
     out = rows.groupBy("path").agg(
-        F.max(F.when(F.col("message") == 0, F.col("fields")[0])).alias("kind"), F.max(F.when(F.col("message") == 0, F.col("fields")[3].cast("long").cast("string"))).alias("device_id"),
-        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.max("error").alias("error"),
+        _kind().alias("kind"), F.max(F.when(F.col("message") == 0, F.col("fields")[3].cast("long").cast("string"))).alias("device_id"),
+        F.min(touched).alias("start_ts"), F.max(touched).alias("end_ts"), F.max_by(F.when(_sleep_event(1), F.col("ts")), F.when(_sleep_event(1), F.col("n"))).alias("stop_ts"), F.max("error").alias("error"),
     )
-    return out.select("path", name.alias("stream"), "device_id", "start_ts", "end_ts", "error")
+    end = F.when((F.col("kind") == SLEEP_FILE), F.greatest("end_ts", "stop_ts")).otherwise(F.col("end_ts"))
+    return out.select("path", name.alias("stream"), "device_id", "start_ts", end.alias("end_ts"), "error")
+
+
+def _kind() -> Column:
+    return F.max(F.when(F.col("message") == 0, F.col("fields")[0]))
+
+
+def _sleep_event(kind: int) -> Column:
+    """Start (0) or stop (1) of sleep; it counts in sleep files alone."""
+    return (F.col("message") == 21) & (F.col("fields")[0] == SLEEP_EVENT) & (F.col("fields")[1] == kind)
 
 
 def _long(rows: DataFrame, table, conditions: bool = True) -> DataFrame:
@@ -166,9 +181,16 @@ def dailies(rows: DataFrame) -> DataFrame:
 
 
 def drops(rows: DataFrame) -> DataFrame:
-    """Samples that a sentinel rule drops, counted by reason."""
+    """What a rule drops or remarks on, counted by reason. rows come from ``timed``."""
     reason = F.coalesce(*(F.when(F.col("metric") == t[2], t[5]) for t in SAMPLES if t[5]))
-    return _long(rows, SAMPLES).where(~F.col("good")).select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    sentinels = _long(rows, SAMPLES).where(~F.col("good")).select(reason.alias("reason"))
+    monitoring = rows.where("message = 55")
+    untimed = monitoring.where("ts is null").select(F.lit("monitoring_without_timestamp").alias("reason"))
+    far = monitoring.where(F.abs("far_s") > FAR_S).select(F.lit("timestamp_16_far_from_reference").alias("reason"))
+    apart = _clocks(rows).where(F.abs(F.col("local") - F.col("utc")) > OFFSET_LIMIT_S).select(F.lit("clock_offset_out_of_range").alias("reason"))
+    stages = staged(rows).select(F.when(F.col("begin_ts").isNull(), "sleep_stage_without_start").when(F.col("begin_ts") >= F.col("end_ts"), "sleep_stage_zero_length").alias("reason"))
+    every = sentinels.unionByName(untimed).unionByName(far).unionByName(apart).unionByName(stages)
+    return every.where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def labels(rows: DataFrame) -> DataFrame:
@@ -186,34 +208,67 @@ def sleep_assessments(rows: DataFrame) -> DataFrame:
     return last.select("path", *(F.col("f")[k].cast("int").alias(c) for k, c in SCORES.items()), (F.col("f")[STRESS] / 100).alias("avg_stress"))
 
 
-def clock_offsets(rows: DataFrame) -> DataFrame:
-    """ts, offset_s from messages that state both clocks; offsets beyond 26 hours and times since power-on are left out."""
+def _clocks(rows: DataFrame) -> DataFrame:
     local = F.coalesce(*(F.when(F.col("message") == m, F.col("fields")[f]) for m, f in LOCAL_FIELD.items()))
     out = rows.where(F.col("message").isin(*LOCAL_FIELD)).select("path", F.col("fields")[TIMESTAMP].alias("utc"), local.alias("local"))
-    out = out.where((F.col("utc") >= REAL_TIME) & (F.col("local") >= REAL_TIME) & (F.abs(F.col("local") - F.col("utc")) <= OFFSET_LIMIT_S))
+    return out.where((F.col("utc") >= REAL_TIME) & (F.col("local") >= REAL_TIME))
+
+
+def clock_offsets(rows: DataFrame) -> DataFrame:
+    """path, ts, offset_s from messages that state both clocks; offsets beyond 26 hours and times since power-on are left out."""
+    out = _clocks(rows).where(F.abs(F.col("local") - F.col("utc")) <= OFFSET_LIMIT_S)
     return out.select("path", instant(F.col("utc")).alias("ts"), (F.col("local") - F.col("utc")).cast("int").alias("offset_s"))
 
 
 def intervals(rows: DataFrame) -> DataFrame:
-    """Cumulative counters by activity type; cycles are steps for walking and running, half of them otherwise."""
+    """Cumulative counters by activity type; cycles are steps for walking and running, half of them otherwise.
+
+    Type and intensity are fields of their own, or parts of the composite field 24: the lower five bits and the upper three.
+    """
     f = F.col("fields")
-    kind, cycles = f[5].cast("int"), f[3]
-    out = rows.where("message = 55 and ts is not null and fields[5] is not null and coalesce(fields[3], fields[4], fields[2], fields[19]) is not null")
-    return out.select("path", "ts", kind.alias("activity_type"), F.when(kind.isin(*STEP_TYPES), cycles).cast("long").alias("steps"), F.when(kind.isin(*STEP_TYPES), cycles).otherwise(cycles / 2).alias("cycles"), (f[4] / 1000).alias("active_time_s"), (f[2] / 100).alias("distance_m"), f[19].cast("long").alias("active_calories"))
+    both = f[24].cast("int")
+    kind, cycles, intensity = F.coalesce(f[5].cast("int"), both.bitwiseAND(F.lit(31))), f[3], F.coalesce(f[28].cast("int"), F.shiftright(both, 5))
+    out = rows.where("message = 55 and ts is not null and coalesce(fields[5], fields[24]) is not null and coalesce(fields[3], fields[4], fields[2], fields[19]) is not null")
+    return out.select(
+        "path", "ts", kind.alias("activity_type"), intensity.alias("intensity"), F.when(kind.isin(*STEP_TYPES), cycles).cast("long").alias("steps"), F.when(kind.isin(*STEP_TYPES), cycles).otherwise(cycles / 2).alias("cycles"),
+        (f[4] / 1000).alias("active_time_s"), (f[2] / 100).alias("distance_m"), f[19].cast("long").alias("active_calories"),
+    )
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """night (the file), stage, begin_ts, end_ts, start_ts (the start event): stages before rules leave any out."""
+    begun = rows.groupBy("path").agg(_kind().alias("kind"), F.max_by(F.when(_sleep_event(0), F.col("ts")), F.when(_sleep_event(0), F.col("n"))).alias("start_ts"))
+    begun = begun.select("path", F.when(F.col("kind") == SLEEP_FILE, F.col("start_ts")).alias("start_ts"))
+    stage = F.element_at(F.array(*map(F.lit, STAGES)), (F.col("fields")[0] + 1).cast("int"))
+    ends = rows.where("message = 275 and fields[0] between 0 and 4 and ts is not null").select("path", F.col("ts").alias("end_ts"), stage.alias("stage"))
+    return with_begin(ends.join(begun, "path", "left").withColumnRenamed("path", "night"))
 
 
 def sleep_stages(rows: DataFrame) -> DataFrame:
     """Stages of each file: a stage's time stamp is its end, the first starts at the file's sleep start event."""
-    begun = rows.where((F.col("message") == 21) & (F.col("fields")[0] == SLEEP_EVENT) & (F.col("fields")[1] == 0)).groupBy("path").agg(F.max("ts").alias("start_ts"))
-    stage = F.element_at(F.array(*map(F.lit, STAGES)), (F.col("fields")[0] + 1).cast("int"))
-    ends = rows.where("message = 275 and fields[0] between 0 and 4").select("path", F.col("ts").alias("end_ts"), stage.alias("stage"))
-    return stage_rows(ends.join(begun, "path", "left").withColumnRenamed("path", "night"))
+    return stage_rows(staged(rows).drop("begin_ts"))
+
+
+def sleep_sessions(rows: DataFrame) -> DataFrame:
+    """One row a file that tells of a night: start, end, seconds of each stage (0 where there are others), scores."""
+    event = lambda k: F.max_by(F.when(_sleep_event(k), F.col("ts")), F.when(_sleep_event(k), F.col("n")))
+    told = rows.groupBy("path").agg(_kind().alias("kind"), event(0).alias("start_ts"), event(1).alias("end_ts"), F.count_if(F.col("message").isin(ASSESSMENT, 275)).alias("told"))
+    mine = F.col("kind") == SLEEP_FILE
+    told = told.select("path", F.when(mine, F.col("start_ts")).alias("start_ts"), F.when(mine, F.col("end_ts")).alias("end_ts"), "told").where("told > 0 or start_ts is not null").drop("told")
+    stages = sleep_detail(sleep_stages(rows)).withColumnRenamed("night", "path").drop("asleep_s")
+    out = told.join(stages, "path", "left").join(sleep_assessments(rows), "path", "left")
+    filled = {c: F.when(F.col("stages") > 0, F.coalesce(c, F.lit(0))) for c in ("deep_s", "light_s", "rem_s", "awake_s")}
+    return out.withColumns(filled | {"start_ts": F.coalesce("start_ts", "first_ts"), "end_ts": F.coalesce("end_ts", "last_ts")}).drop("first_ts", "last_ts", "stages")
 
 
 def activities(rows: DataFrame) -> DataFrame:
     f = F.col("fields")
     out = rows.where("message = 18 and ts is not null")
-    return out.select("path", F.col("ts").alias("start_ts"), instant(f[TIMESTAMP]).alias("end_ts"), f[5].cast("int").alias("sport"), (f[7] / 1000).alias("total_elapsed_s"), (f[8] / 1000).alias("total_timer_s"), (f[9] / 100).alias("distance_m"), f[11].cast("int").alias("calories"), f[16].cast("int").alias("avg_hr"), f[17].cast("int").alias("max_hr"), (F.coalesce(f[124], f[14]) / 1000).alias("avg_speed"))
+    return out.select(
+        "path", F.col("ts").alias("start_ts"), instant(f[TIMESTAMP]).alias("end_ts"), f[5].cast("int").alias("sport"), f[6].cast("int").alias("sub_sport"), (f[7] / 1000).alias("total_elapsed_s"),
+        (f[8] / 1000).alias("total_timer_s"), (f[9] / 100).alias("distance_m"), f[11].cast("int").alias("calories"), f[16].cast("int").alias("avg_hr"), f[17].cast("int").alias("max_hr"),
+        (F.coalesce(f[124], f[14]) / 1000).alias("avg_speed"), f[22].alias("total_ascent_m"), f[23].alias("total_descent_m"),
+    )
 
 
 def message_counts(rows: DataFrame) -> DataFrame:

@@ -73,7 +73,10 @@ SLEEP_VITALS = {
 }
 SLEEP_TIMES = {"start_ts": "$.sleepStartTimestampGMT", "end_ts": "$.sleepEndTimestampGMT"}
 MORNING = "AFTER_WAKEUP_RESET"
-LISTED = "struct<allDayStress:struct<aggregatorList:array<struct<type:string,averageStressLevel:double>>>,bodyBattery:struct<bodyBatteryStatList:array<struct<bodyBatteryStatType:string,statsValue:double>>>>"
+LISTED = {
+    "$.allDayStress.aggregatorList": "array<struct<type:string,averageStressLevel:double>>",
+    "$.bodyBattery.bodyBatteryStatList": "array<struct<bodyBatteryStatType:string,statsValue:double>>",
+}
 
 
 def _schema(types: dict[str, str]) -> str:
@@ -89,9 +92,9 @@ def _schema(types: dict[str, str]) -> str:
     return ddl(tree)
 
 
-def parsed(records: DataFrame, column: str, numbers: list[str], texts: list[str], flags: tuple[str, ...] = ()) -> DataFrame:
+def parsed(records: DataFrame, column: str, numbers: list[str], texts: list[str], flags: tuple[str, ...] = (), others: dict[str, str] | None = None) -> DataFrame:
     """Adds parsed_, the record's fields at the given paths, from one pass over the text; a field of another type is null."""
-    types = {p: "double" for p in numbers} | {p: "string" for p in texts} | {p: "boolean" for p in flags}
+    types = {p: "double" for p in numbers} | {p: "string" for p in texts} | {p: "boolean" for p in flags} | (others or {})
     return records.withColumn("parsed_", F.from_json(column, _schema(types)))
 
 
@@ -103,7 +106,7 @@ def decode(records: DataFrame, stream: str, column: str = "record") -> DataFrame
     """Keeps the records' other columns; adds date, metric, value, scope. Records without a date give nothing."""
     d = DECODERS[stream]
     keep = [c for c in records.columns if c != column]
-    rows = parsed(records, column, [p for _, p, _ in d.facts], [d.date], ("$.includesWellnessData",)).withColumn("date", calendar_date(_at(d.date))).where("date is not null")
+    rows = parsed(records, column, [p for _, p, _ in d.facts], [d.date], ("$.includesWellnessData",), LISTED if stream == "json:uds" else None).withColumn("date", calendar_date(_at(d.date))).where("date is not null")
     if stream == "json:uds":
         rows = rows.where(F.coalesce(_at("$.includesWellnessData"), F.lit(True)))
     facts = [F.struct(F.lit(m).alias("metric"), (_at(p) / d.scale.get(m, 1.0)).alias("value"), F.lit(least).cast("double").alias("least")) for m, p, least in d.facts]
@@ -112,11 +115,11 @@ def decode(records: DataFrame, stream: str, column: str = "record") -> DataFrame
         facts = [F.struct(F.lit("weight_kg").alias("metric"), F.when(w > 1000, w / 1000).otherwise(w).alias("value"), F.lit(None).cast("double").alias("least"))]
     every = F.array(*facts) if facts else F.array().cast("array<struct<metric:string,value:double,least:double>>")
     if stream == "json:uds":
-        listed = F.from_json(F.col(column), LISTED)
+        stress, battery = (_at(p) for p in LISTED)
         zero, none = F.lit(0.0), F.lit(None).cast("double")
-        totals = F.transform(F.filter(F.coalesce(listed["allDayStress"]["aggregatorList"], F.array()), lambda x: x.type == "TOTAL"), lambda x: F.struct(F.lit("stress_avg").alias("metric"), x.averageStressLevel.alias("value"), zero.alias("least")))
+        totals = F.transform(F.filter(F.coalesce(stress, F.array()), lambda x: x.type == "TOTAL"), lambda x: F.struct(F.lit("stress_avg").alias("metric"), x.averageStressLevel.alias("value"), zero.alias("least")))
         name = lambda x: F.when(x.bodyBatteryStatType == "HIGHEST", "body_battery_high").otherwise("body_battery_low")
-        stats = F.filter(F.coalesce(listed["bodyBattery"]["bodyBatteryStatList"], F.array()), lambda x: x.bodyBatteryStatType.isin("HIGHEST", "LOWEST"))
+        stats = F.filter(F.coalesce(battery, F.array()), lambda x: x.bodyBatteryStatType.isin("HIGHEST", "LOWEST"))
         every = F.concat(every, totals, F.transform(stats, lambda x: F.struct(name(x).alias("metric"), x.statsValue.alias("value"), none.alias("least"))))
     out = rows.select(*keep, "date", F.explode(every).alias("f")).where("f.value is not null and (f.least is null or f.value >= f.least)")
     return out.select(*keep, "date", F.col("f.metric").alias("metric"), F.col("f.value").alias("value"), F.lit("vendor_cloud").alias("scope"))
@@ -139,13 +142,13 @@ def pick_readiness(records: DataFrame, column: str = "record") -> DataFrame:
     return once.groupBy("r.date").agg(F.max(F.struct("r.morning", "stamp", F.col(f"r.{column}").alias(column))).alias("b")).select("date", f"b.{column}")
 
 
-def decode_sleep(records: DataFrame, column: str = "record") -> DataFrame:
-    """One wide row a night; minutes asleep are of the stages that are there."""
+def decode_sleep(records: DataFrame, column: str = "record", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One wide row a night; seconds asleep are of the stages that are there."""
     rows = parsed(records, column, [*SLEEP_SECONDS.values(), *SLEEP_COUNTS.values(), *SLEEP_VITALS.values()], ["$.calendarDate", *SLEEP_TIMES.values()], ("$.retro",))
     rows = rows.withColumn("date", calendar_date(_at("$.calendarDate"))).where("date is not null")
     whole = lambda p, kind: F.bround(_at(p), 0).cast(kind)
     rows = rows.select(
-        "date", *(gmt(_at(p)).alias(c) for c, p in SLEEP_TIMES.items()), *(whole(p, "long").alias(c) for c, p in SLEEP_SECONDS.items()), *(whole(p, "int").alias(c) for c, p in SLEEP_COUNTS.items()),
+        *keep, "date", *(gmt(_at(p)).alias(c) for c, p in SLEEP_TIMES.items()), *(whole(p, "long").alias(c) for c, p in SLEEP_SECONDS.items()), *(whole(p, "int").alias(c) for c, p in SLEEP_COUNTS.items()),
         *(_at(p).alias(c) for c, p in SLEEP_VITALS.items()), F.coalesce(_at("$.retro"), F.lit(False)).alias("retro"),
     )
     some = F.coalesce("deep_s", "light_s", "rem_s").isNotNull()
@@ -153,8 +156,9 @@ def decode_sleep(records: DataFrame, column: str = "record") -> DataFrame:
 
 
 def expand_16bit(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """16-bit time stamps (ts16) completed from the last full one before them in their file."""
+    """16-bit time stamps (ts16) completed from the last full one before them in their file (last_full_s)."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     full = F.last("full_ts", True).over(w)
     delta = F.pmod(F.col("ts16") - F.pmod(full, F.lit(65536)), F.lit(65536))
-    return rows.withColumn("ts_s", F.when(F.col("ts16").isNull(), F.col("full_ts")).otherwise(full + F.when(delta >= 32768, delta - 65536).otherwise(delta)))
+    rows = rows.withColumn("last_full_s", full)
+    return rows.withColumn("ts_s", F.when(F.col("ts16").isNull(), F.col("full_ts")).otherwise(F.col("last_full_s") + F.when(delta >= 32768, delta - 65536).otherwise(delta)))

@@ -5,9 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import redact
 from ..operators.dedupe import first_write
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share; one is set only where the session names none and all runs on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="tideline-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def new_raw(found: DataFrame, existing: DataFrame) -> DataFrame:
     """found: stream, source_key, payload. Records not yet held: binary streams by payload hash alone, JSON streams by stream and key."""
     hashed = found.withColumn("payload_hash", F.sha2(F.col("payload").cast("binary"), 256))
@@ -25,6 +39,42 @@ def replay(kept: DataFrame, decoded: DataFrame, errors: DataFrame, force: bool =
     return decoded.unionByName(kept.join(errors.select("raw_id").distinct(), "raw_id", "left_semi"))
 
 
+def dry_run(decoded: DataFrame) -> DataFrame:
+    """What a replay would do, without doing it: records and failures of each stream, and the first error. decoded: stream, raw_id, error (null: it decodes)."""
+    bad = F.col("error").isNotNull()
+    return decoded.groupBy("stream").agg(
+        F.countDistinct("raw_id").alias("records"), F.countDistinct(F.when(bad, F.col("raw_id"))).alias("failures"), F.min(F.when(bad, F.struct("raw_id", "error"))).getField("error").alias("first_error")
+    )
+
+
+def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """All tables without the rows that come from the given records (raw_id); tables that know no record stay."""
+    return {n: delete_by_raw(df, gone) if "raw_id" in df.columns else df for n, df in tables.items()}
+
+
+def replay_record(tables: dict[str, DataFrame], one: DataFrame, decoded: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All tables with the rows of some records (raw_id) replaced by what they decode to now."""
+    left = delete_cascade(tables, one)
+    return {n: df.unionByName(decoded[n], allowMissingColumns=True) if n in decoded else df for n, df in left.items()}
+
+
+def keep_undecodable(found: DataFrame, decodable: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Records (stream, source_key, payload, start_ts, end_ts) of streams without a decoder: (raw rows that keep their bytes, a failure row for each)."""
+    mine = found.where(~F.col("stream").isin(*decodable)).withColumn("payload_hash", F.sha2(F.col("payload").cast("binary"), 256))
+    failures = mine.select("stream", F.col("payload_hash").alias("raw_id"), "start_ts", "end_ts", F.lit("no decoder for this stream").alias("error"))
+    return mine, failures
+
+
+def linked(records: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """Records with the marks (keys and whatever else) that they were seen under."""
+    return records.join(seen, keys)
+
+
+def corrupt(raw: DataFrame) -> DataFrame:
+    """Retained records whose bytes no longer have their hash: the round trip that every append is held to."""
+    return raw.where(F.sha2(F.col("payload").cast("binary"), 256) != F.col("payload_hash"))
+
+
 def delete_by_raw(facts: DataFrame, gone: DataFrame) -> DataFrame:
     return facts.join(gone.select("raw_id").distinct(), "raw_id", "left_anti")
 
@@ -38,6 +88,98 @@ def read_snapshot(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
 
 
+POINTER, RUNS = "CURRENT", "runs"
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def snapshots(spark: SparkSession, target: str) -> list[str]:
+    """Names of the snapshots of a store, oldest first; unfinished ones are left out."""
+    fs, p = _path(spark, target)
+    if not fs.exists(p):
+        return []
+    names = (s.getPath().getName() for s in fs.listStatus(p))
+    return sorted(n for n in names if n.startswith("snapshot-") and _exists(spark, f"{target}/{n}/tables"))
+
+
+def current(spark: SparkSession, target: str) -> dict[str, DataFrame]:
+    """The tables of the snapshot that the pointer names; none in a store without one."""
+    if not _exists(spark, f"{target}/{POINTER}"):
+        return {}
+    name = spark.read.text(f"{target}/{POINTER}").first()[0]
+    names = [r[0] for r in spark.read.parquet(f"{target}/{name}/tables").collect()]  # a row a table
+    return {n: read_snapshot(spark, f"{target}/{name}", n) for n in names}
+
+
+def publish(spark: SparkSession, target: str, tables: dict[str, DataFrame], run: str, cancelled=lambda: False) -> bool:
+    """Writes a snapshot beside the old ones, then moves the pointer by a rename. A run that breaks off or is cancelled moves nothing."""
+    name = f"snapshot-{run}"
+    for table, df in tables.items():
+        if cancelled():
+            return False
+        df.write.mode("overwrite").parquet(f"{target}/{name}/{table}")
+    spark.createDataFrame([(t,) for t in tables], "table string").coalesce(1).write.mode("overwrite").parquet(f"{target}/{name}/tables")
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/{POINTER}.new")
+    fs, new = _path(spark, f"{target}/{POINTER}.new")
+    _, old = _path(spark, f"{target}/{POINTER}")
+    fs.delete(old, True)
+    return fs.rename(new, old)
+
+
+def heal(spark: SparkSession, target: str) -> None:
+    """After a crash: a pointer that was written and not moved is moved, and runs that were begun and not ended are booked as interrupted."""
+    fs, new = _path(spark, f"{target}/{POINTER}.new")
+    _, old = _path(spark, f"{target}/{POINTER}")
+    if fs.exists(new) and _exists(spark, f"{target}/{POINTER}.new/_SUCCESS") and not fs.exists(old):
+        fs.rename(new, old)
+    for r in runs(spark, target).where("status = 'running'").collect():  # runs that broke off
+        finish_run(spark, target, r["run"], "interrupted", None)
+
+
+RUN_SCHEMA = "run string, at timestamp, transport string, status string, error string"
+
+
+def begin_run(spark: SparkSession, target: str, transport: str) -> str:
+    import uuid
+
+    run = uuid.uuid1().hex
+    _book(spark, target, run, transport, "running", None)
+    return run
+
+
+def finish_run(spark: SparkSession, target: str, run: str, status: str, error: str | None) -> None:
+    _book(spark, target, run, None, status, error)
+
+
+def _book(spark: SparkSession, target: str, run: str, transport: str | None, status: str, error: str | None) -> None:
+    row = spark.createDataFrame([(run, None, transport, status, error)], RUN_SCHEMA).withColumn("at", F.current_timestamp())
+    row.withColumn("error", redact(F.col("error"))).coalesce(1).write.mode("append").parquet(f"{target}/{RUNS}")
+
+
+def runs(spark: SparkSession, target: str) -> DataFrame:
+    """run, started_at, finished_at, transport, status, error: one row a run, from an append-only log of its events."""
+    log = spark.read.schema(RUN_SCHEMA).parquet(f"{target}/{RUNS}")
+    ended = F.col("status") != "running"
+    return log.groupBy("run").agg(
+        F.min("at").alias("started_at"), F.max(F.when(ended, F.col("at"))).alias("finished_at"), F.max("transport").alias("transport"),
+        F.coalesce(F.max_by(F.when(ended, F.col("status")), F.when(ended, F.col("at"))), F.lit("running")).alias("status"), F.max("error").alias("error"),
+    )
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """file, size and sha256 of every file below a folder: what a copied backup is held against."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select(F.regexp_replace("path", r"^.*?/(?=snapshot-|[^/]+/[^/]+$)", "").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     """table, n_rows and an order-independent checksum of each table: what a backup is verified against."""
     parts = [df.select(F.lit(n).alias("table"), F.xxhash64(*[df[c] for c in df.columns]).alias("h")).groupBy("table").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("h") % (1 << 31)).alias("checksum")) for n, df in tables.items()]

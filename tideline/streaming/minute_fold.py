@@ -31,3 +31,18 @@ def run_available(stream: DataFrame, table: str, checkpoint: str) -> None:
     """Appends everything that is there now to an in-memory table."""
     query = stream.writeStream.outputMode("append").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Appends everything that is there now to Parquet files, exactly once."""
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def overwrite_days(path: str, day: str) -> Callable[[DataFrame], None]:
+    """A sink that replaces the partitions of the days it gets, and no others."""
+
+    def sink(rows: DataFrame) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+    return sink

@@ -216,13 +216,19 @@ def test_worn_spans_go_over_midnight(spark):
     assert sorted((r.low, r.high) for r in intervals.worn_spans(df, "k").collect()) == [(86_300, 86_500), (86_500, 86_560), (300_000, 300_060)]
 
 
-def test_no_single_task_orders_all_rows(spark):
-    """Windows over everything hold a row a day or a change; readings and observations are dealt out by day."""
-    rows = spark.createDataFrame([(at(0), 1)], "ts timestamp, raw_id long")
-    offsets = spark.createDataFrame([(at(0), 3600, 1)], "ts timestamp, offset_s int, raw_id long")
-    plan = localday.with_local_day(rows, offsets)._jdf.queryExecution().optimizedPlan().toString()
-    whole = [line for line in plan.splitlines() if "Window" in line and "windowspecdefinition(m#" in line.replace(" ", "")]
-    assert not whole
+def test_regimes_of_many_observations(spark):
+    """Observations by the minute over days, with changes inside days, at midnights and none at all."""
+    rng = random.Random(12)
+    seen, offset = [], 0
+    for minute in range(0, 6 * 1440, 7):
+        if minute > 2 * 1440 and rng.random() < 0.01 or minute % 1440 < 7 and minute > 4000:
+            offset = rng.choice([0, 3600, 7200])
+        seen.append((at(60 * minute), offset, minute))
+    found = localday.regimes(spark.createDataFrame(seen, "ts timestamp, offset_s int, raw_id long")).orderBy("low2").collect()
+    changes = [(a[0], b[0], b[1]) for a, b in zip(seen, seen[1:]) if a[1] != b[1]]
+    us = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    assert [(r.low2, r.offset_s) for r in found] == [(-localday.ENDLESS, 0)] + [(us(a) + us(b), o) for a, b, o in changes]
+    assert [r.high2 for r in found] == [r.low2 for r in found[1:]] + [localday.ENDLESS]
 
 
 def test_first_contributor_in_content_order(spark):

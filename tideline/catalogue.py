@@ -1149,14 +1149,16 @@ LIVE_DAY = """, SP0 AS (SELECT ts AS a, ts + INTERVAL 600 SECOND AS b FROM S WHE
 SP1 AS (SELECT epoch_us(a) AS low, epoch_us(b) AS high FROM SP0 JOIN REG ra ON 2 * epoch_us(a) > ra.lo2 AND 2 * epoch_us(a) <= ra.hi2 JOIN REG rb ON 2 * epoch_us(b) > rb.lo2 AND 2 * epoch_us(b) <= rb.hi2
   WHERE CAST(a + to_seconds(CAST(ra.off AS BIGINT)) AS DATE) = DATE '2024-01-12' OR CAST(b + to_seconds(CAST(rb.off AS BIGINT)) AS DATE) = DATE '2024-01-12'),
 V0 AS (SELECT *, max(high) OVER (ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM SP1), V1 AS (SELECT *, sum(CASE WHEN low > before THEN 1 ELSE 0 END) OVER (ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS island FROM V0)
-SELECT min(low) AS low_us, max(high) AS high_us FROM V1 GROUP BY island"""
+, LD AS (SELECT min(low) AS low_us, max(high) AS high_us FROM V1 GROUP BY island)
+SELECT low_us, high_us, low_us + CAST(ra.off AS BIGINT) * 1000000 AS low_local, high_us + CAST(rb.off AS BIGINT) * 1000000 AS high_local FROM LD JOIN REG ra ON 2 * low_us > ra.lo2 AND 2 * low_us <= ra.hi2 JOIN REG rb ON 2 * high_us > rb.lo2 AND 2 * high_us <= rb.hi2"""
 
 
 @query(LIVE_DAY)
 def live_day(spark, d):
-    """Sessions of one local day: spans that begin or end on it, merged."""
+    """Sessions of one local day: spans that begin or end on it, merged, on both clocks."""
     spans_ = live_spans(spark, d).select(F.timestamp_micros("low").alias("start_ts"), F.timestamp_micros("high").alias("end_ts"))
-    return series.live_sessions(spans_, A.offsets(spark, d), "2024-01-12").select(F.unix_micros("start_ts").alias("low_us"), F.unix_micros("end_ts").alias("high_us"))
+    found = series.with_local_ends(series.live_sessions(spans_, A.offsets(spark, d), "2024-01-12"), A.offsets(spark, d))
+    return found.select(*(F.unix_micros(c).alias(a) for c, a in (("start_ts", "low_us"), ("end_ts", "high_us"), ("start_local", "low_local"), ("end_local", "high_local"))))
 
 
 @query("""SELECT ord, t.metric, count(value) AS minutes, quantile_disc(value, 0.5) AS median FROM (VALUES (0, 'view'), (1, 'never'), (2, 'click')) t(ord, metric) LEFT JOIN (SELECT * FROM L WHERE local_day = DATE '2024-01-12') x ON t.metric = x.metric GROUP BY ALL""")

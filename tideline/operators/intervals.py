@@ -22,8 +22,9 @@ def merge(spans: DataFrame, *by: str, bucket: int | None = None) -> DataFrame:
     before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a group and bucket
     found = found.join(reach.withColumn("reached", F.max("top").over(before)), [*by, "bucket"])
     found = found.withColumn("kind", F.when(F.col("low") <= F.col("reached"), 1).when(F.col("high") == F.col("top"), 2).otherwise(0))
-    edges = found.where("kind > 0").groupBy(*by, "bucket", "kind").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return found.where("kind = 0").select(*by, "low", "high").unionByName(_islands(edges.select(*by, "low", "high"), by))
+    alone = F.when(F.col("kind") == 0, F.col("low"))  # islands that touch no other bucket stay by themselves
+    edges = found.groupBy(*by, "bucket", "kind", alone.alias("alone")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return _islands(edges.select(*by, "alone", "low", "high"), (*by, "alone")).drop("alone")
 
 
 def _islands(spans: DataFrame, by: tuple[str, ...]) -> DataFrame:

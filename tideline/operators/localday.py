@@ -25,13 +25,12 @@ def regimes(offsets: DataFrame) -> DataFrame:
     """
     seen = offsets.where(F.col("ts").isNotNull()).groupBy(micros(F.col("ts")).alias("m")).agg(F.max_by("offset_s", "raw_id").alias("offset_s"))
     seen = seen.withColumn("day", F.floor(F.col("m") / DAY_US))
-    within = Window.partitionBy("day").orderBy("m")
-    inner = seen.withColumn("before", F.lag(F.struct("m", "offset_s")).over(within)).where(F.col("before.offset_s") != F.col("offset_s"))
-    ends = seen.groupBy("day").agg(F.min(F.struct("m", "offset_s")).alias("first"), F.max(F.struct("m", "offset_s")).alias("last"))
-    ends = ends.withColumn("before", F.lag("last").over(Window.orderBy("day")))
-    outer = ends.where(F.col("before").isNull() | (F.col("before.offset_s") != F.col("first.offset_s"))).select("before", F.col("first.m").alias("m"), F.col("first.offset_s").alias("offset_s"))
-    changes = inner.select("before", "m", "offset_s").unionByName(outer)
-    starts = changes.select(F.coalesce(F.col("before.m") + F.col("m"), F.lit(-ENDLESS)).alias("low2"), "offset_s")
+    within, whole = Window.partitionBy("day").orderBy("m"), Window.orderBy("m")
+    lag, lead = F.lag(F.struct("m", "offset_s")).over(within), F.lead("m").over(within)
+    kept = seen.withColumn("before", lag).withColumn("next", lead)
+    kept = kept.where(F.col("before").isNull() | F.col("next").isNull() | (F.col("before.offset_s") != F.col("offset_s")))  # a day's first and last one, and its changes
+    kept = kept.withColumn("before", F.coalesce("before", F.lag(F.struct("m", "offset_s")).over(whole)))
+    starts = kept.where(F.col("before").isNull() | (F.col("before.offset_s") != F.col("offset_s"))).select(F.coalesce(F.col("before.m") + F.col("m"), F.lit(-ENDLESS)).alias("low2"), "offset_s")
     return starts.select("low2", F.coalesce(F.lead("low2").over(Window.orderBy("low2")), F.lit(ENDLESS)).alias("high2"), "offset_s")
 
 
@@ -43,15 +42,14 @@ def with_offset(rows: DataFrame, offsets: DataFrame, ts: str = "ts") -> DataFram
     """
     found = regimes(offsets)
     first_day = lambda c: F.floor(c / (2 * DAY_US))
-    edge = found.select(
-        F.min(F.when(F.col("low2") > -ENDLESS, first_day(F.col("low2")))).alias("first_day"), F.max(F.when(F.col("high2") < ENDLESS, first_day(F.col("high2")))).alias("last_day"),
-        F.min_by("offset_s", "low2").alias("first_offset"), F.max_by("offset_s", "low2").alias("last_offset"),
-    )
-    edge = edge.select(F.coalesce("first_day", F.lit(0)).alias("first_day"), F.coalesce("last_day", F.lit(-1)).alias("last_day"), "first_offset", "last_offset")  # one row
+    low_day = F.min(F.when(F.col("low2") > -ENDLESS, first_day(F.col("low2"))))
+    high_day = F.max(F.when(F.col("high2") < ENDLESS, first_day(F.col("high2"))))
+    edge = found.select(F.coalesce(low_day, F.lit(0)).alias("first_day"), F.coalesce(high_day, F.lit(-1)).alias("last_day"), F.min_by("offset_s", "low2").alias("first_offset"), F.max_by("offset_s", "low2").alias("last_offset"))  # one row
+    every = Window.partitionBy()
+    found = found.withColumn("first_day", low_day.over(every)).withColumn("last_day", high_day.over(every)).where("first_day <= last_day")
     low = F.when(F.col("low2") == -ENDLESS, F.col("first_day")).otherwise(first_day(F.col("low2")))
     high = F.when(F.col("high2") == ENDLESS, F.col("last_day")).otherwise(first_day(F.col("high2")))
-    spread = found.crossJoin(F.broadcast(edge)).where("first_day <= last_day")
-    spread = spread.select("low2", "high2", F.col("offset_s").alias("found_offset"), F.explode(F.sequence(low, high)).alias("regime_day"))
+    spread = found.select("low2", "high2", F.col("offset_s").alias("found_offset"), F.explode(F.sequence(low, high)).alias("regime_day"))
     keyed = rows.withColumn("us_", micros(F.col(ts))).crossJoin(F.broadcast(edge)).withColumn("day_", F.floor(F.col("us_") / DAY_US))
     outside = F.when(F.col("day_") > F.col("last_day"), F.col("last_offset")).when(F.col("day_") < F.col("first_day"), F.col("first_offset"))
     keyed = keyed.withColumn("edge_offset", outside)

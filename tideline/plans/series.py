@@ -226,22 +226,24 @@ def sleep_sessions(sessions: DataFrame, stages: DataFrame, offsets: DataFrame |
 
 
 def live_sessions(spans: DataFrame, offsets: DataFrame, day) -> DataFrame:
-    """start_ts, end_ts, start_local, end_local of the runs of overlapping or touching record spans (start_ts, end_ts) that begin or end on a local day.
+    """start_ts, end_ts of the runs of overlapping or touching record spans (start_ts, end_ts) that begin or end on a local day.
 
-    Only spans within two days of it are read.
+    Only spans within some days of it are read; both ends of a span meet the offsets in one join.
     """
     at = F.lit(day).cast("date")
     near = spans.where((F.col("end_ts") >= at.cast("timestamp") - F.expr("INTERVAL 2 DAYS")) & (F.col("start_ts") < at.cast("timestamp") + F.expr("INTERVAL 3 DAYS")))
-    both = near.select("start_ts", "end_ts")
-    for c in ("start", "end"):
-        both = with_local_day(both, offsets, f"{c}_ts").withColumnRenamed("local_day", f"{c}_day").drop("offset_s", "assumed_utc")
     # a span without length is a session too, so ends are taken as inclusive
-    mine = both.where((F.col("start_day") == at) | (F.col("end_day") == at)).select(micros(F.col("start_ts")).alias("low"), (micros(F.col("end_ts")) + 1).alias("high"))
-    touching = merge(mine, bucket=86_400_000_000)
-    out = touching.select(F.timestamp_micros("low").alias("start_ts"), F.timestamp_micros(F.col("high") - 1).alias("end_ts"))
-    for c in ("start", "end"):
-        out = with_offset(out, offsets, f"{c}_ts").withColumn(f"{c}_local", local_clock(F.col(f"{c}_ts"), F.col("offset_s"))).drop("offset_s", "assumed_utc")
-    return out
+    ends = near.select(micros(F.col("start_ts")).alias("low"), (micros(F.col("end_ts")) + 1).alias("high"), F.explode(F.array("start_ts", "end_ts")).alias("ts"))
+    mine = with_local_day(ends, offsets).where(F.col("local_day") == at).select("low", "high").distinct()
+    return merge(mine, bucket=86_400_000_000).select(F.timestamp_micros("low").alias("start_ts"), F.timestamp_micros(F.col("high") - 1).alias("end_ts"))
+
+
+def with_local_ends(sessions: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Adds start_local and end_local (the wearer's clock) to sessions (start_ts, end_ts)."""
+    ends = sessions.select("start_ts", "end_ts", F.explode(F.array("start_ts", "end_ts")).alias("ts")).distinct()
+    clock = with_offset(ends, offsets).withColumn("local", local_clock(F.col("ts"), F.col("offset_s"))).groupBy("start_ts", "end_ts")
+    at = lambda c: F.max(F.when(F.col("ts") == F.col(f"{c}_ts"), F.col("local"))).alias(f"{c}_local")
+    return sessions.join(clock.agg(at("start"), at("end")), ["start_ts", "end_ts"], "left")
 
 
 def session_minutes(sessions: DataFrame, minutes: DataFrame) -> DataFrame:

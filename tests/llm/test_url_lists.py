@@ -55,3 +55,11 @@ def test_odd_urls_and_repeats(spark):
 def test_empty_tables(spark):
     assert run(spark, [], [("d:a.org", "block", "add", day(0))]) == {}
     assert not run(spark, [(1, "http://a.org", day(1), "", "")], [])[(1, day(1))].blocked
+
+
+def test_addresses_and_very_long_urls(spark):
+    events = [("d:[2001:db8::1]", "block", "add", day(1)), ("d:10.0.0.1", "block", "add", day(1)), ("d:0.1", "block", "add", day(1)), ("p:a.org/x", "block", "add", day(1)), ("d:org", "allow", "add", day(1))]
+    urls = ["http://u@[2001:DB8::1]:80/p", "http://10.0.0.1/", "http://10.0.0.2/", "http://a.org/x" + "/y" * 200_000, "http://" + "b." * 100_000 + "org/"]
+    got = run(spark, [(i, u, day(2), "k", "r") for i, u in enumerate(urls)], events)
+    assert [got[i, day(2)].rule_key for i in range(5)] == ["d:[2001:db8::1]", "d:10.0.0.1", None, "p:a.org/x", "d:org"]
+    assert got[0, day(2)].host == "[2001:db8::1]"

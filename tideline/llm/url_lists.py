@@ -6,7 +6,9 @@ covers what is below that path. The longest active key decides; a path wins agai
 
 Defined results: events of one key are ordered by (at, action) and the last one before or at the fetch holds, so a
 removal wins a tie; events with a null key or time, and captures with a null time, match nothing; a null or odd URL has
-host '' and no keys; repeated captures are one row with ``n_captures``; an empty list lets everything through.
+host '' and no keys; IP addresses (IPv6 in brackets) have no parent domains; repeated captures are one row with ``n_captures``; an
+empty list lets everything through. Of a very long URL only as many labels and parts make keys as the longest listed keys have,
+so keys stay few and none that could match is left out.
 
 The join is an equality join on the key with the interval as its condition. The list has one active entry a key at any
 time, so a host with a third of all rows makes no more than one row a capture and key, and adaptive execution can split it.
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
+ADDRESS = r"^([0-9]+(\.[0-9]+){3}|\[.*\])$"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
 FOREVER = "9999-12-31"
 
@@ -28,11 +31,23 @@ def host_of(url: Column) -> Column:
     return F.rtrim(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1)), F.lit("."))
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    labels, parts = F.split(host, r"\."), F.split(path, "/")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+def keys_of(host: Column, path: Column, most_labels: Column, most_parts: Column) -> Column:
+    """Keys that can match: no longer in labels and parts than the longest listed ones. An address is its own only domain."""
+    none = F.array().cast("array<string>")
+    labels = F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.split(host, r"\."))
+    parts = F.slice(F.split(path, "/", -1), F.lit(1), F.greatest(most_parts, F.lit(1)))
+    first = F.greatest(F.size(labels) - most_labels + 1, F.lit(1))
+    domains = F.transform(F.sequence(first, F.size(labels)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     below = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.concat(F.lit("p:"), host, F.array_join(F.slice(parts, F.lit(1), i), "/")))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, F.when(F.size(parts) > 1, below).otherwise(F.array().cast("array<string>")))))
+    return F.when(host == "", none).otherwise(F.array_distinct(F.concat(F.when(first <= F.size(labels), domains).otherwise(none), F.when(F.size(parts) > 1, below).otherwise(none))))
+
+
+def longest(events: DataFrame) -> DataFrame:
+    """One row: the most labels of a listed domain (an address counts as one) and the most parts of a listed path."""
+    text = F.substring("key", 3, 1 << 30)
+    labels = F.when(text.rlike(ADDRESS), 1).otherwise(F.size(F.split(text, r"\.")))
+    most = events.agg(F.max(F.when(F.col("key").startswith("d:"), labels)).alias("l"), F.max(F.when(F.col("key").startswith("p:"), F.size(F.split(text, "/")))).alias("p"))
+    return most.select(F.coalesce("l", F.lit(0)).alias("most_labels"), F.coalesce("p", F.lit(0)).alias("most_parts"))
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -50,7 +65,9 @@ def filter_urls(captures: DataFrame, events: DataFrame) -> DataFrame:
     """captures: page_id, url, fetched (date). One row a distinct capture with the entry that decides, if any."""
     seen = captures.groupBy("page_id", "url", "fetched").agg(F.count(F.lit(1)).alias("n_captures"))
     seen = seen.withColumn("host", host_of(F.col("url")))
-    keyed = seen.withColumn("key", F.explode_outer(keys_of(F.col("host"), F.regexp_extract(F.coalesce("url", F.lit("")), PATH, 1))))
+    path = F.regexp_extract(F.coalesce("url", F.lit("")), PATH, 1)
+    keys = keys_of(F.col("host"), path, F.col("most_labels"), F.col("most_parts"))
+    keyed = seen.crossJoin(F.broadcast(longest(events))).withColumn("key", F.explode_outer(keys)).drop("most_labels", "most_parts")
     listed = intervals(events).withColumnRenamed("key", "listed")
     hit = keyed.join(
         listed, (F.col("key") == F.col("listed")) & (F.col("valid_from") <= F.col("fetched")) & (F.col("fetched") < F.col("valid_to")), "left"
@@ -99,7 +116,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH p AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id * 7919 % 366 AS INTEGER) AS DATE) AS fetched,
-    rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+    rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)), '.') AS host,
     regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 h AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS n FROM p WHERE contains(host, '.')),
 d AS (SELECT host, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS n
@@ -116,7 +133,8 @@ act AS (SELECT key, verdict, CAST(DATE '2024-01-01' + CAST(k AS INTEGER) AS DATE
 c AS (SELECT page_id, url, fetched, host, path, count(*) AS n_captures FROM p GROUP BY ALL),
 ks AS (
   SELECT c.*, unnest(list_distinct(list_concat(
-      list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: 'd:' || array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')),
+      CASE WHEN regexp_matches(host, '^([0-9]+(\.[0-9]+){3}|\[.*\])$') THEN ['d:' || host] ELSE
+      list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: 'd:' || array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')) END,
       list_transform(range(2, len(string_split(path, '/')) + 1), lambda i: 'p:' || host || array_to_string(list_slice(string_split(path, '/'), 1, i), '/'))))) AS key
   FROM c WHERE host <> ''),
 b AS (SELECT page_id, url, fetched, max_by(act.key, (length(act.key), act.key)) AS rule_key, max_by(act.f, (length(act.key), act.key)) AS rule_from,

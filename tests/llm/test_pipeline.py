@@ -1,29 +1,81 @@
+import hashlib
 import os
 
+import numpy as np
+import public_tokenizers
 import pytest
 
+from .helpers import ODD, docs, empty
+from .test_forest import brute as alike
+from .test_repeats import brute as repeated
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-DATA = "/root/testdata/sf0.001"
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-def test_stages(spark, tmp_path):
-    """Each stage does its work on what the one before kept, and the last packs all that is left."""
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    columns, labels = docs.columns, {r.doc_id: r for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
-    left = {}
+def through(spark, found, sf_dir, folder):
+    """What each stage gets and gives, written and read again in between."""
+    out = {}
     for name, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, DATA).write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-        left[name] = docs.collect()
-        if name != "packing":
-            assert docs.columns == columns
-    ids = {n: {r.doc_id for r in rows} for n, rows in left.items()}
-    assert ids["substring_dedup"] == ids["near_duplicates"] <= ids["quality"] <= ids["toxicity"]
-    toxic = {k for k, r in labels.items() if r.toxic}  # eleven rows to learn from; larger tables are held to more by the check
-    assert len(toxic & ids["toxicity"]) <= len(toxic) / 2
-    clean = [k for k, r in labels.items() if not r.toxic and r.quality]
-    assert sum(k in ids["quality"] for k in clean) >= 0.97 * len(clean)
-    texts = [r.text for r in left["near_duplicates"] if r.text and r.text.strip()]
-    assert len(texts) == len(set(texts))
-    assert {p.doc_id for p in left["packing"]} == ids["substring_dedup"]
+        before = found
+        stage(spark, before, sf_dir).write.parquet(str(folder / name))
+        found = spark.read.parquet(str(folder / name))
+        out[name] = before, found
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Stages that have one right answer, against the definition, each on what the one before kept; and nothing else changes."""
+    from tokenizers import Tokenizer
+
+    source = spark.read.parquet(f"{SMALL}/documents.parquet")
+    out = through(spark, source, SMALL, tmp_path)
+    rows = {n: ({r.doc_id: r for r in a.collect()}, {r.doc_id: r for r in b.collect()} if n != "packing" else b.collect()) for n, (a, b) in out.items()}
+    assert all(b.columns == source.columns for n, (_, b) in out.items() if n != "packing")
+    for name in ("toxicity", "quality", "near_duplicates"):
+        before, after = rows[name]
+        assert all(before[k] == r for k, r in after.items())
+    before, after = rows["near_duplicates"]
+    classes = alike([(k, r.text) for k, r in before.items()])
+    assert set(after) == {k for k, (c, _, _) in classes.items() if k == c}
+    before, after = rows["substring_dedup"]
+    want = repeated([(k, r.text) for k, r in before.items()])
+    assert set(after) == set(before)
+    for k, r in after.items():
+        (n, gone, sha), = want[k]
+        assert hashlib.sha256(" ".join((r.text or "").encode().decode().split(" ")).encode()).hexdigest() == sha if gone else r == before[k]
+    before, pieces = rows["packing"]
+    library, got = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}
+    for p in pieces:
+        got[p.doc_id] = got.get(p.doc_id, 0) + p.length
+    assert got == {k: len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for k, r in before.items()}
+
+
+@pytest.mark.skipif(not os.path.isdir(MIDDLE), reason="no test tables here")
+def test_filters_keep_the_clean(spark, tmp_path):
+    """Where there is something to learn from: toxic documents go, clean ones stay, bad ones mostly go."""
+    found = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        stage(spark, found, MIDDLE).write.parquet(str(tmp_path / name))
+        found = spark.read.parquet(str(tmp_path / name))
+        left[name] = {r.doc_id for r in found.select("doc_id").collect()}
+    toxic, clean = ({k for k, r in labels.items() if r.toxic == t} for t in (1, 0))
+    assert len(toxic & left["toxicity"]) <= 0.1 * len(toxic) and len(clean - left["toxicity"]) <= 0.02 * len(clean)
+    good, bad = ({k for k, r in labels.items() if r.quality == q and k in left["toxicity"]} for q in (1, 0))
+    assert len(good - left["quality"]) <= 0.03 * len(good) and len(bad & left["quality"]) <= 0.15 * len(bad)
+
+
+def test_odd_and_empty_tables(spark, tmp_path):
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    odd = docs(spark, [*ODD, *ODD])
+    out = through(spark, odd, str(tmp_path), tmp_path / "odd")
+    assert all(b.columns == odd.columns for n, (_, b) in out.items() if n != "packing")
+    kept = out["near_duplicates"][1].collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "2", "3", "4", "5", "8", "9", "10", "None", "None"])
+    assert {str(p.doc_id) for p in out["packing"][1].collect()} == {str(r.doc_id) for r in kept}
+    out = through(spark, empty(spark), str(tmp_path), tmp_path / "empty")
+    assert all(b.count() == 0 for _, b in out.values())

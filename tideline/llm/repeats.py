@@ -161,9 +161,10 @@ def stretches(rows: DataFrame) -> DataFrame:
 
 
 def pieces(marked: DataFrame) -> DataFrame:
-    """doc_id, digest and marks (at, n, lead_id, lead_digest, lead_at: windows alike by name) -> the same in pieces.
+    """doc_id, digest and marks (at, n, lead_id, lead_digest, lead_at: windows alike by name) -> the same in pieces (n, span, skip, places at).
 
     Marks that continue each other on both sides become one, which is cut where the leading text's windows pass a multiple of ``SPAN``.
+    Pieces of one place of the leading text, such as those of a line that repeats, are one row with all their places.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,17 +183,20 @@ def pieces(marked: DataFrame) -> DataFrame:
                         high = max(high, last)
                 if line is not None:
                     segments.append((line, low, high))
+                places: dict[tuple, list[int]] = {}
                 for (lead_id, lead_digest, shift), first, last in segments:
                     while first < last:
                         span, skip = divmod(first, SPAN)
                         n = min(last, (span + 1) * SPAN) - first
-                        for c, v in zip(out, (doc_id, digest, first + shift, n, lead_id, lead_digest, span, skip), strict=True):
-                            out[c].append(v)
+                        places.setdefault((n, lead_id, lead_digest, span, skip), []).append(first + shift)
                         first += n
-            types = {"doc_id": pa.int64(), "lead_id": pa.int64(), "digest": pa.binary(), "lead_digest": pa.binary()}
+                for (n, lead_id, lead_digest, span, skip), at in places.items():
+                    for c, v in zip(out, (doc_id, digest, at, n, lead_id, lead_digest, span, skip), strict=True):
+                        out[c].append(v)
+            types = {"doc_id": pa.int64(), "lead_id": pa.int64(), "digest": pa.binary(), "lead_digest": pa.binary(), "at": pa.list_(pa.int32())}
             yield batch(**{c: pa.array(v, types.get(c, pa.int32())) for c, v in out.items()})
 
-    return marked.mapInArrow(tidy(run), "doc_id long, digest binary, at int, n int, lead_id long, lead_digest binary, span int, skip int")
+    return marked.mapInArrow(tidy(run), "doc_id long, digest binary, at array<int>, n int, lead_id long, lead_digest binary, span int, skip int")
 
 
 def spans(rows: DataFrame) -> DataFrame:
@@ -211,7 +215,7 @@ def spans(rows: DataFrame) -> DataFrame:
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """doc_id, digest, text and marks (at, n, skip, words of the leading span) -> what is left of the text.
+    """doc_id, digest, text and marks (places at, n, skip, words of the leading span) -> what is left of the text.
 
     A mark's windows are removed if their words are those of the leading text.
     """
@@ -223,10 +227,12 @@ def cut(rows: DataFrame) -> DataFrame:
                 words = text.split()
                 change = np.zeros(len(words) + 1, np.int64)
                 for m in marks:
-                    at, size = m["at"], m["n"] + WINDOW - 1
-                    if words[at : at + size] == m["words"].split()[m["skip"] : m["skip"] + size]:
-                        change[at] += 1
-                        change[at + size] -= 1
+                    size = m["n"] + WINDOW - 1
+                    first = m["words"].split()[m["skip"] : m["skip"] + size]
+                    for at in m["at"]:
+                        if words[at : at + size] == first:
+                            change[at] += 1
+                            change[at + size] -= 1
                 covered = np.cumsum(change)[:-1] > 0
                 removed.append(int(covered.sum()))
                 left.append(b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c]))

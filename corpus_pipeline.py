@@ -3,6 +3,11 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of ``documents``; the last returns
 pieces of packed sequences. A stage reads only what the one before it kept, and of the other tables only ``labels``.
+
+Defined results: without labels of both kinds the filters keep everything; null and empty texts are scored as texts without
+words and link to nothing; rows alike in doc_id and text are one document from ``near_duplicates`` on, rows that share only a doc_id are
+two; rows without doc_id are scored, never deduplicated, and packed under a null doc_id; an empty table gives an empty result at every
+stage; columns beyond those of ``documents`` are carried along, whatever their names.
 """
 
 from __future__ import annotations

@@ -265,3 +265,22 @@ def test_target_pairs_reads_the_whole_mapping(spark):
     daily = spark.createDataFrame(rows, "metric string, scope string, day int, value double")
     targets = spark.createDataFrame([(f"m{i}", "local", f"t{i}", "vendor_cloud") for i in range(100)], "metric string, scope_a string, compared_with string, scope_b string")
     assert {(r.metric, r.a, r.b) for r in series.target_pairs(daily, targets).collect()} == {(f"m{i}", float(i), float(i)) for i in range(100)}
+
+
+def test_axes_of_flat_and_small_series(spark):
+    rows = [("flat", 50.0), ("flat", 50.0), ("none", 0.0), ("small", 0.011), ("small", 0.052), ("wide", -3.0), ("wide", 12_345.0)]
+    got = {r.metric: r for r in series.axes(spark.createDataFrame(rows, "metric string, value double"), "metric").collect()}
+    assert (got["flat"].low, got["flat"].high) == (47.5, 52.5) and got["flat"].labels == ["48", "49", "50", "51", "52"]
+    assert (got["none"].low, got["none"].high) == (-1, 1) and got["none"].labels == ["-1.0", "-0.5", "0.0", "0.5", "1.0"]
+    assert got["small"].step == pytest.approx(0.01) and got["small"].labels == ["0.01", "0.02", "0.03", "0.04", "0.05"]
+    assert got["wide"].step == 5000 and got["wide"].ticks == [0, 5000, 10_000]
+    zero = series.axes(spark.createDataFrame(rows[:2], "metric string, value double"), "metric", zero=True).first()
+    assert zero.low == -4 and zero.high == 54
+
+
+def test_chart_of_points(spark):
+    days = [1, 2, 3, 9, 10, 11, 12, 13, 14]
+    rows = [("m", "device", dt.date(2024, 1, d), float(d)) for d in days]
+    got = {r.day.day: r for r in series.metric_chart(spark.createDataFrame(rows, "metric string, scope string, day date, value double")).collect()}
+    assert [got[d].run for d in days] == [0] * 3 + [1] * 6
+    assert {d: r.mean for d, r in got.items() if r.mean is not None} == {12: 10.5, 13: 11.0, 14: 11.5}

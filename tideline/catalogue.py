@@ -623,6 +623,20 @@ def chain_gaps(spark, d):
     return sequences.chain_gaps(chain.where("seq % 10 <> 3"))
 
 
+@query("SELECT stream, raw_id, d AS digest FROM (SELECT stream, raw_id, CASE WHEN raw_id % 7 > 0 THEN CAST(start_ts AS DATE) END AS day, md5(CAST(raw_id % 50 AS VARCHAR)) AS d FROM RAW) QUALIFY row_number() OVER (PARTITION BY stream ORDER BY day NULLS FIRST, d, raw_id) = 1")
+def content_ordered(spark, d):
+    """The first record of each stream in content order: those without a start come first."""
+    rows = A.raw(spark, d).select("stream", "raw_id", F.when(F.col("raw_id") % 7 > 0, F.to_date("start_ts")).alias("day"), F.md5((F.col("raw_id") % 50).cast("string")).alias("digest"))
+    return rows.groupBy("stream").agg(F.min_by(F.struct("raw_id", "digest"), dedupe.content_order("day", "digest", "stream", "raw_id")).alias("r")).select("stream", "r.*")
+
+
+@query("SELECT DISTINCT stream, a AS from_day, b AS to_day FROM CLAIM")
+def claims_once(spark, d):
+    """Ranges that several exports claim alike are one."""
+    c = A.claims(spark, d)
+    return dedupe.first_write(c.unionByName(c).withColumn("run", F.monotonically_increasing_id()), ["stream", "from_day", "to_day"], ["run"]).drop("run")
+
+
 # -- health ---------------------------------------------------------------------------------------------------------------
 
 
@@ -1175,6 +1189,23 @@ def redact_text(spark, d):
     return t.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("long").alias("n_chars"))
 
 
+@query("SELECT doc_id, md5(regexp_replace(coalesce(text, ''), 'idiot|the', '{name}', 'gi')) AS digest FROM documents", views=False)
+def scrubbed_names(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", F.md5(scalars.scrub(F.coalesce("text", F.lit("")), ["the", "idiot"]).cast("binary")).alias("digest"))
+
+
+@query("""SELECT '{"stream":"' || stream || '","n":' || raw_id || CASE WHEN raw_id % 2 = 0 THEN ',"even":true' ELSE '' END || '}' AS json FROM RAW""")
+def records_as_json(spark, d):
+    """Absent values have no key; identifiers are left out."""
+    r = A.raw(spark, d).select("device_id", "stream", F.col("raw_id").alias("n"), F.when(F.col("raw_id") % 2 == 0, F.lit(True)).alias("even"))
+    return store.as_json(r, "device_id")
+
+
+@query("SELECT greatest(DATE '2024-01-10', CAST(TIMESTAMP '2024-01-10 22:30:00' + to_seconds(CAST(off AS BIGINT)) AS DATE)) AS today FROM REG WHERE 2 * epoch_us(TIMESTAMP '2024-01-10 22:30:00') > lo2 AND 2 * epoch_us(TIMESTAMP '2024-01-10 22:30:00') <= hi2")
+def local_today(spark, d):
+    return localday.local_today(A.offsets(spark, d), datetime.datetime(2024, 1, 10, 22, 30))
+
+
 @query(f"SELECT url, md5(t) AS digest FROM (SELECT url, {scalars.redact_sql('url', (scalars.EMAIL, scalars.ANY_LONG_NUMBER))} AS t FROM pages)", views=False)
 def mask_label(spark, d):
     return A.table(spark, d, "pages").select("url", F.md5(scalars.mask_label(F.col("url")).cast("binary")).alias("digest"))
@@ -1190,6 +1221,34 @@ def instants(spark, d):
     return back
 
 
+@query("""WITH R AS (SELECT o_orderpriority AS metric, o_orderstatus AS k, min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders GROUP BY ALL), A AS (SELECT metric, k, a - (b - a) * 0.08 AS low, b + (b - a) * 0.08 AS high FROM R WHERE a < b),
+U AS (SELECT *, (high - low) / 5 AS raw, pow(10, floor(log10((high - low) / 5))) AS u FROM A), T AS (SELECT *, CASE WHEN raw <= u THEN u WHEN raw <= 2 * u THEN 2 * u WHEN raw <= 2.5 * u THEN 2.5 * u WHEN raw <= 5 * u THEN 5 * u ELSE 10 * u END AS step FROM U)
+SELECT metric, k, step, string_agg(CAST(CAST(round(i * step) AS BIGINT) AS VARCHAR), ' ' ORDER BY i) AS labels FROM (SELECT *, unnest(range(CAST(ceil(low / step - 1e-9) AS BIGINT), CAST(floor(high / step + 1e-9) AS BIGINT) + 1)) AS i FROM T) GROUP BY ALL""", views=False)
+def chart_axes(spark, d):
+    o = A.table(spark, d, "orders").select(F.col("o_orderpriority").alias("metric"), F.col("o_orderstatus").alias("k"), F.col("o_totalprice").alias("value"))
+    return series.axes(o, "metric", "k").select("metric", "k", "step", F.array_join("labels", " ").alias("labels"))
+
+
+@query("""WITH N AS (SELECT event_id, greatest(event_id * 37, 65536) AS n, CAST(floor(log2(greatest(event_id * 37, 65536))) AS BIGINT) AS e FROM events), B AS (SELECT *, (1 << CAST(e - CAST(floor(log2(e)) AS BIGINT) - 1 AS INTEGER)) AS block FROM N)
+SELECT event_id, (n + block - 1) // block * block AS padded FROM B""", views=False)
+def padded_lengths(spark, d):
+    return A.table(spark, d, "events").select("event_id", scalars.padded_length(F.col("event_id") * 37).alias("padded"))
+
+
+SUPPLIED = {
+    ("device", "fit:hrv"): 8, ("device", "fit:metrics"): 2, ("device", "fit:monitoring_b"): 8, ("device", "fit:skin_temp"): 3, ("device", "fit:sleep"): 2, ("live", "json:live"): 5, ("local", "fit:monitoring_b"): 9,
+    ("vendor_cloud", "json:biometrics"): 1, ("vendor_cloud", "json:endurance"): 1, ("vendor_cloud", "json:fitness_age"): 1, ("vendor_cloud", "json:readiness"): 11, ("vendor_cloud", "json:sleep"): 2, ("vendor_cloud", "json:training_load"): 4,
+    ("vendor_cloud", "json:uds"): 25, ("vendor_cloud", "json:vo2max"): 2,
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{scope}', '{s}', CAST({n} AS BIGINT))" for (scope, s), n in SUPPLIED.items()) + ") t(scope, stream, n)", views=False)
+def contract_streams(spark, d):
+    """How many metrics each stream supplies to each scope, as counted by hand."""
+    supplied = contract.dump(spark).select(F.inline("supplied")).select("scope", F.explode("streams").alias("stream"))
+    return supplied.groupBy("scope", "stream").agg(F.count(F.lit(1)).alias("n"))
+
+
 CONTRACT_UNITS = {
     "bpm": 5, "score": 14, "breaths/min": 4, "%": 9, "ms": 7, "steps": 1, "m": 1, "min": 5, "kcal": 3, "kcal/day": 1, "degC": 3, "mL/kg/min": 1, "h": 1, "load": 2, "ratio": 1, "years": 1, "kg": 1, "mL": 2, "label": 5,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SAMPLE, DAILY = "sample", "daily"
 
@@ -94,6 +95,13 @@ def streams(spark: SparkSession, sessions: bool = False) -> DataFrame:
     return spark.createDataFrame([(m, scope, s) for s, by in SUPPLIES.items() if sessions or s != SESSION_STREAM for scope, ms in by.items() for m in ms], "metric string, scope string, stream string")
 
 
+def dump(spark: SparkSession) -> DataFrame:
+    """The whole contract: each metric with its unit, cadence, whether it is sparse or by the minute, and the streams of each scope that supply it."""
+    supplied = streams(spark, True).groupBy("metric", "scope").agg(F.array_sort(F.collect_list("stream")).alias("streams"))
+    supplied = supplied.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("scope", "streams"))).alias("supplied"))
+    return metrics(spark).join(supplied, "metric", "left").withColumn("target", F.create_map(*(F.lit(x) for pair in TARGETS.items() for x in pair))[F.col("metric")]).orderBy("ord")
+
+
 def sort_out(names: list[str]) -> tuple[list[str], list[str], list[str]]:
     """(numeric metrics, labels, unknown names), each in order and without repeats."""
     seen = list(dict.fromkeys(names))

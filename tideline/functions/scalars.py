@@ -133,6 +133,18 @@ def scrub(text: Column, names: list[str], mark: str = "{name}") -> Column:
     return F.regexp_replace(text, "(?i)" + "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)), mark) if names else text
 
 
+PAD_FLOOR = 64 * 1024
+
+
+def padded_length(length: Column) -> Column:
+    """The length that a bundle is padded to: rounded up so that its leading bits alone tell its size (the Padmé rule)."""
+    n = F.greatest(length, F.lit(PAD_FLOOR)).cast("long")
+    exponent = F.length(F.bin(n)) - 1
+    low = exponent - F.length(F.bin(exponent.cast("long")))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1
+    return (n + mask).bitwiseAND(F.bitwise_not(mask))
+
+
 def inflate(column: Column) -> Column:
     """For records that came packed from elsewhere; what is stored here is packed by the file format."""
     return _zlib("decompress")(column)

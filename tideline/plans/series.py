@@ -166,6 +166,26 @@ def metric_chart(points: DataFrame, max_gap: int = 3, rolling_days: int = 7) ->
     return drawn.join(mean, ["metric", "scope", "day"], "left")
 
 
+def axes(points: DataFrame, *by: str, target: int = 5, zero: bool = False) -> DataFrame:
+    """The value axis of each group's chart: low and high with a margin, step, ticks, and labels with as many decimals as the step needs.
+
+    A step is 1, 2, 2.5 or 5 times a power of ten that gives about ``target`` ticks; there are at most twice as many and two.
+    """
+    least = F.least(F.min("value"), F.lit(0.0)) if zero else F.min("value")
+    out = points.groupBy(*by).agg(least.alias("a"), F.max("value").alias("b"))
+    margin = F.when(F.col("a") < F.col("b"), (F.col("b") - F.col("a")) * 0.08).when(F.col("b") == 0, 1.0).otherwise(F.abs("b") * 0.05)
+    out = out.select(*by, (F.col("a") - margin).alias("low"), (F.col("b") + margin).alias("high"))
+    raw = (F.col("high") - F.col("low")) / target
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    step = F.when(raw <= unit, unit).when(raw <= 2 * unit, 2 * unit).when(raw <= 2.5 * unit, 2.5 * unit).when(raw <= 5 * unit, 5 * unit).otherwise(10 * unit)
+    out = out.withColumn("step", step)
+    first = F.ceil(F.col("low") / F.col("step") - 1e-9)
+    last = F.least(F.floor(F.col("high") / F.col("step") + 1e-9), first + 2 * target + 1)
+    ticks = F.transform(F.sequence(first, last), lambda k: F.round(k * F.col("step"), 10))
+    digits = lambda t: F.when(F.col("step") >= 1, F.format_string("%.0f", t)).when(F.col("step") >= 0.1, F.format_string("%.1f", t)).when(F.col("step") >= 0.01, F.format_string("%.2f", t)).otherwise(F.format_string("%.3f", t))
+    return out.withColumn("ticks", ticks).withColumn("labels", F.transform("ticks", digits))
+
+
 def hypnogram(stages: DataFrame, lanes: tuple[str, ...] = ("awake", "rem", "light", "deep", "unmeasurable")) -> DataFrame:
     """Stages (night, scope, stage, start_ts, end_ts) as lanes and hours since the night's first stage of any scope."""
     origin = stages.groupBy("night").agg(F.min("start_ts").alias("origin_ts"))

@@ -147,7 +147,7 @@ def import_files(found: DataFrame, held: DataFrame | None = None, offsets: DataF
     a, b, c = decode_fit(fit_files(found), held), decode_json(found, held), decode_live(found, held)
     clock = a["offsets"] if offsets is None else a["offsets"].unionByName(offsets.select("raw_id", "ts", "offset_s"))
     dated = lambda df: localday.with_local_day(df, clock).select("raw_id", "metric", "scope", "device_id", F.col("ts").alias("observed"), F.col("local_day").alias("day"), *[x for x in ("value", "label") if x in df.columns])
-    live = aggregates.minute_fold(c["readings"].withColumn("content", F.struct("start_ts", "raw_id")), "content")
+    live = aggregates.minute_fold(c["readings"].withColumn("content", dedupe.content_order("start_ts", "raw_id", "metric", "raw_id")), "content")
     live = live.select("raw_id", "metric", F.timestamp_micros("minute_us").alias("ts"), "value", F.lit("live").alias("scope"), F.lit(None).cast("string").alias("device_id"))
     samples = dedupe.last_write(a["samples"].select("raw_id", "metric", "ts", "value", "scope", "device_id"), ["metric", "ts", "scope", "device_id"], ["raw_id"]).unionByName(live)
     tables = {"offsets": clock, "samples": samples, "intervals": dedupe.last_write(a["intervals"], ["ts", "activity_type", "device_id"], ["raw_id"])}

@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
-    ``drop`` deletes tables whose readers are done; what the result itself reads stays.
+    ``drop`` deletes tables whose readers are done; what the result itself reads stays until the shared folder is cleared.
     """
 
     def __init__(self, spark: SparkSession):

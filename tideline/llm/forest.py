@@ -332,8 +332,11 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, target_recall: flo
     scratch.drop(trie, near)
     links, before = [], None
     for depth in reversed(depths):
+        shorter = before
         before, new = links_at(edges.where(F.col("depth") >= depth), before, reps, texts, threshold, depths, scratch)
         links.append(new)
+        if shorter is not None:
+            scratch.drop(shorter)
         every = functools.reduce(DataFrame.unionByName, links)
         n, lost = every.agg(F.sum("links"), F.sum(F.col("lost")[depth - last])).first()
         if n and n / (n + lost) >= target_recall:
@@ -343,6 +346,7 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, target_recall: flo
     ids = classes.join(reps.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("class_id"))
     by_key = reps.select("shingle_key", "node", "n_copies", "first_id").join(per_node.join(ids, "root"), "node", "left")
     by_key = scratch.keep(by_key.select("shingle_key", "n_copies", "n_links", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "first_id").alias("class_id")))
+    scratch.drop(reps, edges, before, classes, *links)
     rows = found.select("doc_id", "text_key", "shingle_key").join(by_key, "shingle_key", "left")
     return rows.withColumns({"class_id": F.coalesce("class_id", "doc_id"), "n_links": F.coalesce("n_links", F.lit(0)), "n_copies": F.coalesce("n_copies", F.lit(1))})
 

@@ -263,10 +263,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
 
     first = scratch.keep(rerank(asked.select("query_id", "x", F.explode(F.slice("parts", 1, probes)).alias("part"))))
     if probes >= parts:
+        scratch.drop(indexed, asked)
         return first
     short = first.groupBy("query_id").count().where(F.col("count") >= k)
     again = scratch.keep(asked.join(short, "query_id", "left_anti"))
     if again.isEmpty():
+        scratch.drop(indexed, asked, again)
         return first
     rest = rerank(again.select("query_id", "x", F.explode("parts").alias("part")))
     return first.join(again.select("query_id"), "query_id", "left_anti").unionByName(rest)

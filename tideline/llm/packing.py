@@ -312,9 +312,10 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.withColumn("start", F.coalesce(F.sum("t").over(order), F.lit(0))).drop("t")
     starts = scratch.keep(starts.join(ways(sources), "source"))
+    scratch.drop(blocks, sources)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches, 2048):
+        for b in small(batches, 2048, "ids"):
             at, n = (b[c].to_numpy().astype(np.int64) for c in ("at", "n"))
             tree = under(plan, b["group"].to_numpy(), b["way"])
             row, start, size, seq, offset = place(tree, np.arange(len(n)), at, n)

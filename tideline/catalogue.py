@@ -976,7 +976,7 @@ SELECT 'heart_rate_min' AS metric, 'local' AS scope, day, CAST(1000 + u AS VARCH
 def imported_heart_rate(spark, d):
     """Derived dailies of an import, device by device: each file states its own clock, so each is imported by itself here."""
     found = A.fit_files(spark, d).withColumn("path", F.concat("path", F.lit(".fit")))
-    rows = ingest.decode_fit(found, spark.createDataFrame([], "payload_hash string"))
+    rows = ingest.fit_tables(ingest.fresh_fit(ingest.fit_files(found), spark.createDataFrame([], "payload_hash string")))
     clock = rows["offsets"].join(rows["raw"].select("raw_id", "device_id"), "raw_id").groupBy("device_id").agg(F.max("offset_s").alias("offset_s"))
     dated = rows["samples"].join(clock, "device_id", "left").withColumn("local_day", localday.local_day(F.col("ts"), F.coalesce("offset_s", F.lit(0))))
     out = aggregates.daily_reducers(dated, {k: v for k, v in ingest.REDUCERS.items() if v[0] == "heart_rate"})
@@ -997,6 +997,34 @@ def live_files(spark, d):
     return user(lines.join(records, "path").select("path", F.size("readings").cast("long").alias("readings"), "cut_off", "digest"))
 
 
+@query("""SELECT user_id AS u, count(*) FILTER (WHERE event_id % 200 > 0) AS readings, user_id % 4 = 1 AS malformed FROM events GROUP BY ALL""", views=False)
+def stored_live_records(spark, d):
+    """Retained live records read again: valid readings, and records with one that is none."""
+    e = A.table(spark, d, "events").select("user_id", "event_id")
+    item = F.concat(F.lit("["), (F.lit(1_700_000_000) + F.col("event_id")).cast("string"), F.lit(',"heart_rate",'), (F.col("event_id") % 200).cast("string"), F.lit("]"))
+    text = e.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(item)), ",").alias("text"))
+    odd = F.when(F.col("user_id") % 4 == 1, F.lit(',[1700000000,"heart_rate",true]')).otherwise(F.lit(""))
+    records = text.select(F.col("user_id").cast("string").alias("raw_id"), F.concat(F.lit('{"readings":['), "text", odd, F.lit("]}")).alias("record"))
+    t = ingest.live_tables(records)
+    bad = t["failures"].select("raw_id", F.lit(True).alias("malformed"))
+    counted = t["readings"].groupBy("raw_id").agg(F.count(F.lit(1)).alias("n"))
+    all_ = e.select(F.col("user_id").alias("u"), F.col("user_id").cast("string").alias("raw_id"), "event_id").groupBy("u", "raw_id").agg(F.count_if(F.expr("event_id % 200 > 0")).alias("want"))
+    out = all_.join(bad, "raw_id", "left").join(counted, "raw_id", "left")
+    return out.select("u", F.when(F.col("malformed"), F.col("want")).otherwise(F.col("n")).alias("readings"), F.coalesce("malformed", F.lit(False)).alias("malformed"))
+
+
+@query("WITH" + FIT + """ SELECT 'heart_rate' AS metric, count(*) AS n FROM FT WHERE e % 120 > 0 AND u % 9 <> 8 UNION ALL SELECT 'steps', count(*) FROM (SELECT DISTINCT event_id % 300 FROM events)""", views=False)
+def reparsed(spark, d):
+    """A forced replay of retained records, some of which do not decode."""
+    fit_raw = A.fit_files(spark, d).select(F.concat(F.lit("f"), "path").alias("raw_id"), F.lit("fit:monitoring_b").alias("stream"), F.col("content").alias("payload"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("event_id") % 300).cast("int")).cast("string")
+    text = F.to_json(F.struct(day.alias("calendarDate"), F.col("event_id").alias("totalSteps")))
+    json_raw = A.table(spark, d, "events").select(F.concat(F.lit("j"), "event_id").alias("raw_id"), F.lit("json:uds").alias("stream"), text.cast("binary").alias("payload"))
+    t = ingest.reparse(fit_raw.unionByName(json_raw), {}, force=True)
+    steps = t["daily"].where("metric = 'steps' and scope = 'vendor_cloud'").groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
+    return t["samples"].where("metric = 'heart_rate'").groupBy("metric").agg(F.count(F.lit(1)).alias("n")).unionByName(steps)
+
+
 @query("""SELECT p_partkey AS k, i AS n, CASE WHEN p_partkey % 4 = 0 THEN p_partkey ELSE p_partkey * 10 + i END AS v, CAST(NULL AS VARCHAR) AS error FROM part, (SELECT unnest([0, 1, 2]::BIGINT[]) AS i) WHERE p_partkey % 4 = 0 AND i = 0 OR p_partkey % 4 = 1 AND i <> 1
 UNION ALL SELECT p_partkey, NULL, NULL, 'file is not valid JSON or not a JSON array/object' FROM part WHERE p_partkey % 4 >= 2""", views=False)
 def json_files(spark, d):

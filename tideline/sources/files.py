@@ -144,7 +144,7 @@ def json_rows(files: DataFrame) -> DataFrame:
     Items of an array that are no objects are left out; a file that is neither, or no UTF-8, gives one row with an error.
     """
     text = F.try_validate_utf8(F.col("content"))
-    whole = F.try_parse_json(F.decode("content", "UTF-8"))
+    whole = F.try_parse_json(F.col("content").cast("string"))
     kind = F.schema_of_variant("v")
     rows = files.select("path", F.when(text.isNotNull(), whole).alias("v")).withColumn("kind", F.when(F.col("v").isNotNull(), kind))
     one, many = F.col("kind").startswith("OBJECT"), F.col("kind").startswith("ARRAY")
@@ -164,6 +164,18 @@ def live_records(files: DataFrame) -> DataFrame:
     return out.select("path", "record", F.sha2("record", 256).alias("source_key"), F.timestamp_seconds(first).alias("start_ts"), F.timestamp_seconds(last).alias("end_ts"))
 
 
+def stored_readings(record: Column) -> Column:
+    """The readings (array of t, metric, value) of a stored live record, in order; null unless every one has the form of a reading."""
+    v = F.try_variant_get(F.try_parse_json(record), "$.readings", "array<array<variant>>")
+    kind = lambda x: F.schema_of_variant(x)
+    t = lambda r: F.try_variant_get(F.get(r, F.lit(0)), "$", "double")
+    fine = lambda r: (
+        (F.size(r) == 3) & kind(F.get(r, F.lit(0))).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (t(r) >= 0) & (t(r) < T_LIMIT) & (kind(F.get(r, F.lit(1))) == "STRING") & (kind(F.get(r, F.lit(2))) == "BIGINT")
+    )
+    out = F.transform(v, lambda r: F.struct(t(r).alias("t"), F.try_variant_get(F.get(r, F.lit(1)), "$", "string").alias("metric"), F.try_variant_get(F.get(r, F.lit(2)), "$", "long").alias("value")))
+    return F.when((F.size(v) > 0) & F.forall(v, lambda r: F.coalesce(fine(r), F.lit(False))), F.array_sort(out))
+
+
 def unseen(listing: DataFrame, held: DataFrame) -> DataFrame:
     """Objects of a listing (name) that are not held yet."""
     return listing.join(held.select("name").distinct(), "name", "left_anti")

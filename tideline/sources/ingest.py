@@ -26,6 +26,14 @@ REDUCERS = {
 }
 
 
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def as_is(df: DataFrame) -> DataFrame:
+    """Keeps nothing: what reads a table twice makes it twice. ``store.keeper`` writes such tables once."""
+    return df
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
@@ -38,28 +46,33 @@ def fit_files(found: DataFrame) -> DataFrame:
     return plain.unionByName(packed).withColumn("path", mask_label(F.col("path")))
 
 
-def decode_fit(found: DataFrame, held: DataFrame) -> dict[str, DataFrame]:
-    """Tables of FIT files (path, content) that are not held (payload_hash) yet; a file that occurs twice counts once."""
-    hashed = found.withColumn("raw_id", F.sha2("content", 256)).groupBy("raw_id").agg(F.min_by("content", "path").alias("content"), F.min("path").alias("label"))
-    fresh = hashed.join(held.select(F.col("payload_hash").alias("raw_id")).distinct(), "raw_id", "left_anti")
-    rows = fit.timed(fit.messages(fresh.select(F.col("raw_id").alias("path"), "content")))
-    known = fit.identities(rows).withColumnRenamed("path", "raw_id")
+def fresh_fit(found: DataFrame, held: DataFrame) -> DataFrame:
+    """raw_id, label, payload of FIT files (path, content) that are not held (payload_hash) yet; a file that occurs twice counts once."""
+    hashed = found.withColumn("raw_id", F.sha2("content", 256)).groupBy("raw_id").agg(F.min_by("content", "path").alias("payload"), F.min("path").alias("label"))
+    return hashed.join(held.select(F.col("payload_hash").alias("raw_id")).distinct(), "raw_id", "left_anti")
+
+
+def fit_tables(records: DataFrame, keep: Keep = as_is) -> dict[str, DataFrame]:
+    """Tables of FIT records (raw_id, label, payload). A record that breaks off is a failure and gives no facts."""
+    rows = keep(fit.timed(fit.messages(records.select(F.col("raw_id").alias("path"), F.col("payload").alias("content")))))
+    known = keep(fit.identities(rows).withColumnRenamed("path", "raw_id"))
     good = known.where("error is null").select("raw_id", "stream", "device_id", *NO_SPAN)
     whole = rows.join(good.select(F.col("raw_id").alias("path")), "path", "left_semi")
     named = lambda df: df.withColumnRenamed("path", "raw_id")
     owned = lambda df: named(df).join(good.select("raw_id", "device_id"), "raw_id")
-    bad = known.where("error is not null").join(fresh.select("raw_id", "label"), "raw_id")
+    bad = known.where("error is not null").join(records.select("raw_id", "label"), "raw_id")
+    device = F.lit("device")
     return {
-        "raw": good.withColumns({"payload_hash": F.col("raw_id"), "source_key": F.col("raw_id")}),
+        "raw": good.withColumns({"payload_hash": F.col("raw_id"), "source_key": F.col("raw_id")}).join(records.select("raw_id", "payload"), "raw_id"),
         "failures": bad.select("raw_id", F.coalesce("stream", F.lit("fit:undecodable")).alias("stream"), *NO_SPAN, "label", "error"),
-        "offsets": named(fit.clock_offsets(whole)), "samples": owned(fit.samples(whole)).withColumn("scope", F.lit("device")), "timed_daily": owned(fit.dailies(whole)).withColumn("scope", F.lit("device")),
-        "timed_labels": owned(fit.labels(whole)).withColumn("scope", F.lit("device")), "intervals": owned(fit.intervals(whole)), "activities": owned(fit.activities(whole)), "sleep": owned(fit.sleep_sessions(whole)).withColumn("scope", F.lit("device")),
+        "offsets": named(fit.clock_offsets(whole)), "samples": owned(fit.samples(whole)).withColumn("scope", device), "timed_daily": owned(fit.dailies(whole)).withColumn("scope", device),
+        "timed_labels": owned(fit.labels(whole)).withColumn("scope", device), "intervals": owned(fit.intervals(whole)), "activities": owned(fit.activities(whole)), "sleep": owned(fit.sleep_sessions(whole)).withColumn("scope", device),
         "stages": fit.sleep_stages(whole).withColumnRenamed("night", "raw_id"), "drops": fit.drops(whole),
     }
 
 
-def decode_json(found: DataFrame, held: DataFrame) -> dict[str, DataFrame]:
-    """Tables of the export's JSON files (path, content, written_day)."""
+def fresh_json(found: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(raw_id, stream, source_key, payload_hash, record of the export's JSON files (path, content) that are not held; failures)."""
     routed = found.withColumn("stream", F_.stream_of(F.col("path"))).where("stream is not null")
     first, last = F_.claimed_window(F.substring_index("path", "/", -1))
     rows = F_.json_rows(routed).join(routed.select("path", "stream"), "path")
@@ -67,24 +80,50 @@ def decode_json(found: DataFrame, held: DataFrame) -> dict[str, DataFrame]:
     bad = rows.where("error is not null").select("path", "error").join(routed, "path")
     failures = bad.select(F.sha2("content", 256).alias("raw_id"), "stream", at(first).alias("start_ts"), at(last).alias("end_ts"), mask_label(F.substring_index("path", "/", -1)).alias("label"), "error")
     records = rows.where("error is null").select("stream", "record")
-    keyed = union([keyed_records(records.where(F.col("stream") == s), s) for s in (*json_records.DECODERS, "json:sleep")])
+    keyed = union([keyed_records(records.where(F.col("stream") == s), s) for s in RECORD_STREAMS])
     once = keyed.groupBy("stream", "source_key").agg(F.max("record").alias("record")).withColumn("payload_hash", F.sha2("record", 256))
-    fresh = once.join(held.select("stream", "source_key", "payload_hash").distinct(), ["stream", "source_key", "payload_hash"], "left_anti").withColumn("raw_id", F.sha2(F.concat_ws("|", "stream", "source_key", "payload_hash"), 256))
-    facts, labels = [], []
-    for s in json_records.DECODERS:
-        mine = fresh.where(F.col("stream") == s)
-        chosen = json_records.pick_readiness(mine.select("record")).join(mine, "record", "left_semi").select("record") if s == "json:readiness" else mine.select("record")
-        mine = mine.select("raw_id", "record").join(chosen.distinct(), "record", "left_semi")
-        facts.append(json_records.decode(mine, s))
-        labels.append(json_records.decode_labels(mine, s).withColumn("scope", F.lit("vendor_cloud")))
-    spans = {"start_ts": F.lit(None).cast("timestamp"), "end_ts": F.lit(None).cast("timestamp")}
-    nights = fresh.where("stream = 'json:sleep'").select("raw_id", "record")
+    fresh = once.join(held.select("stream", "source_key", "payload_hash").distinct(), ["stream", "source_key", "payload_hash"], "left_anti")
+    return fresh.withColumn("raw_id", F.sha2(F.concat_ws("|", "stream", "source_key", "payload_hash"), 256)), failures
+
+
+def daily_tables(records: DataFrame, stream: str) -> dict[str, DataFrame]:
+    """Dated values and labels of a stream's records (raw_id, record); of readiness records those that are a day's."""
+    mine = records.select("raw_id", "record")
+    if stream == "json:readiness":
+        mine = mine.join(json_records.pick_readiness(mine.select("record")).select("record").distinct(), "record", "left_semi").select("raw_id", "record")
+    return {"daily": json_records.decode(mine, stream), "labels": json_records.decode_labels(mine, stream).withColumn("scope", F.lit("vendor_cloud"))}
+
+
+def night_tables(records: DataFrame, stream: str) -> dict[str, DataFrame]:
+    return {"sleep": json_records.decode_sleep(records.select("raw_id", "record"), keep=("raw_id",)).withColumn("scope", F.lit("vendor_cloud"))}
+
+
+def live_tables(records: DataFrame, stream: str = "json:live") -> dict[str, DataFrame]:
+    """Valid readings of live records (raw_id, record), what was dropped, and failures: records whose readings have not the one form."""
+    rows = records.select("raw_id", F_.stored_readings(F.col("record")).alias("readings"))
+    error = F.lit("live record without readings, or with a malformed one")
+    failures = rows.where("readings is null").select("raw_id", F.lit(stream).alias("stream"), F.lit(None).cast("timestamp").alias("start_ts"), F.lit(None).cast("timestamp").alias("end_ts"), F.lit(None).cast("string").alias("label"), error.alias("error"))
+    readings = rows.select("raw_id", F.timestamp_seconds(F.get("readings", F.lit(0)).getField("t")).alias("start_ts"), F.inline("readings"))
+    good, rules = F_.keep_readings(readings)
+    micro = F.timestamp_micros(F.floor(F.col("t") * 1_000_000).cast("long"))
     return {
-        "raw": fresh.select("raw_id", "stream", "source_key", "payload_hash", F.lit(None).cast("string").alias("device_id")).withColumns(spans), "failures": failures, "claims": F_.claims(found),
-        "daily": union(facts).withColumnRenamed("date", "day"), "labels": union(labels).withColumnRenamed("date", "day"), "sleep": json_records.decode_sleep(nights, keep=("raw_id",)).withColumn("scope", F.lit("vendor_cloud")),
+        "readings": good.select("raw_id", "start_ts", micro.alias("ts"), "metric", F.col("value").cast("double").alias("value")), "failures": failures,
+        "drops": aggregates.drop_counts(readings.dropDuplicates(["t", "metric", "value"]), {f"live_{k}": v for k, v in rules.items()}),
     }
 
 
+#: What decodes the records of each stream, for imports and replays alike.
+DECODERS: dict[str, Callable[[DataFrame, str], dict[str, DataFrame]]] = {**dict.fromkeys(json_records.DECODERS, daily_tables), "json:sleep": night_tables, "json:live": live_tables}
+RECORD_STREAMS = (*json_records.DECODERS, "json:sleep")
+
+
+def json_tables(records: DataFrame) -> dict[str, DataFrame]:
+    """Tables of records (raw_id, stream, record) of all streams but the live one."""
+    parts = [DECODERS[s](records.where(F.col("stream") == s), s) for s in RECORD_STREAMS]
+    out = {name: union([p[name] for p in parts if name in p]) for name in ("daily", "labels", "sleep")}
+    return out | {name: out[name].withColumnRenamed("date", "day") for name in ("daily", "labels")}
+
+
 def keyed_records(records: DataFrame, stream: str) -> DataFrame:
     """stream, source_key, record: a record's date, for readiness its date and time stamp; records without one are left out."""
     date = json_records.DECODERS[stream].date if stream in json_records.DECODERS else "$.calendarDate"
@@ -96,22 +135,16 @@ def keyed_records(records: DataFrame, stream: str) -> DataFrame:
     return rows.where(complete).select("stream", key.alias("source_key"), "record")
 
 
-def decode_live(found: DataFrame, held: DataFrame) -> dict[str, DataFrame]:
-    """Tables of live-session files (path, content): a record a file, its valid readings, and what was dropped."""
-    texts = found.where(F.lower(F.col("path")).endswith(".jsonl") & F.try_validate_utf8(F.col("content")).isNotNull()).select("path", F.decode("content", "UTF-8").alias("text"))
+def fresh_live(found: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(raw_id, stream, source_key, start_ts, end_ts, record of live-session files (path, content) that are not held; counts of files cut off or without readings)."""
+    texts = found.where(F.lower(F.col("path")).endswith(".jsonl") & F.try_validate_utf8(F.col("content")).isNotNull()).select("path", F.col("content").cast("string").alias("text"))
     lines = F_.live_lines(texts)
     records = F_.live_records(lines.where("size(readings) > 0")).withColumn("stream", F.lit("json:live"))
-    records = records.groupBy("stream", "source_key").agg(F.first("record").alias("record"), F.first("start_ts").alias("start_ts"), F.first("end_ts").alias("end_ts"), F.min_by("path", "path").alias("path"))
+    records = records.groupBy("stream", "source_key").agg(*(F.first(c).alias(c) for c in ("record", *NO_SPAN)))  # equal keys, equal records
     fresh = records.join(held.select("stream", "source_key").distinct(), ["stream", "source_key"], "left_anti").withColumn("raw_id", F.col("source_key"))
-    readings = lines.join(fresh.select("path", "raw_id", "start_ts"), "path").select("raw_id", "start_ts", F.inline("readings"))
-    good, rules = F_.keep_readings(readings)
-    counted = aggregates.drop_counts(readings.dropDuplicates(["t", "metric", "value"]), {f"live_{k}": v for k, v in rules.items()})
-    files_ = lines.agg(F.count_if("cut_off").alias("live_file_cut_off"), F.count_if(F.size("readings") == 0).alias("live_file_without_readings"))
-    files_ = files_.select(F.explode(F.map_from_arrays(F.array(F.lit("live_file_cut_off"), F.lit("live_file_without_readings")), F.array("live_file_cut_off", "live_file_without_readings"))).alias("reason", "n")).where("n > 0")
-    return {
-        "raw": fresh.select("raw_id", "stream", "source_key", F.col("source_key").alias("payload_hash"), *NO_SPAN, F.lit(None).cast("string").alias("device_id")),
-        "readings": good.select("raw_id", "start_ts", F.timestamp_micros(F.floor(F.col("t") * 1_000_000).cast("long")).alias("ts"), "metric", F.col("value").cast("double").alias("value")), "drops": counted.unionByName(files_),
-    }
+    counts = {"live_file_cut_off": F.count_if("cut_off"), "live_file_without_readings": F.count_if(F.size("readings") == 0)}
+    counted = lines.agg(F.array(*(F.struct(F.lit(name).alias("reason"), n.alias("n")) for name, n in counts.items())).alias("c")).select(F.inline("c")).where("n > 0")
+    return fresh, counted
 
 
 def derive(tables: dict[str, DataFrame], touched: DataFrame | None = None) -> DataFrame:
@@ -136,16 +169,15 @@ def derive(tables: dict[str, DataFrame], touched: DataFrame | None = None) -> Da
     return out.select("metric", F.lit("local").alias("scope"), F.col("local_day").alias("day"), F.col("value").cast("double").alias("value"), "device_id", "raw_id", "observed")
 
 
-def import_files(found: DataFrame, held: DataFrame | None = None, offsets: DataFrame | None = None) -> dict[str, DataFrame]:
-    """found: path, content, written_day. The tables of what the store does not hold yet.
+def raw_rows(records: DataFrame, hashed: str = "payload_hash") -> DataFrame:
+    """Raw rows of JSON records (raw_id, stream, source_key, record, spans if there are any): the bytes are the record's text."""
+    spans = {c: F.lit(None).cast("timestamp") for c in NO_SPAN if c not in records.columns}
+    return records.withColumns(spans | {"payload": F.col("record").cast("binary"), "payload_hash": F.sha2("record", 256), "device_id": F.lit(None).cast("string")}).drop("record")
 
-    held: stream, source_key, payload_hash of records that are there; offsets: ts, offset_s, raw_id that are known. Tables: raw, failures,
-    claims, offsets, samples, daily, labels, intervals, activities, sleep, stages, drops.
-    """
-    spark = found.sparkSession
-    held = spark.createDataFrame([], "stream string, source_key string, payload_hash string") if held is None else held
-    a, b, c = decode_fit(fit_files(found), held), decode_json(found, held), decode_live(found, held)
-    clock = a["offsets"] if offsets is None else a["offsets"].unionByName(offsets.select("raw_id", "ts", "offset_s"))
+
+def assemble(a: dict[str, DataFrame], b: dict[str, DataFrame], c: dict[str, DataFrame], offsets: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The store's facts from the tables of FIT, JSON and live records: dated by the wearer's clock, one row a key, derived dailies beside them."""
+    clock = a["offsets"] if offsets is None else a["offsets"].unionByName(offsets.select("raw_id", "ts", "offset_s")).distinct()
     dated = lambda df: localday.with_local_day(df, clock).select("raw_id", "metric", "scope", "device_id", F.col("ts").alias("observed"), F.col("local_day").alias("day"), *[x for x in ("value", "label") if x in df.columns])
     live = aggregates.minute_fold(c["readings"].withColumn("content", dedupe.content_order("start_ts", "raw_id", "metric", "raw_id")), "content")
     live = live.select("raw_id", "metric", F.timestamp_micros("minute_us").alias("ts"), "value", F.lit("live").alias("scope"), F.lit(None).cast("string").alias("device_id"))
@@ -155,12 +187,60 @@ def import_files(found: DataFrame, held: DataFrame | None = None, offsets: DataF
     labels = union([dated(a["timed_labels"]), b["labels"]]).select("metric", "scope", "day", "device_id", F.col("label"), "observed", "raw_id")
     nights = localday.with_local_day(a["sleep"], clock, "end_ts").withColumnRenamed("local_day", "date").drop("offset_s", "assumed_utc")
     return tables | {
-        "raw": union([a["raw"], b["raw"], c["raw"]]), "failures": union([a["failures"], b["failures"]]), "claims": b["claims"], "daily": dedupe.latest_observed(daily, ["metric", "scope", "day", "device_id"], "raw_id"),
-        "labels": dedupe.latest_observed(labels, ["metric", "scope", "day", "device_id"], "raw_id"), "activities": a["activities"], "sleep": union([nights, b["sleep"]]), "stages": a["stages"],
-        "drops": union([a["drops"], c["drops"]]).groupBy("reason").agg(F.sum("n").alias("n")),
+        "daily": dedupe.latest_observed(daily, KEYS["daily"], "raw_id"), "labels": dedupe.latest_observed(labels, KEYS["labels"], "raw_id"), "activities": a["activities"], "sleep": union([nights, b["sleep"]]), "stages": a["stages"],
     }
 
 
+def import_files(found: DataFrame, held: DataFrame | None = None, offsets: DataFrame | None = None, keep: Keep = as_is) -> dict[str, DataFrame]:
+    """found: path, content, written_day. The tables of what the store does not hold yet.
+
+    held: stream, source_key, payload_hash of records that are there; offsets: ts, offset_s, raw_id that are known. Tables: raw, failures,
+    claims, offsets, samples, daily, labels, intervals, activities, sleep, stages, drops.
+    """
+    spark = found.sparkSession
+    held = spark.createDataFrame([], "stream string, source_key string, payload_hash string") if held is None else held
+    (records, broken), (sessions, counted) = fresh_json(found, held), fresh_live(found, held)
+    records, sessions = keep(records), keep(sessions)
+    a, b, c = fit_tables(keep(fresh_fit(fit_files(found), held)), keep), json_tables(records), live_tables(sessions)
+    a["offsets"], a["samples"], a["intervals"] = keep(a["offsets"]), keep(a["samples"]), keep(a["intervals"])
+    return assemble(a, b, c, offsets) | {
+        "raw": union([a["raw"], raw_rows(records), raw_rows(sessions)]), "failures": union([a["failures"], broken, c["failures"]]), "claims": F_.claims(found),
+        "drops": union([a["drops"], c["drops"], counted]).groupBy("reason").agg(F.sum("n").alias("n")),
+    }
+
+
+def reparse(raw: DataFrame, kept: dict[str, DataFrame] | None = None, force: bool = False, keep: Keep = as_is) -> dict[str, DataFrame]:
+    """All facts again from retained records (raw_id, stream, payload). Refused if any fails to decode, unless forced.
+
+    Forced, the facts that failing records left behind (in ``kept``) stay; FIT comes first, so that all offsets are known.
+    """
+    text = raw.where(F.col("stream").startswith("json:")).withColumn("record", F.col("payload").cast("string"))
+    binary = raw.where(F.col("stream").startswith("fit:")).withColumn("label", F.lit(None).cast("string"))
+    a, b, c = fit_tables(binary, keep), json_tables(text), live_tables(text.where("stream = 'json:live'"))
+    a["offsets"], a["samples"], a["intervals"] = keep(a["offsets"]), keep(a["samples"]), keep(a["intervals"])
+    failures = union([a["failures"], c["failures"]])
+    tables = assemble(a, b, c)
+    if failures.isEmpty():
+        return tables
+    if not force:
+        raise ValueError("some records do not decode")
+    gone = failures.select("raw_id").distinct()
+    return {n: df.unionByName(kept[n].join(gone, "raw_id", "left_semi"), allowMissingColumns=True) if n in (kept or {}) else df for n, df in tables.items()}
+
+
+def reparse_store(spark: SparkSession, target: str, force: bool = False) -> None:
+    """A replay of the whole store as a run of its own: a new snapshot with facts decoded again, the rest as it was."""
+    old = store.current(spark, target)
+    run = store.begin_run(spark, target, "reparse")
+    try:
+        with store.keeper(spark, target, run) as keep:
+            store.publish(spark, target, old | reparse(old["raw"], old, force, keep), run)
+    except Exception as e:
+        store.finish_run(spark, target, run, "failed", f"{type(e).__name__}: {e}")
+        raise
+    store.finish_run(spark, target, run, "done", None)
+
+
 def statistics(tables: dict[str, DataFrame]) -> DataFrame:
     """stream, files, records and failures of an import."""
     seen = tables["raw"].groupBy("stream").agg(F.count(F.lit(1)).alias("records"))
@@ -174,19 +254,20 @@ def import_path(spark: SparkSession, path: str, target: str, cancelled: Callable
     A run writes a new snapshot beside the old ones and only then moves the pointer (``store.publish``), so a run that breaks off leaves
     the store as it was. ``cancelled`` is asked before each table; a run that is ends without moving the pointer. Every run is booked.
     """
-    found = F_.listing(spark, path)
-    export = F_.looks_like_export([r[0] for r in found.select("path").limit(10_000).collect()])
-    old = store.current(spark, target)
-    tables = import_files(found, old.get("raw"), old.get("offsets"))
+    found, old = F_.listing(spark, path), store.current(spark, target)
+    export = not found.where(F_.section_of(F.col("path")) != "").isEmpty()
     run = store.begin_run(spark, target, transport or ("export" if export else "folder"))
     try:
-        merged = {name: merge_table(name, old.get(name), df) for name, df in tables.items()}
-        done = store.publish(spark, target, merged, run, cancelled)
+        with store.keeper(spark, target, run) as keep:
+            tables = import_files(keep(found), old.get("raw"), old.get("offsets"), keep)
+            merged = {name: merge_table(name, old.get(name), df) for name, df in tables.items()}
+            counted = spark.createDataFrame(statistics(tables).collect(), "stream string, records long, failures long")  # a row a stream
+            done = store.publish(spark, target, merged, run, cancelled)
     except Exception as e:
         store.finish_run(spark, target, run, "failed", f"{type(e).__name__}: {e}")
         raise
     store.finish_run(spark, target, run, "done" if done else "cancelled", None)
-    return statistics(tables)
+    return counted
 
 
 KEYS = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,6 +136,23 @@ def publish(spark: SparkSession, target: str, tables: dict[str, DataFrame], run:
     return fs.rename(new, old)
 
 
+@contextlib.contextmanager
+def keeper(spark: SparkSession, target: str, run: str):
+    """A function that writes a table beside the store's snapshots and reads it back, so that it is made once; all such tables go at the end."""
+    folder, count = f"{target}/work-{run}", iter(range(1 << 30))
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(count)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        fs, p = _path(spark, folder)
+        fs.delete(p, True)
+
+
 def heal(spark: SparkSession, target: str) -> None:
     """After a crash: a pointer that was written and not moved is moved, and runs that were begun and not ended are booked as interrupted."""
     fs, new = _path(spark, f"{target}/{POINTER}.new")

@@ -244,6 +244,17 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), "doc_id long, digest binary, n_removed long, cut_sha256 binary, left string")
 
 
+def with_common(rows: DataFrame, again: DataFrame, total: int) -> DataFrame:
+    """Rows whose key occurs again. again: key, count, of ``total`` occurrences in all.
+
+    Keys that a thousandth of them or more share, so at most a thousand, meet their rows where they are, by a broadcast.
+    """
+    much = max(1024, total // 1000)
+    hot = F.broadcast(again.where(F.col("count") > much).select("key"))
+    rest = rows.join(hot, "key", "left_anti").join(again.where(F.col("count") <= much).select("key"), "key")
+    return rows.join(hot, "key").unionByName(rest)
+
+
 def find_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and left (the kept words; null where nothing was removed), a row a document."""
     scratch = Scratch(docs.sparkSession)
@@ -253,7 +264,8 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     originals = base.where(f"n_words >= {WINDOW}").join(first, "digest").where("doc_id = first_id").select("doc_id", "digest", "keys")
     originals = scratch.keep(originals)
     again = scratch.keep(originals.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1"))
-    wanted = originals.select("doc_id", "digest", F.explode("keys").alias("key")).join(again.where("count > 1").select("key"), "key")
+    wanted = originals.select("doc_id", "digest", F.explode("keys").alias("key"))
+    wanted = with_common(wanted, again, int(again.agg(F.sum("count")).first()[0] or 0))
     with few_rows_of(docs.sparkSession):
         wanted = scratch.keep(wanted.groupBy("doc_id", "digest").agg(F.collect_list("key").alias("keys")))
         scratch.drop(originals, again)

@@ -212,3 +212,66 @@ def test_query(spark):
         assert len(r.rgb) == 3 * r.height * r.width
     assert len({r.media_sha256 for r in got if r.doc_id in (1, 6)}) == 1
     assert jpeg.decode(jpeg.store(empty(spark))).count() == 0
+
+
+class Java:
+    """The JVM's own JPEG codec: an encoder and a decoder that share nothing with this one."""
+
+    def __init__(self, spark):
+        self.jvm = spark._jvm
+        self.io = self.jvm.javax.imageio.ImageIO
+
+    def encode(self, pixels, grey=False, quality=0.92):
+        h, w, _ = pixels.shape
+        image = self.jvm.java.awt.image.BufferedImage(w, h, 10 if grey else 1)
+        for y in range(h):
+            for x in range(w):
+                for band, v in enumerate(pixels[y, x][: 1 if grey else 3]):
+                    image.getRaster().setSample(x, y, band, int(v))
+        writer = self.io.getImageWritersByFormatName("jpeg").next()
+        how = writer.getDefaultWriteParam()
+        how.setProgressiveMode(1)
+        how.setCompressionMode(2)
+        how.setCompressionQuality(quality)
+        out = self.jvm.java.io.ByteArrayOutputStream()
+        stream = self.io.createImageOutputStream(out)
+        writer.setOutput(stream)
+        writer.write(None, self.jvm.javax.imageio.IIOImage(image, None, None), how)
+        stream.flush()
+        return bytes(out.toByteArray())
+
+    def decode(self, data):
+        image = self.io.read(self.jvm.java.io.ByteArrayInputStream(bytearray(data)))
+        w, h = image.getWidth(), image.getHeight()
+        raster = image.getRaster()
+        bands = raster.getNumBands()
+        return np.array([raster.getSample(x, y, k) for y in range(h) for x in range(w) for k in range(bands)]).reshape(h, w, bands)
+
+
+@pytest.mark.parametrize("shape,grey", [((24, 40), False), ((33, 17), False), ((19, 23), True)])
+def test_files_of_another_encoder(spark, shape, grey):
+    """Progressive files that the JVM wrote: the pixels are those that the JVM reads, but for the rounding of transforms and of chroma between samples."""
+    h, w = shape
+    y, x = np.mgrid[:h, :w]
+    pixels = np.stack([x * 255 // w, y * 255 // h, (x + y) * 255 // (w + h)], axis=2)
+    if grey:
+        pixels = np.repeat(pixels[:, :, :1], 3, axis=2)
+    java = Java(spark)
+    data = java.encode(pixels, grey)
+    assert b"\xff\xc2" in data and data.count(b"\xff\xda") > 3  # progressive, in many scans
+    image = jpeg.read(data)
+    got = jpeg.rgb(image).astype(int)
+    assert got.shape == (h, w, 3)
+    other = java.decode(data)
+    assert np.abs(got - other).mean() < 2.5 and np.abs(got - other).max() < (2 if grey else 24)
+    assert np.abs(got - pixels).mean() < 4
+
+
+def test_the_other_decoder_reads_the_writer(spark):
+    """A payload's file is a progressive JPEG for the JVM too; its luma, which chroma cannot blur, is the same picture."""
+    data = jpeg.write(jpeg.padded(bytes(range(256)) * 4))
+    mine, other = jpeg.rgb(jpeg.read(data)).astype(int), Java(spark).decode(data)
+    assert mine.shape == other.shape
+    luma = lambda p: p @ np.array([0.299, 0.587, 0.114])
+    inside = ((mine > 0) & (mine < 255) & (other > 0) & (other < 255)).all(axis=2)  # clipped colours lose their luma
+    assert inside.sum() > 50 and np.abs(luma(mine) - luma(other))[inside].mean() < 3

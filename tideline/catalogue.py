@@ -137,7 +137,8 @@ def counter_daily_total(spark, d):
 
 @query("SELECT metric, scope, local_day, arg_max(raw_id, ts) AS raw_id, max(ts) AS observed FROM L GROUP BY ALL")
 def derived_lineage(spark, d):
-    return local(spark, d).groupBy("metric", "scope", "local_day").agg(F.max_by("raw_id", "ts").alias("raw_id"), F.max("ts").alias("observed"))
+    keys = ["metric", "scope", "local_day"]
+    return dedupe.latest(local(spark, d).select(*keys, F.col("ts").alias("observed"), "raw_id"), keys, ["observed"])
 
 
 FOLD = """SELECT metric, us - us % 60000000 AS minute_us, quantile_disc(value, 0.5) AS value, count(*) AS n, arg_min(raw_id, (raw_id % 97, raw_id)) AS raw_id FROM S WHERE value <= 90 GROUP BY ALL"""
@@ -676,11 +677,12 @@ def push_batches(spark, d):
     return store.batches_by_size(A.raw(spark, d).select("device_id", "raw_id"), 1_000_000, "device_id", "raw_id", "raw_id")
 
 
-@query("SELECT stream, raw_id FROM RAW WHERE raw_id % 50 <> 0 UNION ALL SELECT stream, raw_id FROM RAW WHERE raw_id % 50 = 0")
+@query("SELECT stream, raw_id, CASE WHEN raw_id % 50 = 0 THEN 1 ELSE 2 END AS version FROM RAW")
 def replay_identity(spark, d):
-    """A replay whose failing records keep their old rows gives the same facts."""
+    """A forced replay: what decodes is new, the rows of failing records stay as they were."""
     r, bad = A.raw(spark, d).select("stream", "raw_id"), A.failures(spark, d)
-    return store.replay(r, r.join(bad, "raw_id", "left_anti").select("stream", "raw_id"), bad, force=True)
+    again = r.join(bad, "raw_id", "left_anti").select("stream", "raw_id", F.lit(2).alias("version"))
+    return store.replay(r.withColumn("version", F.lit(1)), again, bad, force=True)
 
 
 @query("SELECT stream, source_key, payload_hash FROM (SELECT stream, CAST(raw_id AS VARCHAR) AS source_key, sha256(CAST(raw_id // 2 AS VARCHAR)) AS payload_hash, raw_id FROM RAW) WHERE stream LIKE 'json:%' AND raw_id % 4 <> 0 "

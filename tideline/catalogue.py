@@ -970,7 +970,7 @@ def import_files(spark, d):
     """An import of archives with broken files; a quarter of the files is held already."""
     found = packed(spark, d).withColumn("written_day", F.lit(None).cast("date"))
     held = A.fit_files(spark, d).where("cast(path as long) % 4 = 0").select(F.lit("fit").alias("stream"), F.sha2("content", 256).alias("source_key"), F.sha2("content", 256).alias("payload_hash"))
-    return ingest.statistics(ingest.import_files(found, held))
+    return ingest.statistics(ingest.import_files(found, held, keep=lambda df: df.persist()))
 
 
 @query("WITH" + FIT + """, HR AS (SELECT u, CAST(ts + to_seconds(CASE WHEN u % 7 <> 0 THEN (u % 5 - 2) * 3600 ELSE 0 END) AS DATE) AS day, e % 120 AS v FROM FT WHERE e % 120 > 0 AND u % 9 <> 8)

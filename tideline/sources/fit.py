@@ -9,7 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +70,7 @@ def parse(data: bytes) -> Iterator[tuple[int, int | None, dict[int, float]]]:
     p, end = data[0], data[0] + int.from_bytes(data[4:8], "little")
     if end > len(data):
         raise ValueError("the file is cut off")
-    kinds: dict[int, tuple[int, str, list[tuple[int, int, int]], int]] = {}
+    kinds: dict[int, tuple[int, struct.Struct, list[tuple[int, float | None]], int]] = {}  # message, its layout, (field, invalid value) of each
     clock: int | None = None
     while p < end:
         head = data[p]
@@ -88,45 +88,53 @@ def parse(data: bytes) -> Iterator[tuple[int, int | None, dict[int, float]]]:
             if head & 0x20:
                 extra = sum(data[p + 2 + 3 * k] for k in range(data[p]))
                 p += 1 + 3 * data[p]
-            kinds[local] = (number, order, fields, extra)
+            layout, read = order, []
+            for name, size, base in fields:
+                width, code, invalid = BASE.get(base, (0, "", None))
+                if width and size == width:
+                    layout += code
+                    read.append((name, invalid))
+                else:  # arrays and texts are not read
+                    layout += f"{size}x"
+            kinds[local] = (number, struct.Struct(layout), read, extra)
             continue
         if local not in kinds:
             raise ValueError("a message without a definition")
-        number, order, fields, extra = kinds[local]
-        values: dict[int, float] = {}
-        for name, size, base in fields:
-            width, code, invalid = BASE.get(base, (0, "", None))
-            if width and size == width:
-                v = struct.unpack_from(order + code, data, p)[0]
-                if v != invalid and v == v:
-                    values[name] = v
-            p += size
-        p += extra
-        if p > end:
+        number, layout, read, extra = kinds[local]
+        if p + layout.size + extra > end:
             raise ValueError("a message is cut off")
+        values = {name: float(v) for (name, invalid), v in zip(read, layout.unpack_from(data, p), strict=True) if v != invalid and v == v}
+        p += layout.size + extra
         if offset is not None and clock is not None:
             clock += (offset - clock) & 31
             values.setdefault(TIMESTAMP, clock)
         elif TIMESTAMP in values and values[TIMESTAMP] >= REAL_TIME:
             clock = int(values[TIMESTAMP])
-        yield number, clock, {k: float(v) for k, v in values.items()}
+        yield number, clock, values
 
 
 def messages(files: DataFrame) -> DataFrame:
     """files: path, content. path, n, message, fields (map of number to value), error; an error is a row of message ERROR."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                rows = []
+            for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):  # a file's messages are a batch
+                found, error = [], None
                 try:
-                    for number, _, fields in parse(bytes(content)):
-                        rows.append((path, len(rows), number, fields, None))
+                    found.extend((number, list(fields.items())) for number, _, fields in parse(content))
                 except Exception as e:  # noqa: BLE001 - hostile bytes break in any way; the error is a row
-                    rows.append((path, len(rows), ERROR, {}, f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame(rows, columns=["path", "n", "message", "fields", "error"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, n long, message int, fields map<int,double>, error string")
+                    error = f"{type(e).__name__}: {e}"
+                    found.append((ERROR, []))
+                many = len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([path] * many, pa.string()), pa.array(range(many), pa.int64()), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.map_(pa.int32(), pa.float64())),
+                        pa.array([None] * (many - 1) + [error] if many else [], pa.string()),
+                    ],
+                    ["path", "n", "message", "fields", "error"],
+                )
+
+    return files.select("path", "content").mapInArrow(run, "path string, n long, message int, fields map<int,double>, error string")
 
 
 def instant(seconds: Column) -> Column:

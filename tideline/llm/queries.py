@@ -11,6 +11,7 @@ from .packing import op1_packing
 from .passages import op9_quality
 from .pieces import op6_sentencepiece
 from .repeats import op7_substring_dedup
+from .resampling import OP11_SQL, op11_resampling
 from .url_lists import OP8_SQL, op8_url_filters
 
 QUERIES = {
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_quality": op9_quality,
     "op10_neighbours": op10_neighbours,
+    "op11_resampling": op11_resampling,
 }
-ORACLE_SQL = {"op3_chat_formatting": OP3_SQL, "op8_url_filters": OP8_SQL}
+ORACLE_SQL = {"op3_chat_formatting": OP3_SQL, "op8_url_filters": OP8_SQL, "op11_resampling": OP11_SQL}

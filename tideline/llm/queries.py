@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_formatting
+from .codes import op12_token_codes
 from .forest import op2_ngram_join
 from .jpeg import op4_media
 from .neighbours import op10_neighbours
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_neighbours": op10_neighbours,
     "op11_resampling": op11_resampling,
+    "op12_token_codes": op12_token_codes,
 }
 ORACLE_SQL = {"op3_chat_formatting": OP3_SQL, "op8_url_filters": OP8_SQL, "op11_resampling": OP11_SQL}

@@ -315,7 +315,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                     crcs += [zlib.crc32(ids[4 * (i - begins[k]) : 4 * (j - begins[k])]) for i, j in zip(begins[k:many].tolist(), codes.ends[k:many].tolist(), strict=True)]
                     k = many
                 doc_id = pa.array(codes.doc_ids, pa.int64(), mask=~codes.known)
-                yield batch(file=pa.array([name] * codes.n_docs), doc_id=doc_id, within=pa.array(begins), n_tokens=pa.array(codes.ends - begins), ids_crc32=pa.array(crcs, pa.int64()))
+                yield batch(file=pa.array([name] * codes.n_docs, pa.string()), doc_id=doc_id, within=pa.array(begins), n_tokens=pa.array(codes.ends - begins), ids_crc32=pa.array(crcs, pa.int64()))
 
     rows = stored(spark, folder).mapInArrow(tidy(run), "file string, doc_id long, within long, n_tokens long, ids_crc32 long")
     return rows.join(manifest(spark, folder).select("file", "start"), "file").select("doc_id", (F.col("start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

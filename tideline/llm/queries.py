@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_formatting
 from .codes import op12_token_codes
+from .divergence import OP13_SQL, op13_divergence
 from .forest import op2_ngram_join
 from .jpeg import op4_media
 from .neighbours import op10_neighbours
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_neighbours": op10_neighbours,
     "op11_resampling": op11_resampling,
     "op12_token_codes": op12_token_codes,
+    "op13_divergence": op13_divergence,
 }
-ORACLE_SQL = {"op3_chat_formatting": OP3_SQL, "op8_url_filters": OP8_SQL, "op11_resampling": OP11_SQL}
+ORACLE_SQL = {"op3_chat_formatting": OP3_SQL, "op8_url_filters": OP8_SQL, "op11_resampling": OP11_SQL, "op13_divergence": OP13_SQL}

@@ -163,3 +163,10 @@ def test_intersections(spark):
         for j in range(30):
             if i != j:
                 assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
+def test_columns_named_like_helpers_come_back(spark):
+    schema = "doc_id long, text string, row_doc_id string, kept_doc_id string, text_key string, row string, root int"
+    rows = [(1, "one text", "a", "b", "c", "d", 5), (2, "one text", "e", "f", "g", "h", 6), (2, "two other words", "i", "j", "k", "l", 7), (None, "x", "m", "n", "o", "p", 8)]
+    df = spark.createDataFrame(rows, schema)
+    assert sorted(map(str, forest.keep_one(df).collect())) == sorted(str(r) for r in df.collect() if r.root != 6)

@@ -79,3 +79,19 @@ def test_odd_and_empty_tables(spark, tmp_path):
     assert {str(p.doc_id) for p in out["packing"][1].collect()} == {str(r.doc_id) for r in kept}
     out = through(spark, empty(spark), str(tmp_path), tmp_path / "empty")
     assert all(b.count() == 0 for _, b in out.values())
+
+
+def test_shared_ids_and_clashing_columns_lose_no_text(spark, tmp_path):
+    """Every text that no stage has a reason to touch is packed once, whatever shares its id and whatever the columns are called."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    long, other = " ".join(f"v{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))
+    apart = lambda k: " ".join(f"{chr(97 + k)}{i}" for i in range(25))
+    rows = [(0, f"{long} {apart(0)}"), (0, f"{other} {apart(1)}"), (1, f"{long} {apart(2)}"), (1, apart(3)), (2, f"{apart(4)} {long}"), (2, f"{apart(5)} {other}"), (2, f"{apart(5)} {other}"), (None, apart(6))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, left_text string, changed_doc_id string, row_doc_id string, row string, text_key string, score string"
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), *"abcdef") for i, t in rows], schema)
+    out = through(spark, df, str(tmp_path), tmp_path / "out")
+    after = out["substring_dedup"][1].collect()
+    assert sorted(r.text for r in after) == sorted([rows[0][1], rows[1][1], apart(2), apart(3), apart(4), apart(5), apart(6)])
+    assert all(tuple(r)[5:] == tuple("abcdef") for r in after)
+    pieces = out["packing"][1].collect()
+    assert sorted(str(p.doc_id) for p in pieces) == sorted(["0", "0", "1", "1", "2", "2", "None"])

@@ -74,6 +74,25 @@ def test_pipeline_form(spark):
     assert got == {1: (long, len(long)), 2: ("a b c", 5), 3: ("left\n alone", 11), 4: ("", 0), 5: (None, 0), None: (long, len(long))}
 
 
+def test_rows_that_share_an_id_keep_their_own_texts(spark):
+    long, other = " ".join(f"v{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))
+    rows = [(0, long), (0, other), (1, long + " tail"), (1, "another text"), (2, long + " one"), (2, other + " two"), (2, other + " two"), (3, None), (3, "")]
+    schema = "doc_id long, text string, left_text string, changed_doc_id long, row string, left string, text_key string, `a.b` int, n_words int, digest string"
+    df = spark.createDataFrame([(i, t, f"l{k}", k, "r", "x", "y", k, 1, "d") for k, (i, t) in enumerate(rows)], schema)
+    out = repeats.without_repeats(df)
+    assert out.columns == df.columns
+    got = {r.changed_doc_id: r for r in out.collect()}
+    assert len(got) == out.count() == len(rows)
+    assert [got[k].text for k in range(len(rows))] == [long, other, "tail", "another text", "one", "two", "two", None, ""]
+    assert all((r.left_text, r.row, r.left, r.text_key, r["a.b"], r.n_words, r.digest) == (f"l{k}", "r", "x", "y", k, 1, "d") for k, r in got.items())
+
+
+def test_batches_are_cut_by_their_marks(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "MARK_BYTES", 1 << 22)
+    test_marks_become_pieces(spark)
+    compare(spark, [(k, " ".join(f"v{i % 40}" for i in range(k, k + 60))) for k in range(30)])
+
+
 def test_empty_table(spark):
     assert repeats.find_repeats(empty(spark)).count() == 0
     assert repeats.without_repeats(empty(spark)).count() == 0

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -84,6 +84,15 @@ def documents(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
+def text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def in_one(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``row``, which holds all columns, and the keys beside it: no column can clash with a key, whatever it is called."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *(k.alias(name) for name, k in keys.items()))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (splitmix64's finaliser)."""
     with np.errstate(over="ignore"):
@@ -124,7 +133,11 @@ class WordHash(Remembered):
 
 def by_bytes(b: pa.RecordBatch, column: str, rows: int = 512, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most so many rows and, but for single rows, bytes of a text or binary column."""
-    size = pc.coalesce(pc.binary_length(b[column]), 0).to_numpy()
+    yield from by_size(b, pc.coalesce(pc.binary_length(b[column]), 0).to_numpy(), rows, limit)
+
+
+def by_size(b: pa.RecordBatch, size: np.ndarray, rows: int = 512, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most so many rows and, but for single rows, bytes; size: the bytes of each row."""
     i = 0
     while i < b.num_rows:
         n = int(np.searchsorted(np.cumsum(size[i : i + rows], dtype=np.int64), limit, side="right"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, batch, by_bytes, documents, few_rows_of, mix, small, table, tidy
+from .common import Scratch, WordHash, batch, by_bytes, documents, few_rows_of, in_one, mix, small, table, text_key, tidy
 from .components import components
 
 TREES, DEPTH = 32, 6
@@ -140,10 +140,6 @@ def features(texts: DataFrame) -> DataFrame:
     return keyed.mapInArrow(tidy(run), "doc_id long, text_key binary, shingle_key binary, size long, leaves array<struct<high:long,low:long>>")
 
 
-def text_key(text: Column) -> Column:
-    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
-
-
 def neighbours_in(trie: DataFrame, least: int) -> DataFrame:
     """trie: high, low, first (distinct leaves). a, b, depth: neighbouring leaves that share ``least`` levels or more.
 
@@ -361,10 +357,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = classified(docs)
     first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "shingle_key", "text_key")).alias("f")).select("f.doc_id", "f.text_key")
     bare = rows.where("root is null").select("doc_id", "text_key").distinct()
-    stay = first.unionByName(bare).select(F.col("doc_id").alias("kept_doc_id"), F.col("text_key").alias("kept_text_key"))
-    keyed = docs.where(F.col("doc_id").isNotNull()).withColumns({"row_doc_id": F.col("doc_id").cast("long"), "row_text_key": text_key(F.col("text"))})
-    kept = keyed.join(stay, (F.col("row_doc_id") == F.col("kept_doc_id")) & (F.col("row_text_key") == F.col("kept_text_key")), "left_semi")
-    return kept.dropDuplicates(["row_doc_id", "row_text_key"]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    stay = first.unionByName(bare)
+    keyed = in_one(docs.where(F.col("doc_id").isNotNull()), doc_id=F.col("doc_id").cast("long"), text_key=text_key(F.col("text")))
+    kept = keyed.join(stay, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return kept.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

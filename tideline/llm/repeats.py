@@ -29,16 +29,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, documents, few_rows_of, mix, small, table, tidy
+from .common import Scratch, batch, by_size, documents, few_rows_of, in_one, mix, small, table, text_key, tidy
 from .recompress import B, anchors, levels, stretch_names
 
 WINDOW = 20
 HALF = 10
 SPAN = 64
 CHUNK_BYTES = 400_000
+MARK_BYTES = 400  # a mark as Python objects
 FACTORS = np.random.default_rng(20_240_301).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -122,7 +124,7 @@ def digest_of(plain: bytes) -> bytes:
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (null without words), n_words, sha256 (of all words joined by a space) and keys."""
+    """doc_id, text_key, digest (null without words), n_words, sha256 (of all words joined by a space) and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -130,11 +132,12 @@ def survey(docs: DataFrame) -> DataFrame:
                 row, _, _, key, _, _ = parsed(g)
                 offsets = pa.array(np.searchsorted(row, np.arange(len(g.plain) + 1)).astype(np.int32))
                 yield batch(
-                    doc_id=b["doc_id"].slice(begin, len(g.plain)), digest=pa.array([digest_of(p) if p else None for p in g.plain], pa.binary()), n_words=pa.array(g.size),
+                    doc_id=b["doc_id"].slice(begin, len(g.plain)), text_key=b["text_key"].slice(begin, len(g.plain)), digest=pa.array([digest_of(p) if p else None for p in g.plain], pa.binary()), n_words=pa.array(g.size),
                     sha256=pa.array([hashlib.sha256(p).digest() for p in g.plain], pa.binary()), keys=pa.ListArray.from_arrays(offsets, pa.array(key)),
                 )
 
-    return docs.mapInArrow(tidy(run), "doc_id long, digest binary, n_words long, sha256 binary, keys array<long>")
+    keyed = docs.withColumn("text_key", text_key(F.col("text")))
+    return keyed.mapInArrow(tidy(run), "doc_id long, text_key binary, digest binary, n_words long, sha256 binary, keys array<long>")
 
 
 def stretches(rows: DataFrame) -> DataFrame:
@@ -168,7 +171,7 @@ def pieces(marked: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in by_size(whole, MARK_BYTES * pc.list_value_length(whole["marks"]).to_numpy())):
             out: dict[str, list] = {c: [] for c in ("doc_id", "digest", "at", "n", "lead_id", "lead_digest", "span", "skip")}
             for doc_id, digest, marks in zip(b["doc_id"].to_pylist(), b["digest"].to_pylist(), b["marks"].to_pylist(), strict=True):
                 marks.sort(key=lambda m: (m["lead_id"], m["lead_digest"], m["at"] - m["lead_at"], m["at"]))
@@ -214,6 +217,13 @@ def spans(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), "lead_id long, lead_digest binary, span int, words binary")
 
 
+def with_marks(b: pa.RecordBatch) -> np.ndarray:
+    """The bytes of each row's text and of the words that its marks hold."""
+    words = np.concatenate(([0], np.cumsum(pc.coalesce(pc.binary_length(b["marks"].values.field("words")), 0).to_numpy())))
+    offsets = b["marks"].offsets.to_numpy()
+    return pc.coalesce(pc.binary_length(b["text"]), 0).to_numpy() + words[offsets[1:]] - words[offsets[:-1]]
+
+
 def cut(rows: DataFrame) -> DataFrame:
     """doc_id, digest, text and marks (places at, n, skip, words of the leading span) -> what is left of the text.
 
@@ -221,7 +231,7 @@ def cut(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
+        for b in (part for whole in batches for part in by_size(whole, with_marks(whole))):
             removed, left = [], []
             for text, marks in zip(raw(b["text"]), b["marks"].to_pylist(), strict=True):
                 words = text.split()
@@ -256,7 +266,7 @@ def with_common(rows: DataFrame, again: DataFrame, total: int) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and left (the kept words; null where nothing was removed), a row a document."""
+    """doc_id, text_key, n_words, n_removed, kept_sha256 and left (the kept words; null where nothing was removed), a row a document."""
     scratch = Scratch(docs.sparkSession)
     texts = documents(docs)
     base = scratch.keep(survey(texts))
@@ -278,15 +288,15 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     later = (F.col("doc_id") > F.col("lead_id")) | ((F.col("doc_id") == F.col("lead_id")) & (F.col("at") > F.col("lead_at")))
     mark = ["at", "n", "lead_id", "lead_digest", "lead_at"]
     whole = scratch.keep(narrow.join(leaders.drop("names"), ["key", "stretch"]).where(later).select("doc_id", "digest", *mark))
-    contested = leaders.groupBy("key").count().where("count > 1").select("key")
-    windows = leaders.join(contested, "key").select("key", F.col("lead_id").alias("doc_id"), F.col("lead_digest").alias("digest"), "lead_at", F.posexplode("names").alias("k", "name"))
+    contested = scratch.keep(leaders.groupBy("key").count().where("count > 1"))
+    windows = with_common(leaders, contested, int(contested.agg(F.sum("count")).first()[0] or 0)).select("key", F.col("lead_id").alias("doc_id"), F.col("lead_digest").alias("digest"), "lead_at", F.posexplode("names").alias("k", "name"))
     windows = scratch.keep(windows.select("key", "name", "doc_id", "digest", (F.col("lead_at") + F.col("k")).alias("at")))
     least = windows.groupBy("key", "name").agg(F.min(F.struct("doc_id", "at", "digest")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
     least = least.select("key", "name", F.col("f.doc_id").alias("lead_id"), F.col("f.at").alias("lead_at"), F.col("f.digest").alias("lead_digest"))
     single = windows.join(least, ["key", "name"]).where(later).select("doc_id", "digest", "at", F.lit(1).alias("n"), "lead_id", "lead_digest", "lead_at")
     marked = whole.unionByName(single).groupBy("doc_id", "digest").agg(F.collect_list(F.struct(*mark)).alias("marks"))
     alike = scratch.keep(pieces(marked))
-    scratch.drop(whole, windows, leaders)
+    scratch.drop(whole, windows, contested, leaders)
     asked = scratch.keep(alike.select(F.col("lead_id").alias("doc_id"), F.col("lead_digest").alias("digest"), "span").groupBy("doc_id", "digest").agg(F.collect_set("span").alias("spans")))
     texts_of = work.select("doc_id", "digest", "text")
     with few_rows_of(docs.sparkSession):
@@ -296,10 +306,10 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     scratch.drop(alike, asked, words)
     trimmed = scratch.keep(cut(work.select("doc_id", "digest", "text").join(marks, ["doc_id", "digest"])).dropDuplicates(["doc_id", "digest"]))
     scratch.drop(work, marks)
-    rows = base.select("doc_id", "digest", "n_words", "sha256").join(first, "digest", "left").join(trimmed, ["doc_id", "digest"], "left")
+    rows = base.select("doc_id", "text_key", "digest", "n_words", "sha256").join(first, "digest", "left").join(trimmed, ["doc_id", "digest"], "left")
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= WINDOW)
     return rows.select(
-        "doc_id", "n_words",
+        "doc_id", "text_key", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(NOTHING)).otherwise(F.lower(F.hex(F.coalesce("cut_sha256", "sha256")))).alias("kept_sha256"),
         F.when(copy, F.lit("")).otherwise(F.col("left")).alias("left"),
@@ -307,13 +317,17 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows, with all their columns; text is the kept words joined by a space where words were removed."""
-    changed = find_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("changed_doc_id"), F.col("left").alias("left_text"), "n_words").distinct()
-    out = docs.join(changed.drop("n_words"), F.col("doc_id").cast("long") == F.col("changed_doc_id"), "left")
-    text = F.coalesce("left_text", "text")
-    columns = {"text": text} | ({"n_chars": F.when(F.col("left_text").isNull(), F.col("n_chars")).otherwise(F.length("left_text").cast("long"))} if "n_chars" in docs.columns else {})
-    return out.withColumns(columns).select(*docs.columns)
+    """The rows, with all their columns; text is the kept words joined by a space where words were removed.
+
+    Rows are known by doc_id and text, so rows that share only one of them are cut apart.
+    """
+    changed = find_repeats(docs).where("n_removed > 0").select("doc_id", "text_key", "left").distinct()
+    keyed = in_one(docs, doc_id=F.col("doc_id").cast("long"), text_key=text_key(F.col("text")))
+    cut = F.col("left").isNotNull()
+    new = {"text": F.col("left"), "n_chars": F.length("left").cast("long")}
+    old = [(c, F.col("row").getField(c)) for c in docs.columns]
+    return keyed.join(changed, ["doc_id", "text_key"], "left").select(*(F.when(cut, new[c]).otherwise(was).alias(c) if c in new else was.alias(c) for c, was in old))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_repeats(table(spark, sf_dir, "documents")).drop("left")
+    return find_repeats(table(spark, sf_dir, "documents")).drop("left", "text_key")

@@ -36,6 +36,8 @@ def test_ids_at_any_position(top, n):
         assert (found.part, found.nth, found.n_docs, found.n_ids) == (3, 4, len(ends), n)
         some = rng.integers(0, n, 1000)
         assert (found.at(some) == ids[some]).all() and (found.at(np.arange(n)) == ids).all() and not len(found.at(np.zeros(0, np.int64)))
+        for a, b in np.sort(rng.integers(0, n, (20, 2), endpoint=True)).tolist():
+            assert (found.between(a, b) == ids[a:b]).all()
         assert [found.document(k).tolist() for k in range(len(ends))] == [x.tolist() for x in np.split(ids, ends[:-1])]
         assert not found.known[0] and found.known[1:].all() and found.doc_ids[1:].tolist() == list(range(len(ends) - 1))
 
@@ -51,7 +53,7 @@ def test_codes_are_small_and_damage_is_found():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "\xa0", "\x85", "\x1c", "　", "word", "Don't", "É,", "x.", "...", "42", "a1", "'s", "中文", "😀", "ß", "​", "<|endoftext|>", "K", "ſ,"]), max_size=12).map("".join))
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\n", "\n\n", "\t", "\xa0", "\x85", "\x1c", "　", "word", "Don't", "É,", "x.", "...", "42", "a1", "'s", "中文", "😀", "ß", "​", "<|endoftext|>", "K", "ſ,"]), max_size=12).map("".join))
 def test_pieces_have_the_library_s_ids(text):
     words = codes.piece_ids(PATH)
     assert np.frombuffer(words.ids(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids

@@ -34,33 +34,53 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch, documents, hold, small, table, tidy
-from .packing import BYTE_LETTER, LETTERS
+from .packing import BYTE_LETTER
 
 MAGIC = b"TLCODES1"
 HEAD = len(MAGIC) + 16
 FILE_TOKENS = 4 << 20
 END_ID = 2
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 SLICE = 1 << 20
 WORD_BITS, SUPER_BITS = 6, 16
 #: Where the tokenizer parts white space: only the last character of a run, if it is a space, goes with what follows.
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 UNUSUAL = re.compile("[\x1c-\x1f]")
 MARKS = ",.;:!?"
+#: Letters that are parted from what is no letter, and not among themselves.
+LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
+LINES, LINE, BARE = "\x1d", "\x1e", "\x1f"
 
 
 def padded(b: bytes) -> bytes:
     return b + b"\0" * (-len(b) % 8)
 
 
+def spread(width: int) -> list[tuple[int, int, int, int]]:
+    """Where eight values of a width lie in ``width`` bytes: value, byte, and the shifts of the value up and down to that byte."""
+    return [(i, j, i * width % 8, 8 * (j - i * width // 8)) for i in range(8) for j in range(i * width // 8, (i * width + width - 1) // 8 + 1)]
+
+
 def pack(values: np.ndarray, width: int) -> bytes:
     """Values under 1 << width, one behind the other."""
-    out = []
-    for i in range(0, len(values), SLICE):  # a multiple of 8 values: whole bytes
-        v = values[i : i + SLICE].astype("<u4")
-        bits = np.unpackbits(v.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-        out.append(np.packbits(bits, bitorder="little").tobytes())
-    return padded(b"".join(out))
+    eight = np.zeros((-(-len(values) // 8), 8), np.uint64)
+    eight.ravel()[: len(values)] = values
+    out = np.zeros((len(eight), width), np.uint8)
+    for i, j, up, down in spread(width):
+        out[:, j] |= ((eight[:, i] << np.uint64(up)) >> np.uint64(down)).astype(np.uint8)
+    return padded(out.tobytes()[: -(-len(values) * width // 8)])
+
+
+def unpack(chunks: np.ndarray, first: int, last: int, width: int) -> np.ndarray:
+    """The chunks of this width from position first to last."""
+    low, many = first // 8, -(-last // 8) - first // 8
+    rows = np.zeros((many, width), np.uint8)
+    there = chunks[low * width : (low + many) * width]
+    rows.ravel()[: len(there)] = there
+    eight = np.zeros((many, 8), np.uint64)
+    for i, j, up, down in spread(width):
+        eight[:, i] |= (rows[:, j].astype(np.uint64) << np.uint64(down)) >> np.uint64(up)
+    return (eight & np.uint64((1 << width) - 1)).ravel()[first - 8 * low : last - 8 * low].astype(np.uint32)
 
 
 def widths(ids: np.ndarray) -> list[int]:
@@ -146,20 +166,38 @@ class Codes:
             out[which] |= fetch(chunks, positions, width) << np.uint32(shift)
             if more is None:
                 break
-            bits, above, within = more
-            word, bit = positions >> WORD_BITS, (positions & 63).astype(np.uint64)
-            on = (bits[word] >> bit) & np.uint64(1) > 0
-            word, bit, positions = word[on], bit[on], positions[on]
+            on = (more[0][positions >> WORD_BITS] >> (positions & 63).astype(np.uint64)) & np.uint64(1) > 0
             which = np.flatnonzero(on) if isinstance(which, slice) else which[on]
-            below = bits[word] & ((np.uint64(1) << bit) - np.uint64(1))
-            positions = above[positions >> SUPER_BITS] + within[word] + np.bitwise_count(below)
+            positions = rank(more, positions[on])
+            shift += width
+        return out
+
+    def between(self, first: int, last: int) -> np.ndarray:
+        """The ids from position first to last: on each level from the rank of the first to the rank of the last."""
+        out, which, shift = np.zeros(last - first, np.uint32), slice(None), 0
+        for width, chunks, more in self.levels:
+            out[which] |= unpack(chunks, first, last, width) << np.uint32(shift)
+            if more is None or first == last:
+                break
+            words = more[0][first >> WORD_BITS : (last - 1 >> WORD_BITS) + 1]
+            on = np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little")[first & 63 : (first & 63) + last - first])
+            which = on if isinstance(which, slice) else which[on]
+            first = int(rank(more, np.array([first]))[0])
+            last = first + len(on)
             shift += width
         return out
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document."""
-        begin = int(self.ends[k - 1]) if k else 0
-        return self.at(np.arange(begin, int(self.ends[k])))
+        return self.between(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
+
+
+def rank(more: tuple[np.ndarray, np.ndarray, np.ndarray], positions: np.ndarray) -> np.ndarray:
+    """The ones before each position."""
+    bits, above, within = more
+    word = positions >> WORD_BITS
+    below = bits[word] & ((np.uint64(1) << (positions & 63).astype(np.uint64)) - np.uint64(1))
+    return above[positions >> SUPER_BITS] + within[word] + np.bitwise_count(below)
 
 
 def fetch(chunks: np.ndarray, positions: np.ndarray, width: int) -> np.ndarray:
@@ -174,9 +212,10 @@ def fetch(chunks: np.ndarray, positions: np.ndarray, width: int) -> np.ndarray:
 
 
 class PieceIds(dict):
-    """What lies between spaces, with the space before it -> its ids as bytes, for a byte-level tokenizer that parts words there.
+    """What lies between spaces -> its ids, with the space before it, as bytes, for a byte-level tokenizer that parts words there.
 
-    None for what is or touches other white space beside the space: such texts are parted by ``SPACED``.
+    BARE is before a piece that has no space before it, LINE and LINES stand for one or two line feeds on their own. None for what is or touches
+    other white space: such texts are parted by ``SPACED``.
     """
 
     def __init__(self, path: str):
@@ -185,21 +224,31 @@ class PieceIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.space = BYTE_LETTER[0x20]
         self.blank: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self[LINE], self[LINES] = self.whole("\n"), self.whole("\n") * 2
 
     def __missing__(self, piece: str) -> bytes | None:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        word = piece.removeprefix(" ")
-        value = self[piece] = None if not word or word[0].isspace() or word[-1].isspace() else self.make(piece)
+        value = self[piece] = self.make(piece)
         return value
 
-    def make(self, piece: str) -> bytes:
-        if len(piece) > 2 and piece[-1] in MARKS and LETTERS.fullmatch(piece[-2].lower()):
-            return self[piece[:-1]] + self[piece[-1]]  # a letter and one mark behind it are parted in any case
-        if LETTERS.fullmatch(piece.removeprefix(" ").lower()):  # straight to the library's model
-            return as_bytes([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTER))])
-        return self.whole(piece)
+    def make(self, piece: str) -> bytes | None:
+        bare = piece[:1] == BARE
+        word = piece[1:] if bare else piece
+        if LETTERS.fullmatch(word):  # straight to the library's model
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTER)
+            return as_bytes([t.id for t in self.model.tokenize(letters if bare else self.space + letters)])
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        if word[-1] in MARKS and LETTERS.fullmatch(word[-2:-1]):
+            return self[piece[:-1]] + self[BARE + word[-1]]  # a letter and one mark behind it are parted in any case
+        return self.whole(word if bare else " " + word)
 
     def whole(self, text: str) -> bytes:
         return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -207,11 +256,11 @@ class PieceIds(dict):
     def ids(self, text: str) -> bytes:
         if UNUSUAL.search(text) or any(s in text for s in self.special):
             return self.whole(text)
-        first, *rest = text.split(" ")
-        found = ([self[first]] if first else []) + [self[" " + p] for p in rest]
-        if None not in found:
-            return b"".join(found)
-        return b"".join([self.blank_ids(p) if p.isspace() else self[p] for p in SPACED.findall(text)])
+        parted = f"{BARE}{text}".replace("\n\n", f" {LINES} {BARE}").replace("\n", f" {LINE} {BARE}") if "\n" in text else BARE + text
+        try:
+            return b"".join(map(self.__getitem__, parted.split(" ")))
+        except TypeError:  # a piece without ids of its own
+            return b"".join([self.blank_ids(p) if p.isspace() else self[p[1:] if p[0] == " " else BARE + p] for p in SPACED.findall(text)])
 
     def blank_ids(self, piece: str) -> bytes:
         """White space alone; only short runs are remembered."""
@@ -276,6 +325,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
     encoded = files(texts, tokenizer_path, end_id, file_tokens)
     encoded.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/codes")
     heads = stored(spark, folder).mapInArrow(tidy(head), "file string, part long, nth long, n_docs long, n_ids long")
+    heads = Scratch(spark).keep(heads)
     heads = heads.withColumn("whole", F.sum("n_ids").over(Window.partitionBy("part").orderBy("nth")))
     parts = heads.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     start = F.col("before") + F.col("whole") - F.col("n_ids")
@@ -311,7 +361,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 crcs, k = [], 0
                 while k < codes.n_docs:
                     many = max(k + 1, int(np.searchsorted(codes.ends, begins[k] + SLICE, side="right")))
-                    ids = codes.at(np.arange(begins[k], codes.ends[many - 1])).astype("<u4").tobytes()
+                    ids = codes.between(int(begins[k]), int(codes.ends[many - 1])).astype("<u4").tobytes()
                     crcs += [zlib.crc32(ids[4 * (i - begins[k]) : 4 * (j - begins[k])]) for i, j in zip(begins[k:many].tolist(), codes.ends[k:many].tolist(), strict=True)]
                     k = many
                 doc_id = pa.array(codes.doc_ids, pa.int64(), mask=~codes.known)

@@ -22,17 +22,18 @@ def _pick(rows: DataFrame, keys: list[str], order: list[str], best) -> DataFrame
 
 
 def latest_observed(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Upsert by observation time, folded in content order: a row loses only if both times are known and its own is older.
+    """Upsert by observation time, in content order: a row loses only if both times are known and its own is older.
 
-    A null time replaces and is replaced by anything, so the rule is no total order and needs the fold. Groups are the
-    versions of one daily value.
+    A null time replaces and is replaced by anything. So nothing before a key's last row without a time matters, and of that row and those
+    behind it the latest observed holds, ties by order; both are maxima, which are aggregated before the shuffle. A key's
+    versions are never collected. ``rows`` is read twice: keep it first if it is dear.
     """
     rest = [c for c in rows.columns if c not in keys]
-    version = F.struct(order, *[c for c in rest if c != order])
-    versions = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(version)).alias("v"))
-    wins = lambda a, x: x.observed.isNull() | a.observed.isNull() | (x.observed >= a.observed)
-    folded = F.reduce(F.slice("v", 2, F.size("v")), F.element_at("v", 1), lambda a, x: F.when(wins(a, x), x).otherwise(a))
-    return versions.select(*keys, folded.alias("w")).select(*keys, *(F.col(f"w.{c}").alias(c) for c in rest))
+    cut = rows.where(F.col("observed").isNull()).groupBy(*keys).agg(F.max(order).alias("cut")).select(F.struct(*keys).alias("of"), "cut")
+    versions = rows.select(F.struct(*keys).alias("key"), F.struct(*rest).alias("version"))
+    left = versions.join(cut, F.col("key").eqNullSafe(F.col("of")), "left").where(F.col("cut").isNull() | (F.col(f"version.{order}") >= F.col("cut")))
+    best = left.groupBy("key").agg(F.max(F.struct("version.observed", f"version.{order}", "version")).alias("best"))
+    return best.select("key.*", *(F.col(f"best.version.{c}").alias(c) for c in rest))
 
 
 def conflict_winner(rows: DataFrame, keys: list[str], by_hash: Column | None = None) -> DataFrame:

@@ -145,13 +145,15 @@ def json_rows(files: DataFrame) -> DataFrame:
     """
     text = F.try_validate_utf8(F.col("content"))
     whole = F.try_parse_json(F.col("content").cast("string"))
-    kind = F.schema_of_variant("v")
-    rows = files.select("path", F.when(text.isNotNull(), whole).alias("v")).withColumn("kind", F.when(F.col("v").isNotNull(), kind))
+    rows = files.select("path", text.alias("text"), F.when(text.isNotNull(), whole).alias("v")).withColumn("kind", F.when(F.col("v").isNotNull(), F.schema_of_variant("v")))
     one, many = F.col("kind").startswith("OBJECT"), F.col("kind").startswith("ARRAY")
-    items = F.when(one, F.array("v")).when(many, F.try_variant_get("v", "$", "array<variant>"))
-    good = rows.where(one | many).select("path", F.posexplode(items).alias("n", "item")).where(F.schema_of_variant("item").startswith("OBJECT"))
+    item = F.struct(F.col("v").alias("item"), F.trim("text").alias("record"))
+    # the record's text is the file's own: numbers keep their form
+    listed = F.arrays_zip(F.try_variant_get("v", "$", "array<variant>").alias("item"), F.from_json("text", "array<string>").alias("record"))
+    items = F.when(one, F.array(item)).when(many, F.transform(listed, lambda x: F.struct(x.item.alias("item"), x.record.alias("record"))))
+    good = rows.where(one | many).select("path", F.posexplode(items).alias("n", "x")).where(F.schema_of_variant("x.item").startswith("OBJECT"))
     bad = rows.where(F.coalesce(~(one | many), F.lit(True))).select("path", F.lit("file is not valid JSON or not a JSON array/object").alias("error"))
-    return good.select("path", "n", F.to_json("item").alias("record")).unionByName(bad, allowMissingColumns=True)
+    return good.select("path", "n", F.col("x.record").alias("record")).unionByName(bad, allowMissingColumns=True)
 
 
 def live_records(files: DataFrame) -> DataFrame:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import contextlib
+import datetime
+import itertools
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import redact
 from ..operators.dedupe import first_write
+from . import snapshots
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -90,85 +95,51 @@ def read_snapshot(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
 
 
-POINTER, RUNS = "CURRENT", "runs"
-
-
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _path(spark, path)
-    return fs.exists(p)
-
-
-def snapshots(spark: SparkSession, target: str) -> list[str]:
-    """Names of the snapshots of a store, oldest first; unfinished ones are left out."""
-    fs, p = _path(spark, target)
-    if not fs.exists(p):
-        return []
-    names = (s.getPath().getName() for s in fs.listStatus(p))
-    return sorted(n for n in names if n.startswith("snapshot-") and _exists(spark, f"{target}/{n}/tables"))
+RUNS, WORK = "runs", "work-"
 
 
 def current(spark: SparkSession, target: str) -> dict[str, DataFrame]:
-    """The tables of the snapshot that the pointer names; none in a store without one."""
-    if not _exists(spark, f"{target}/{POINTER}"):
-        return {}
-    name = spark.read.text(f"{target}/{POINTER}").first()[0]
-    names = [r[0] for r in spark.read.parquet(f"{target}/{name}/tables").collect()]  # a row a table
-    return {n: read_snapshot(spark, f"{target}/{name}", n) for n in names}
-
-
-def publish(spark: SparkSession, target: str, tables: dict[str, DataFrame], run: str, cancelled=lambda: False) -> bool:
-    """Writes a snapshot beside the old ones, then moves the pointer by a rename. A run that breaks off or is cancelled moves nothing."""
-    name = f"snapshot-{run}"
-    for table, df in tables.items():
-        if cancelled():
-            return False
-        df.write.mode("overwrite").parquet(f"{target}/{name}/{table}")
-    spark.createDataFrame([(t,) for t in tables], "table string").coalesce(1).write.mode("overwrite").parquet(f"{target}/{name}/tables")
-    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/{POINTER}.new")
-    fs, new = _path(spark, f"{target}/{POINTER}.new")
-    _, old = _path(spark, f"{target}/{POINTER}")
-    fs.delete(old, True)
-    return fs.rename(new, old)
+    """The tables of the latest commit; none in a store without one."""
+    from . import ingest
+
+    return ingest.tables_of(spark, target)
 
 
 @contextlib.contextmanager
 def keeper(spark: SparkSession, target: str, run: str):
     """A function that writes a table beside the store's snapshots and reads it back, so that it is made once; all such tables go at the end."""
-    folder, count = f"{target}/work-{run}", iter(range(1 << 30))
+    name, count = f"{WORK}{run}", itertools.count()
 
     def keep(df: DataFrame) -> DataFrame:
-        path = f"{folder}/{next(count)}"
+        path = f"{target}/{name}/{next(count)}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     try:
         yield keep
     finally:
-        fs, p = _path(spark, folder)
-        fs.delete(p, True)
+        snapshots.Files(spark, target).delete(name)
 
 
 def heal(spark: SparkSession, target: str) -> None:
-    """After a crash: a pointer that was written and not moved is moved, and runs that were begun and not ended are booked as interrupted."""
-    fs, new = _path(spark, f"{target}/{POINTER}.new")
-    _, old = _path(spark, f"{target}/{POINTER}")
-    if fs.exists(new) and _exists(spark, f"{target}/{POINTER}.new/_SUCCESS") and not fs.exists(old):
-        fs.rename(new, old)
-    for r in runs(spark, target).where("status = 'running'").collect():  # runs that broke off
-        finish_run(spark, target, r["run"], "interrupted", None)
+    """After a crash, by the next holder of the store's lease: runs that were begun and not ended are booked as interrupted, their work goes."""
+    files = snapshots.Files(spark, target)
+    booked = files.names(RUNS)
+    begun, ended = ({n.split("-")[0] for n in booked if n.endswith("-running.json") == begins} for begins in (True, False))
+    for run in sorted(begun - ended):
+        finish_run(spark, target, run, "interrupted", None)
+    for name in files.names(""):
+        if name.startswith(WORK):
+            files.delete(name)
+    for name in files.names(snapshots.COMMITS):
+        if name.endswith(".new"):
+            files.delete(f"{snapshots.COMMITS}/{name}")
 
 
 RUN_SCHEMA = "run string, at timestamp, transport string, status string, error string"
 
 
 def begin_run(spark: SparkSession, target: str, transport: str) -> str:
-    import uuid
-
     run = uuid.uuid1().hex
     _book(spark, target, run, transport, "running", None)
     return run
@@ -179,13 +150,16 @@ def finish_run(spark: SparkSession, target: str, run: str, status: str, error: s
 
 
 def _book(spark: SparkSession, target: str, run: str, transport: str | None, status: str, error: str | None) -> None:
-    row = spark.createDataFrame([(run, None, transport, status, error)], RUN_SCHEMA).withColumn("at", F.current_timestamp())
-    row.withColumn("error", redact(F.col("error"))).coalesce(1).write.mode("append").parquet(f"{target}/{RUNS}")
+    """An event of a run: a small file, written once."""
+    if error is not None:
+        error = spark.range(1).select(redact(F.lit(error))).first()[0]
+    at = datetime.datetime.now(datetime.UTC).isoformat()
+    snapshots.Files(spark, target).create(f"{RUNS}/{run}-{status}.json", json.dumps({"run": run, "at": at, "transport": transport, "status": status, "error": error}))
 
 
 def runs(spark: SparkSession, target: str) -> DataFrame:
     """run, started_at, finished_at, transport, status, error: one row a run, from an append-only log of its events."""
-    log = spark.read.schema(RUN_SCHEMA).parquet(f"{target}/{RUNS}")
+    log = spark.read.schema(RUN_SCHEMA).json(f"{target}/{RUNS}")
     ended = F.col("status") != "running"
     return log.groupBy("run").agg(
         F.min("at").alias("started_at"), F.max(F.when(ended, F.col("at"))).alias("finished_at"), F.max("transport").alias("transport"),
@@ -196,7 +170,7 @@ def runs(spark: SparkSession, target: str) -> DataFrame:
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """file, size and sha256 of every file below a folder: what a copied backup is held against."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return found.select(F.regexp_replace("path", r"^.*?/(?=snapshot-|[^/]+/[^/]+$)", "").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return found.select(F.regexp_replace("path", r"^.*?/(?=(?:data|commits|runs)/|[^/]+/[^/]+$)", "").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:

@@ -183,6 +183,7 @@ def test_redaction_cases(spark):
     cases = {
         "OSError: /home/someone/files/X.FIT unreadable": "OSError: {path} unreadable", "bad file 'C:\\\\Users\\\\me\\\\a.fit' here".replace("\\\\", "\\"): "bad file '{path}' here", "some.one@mail.org_123456789.fit failed": "{email}_{id}.fit failed",
         "serial 3489012345 rejected": "serial {id} rejected", "12.3456789 and .1234567 and 1234567.5": "12.3456789 and .1234567 and 1234567.5", "1234567 7654321 1111111": "{id} {id} {id}", "ends 1234567.": "ends {id}.",
+        "a@b.co@c.de x@y.z1 k@m.co1 @b.co a@.co a@..co u.v@w.x-y.info.": "{email}@c.de x@y.z1 {email}1 @b.co a@.co {email} {email}.", r"C:\\a 1:\b D:\a\\c E:\xF:\y z:\(q)": r"{path}\a 1:\b {path}\c {path} {path}(q)",
         "1234567.x 123456": "{id}.x 123456", "(/a/b) '/c/d' x/y/z /lone": "({path}) '{path}' x/y/z /lone",
     }
     df = spark.createDataFrame([(k, v) for k, v in cases.items()], "text string, want string")

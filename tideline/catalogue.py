@@ -1236,7 +1236,7 @@ def local_today(spark, d):
     return localday.local_today(A.offsets(spark, d), datetime.datetime(2024, 1, 10, 22, 30))
 
 
-@query(f"SELECT url, md5(t) AS digest FROM (SELECT url, {scalars.redact_sql('url', (scalars.EMAIL, scalars.ANY_LONG_NUMBER))} AS t FROM pages)", views=False)
+@query(f"SELECT url, md5(t) AS digest FROM (SELECT url, {scalars.mask_label_sql('url')} AS t FROM pages)", views=False)
 def mask_label(spark, d):
     return A.table(spark, d, "pages").select("url", F.md5(scalars.mask_label(F.col("url")).cast("binary")).alias("digest"))
 

@@ -5,18 +5,20 @@ from __future__ import annotations
 import datetime
 import math
 import re
+import string
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DEAD_BAND = 1e-9
-# What is taken out of texts, each behind a start or a character that cannot belong to it, which is put back.
-EMAIL = (r"[\w.%+-]+@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*\.[A-Za-z][A-Za-z]+", "{email}")
+LETTERS = string.ascii_letters
+ADDRESS, HOST = LETTERS + string.digits + "._%+-", LETTERS + string.digits + ".-"
+# What else is taken out of texts, each behind a start or a character that cannot belong to it, which is put back.
 ROOTED_PATH = (r"""(^|[\s'"(:])/[^\s'"()]+/[^\s'"()]*""", "$1{path}")
-DRIVE_PATH = (r"""[A-Za-z]:\\(?:[^\s'"()\\]+\\?)*""", "{path}")
 LONG_NUMBER = (r"(^|[^0-9.])([0-9]{7,})($|[^0-9.]|\.$|\.[^0-9])", "$1{id}$3")
 ANY_LONG_NUMBER = (r"[0-9]{7,}", "{id}")
+PATH_ENDS = r"""[\s'"()]"""
 
 
 def replaced(text: Column, rule: tuple[str, str]) -> Column:
@@ -25,28 +27,102 @@ def replaced(text: Column, rule: tuple[str, str]) -> Column:
     return F.regexp_replace(once, *rule) if "$3" in rule[1] else once
 
 
+def _led(text: Column, characters: str) -> Column:
+    """How many of these characters a text begins with."""
+    return F.length(text) - F.length(F.ltrim(text, F.lit(characters)))
+
+
+def _folded(text: Column, mark: str, step) -> Column:
+    """A text parted at a mark and put together again, part by part: ``done`` is settled, ``rest`` may still belong to what the next mark shows."""
+    parts = F.split(text, re.escape(mark))
+    begin = F.struct(F.lit("").alias("done"), F.get(parts, F.lit(0)).alias("rest"), F.lit(False).alias("open"))
+    folded = F.aggregate(F.slice(parts, 2, F.size(parts)), begin, step, lambda a: F.concat(a.done, a.rest))
+    return F.when(text.contains(mark), folded).otherwise(text)
+
+
+def without_addresses(text: Column) -> Column:
+    """Mail addresses as {email}: characters of an address before an @, behind it a host whose last label that has two letters or more ends it."""
+
+    def step(a: Column, part: Column) -> Column:
+        own = F.length(a.rest) - F.length(F.rtrim(a.rest, F.lit(ADDRESS)))
+        labels = F.split(F.substr(part, F.lit(1), _led(part, HOST)), r"\.")
+        at = lambda i: F.aggregate(F.slice(labels, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x) + 1)
+        ends = F.transform(labels, lambda x, i: F.when((at(i) > 1) & (_led(x, LETTERS) >= 2), at(i) + _led(x, LETTERS)))
+        end = F.coalesce(F.array_max(ends), F.lit(0))
+        found = F.concat(a.done, F.substr(a.rest, F.lit(1), F.length(a.rest) - own), F.lit("{email}"))
+        hit = (own > 0) & (end > 0)
+        rest = F.when(hit, F.substr(part, end + 1)).otherwise(part)
+        return F.struct(F.when(hit, found).otherwise(F.concat(a.done, a.rest, F.lit("@"))).alias("done"), rest.alias("rest"), F.lit(False).alias("open"))
+
+    return _folded(text, "@", step)
+
+
+def without_drive_paths(text: Column) -> Column:
+    """Paths of a drive as {path}: a letter, a colon and a backslash, then parts between single backslashes, up to white space, a quote or a bracket."""
+
+    def step(a: Column, part: Column) -> Column:
+        run = F.get(F.split(part, PATH_ENDS, 2), F.lit(0))
+        empty = F.instr(F.concat(F.lit("\\"), run), "\\\\")  # where a part is empty
+        end = F.when(empty > 0, empty - 1).otherwise(F.length(run))
+        starts = ~a.open & (F.length(a.rest) > 0) & (_led(F.right(a.rest, F.lit(1)), LETTERS) == 1)
+        done = F.when(a.open, a.done).when(starts, F.concat(a.done, F.substr(a.rest, F.lit(1), F.length(a.rest) - 1), F.lit("{path}"))).otherwise(F.concat(a.done, a.rest, F.lit(":\\")))
+        inside = a.open | starts
+        return F.struct(done.alias("done"), F.when(inside, F.substr(part, end + 1)).otherwise(part).alias("rest"), (inside & (end == F.length(part))).alias("open"))
+
+    return _folded(text, ":\\", step)
+
+
 def redact(text: Column) -> Column:
     """Mail addresses, then rooted paths of two or more parts and drive paths, then numbers of seven digits or more, as placeholders.
 
     A number that is part of a decimal stays.
     """
-    for rule in (EMAIL, ROOTED_PATH, DRIVE_PATH, LONG_NUMBER):
-        text = replaced(text, rule)
+    return replaced(without_drive_paths(replaced(without_addresses(text), ROOTED_PATH)), LONG_NUMBER)
+
+
+def addresses_sql(text: str) -> str:
+    """``without_addresses`` as SQL of an engine with lists and lambdas."""
+    own = f"length(a.rest) - length(rtrim(a.rest, '{ADDRESS}'))"
+    labels = f"string_split(left(b.rest, length(b.rest) - length(ltrim(b.rest, '{HOST}'))), '.')"
+    letters = f"length({{x}}) - length(ltrim({{x}}, '{LETTERS}'))"
+    at = "list_sum(list_transform(l[1:i - 1], lambda y: length(y) + 1))"
+    end = f"coalesce(list_max(list_transform([{labels}], lambda l: list_max(list_transform(l, lambda x, i: CASE WHEN {at} > 1 AND {letters.format(x='x')} >= 2 THEN {at} + {letters.format(x='x')} END)))), 0)"
+    step = f"CASE WHEN {own} > 0 AND {end} > 0 THEN {{'done': a.done || left(a.rest, length(a.rest) - ({own})) || '{{email}}', 'rest': substr(b.rest, ({end} + 1)::BIGINT)}} ELSE {{'done': a.done || a.rest || '@', 'rest': b.rest}} END"
+    folded = f"list_reduce(list_transform(string_split({text}, '@'), lambda p: {{'done': '', 'rest': p}}), lambda a, b: {step})"
+    return f"(SELECT f.done || f.rest FROM (SELECT {folded} AS f))"
+
+
+def drives_sql(text: str) -> str:
+    """``without_drive_paths`` as SQL of an engine with lists and lambdas."""
+    run = r"""regexp_extract(b.rest, '^[^\s''"()]*')"""
+    empty = f"instr('\\' || {run}, '\\\\')"
+    end = f"CASE WHEN {empty} > 0 THEN {empty} - 1 ELSE length({run}) END"
+    starts = f"length(a.rest) > 0 AND ltrim(right(a.rest, 1), '{LETTERS}') = ''"
+    cut = f"'rest': substr(b.rest, {end} + 1), 'open': {end} = length(b.rest)"
+    step = f"CASE WHEN a.open THEN {{'done': a.done, {cut}}} WHEN {starts} THEN {{'done': a.done || left(a.rest, length(a.rest) - 1) || '{{path}}', {cut}}} ELSE {{'done': a.done || a.rest || ':\\', 'rest': b.rest, 'open': false}} END"
+    folded = f"list_reduce(list_transform(string_split({text}, ':\\'), lambda p: {{'done': '', 'rest': p, 'open': false}}), lambda a, b: {step})"
+    return f"(SELECT f.done || f.rest FROM (SELECT {folded} AS f))"
+
+
+def rule_sql(text: str, rule: tuple[str, str]) -> str:
+    quoted = rule[0].replace("'", "''")
+    for _ in range(2 if "$3" in rule[1] else 1):
+        text = f"regexp_replace({text}, '{quoted}', '{rule[1].replace('$', chr(92))}', 'g')"
     return text
 
 
-def redact_sql(text: str, rules: tuple[tuple[str, str], ...] = (EMAIL, ROOTED_PATH, DRIVE_PATH, LONG_NUMBER)) -> str:
-    """The same as an SQL expression of an engine without look-around."""
-    for pattern, mark in rules:
-        quoted = pattern.replace("'", "''")
-        for _ in range(2 if "$3" in mark else 1):
-            text = f"regexp_replace({text}, '{quoted}', '{mark.replace('$', chr(92))}', 'g')"
-    return text
+def redact_sql(text: str) -> str:
+    """``redact`` as SQL of an engine without look-around."""
+    return rule_sql(drives_sql(rule_sql(addresses_sql(text), ROOTED_PATH)), LONG_NUMBER)
 
 
 def mask_label(text: Column) -> Column:
     """Mail addresses and long numbers of a file label, parts of decimals too."""
-    return replaced(replaced(text, EMAIL), ANY_LONG_NUMBER)
+    return replaced(without_addresses(text), ANY_LONG_NUMBER)
+
+
+def mask_label_sql(text: str) -> str:
+    return rule_sql(addresses_sql(text), ANY_LONG_NUMBER)
 
 
 def instant_text(ts: Column) -> Column:

@@ -38,9 +38,9 @@ def with_offset(rows: DataFrame, offsets: DataFrame, ts: str = "ts") -> DataFram
     """Adds offset_s (0 where none is known) and assumed_utc.
 
     Rows before or after the days on which the clock is known to change take the first or last offset from a table of one row; the
-    others meet their regime on the UTC day.
+    others meet their regime on the UTC day. ``offsets`` may be regimes already, for several tables that meet the same ones.
     """
-    found = regimes(offsets)
+    found = offsets if "low2" in offsets.columns else regimes(offsets)
     first_day = lambda c: F.floor(c / (2 * DAY_US))
     low_day = F.min(F.when(F.col("low2") > -ENDLESS, first_day(F.col("low2"))))
     high_day = F.max(F.when(F.col("high2") < ENDLESS, first_day(F.col("high2"))))

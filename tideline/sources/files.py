@@ -118,7 +118,12 @@ def looks_like_export(paths: list[str]) -> bool:
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """path, content, written_day of every file below a folder, or of one file; archives at the top are opened, with their members' own days."""
-    found = binary_files(spark, path).select("path", "content", F.to_date("modificationTime").alias("written_day"))
+    return opened(binary_files(spark, path))
+
+
+def opened(found: DataFrame) -> DataFrame:
+    """Files as ``binaryFile`` reads them -> path, content, written_day; archives that are no uploads as their members."""
+    found = found.select("path", "content", F.to_date("modificationTime").alias("written_day"))
     outer = F.lower(F.col("path")).endswith(".zip") & (section_of(F.col("path")) != UPLOADS)
     return found.where(~outer).unionByName(entries(found.where(outer)))
 
@@ -148,7 +153,7 @@ def json_rows(files: DataFrame) -> DataFrame:
     rows = files.select("path", text.alias("text"), F.when(text.isNotNull(), whole).alias("v")).withColumn("kind", F.when(F.col("v").isNotNull(), F.schema_of_variant("v")))
     one, many = F.col("kind").startswith("OBJECT"), F.col("kind").startswith("ARRAY")
     item = F.struct(F.col("v").alias("item"), F.trim("text").alias("record"))
-    # the record's text is the file's own: numbers keep their form
+    # numbers keep the form that the file gives them; only white space between parts goes
     listed = F.arrays_zip(F.try_variant_get("v", "$", "array<variant>").alias("item"), F.from_json("text", "array<string>").alias("record"))
     items = F.when(one, F.array(item)).when(many, F.transform(listed, lambda x: F.struct(x.item.alias("item"), x.record.alias("record"))))
     good = rows.where(one | many).select("path", F.posexplode(items).alias("n", "x")).where(F.schema_of_variant("x.item").startswith("OBJECT"))

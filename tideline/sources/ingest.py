@@ -77,10 +77,11 @@ def fit_tables(records: DataFrame, keep: Keep = as_is) -> dict[str, DataFrame]:
     }
 
 
-def fresh_json(found: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fresh_json(found: DataFrame, held: DataFrame, streams: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(raw_id, stream, source_key, payload_hash, record, span and day of the export's JSON records (path, content) that are not held; failures).
 
-    A record is held if its stream and key are: of several versions under one key the first stays, in order of path and place.
+    A record is held if its stream and key are: of several versions under one key the first stays, in order of path and place. streams: those
+    that there are files of, if that is known.
     """
     routed = found.withColumn("stream", F_.stream_of(F.col("path"))).where("stream is not null")
     first, last = F_.claimed_window(F.substring_index("path", "/", -1))
@@ -89,7 +90,7 @@ def fresh_json(found: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]
     bad = rows.where("error is not null").select("path", "error").join(routed, "path")
     failures = bad.select(F.sha2("content", 256).alias("raw_id"), "stream", at(first).alias("start_ts"), at(last).alias("end_ts"), mask_label(F.substring_index("path", "/", -1)).alias("label"), "error")
     records = rows.where("error is null").select("stream", "path", "n", "record")
-    keyed = union([keyed_records(records.where(F.col("stream") == s), s) for s in RECORD_STREAMS])
+    keyed = union([keyed_records(records.where(F.col("stream") == s), s) for s in (RECORD_STREAMS if streams is None else sorted(streams) or RECORD_STREAMS[:1])])
     first = F.min(F.struct("path", "n", "record", *NO_SPAN, "day")).alias("f")
     once = keyed.groupBy("stream", "source_key").agg(first).select("stream", "source_key", "f.record", *(f"f.{c}" for c in (*NO_SPAN, "day"))).withColumn("payload_hash", F.sha2("record", 256))
     fresh = once.join(held.select("stream", "source_key").distinct(), ["stream", "source_key"], "left_anti")
@@ -135,9 +136,9 @@ def ordered(records: DataFrame) -> DataFrame:
     return records.withColumnsRenamed({"start_ts": "record_start", "payload_hash": "digest"})
 
 
-def json_tables(records: DataFrame) -> dict[str, DataFrame]:
-    """Tables of records (raw_id, stream, record) of all streams but the live one."""
-    parts = [DECODERS[s](records.where(F.col("stream") == s), s) for s in RECORD_STREAMS]
+def json_tables(records: DataFrame, streams: Iterable[str] = RECORD_STREAMS) -> dict[str, DataFrame]:
+    """Tables of records (raw_id, stream, record) of all streams but the live one, or of those that there are."""
+    parts = [DECODERS[s](records.where(F.col("stream") == s), s) for s in RECORD_STREAMS if s in {*streams, "json:uds", "json:sleep"}]
     out = {name: union([p[name] for p in parts if name in p]) for name in ("daily", "labels", "sleep")}
     return out | {name: out[name].withColumnRenamed("date", "day") for name in ("daily", "labels")}
 
@@ -344,7 +345,7 @@ def around(days: Iterable[int], reach: int) -> set[int]:
 
 
 def redated(old: DataFrame, new: DataFrame, days: set[int]) -> set[int]:
-    """Of some UTC days, those on which two sets of offsets do not tell the same time. Regimes, a row a change of clock, meet a calendar."""
+    """Of some UTC days, those on which two sets of offsets, or of regimes, do not tell the same time. Regimes, a row a change of clock, meet a calendar."""
     if not days:
         return set()
     spark = new.sparkSession
@@ -353,7 +354,7 @@ def redated(old: DataFrame, new: DataFrame, days: set[int]) -> set[int]:
 
     def clock(offsets: DataFrame) -> DataFrame:
         piece = F.struct(F.greatest("low2", first).alias("from2"), "offset_s")
-        met = localday.regimes(offsets).join(calendar, (F.col("low2") < last) & (F.col("high2") > first))
+        met = (offsets if "low2" in offsets.columns else localday.regimes(offsets)).join(calendar, (F.col("low2") < last) & (F.col("high2") > first))
         return met.groupBy("d").agg(F.array_sort(F.collect_list(piece)).alias("clock"))
 
     none = F.array(F.struct(first.alias("from2"), F.lit(0).alias("offset_s")))  # no offset known: taken for UTC
@@ -379,7 +380,7 @@ def write_facts(run: snapshots.Run, facts: dict[str, DataFrame], json_days: Data
     """
     spark = run.spark
     before = run.read("offsets")
-    before = spark.createDataFrame([], facts["offsets"].schema) if before is None else before
+    before = snapshots.nothing(spark, facts["offsets"].schema) if before is None else before
     stored = set().union(*(run.now.days(t) for t in CLOCKED))
     run.together([functools.partial(run.add, name, facts[name]) for name in PLAIN if with_fit or name not in run.now.schemas])
     new = {name: facts[name] for name in BY_INSTANT}
@@ -400,13 +401,15 @@ def write_facts(run: snapshots.Run, facts: dict[str, DataFrame], json_days: Data
 
     run.together([functools.partial(merge, name) for name in BY_INSTANT if touched.get(name) or name not in run.now.schemas])
     offsets = run.read("offsets")
-    moved = redated(before, offsets, stored) if with_fit else set()
+    clock = keep(localday.regimes(offsets))
+    moved = redated(before, clock, stored) if with_fit else set()
     reach = max(1, -(-int(offsets.agg(F.max(F.abs("offset_s"))).first()[0] or 0) // 86_400))
     local = around(set().union(moved, *(touched.get(t, set()) for t in CLOCKED)), reach) | touched.get("json", set())
     near = around(local, reach)
     records = run.read("raw_json", local).where("stream != 'json:live'").withColumn("record", F.col("payload").cast("string"))
-    tables = {"offsets": offsets, "samples": run.read("device_samples", near), "intervals": run.read("intervals", near)}
-    days = day_tables(tables, run.read("timed", near).drop(snapshots.DAY), run.read("nights", near).drop(snapshots.DAY), json_tables(ordered(records)), keep, in_days(local))
+    streams = {r.stream for r in records.select("stream").distinct().collect()}  # a row a stream
+    tables = {"offsets": clock, "samples": run.read("device_samples", near), "intervals": run.read("intervals", near)}
+    days = day_tables(tables, run.read("timed", near).drop(snapshots.DAY), run.read("nights", near).drop(snapshots.DAY), json_tables(ordered(records), streams), keep, in_days(local))
     steps = [functools.partial(run.replace, name, on_day(df, BY_LOCAL_DAY[name]), local) for name, df in days.items() if local or name not in run.now.schemas]
     live = touched.get("readings", set())
     if live or "live_samples" not in run.now.schemas:
@@ -421,15 +424,15 @@ def import_found(found: DataFrame, run: snapshots.Run, keep: Keep) -> DataFrame:
     """
     spark = run.spark
     name = F.lower("path")
-    kinds = found.agg(F.count_if(name.endswith(".fit") | name.endswith(".zip")).alias("fit"), F.count_if(F_.stream_of(F.col("path")).isNotNull()).alias("json"), F.count_if(name.endswith(".jsonl")).alias("live")).first()
+    kinds = found.agg(F.count_if(name.endswith(".fit") | name.endswith(".zip")).alias("fit"), F.collect_set(F_.stream_of(F.col("path"))).alias("json"), F.count_if(name.endswith(".jsonl")).alias("live")).first()
     held = [df.select("stream", "source_key", "payload_hash") for df in map(run.read, ("raw_fit", "raw_json")) if df is not None]
     held = union(held) if held else spark.createDataFrame([], "stream string, source_key string, payload_hash string")
-    of = lambda there: found if there else spark.createDataFrame([], found.schema)
-    (records, broken), (sessions, counted) = fresh_json(of(kinds.json), held), fresh_live(of(kinds.live), held)
+    of = lambda there: found if there else found.limit(0)
+    (records, broken), (sessions, counted) = fresh_json(of(kinds.json), held, kinds.json), fresh_live(of(kinds.live), held)
     made: dict[str, DataFrame] = {}
 
-    def make(name: str, df: DataFrame, there: int) -> Callable[[], None]:
-        return lambda: made.update({name: keep(df) if there else spark.createDataFrame([], df.schema)})
+    def make(name: str, df: DataFrame, there: object) -> Callable[[], None]:
+        return lambda: made.update({name: keep(df) if there else snapshots.nothing(spark, df.schema)})
 
     run.together([make("fit", fresh_fit(fit_files(of(kinds.fit)), held), kinds.fit), make("json", records, kinds.json), make("live", sessions, kinds.live)])
     a, c = fit_tables(made["fit"], keep if kinds.fit else as_is), live_tables(made["live"])
@@ -466,15 +469,16 @@ def into_store(spark: SparkSession, target: str, transport: str, work: Callable[
         try:
             run = snapshots.Run(spark, target, base, name, cancelled)
             with store.keeper(spark, target, name) as keep:
-                out = work(run, keep)
-                snapshots.compact(run)
+                with store.job_group(spark, name, f"{transport} into {target}", cancelled):
+                    out = work(run, keep)
+                    snapshots.compact(run)
                 if mark is not None:
                     run.now.marks[mark[0]] = mark[1]
                 run.commit(holder)
-        except snapshots.Cancelled:
-            store.finish_run(spark, target, name, "cancelled", None)
-            return None
         except BaseException as e:
+            if isinstance(e, snapshots.Cancelled) or (isinstance(e, Exception) and cancelled()):  # jobs that were interrupted fail
+                store.finish_run(spark, target, name, "cancelled", None)
+                return None
             store.finish_run(spark, target, name, "failed", f"{type(e).__name__}: {e}")
             raise
         store.finish_run(spark, target, name, "done", None)
@@ -482,7 +486,10 @@ def into_store(spark: SparkSession, target: str, transport: str, work: Callable[
 
 
 def import_path(spark: SparkSession, path: str, target: str, cancelled: Callable[[], bool] = lambda: False, transport: str | None = None) -> DataFrame:
-    """Imports a folder, archive or file into the store at ``target`` and returns its statistics; ``cancelled`` is asked before each table."""
+    """Imports a folder, archive or file into the store at ``target`` and returns its statistics.
+
+    ``cancelled`` is asked again and again, and running jobs are interrupted when it says so.
+    """
     found = F_.listing(spark, path)
     export = not found.where(F_.section_of(F.col("path")) != "").isEmpty()
     out = into_store(spark, target, transport or ("export" if export else "folder"), lambda run, keep: import_found(keep(found), run, keep), cancelled)

@@ -6,6 +6,7 @@ import contextlib
 import datetime
 import itertools
 import json
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -212,3 +213,35 @@ def restore(spark: SparkSession, source: str, target: str, names: list[str]) ->
 def as_json(df: DataFrame, *drop: str) -> DataFrame:
     """Rows as JSON text; absent values have no key, identifiers are left out."""
     return df.drop(*drop).select(F.to_json(F.struct("*")).alias("json"))
+
+
+def progress(spark: SparkSession, run: str) -> dict[str, int]:
+    """What the jobs of a run have done so far: jobs, those running, tasks done and in all. Jobs of a run share its name as their group."""
+    tracker = spark.sparkContext.statusTracker()
+    jobs = tracker.getJobIdsForGroup(run)
+    infos = [i for i in map(tracker.getJobInfo, jobs) if i is not None]
+    stages = [s for s in map(tracker.getStageInfo, {k for i in infos for k in i.stageIds}) if s is not None]
+    return {"jobs": len(infos), "running": sum(i.status == "RUNNING" for i in infos), "tasks_done": sum(s.numCompletedTasks for s in stages), "tasks": sum(s.numTasks for s in stages)}
+
+
+@contextlib.contextmanager
+def job_group(spark: SparkSession, run: str, what: str, cancelled, every: float = 0.2):
+    """Jobs started inside are one group. Once ``cancelled`` says so, those that run are interrupted, in the middle of a table too."""
+    context, ended = spark.sparkContext, threading.Event()
+    before = {k: context.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+
+    def watch() -> None:
+        while not ended.wait(every):
+            if cancelled():
+                context.cancelJobGroup(run)
+
+    context.setJobGroup(run, what, interruptOnCancel=True)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield
+    finally:
+        ended.set()
+        watcher.join()
+        for key, value in before.items():
+            context.setLocalProperty(key, value)

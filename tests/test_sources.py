@@ -111,7 +111,7 @@ def test_functions(spark):
     assert one(scalars.redact(text)) == "{email} saw {path} and {id}, not 12.3456789 or 123456"
     assert one(scalars.instant(F.lit("2024-01-01T00:00:00Z"))) == dt.datetime(2024, 1, 1)
     assert one(scalars.instant(F.lit("2024-01-01 00:00:00"))) is None
-    values = spark.createDataFrame([(2.675,), (1.005,), (0.125,)], "v double").select(scalars.round_exact(2)("v").alias("r"))
+    values = spark.createDataFrame([(2.675,), (1.005,), (0.125,)], "v double").select(scalars.round_exact(F.col("v"), 2).alias("r"))
     assert [r.r for r in values.collect()] == [2.67, 1.0, 0.12]
     assert [r[0] for r in spark.range(10).select(scalars.confidence(F.col("id"))).collect()] == ["insufficient"] * 3 + ["low"] * 2 + ["medium"] * 3 + ["high"] * 2
     with pytest.raises(ValueError):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 import io
+import itertools
+import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from . import adapters as A
 from . import contract
 from .functions import scalars
-from .operators import aggregates, dedupe, intervals, localday, sequences
+from .operators import aggregates, dedupe, intervals, localday, selection, sequences
 from .plans import coverage, facts, health, series
 from .sources import files, fit, ingest, json_records, store
 from .streaming import minute_fold
@@ -159,7 +161,7 @@ def minute_fold_lower_median(spark, d):
 @query("""SELECT metric, us - us % 60000000 AS minute_us, quantile_disc(value, 0.5) AS value, count(*) AS n FROM S WHERE ts < TIMESTAMP '2024-01-30' GROUP BY ALL""")
 def streaming_minute_fold(spark, d):
     """The fold as a stream over the table; minutes that the watermark has closed, so the last day is left to what is still open."""
-    import uuid
+
 
     name, folder = f"fold_{uuid.uuid4().hex}", store.scratch_folder(spark)
     rows = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").parquet(f"{d}/events.parquet*")
@@ -170,7 +172,7 @@ def streaming_minute_fold(spark, d):
 
 @query("""SELECT metric, scope, count(*) AS n, quantile_disc(value, 0.5) AS lower, list_sort(list(value), 'DESC')[CAST((count(*) + 1) // 2 AS INTEGER)] AS upper FROM S GROUP BY ALL""")
 def medians(spark, d):
-    return A.samples(spark, d).groupBy("metric", "scope").agg(F.count(F.lit(1)).alias("n"), scalars.lower_median("value").alias("lower"), scalars.upper_median("value").alias("upper"))
+    return selection.medians(A.samples(spark, d), "value", "metric", "scope")
 
 
 @query("SELECT us, metric, value, min(raw_id) AS raw_id FROM S GROUP BY ALL")
@@ -866,17 +868,23 @@ def user(df):
     return df.withColumn("u", F.col("path").cast("long")).drop("path")
 
 
-@query("WITH" + FIT + """ SELECT u, 'heart_rate' AS metric, ts, CAST(e % 120 AS DOUBLE) AS value FROM FT WHERE e % 120 > 0 UNION ALL SELECT u, 'stress', ts, e % 110 - 5 FROM FT WHERE e % 110 >= 5 UNION ALL SELECT u, 'energy_reserve', ts, e % 130 FROM FT WHERE e % 130 <= 100
-UNION ALL SELECT u, 'respiration_rate', ts, (e % 400 - 20) / 100 FROM FT WHERE e % 400 >= 20 UNION ALL SELECT u, 'spo2', ts, e % 100 FROM FT WHERE e % 100 > 0 AND r % 3 > 0 UNION ALL SELECT u, 'hrv_rmssd', ts, (e % 2000) / 128 FROM FT""", views=False)
+FIT_SAMPLES = """SELECT u, 'heart_rate' AS metric, ts, CAST(e % 120 AS DOUBLE) AS value FROM FT WHERE e % 120 > 0 UNION ALL SELECT u, 'stress', ts, e % 110 - 5 FROM FT WHERE e % 110 >= 5 UNION ALL SELECT u, 'energy_reserve', ts, e % 130 FROM FT WHERE e % 130 <= 100
+UNION ALL SELECT u, 'respiration_rate', ts, (e % 400 - 20) / 100 FROM FT WHERE e % 400 >= 20 UNION ALL SELECT u, 'spo2', ts, e % 100 FROM FT WHERE e % 100 > 0 AND r % 3 > 0 UNION ALL SELECT u, 'hrv_rmssd', ts, (e % 2000) / 128 FROM FT"""
+
+
+@query("WITH" + FIT + " " + FIT_SAMPLES, views=False)
 def fit_samples(spark, d):
     """Samples of binary files, half of them with 16-bit time stamps, under the sentinel rules."""
     return user(fit.samples(fit_rows(spark, d)))
 
 
-@query("WITH" + FIT + """ , X AS (SELECT u, base, n, unnest(['resting_metabolic_rate', 'resting_heart_rate', 'resting_heart_rate_current_day', 'hrv_weekly_average', 'hrv_last_night_average', 'hrv_last_night_5min_high', 'hrv_baseline_low_upper', 'hrv_baseline_balanced_lower',
+FIT_DAILIES = """, X AS (SELECT u, base, n, unnest(['resting_metabolic_rate', 'resting_heart_rate', 'resting_heart_rate_current_day', 'hrv_weekly_average', 'hrv_last_night_average', 'hrv_last_night_5min_high', 'hrv_baseline_low_upper', 'hrv_baseline_balanced_lower',
 'hrv_baseline_balanced_upper', 'skin_temp_nightly', 'skin_temp_deviation', 'skin_temp_7day_deviation', 'vo2max']) AS metric, unnest([1500 + u, u % 3 * 50, 40 + u % 30, (5000 + u) / 128, (5100 + u) / 128, (5200 + u) / 128, (5300 + u) / 128, (5400 + u) / 128, (5500 + u) / 128,
-35.5 + u % 8 / 4, u % 5 / 8, (-u + 7 * CAST(ceil(u / 7) AS BIGINT)) / 4, CASE WHEN u % 4 > 0 THEN (400 + u) / 10 ELSE 0 END]::DOUBLE[]) AS value, unnest([0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2]) AS minute FROM FF)
-SELECT u, metric, to_timestamp(base + 60 * minute)::TIMESTAMP AS ts, value FROM X WHERE NOT (metric IN ('resting_heart_rate', 'vo2max') AND value = 0)""", views=False)
+35.5 + u % 8 / 4, u % 5 / 8, (-u + 7 * CAST(ceil(u / 7) AS BIGINT)) / 4, CASE WHEN u % 4 > 0 THEN (400 + u) / 10 ELSE 0 END]::DOUBLE[]) AS value, unnest([0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2]) AS minute FROM FF)"""
+FIT_DAILY = """SELECT u, metric, to_timestamp(base + 60 * minute)::TIMESTAMP AS ts, value FROM X WHERE NOT (metric IN ('resting_heart_rate', 'vo2max') AND value = 0)"""
+
+
+@query("WITH" + FIT + FIT_DAILIES + " " + FIT_DAILY, views=False)
 def fit_dailies(spark, d):
     return user(fit.dailies(fit_rows(spark, d)))
 
@@ -942,6 +950,18 @@ def fit_messages(spark, d):
     return user(fit.message_counts(fit.messages(A.fit_files(spark, d))))
 
 
+def kept(spark):
+    """Writes tables that are read more than once to the shared folder."""
+    folder, count = f"{store.scratch_folder(spark)}/kept-{uuid.uuid4().hex}", itertools.count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(count)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
 def packed(spark, d):
     """path, content of archives that hold the users' files, every second one inside another archive."""
 
@@ -970,7 +990,48 @@ def import_files(spark, d):
     """An import of archives with broken files; a quarter of the files is held already."""
     found = packed(spark, d).withColumn("written_day", F.lit(None).cast("date"))
     held = A.fit_files(spark, d).where("cast(path as long) % 4 = 0").select(F.lit("fit").alias("stream"), F.sha2("content", 256).alias("source_key"), F.sha2("content", 256).alias("payload_hash"))
-    return ingest.statistics(ingest.import_files(found, held, keep=lambda df: df.persist()))
+    return ingest.statistics(ingest.import_files(found, held, keep=kept(spark)))
+
+
+FIT_DATED = """, OFFSETS_AT AS (SELECT base + 60 * m AS moment, ahead AS off FROM FF, (SELECT unnest([0, 1]) AS m) WHERE ahead <= 93600 AND u % 9 <> 8),
+RG AS (SELECT off, coalesce(lag(moment) OVER (ORDER BY moment) + moment, -4000000000000000000) AS lo2, coalesce(lead(moment) OVER (ORDER BY moment) + moment, 4000000000000000000) AS hi2 FROM OFFSETS_AT),
+SA AS (SELECT s.u, metric, ts, value, CAST(ts + to_seconds(off) AS DATE) AS day FROM (""" + FIT_SAMPLES + """) AS s JOIN RG ON 2 * epoch(ts) > lo2 AND 2 * epoch(ts) <= hi2 WHERE u % 9 <> 8),
+STEP AS (SELECT u, day, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER w <= 900 THEN value - lag(value) OVER w ELSE 0 END AS step FROM SA WHERE metric = 'energy_reserve' WINDOW w AS (PARTITION BY u, day ORDER BY ts)),
+COUNTED AS (SELECT u, r, r % 2 AS kind, CAST(moment + to_seconds(off) AS DATE) AS day FROM (SELECT *, ts - INTERVAL 1 SECOND AS moment FROM FT WHERE u % 9 <> 8) JOIN RG ON 2 * epoch(moment) > lo2 AND 2 * epoch(moment) <= hi2),
+TOP AS (SELECT u, day, kind, max(r) AS r FROM COUNTED GROUP BY ALL),
+LOCAL AS (
+  SELECT u, day, unnest(['heart_rate_min', 'heart_rate_max']) AS metric, unnest([min(value), max(value)]) AS value FROM SA WHERE metric = 'heart_rate' GROUP BY u, day
+  UNION ALL SELECT u, day, 'stress_avg', printf('%.3f', avg(value))::DOUBLE FROM SA WHERE metric = 'stress' GROUP BY u, day
+  UNION ALL SELECT u, day, unnest(['energy_reserve_low', 'energy_reserve_high']), unnest([min(value), max(value)]) FROM SA WHERE metric = 'energy_reserve' GROUP BY u, day
+  UNION ALL SELECT u, day, unnest(['energy_reserve_charged', 'energy_reserve_drained']), unnest([coalesce(sum(step) FILTER (step > 0), 0), coalesce(-sum(step) FILTER (step < 0), 0)]) FROM STEP GROUP BY u, day
+  UNION ALL SELECT u, day, 'steps', 10 * r FROM TOP WHERE kind = 1 UNION ALL SELECT u, day, 'distance', sum(1.5 * r) FROM TOP GROUP BY u, day),
+TOLD AS (SELECT u, metric, ts, value, NULL AS label FROM (""" + FIT_DAILY + """) UNION ALL SELECT u, 'hrv_status', to_timestamp(base + 60)::TIMESTAMP, NULL, ['none', 'poor', 'low', 'unbalanced', 'balanced'][u % 5 + 1] FROM FF
+  UNION ALL SELECT u, 'vo2max_sport', to_timestamp(base + 120)::TIMESTAMP, NULL, ['generic', 'running', 'cycling'][u % 3 + 1] FROM FF WHERE u % 4 > 0),
+ENDS AS (SELECT u, CASE WHEN kind = 49 THEN to_timestamp(base + 60 * (n + 5))::TIMESTAMP ELSE max(end_ts) FILTER (start_ts IS NOT NULL) END AS ts FROM FF LEFT JOIN (SELECT u, start_ts, end_ts FROM GS) USING (u) WHERE u % 9 <> 8 GROUP BY u, kind, base, n),
+NIGHT AS (SELECT u, ts, CAST(ts + to_seconds(off) AS DATE) AS day FROM ENDS LEFT JOIN RG ON 2 * epoch(ts) > lo2 AND 2 * epoch(ts) <= hi2 QUALIFY row_number() OVER (PARTITION BY day ORDER BY u DESC) = 1),
+ALL_ROWS AS (SELECT 'sample' AS kind, u, metric, NULL::DATE AS day, ts, value, NULL AS label FROM SA UNION ALL SELECT 'local', u, metric, day, NULL, value, NULL FROM LOCAL
+  UNION ALL SELECT 'device', u, metric, CAST(ts + to_seconds(off) AS DATE), NULL, value, label FROM TOLD JOIN RG ON 2 * epoch(ts) > lo2 AND 2 * epoch(ts) <= hi2 WHERE u % 9 <> 8
+  UNION ALL SELECT 'night', u, 'overall_score', day, ts, (u + 6) % 100, NULL FROM NIGHT)
+SELECT kind, metric, CAST(1000 + u AS VARCHAR) AS device_id, day, ts, round(value::DOUBLE, 6) AS value, label FROM ALL_ROWS"""
+
+
+@query(lambda: "WITH" + FIT + FIT_NIGHT + FIT_DAILIES + FIT_DATED, views=False)
+def imported_facts(spark, d):
+    """What a store holds after the users' files came in three imports, the last users' first: samples, dailies, labels and nights, row by row."""
+    target = f"{store.scratch_folder(spark)}/store-{uuid.uuid4().hex}"
+    found = A.fit_files(spark, d).select(F.concat("path", F.lit(".fit")).alias("path"), "content", F.lit(None).cast("date").alias("written_day"), F.col("path").cast("long").alias("u"))
+    third = F.percent_rank().over(Window.orderBy("u"))
+    found = found.withColumn("third", F.floor(third * 2.999))
+    for k in (2, 0, 1):
+        ingest.into_store(spark, target, "folder", lambda run, keep, k=k: ingest.import_found(keep(found.where(F.col("third") == k).drop("u", "third")), run, keep))
+    t = ingest.tables_of(spark, target)
+    no = lambda kind: F.lit(None).cast(kind)
+    row = lambda df, kind, metric, day, ts, value, label: df.select(kind.alias("kind"), metric.alias("metric"), "device_id", day.alias("day"), ts.alias("ts"), F.round(value.cast("double"), 6).alias("value"), label.alias("label"))
+    col = F.col
+    return ingest.union([
+        row(t["samples"], F.lit("sample"), col("metric"), no("date"), col("ts"), col("value"), no("string")), row(t["daily"], col("scope"), col("metric"), col("day"), no("timestamp"), col("value"), no("string")),
+        row(t["labels"], col("scope"), col("metric"), col("day"), no("timestamp"), no("double"), col("label")), row(t["sleep"], F.lit("night"), F.lit("overall_score"), col("date"), col("end_ts"), col("overall_score"), no("string")),
+    ])
 
 
 @query("WITH" + FIT + """, HR AS (SELECT u, CAST(ts + to_seconds(CASE WHEN u % 7 <> 0 THEN (u % 5 - 2) * 3600 ELSE 0 END) AS DATE) AS day, e % 120 AS v FROM FT WHERE e % 120 > 0 AND u % 9 <> 8)

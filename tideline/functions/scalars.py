@@ -167,7 +167,7 @@ def direction(delta: Column) -> Column:
 
 def plain_number(value: Column) -> Column:
     """A whole number without a point, any other rounded to three decimals without zeros behind them but one, as text."""
-    short = F.regexp_replace(F.format_string("%.3f", value), r"([0-9])0+$", "$1")
+    short = F.regexp_replace(F.format_string("%.3f", round_exact(value, 3)), r"([0-9])0+$", "$1")
     return F.when(value == F.floor(value), F.floor(value).cast("long").cast("string")).when(value.isNotNull(), short)
 
 
@@ -179,14 +179,34 @@ def upper_median(value: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
-def round_exact(digits: int):
-    """The correctly rounded, half-even value of the exact binary number, for presentation. No built-in gives it."""
+SPLITTER = 134_217_729.0  # 2 ** 27 + 1
+LARGE = 9_007_199_254_740_992.0  # 2 ** 53: from there on doubles are whole
 
-    @F.pandas_udf("double")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: v if v is None or math.isnan(v) else round(v, digits))
 
-    return run
+def round_exact(value: Column, digits: int) -> Column:
+    """The binary value rounded to so many decimals, halves to even, without a rounding on the way.
+
+    The product with the power of ten is taken as a double and the error of that double, both exact (each factor is split in halves whose products
+    are exact), so that the fraction can be compared with a half as the numbers are. Values whose last binary place is worth more than the
+    last decimal stay as they are, as do nulls, infinities and what is no number.
+    """
+    ten = 10.0**digits  # exact up to 22
+    high = SPLITTER * ten - (SPLITTER * ten - ten)
+    low = ten - high
+    x = F.abs(value.cast("double"))
+    wide = SPLITTER * x
+    x_high = wide - (wide - x)
+    x_low = x - x_high
+    p = x * ten
+    error = x_low * low - (((p - x_high * high) - x_low * high) - x_high * low)
+    whole = F.floor(p).cast("double")
+    over = (p - whole) - 0.5  # exact; the value's fraction is over + error above a half
+    odd = F.pmod(whole, F.lit(2.0)) == 1
+    up = (over > -error) | ((over == -error) & odd)
+    down = (p == whole) & (error == -0.5) & odd
+    rounded = (whole + F.when(up, 1.0).otherwise(0.0) - F.when(down, 1.0).otherwise(0.0)) / ten
+    stays = x.isNull() | F.isnan(x) | (p >= LARGE)
+    return F.when(stays, value.cast("double")).when(value < 0, -rounded).otherwise(rounded)
 
 
 def parse_day(text: str, name: str = "day") -> datetime.date:

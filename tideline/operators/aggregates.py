@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import lower_median, micros, minute_floor, upper_median
+from ..functions.scalars import lower_median, micros, minute_floor
+from .selection import medians
 
 STEP_GAP_S = 900
 TOLERANCE, RELATIVE = 0.5, 0.005
@@ -59,9 +60,10 @@ def agreement(pairs: DataFrame) -> DataFrame:
     d = F.col("a") - F.col("b")
     match = F.abs(d) <= F.greatest(F.lit(TOLERANCE), RELATIVE * F.abs("b"))
     rows = pairs.withColumn("d", d).withColumn("abs_d", F.abs(d)).withColumn("match", match)
-    return rows.groupBy("metric", "compared_with", "scope_a", "scope_b").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("match").alias("matches"), upper_median("abs_d").alias("median_abs"), F.max("abs_d").alias("max_abs"), F.avg("d").alias("mean_d")
-    )
+    keys = ["metric", "compared_with", "scope_a", "scope_b"]
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("match").alias("matches"), F.max("abs_d").alias("max_abs"), F.avg("d").alias("mean_d")).withColumn("key", F.struct(*keys))
+    middle = medians(rows, "abs_d", *keys).select(F.struct(*keys).alias("of"), F.col("upper").alias("median_abs"))
+    return sums.join(middle, F.col("key").eqNullSafe(F.col("of")), "left").select(*keys, "n", "matches", "median_abs", "max_abs", "mean_d")
 
 
 def stream_counts(records: DataFrame, rules: dict[str, str]) -> DataFrame:

@@ -49,8 +49,8 @@ def clipped_seconds(spans: DataFrame, bounds: DataFrame, *by: str) -> DataFrame:
 
 
 def covered_seconds(spans: DataFrame, bounds: DataFrame, claimed: DataFrame, *by: str) -> DataFrame:
-    """Seconds of the union of spans in each day; a claimed day (by, day) counts whole."""
-    some = clipped_seconds(merge(spans, *by), bounds, *by)
+    """Seconds of the union of spans in each day; a claimed day (by, day) counts whole. Spans are merged day by day, however long a group's history."""
+    some = clipped_seconds(merge(spans, *by, bucket=86_400), bounds, *by)
     whole = claimed.select(*by, "day").distinct().join(bounds, "day").select(*by, "day", (F.col("high_s") - F.col("low_s")).alias("whole"))
     return some.join(whole, [*by, "day"], "full").select(*by, "day", F.coalesce("whole", "seconds").alias("seconds"))
 

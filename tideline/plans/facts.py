@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contract import FACT_SCOPES, SESSION_SCOPES
-from ..functions.scalars import confidence, days_before, direction, window_days
+from ..functions.scalars import confidence, days_before, direction, round_exact, window_days
 
 WINDOW_CAP, BASELINE_CAP = 31, 365
 MINIMUM_BASELINE = 3
@@ -35,7 +35,7 @@ def latest_stored_day(daily: DataFrame, samples: DataFrame, scopes: tuple[str, .
 
 def day_means(sample_days: DataFrame, digits: int = 2) -> DataFrame:
     """Facts of sample metrics rest on their days' means, rounded as they are shown. sample_days: metric, scope, local_day, mean_value."""
-    return sample_days.select("metric", "scope", F.col("local_day").alias("day"), F.round("mean_value", digits).alias("value"))
+    return sample_days.select("metric", "scope", F.col("local_day").alias("day"), round_exact(F.col("mean_value"), digits).alias("value"))
 
 
 def period_facts(

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import gmt, mask_label
+from ..functions.scalars import gmt, mask_label, round_exact
 from ..operators import aggregates, dedupe, localday
 from . import files as F_
 from . import fit, json_records, snapshots, store
@@ -211,7 +211,8 @@ def derive(tables: dict[str, DataFrame], touched: DataFrame | None = None, days:
         newest = counters.groupBy("device_id", "local_day").agg(F.max_by("raw_id", F.struct("ts", "record_start", "raw_id")).alias("raw_id"), F.max("ts").alias("observed"))
         total = aggregates.counter_totals(there).select("device_id", "local_day", F.col("total").cast("double").alias("value"))
         sums.append(total.join(newest, ["device_id", "local_day"]).withColumn("metric", F.lit(name)))
-    out = union([reduced, charges, *sums])
+    shown = [df.withColumn("value", round_exact(F.col("value"), 3)) for df in (reduced, charges)]  # stored as they are shown
+    out = union([*shown, *sums])
     return out.select("metric", F.lit("local").alias("scope"), F.col("local_day").alias("day"), F.col("value").cast("double").alias("value"), "device_id", "raw_id", "observed")
 
 
@@ -253,8 +254,8 @@ def timed_facts(a: dict[str, DataFrame]) -> DataFrame:
     return values.select(*columns).unionByName(labels.select(*columns))
 
 
-def day_tables(tables: dict[str, DataFrame], timed: DataFrame, nights: DataFrame, b: dict[str, DataFrame], keep: Keep = as_is, days: Callable[[Column], Column] | None = None) -> dict[str, DataFrame]:
-    """daily, labels and sleep from samples, intervals and offsets (tables), facts and nights of files, and tables of JSON records."""
+def day_versions(tables: dict[str, DataFrame], timed: DataFrame, nights: DataFrame, b: dict[str, DataFrame], days: Callable[[Column], Column] | None = None) -> dict[str, DataFrame]:
+    """All versions of daily, labels and sleep from samples, intervals and offsets (tables), facts and nights of files, and tables of JSON records."""
     fine = days if days is not None else lambda day: F.lit(True)
     dated = with_digest(localday.with_local_day(timed, tables["offsets"]).withColumnsRenamed({"ts": "observed", "local_day": "day"})).where(fine(F.col("day")))
     facts = [*KEYS["daily"], "observed", "raw_id", *ORDERED]
@@ -263,9 +264,14 @@ def day_tables(tables: dict[str, DataFrame], timed: DataFrame, nights: DataFrame
     daily = [dated.where("value is not null").select(*facts, "value"), b["daily"].withColumns(at).where(fine(F.col("day"))).select(*facts, "value"), derived.select(*facts, "value")]
     labels = [dated.where("label is not null").select(*facts, "label"), b["labels"].withColumns(at).where(fine(F.col("day"))).select(*facts, "label")]
     slept = with_digest(localday.with_local_day(nights, tables["offsets"], "end_ts").withColumnRenamed("local_day", "date").drop("offset_s", "assumed_utc"))
-    sleep = single(union([slept, b["sleep"]]).where(fine(F.col("date"))), "sleep").drop(*ORDERED)
-    latest = lambda parts, name: dedupe.latest_observed(keep(union(parts).withColumn("content", F.struct(*ORDERED, "raw_id"))), KEYS[name], "content").drop("content", *ORDERED)
-    return {"daily": latest(daily, "daily"), "labels": latest(labels, "labels"), "sleep": sleep}
+    content = F.struct(*ORDERED, "raw_id")
+    return {"daily": union(daily).withColumn("content", content), "labels": union(labels).withColumn("content", content), "sleep": union([slept, b["sleep"]]).where(fine(F.col("date")))}
+
+
+def day_rows(versions: DataFrame, name: str) -> DataFrame:
+    """The version of each key that holds: of dailies and labels the latest observed."""
+    rows = single(versions, name) if name == "sleep" else dedupe.latest_observed(versions, KEYS[name], "content").drop("content")
+    return rows.drop(*ORDERED)
 
 
 def assemble(a: dict[str, DataFrame], b: dict[str, DataFrame], c: dict[str, DataFrame], offsets: DataFrame | None = None, keep: Keep = as_is) -> dict[str, DataFrame]:
@@ -273,7 +279,8 @@ def assemble(a: dict[str, DataFrame], b: dict[str, DataFrame], c: dict[str, Data
     clock = a["offsets"] if offsets is None else a["offsets"].unionByName(offsets.select("raw_id", "ts", "offset_s")).distinct()
     device = keep(single(a["samples"], "samples"))
     tables = {"offsets": clock, "samples": device, "intervals": keep(single(a["intervals"], "intervals"))}
-    out = tables | day_tables(tables, timed_facts(a), a["sleep"], b, keep) | {"activities": a["activities"].drop("record_start"), "stages": a["stages"]}
+    days = {name: day_rows(keep(df), name) for name, df in day_versions(tables, timed_facts(a), a["sleep"], b).items()}
+    out = tables | days | {"activities": a["activities"].drop("record_start"), "stages": a["stages"]}
     out["samples"] = device.drop("record_start").unionByName(live_minutes(readings_once(c["readings"])))
     return out | {"intervals": out["intervals"].drop("record_start")}
 
@@ -402,15 +409,23 @@ def write_facts(run: snapshots.Run, facts: dict[str, DataFrame], json_days: Data
     run.together([functools.partial(merge, name) for name in BY_INSTANT if touched.get(name) or name not in run.now.schemas])
     offsets = run.read("offsets")
     clock = keep(localday.regimes(offsets))
-    moved = redated(before, clock, stored) if with_fit else set()
-    reach = max(1, -(-int(offsets.agg(F.max(F.abs("offset_s"))).first()[0] or 0) // 86_400))
+    moved: set[int] = set()
+    furthest: list[int] = []
+    run.together([
+        lambda: moved.update(redated(before, clock, stored) if with_fit else ()), lambda: furthest.append(int(clock.agg(F.max(F.abs("offset_s"))).first()[0] or 0)),
+    ])
+    reach = max(1, -(-furthest[0] // 86_400))
     local = around(set().union(moved, *(touched.get(t, set()) for t in CLOCKED)), reach) | touched.get("json", set())
     near = around(local, reach)
     records = run.read("raw_json", local).where("stream != 'json:live'").withColumn("record", F.col("payload").cast("string"))
     streams = {r.stream for r in records.select("stream").distinct().collect()}  # a row a stream
     tables = {"offsets": clock, "samples": run.read("device_samples", near), "intervals": run.read("intervals", near)}
-    days = day_tables(tables, run.read("timed", near).drop(snapshots.DAY), run.read("nights", near).drop(snapshots.DAY), json_tables(ordered(records), streams), keep, in_days(local))
-    steps = [functools.partial(run.replace, name, on_day(df, BY_LOCAL_DAY[name]), local) for name, df in days.items() if local or name not in run.now.schemas]
+    versions = day_versions(tables, run.read("timed", near).drop(snapshots.DAY), run.read("nights", near).drop(snapshots.DAY), json_tables(ordered(records), streams), in_days(local))
+
+    def settle(name: str) -> None:
+        run.replace(name, on_day(day_rows(keep(versions[name]), name), BY_LOCAL_DAY[name]), local)
+
+    steps = [functools.partial(settle, name) for name in versions if local or name not in run.now.schemas]
     live = touched.get("readings", set())
     if live or "live_samples" not in run.now.schemas:
         steps.append(lambda: run.replace("live_samples", on_day(live_minutes(run.read("readings", live)), "ts"), live))
@@ -444,7 +459,7 @@ def import_found(found: DataFrame, run: snapshots.Run, keep: Keep) -> DataFrame:
         if old is not None:
             old = old.select(*(F.col(k).alias(f"{k}_") for k in key)).distinct()
             new[name] = new[name].join(old, functools.reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in key)), "left_anti")
-    new = {name: keep(df) for name, df in new.items()}
+    run.together([functools.partial(lambda name, df: new.update({name: keep(df)}), name, df) for name, df in list(new.items())])
     drops = union([a["drops"], c["drops"], counted]).groupBy("reason").agg(F.sum("n").alias("n"))
     run.together([
         lambda: run.add("raw_fit", a["raw"]), lambda: run.add("raw_json", raw_json.sortWithinPartitions(snapshots.DAY)), lambda: run.add("failures", new["failures"]),

@@ -1,14 +1,18 @@
+import collections
+import math
 import os
+import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tideline.llm import ordinal, passages
 
 from .helpers import docs, empty
 
-DATA = "/root/testdata/sf0.1"
+DATA, SMALL = "/root/testdata/sf0.1", "/root/testdata/sf0.001"
 
 
 def labels(spark, rows):
@@ -174,3 +178,47 @@ def test_queries_on_labels_they_did_not_learn_from(spark, tmp_path):
     spark.createDataFrame(learned.reset_index()).write.parquet(str(tmp_path / "labels.parquet"))
     found = ordinal.op5_toxicity(spark, str(tmp_path)).toPandas().set_index("doc_id").join(rest, how="inner", rsuffix="_label")
     assert found[found.toxic_label == 1].toxic.mean() >= 0.75 and found[found.toxic_label == 0].toxic.mean() <= 0.03
+
+
+def plain_severity(text, model):
+    """The model by its definition: dense counts of places, one threshold after another."""
+    x = np.zeros(ordinal.PLACES)
+    for word, n in collections.Counter(re.findall(r"\w+", (text or "").lower())).items():
+        for part in [word, *(f"^{word[:k]}" for k in (4, 5, 6) if len(word) > k)]:
+            x[xxhash.xxh32_intdigest(part) % ordinal.PLACES] += min(n, 3)
+    total = float(x @ model.weights.astype(float))
+    return sum(1 / (1 + math.exp(-min(40, max(-40, total - t)))) for t in model.thresholds)
+
+
+def plain_quality(text, model):
+    """Passage by passage, word by word, with no arrays but the model's."""
+    words = (text or "").split()
+    rows = []
+    for i in range(0, len(words), 64):
+        part = range(i, min(i + 64, len(words)))
+        mean = [float(np.mean([passages.form(words[k])[c] for k in part], dtype=np.float64)) for c in range(passages.FORM + passages.SHAPES)]
+        again = [sum(k >= back and words[k] == words[k - back] for k in part) / len(part) for back in (1, 2)]
+        rows.append([*mean, *again, len(set(words)) / len(words), math.log1p(len(words)) / 8])
+    x = (np.array(rows or [[0.0] * passages.WIDTH]) - model.mean) / model.scale
+    p = model.parts
+    hidden = [[math.tanh(sum(r[i] * p["W"][i, j] for i in range(len(r))) + p["b"][j]) for j in range(passages.HIDDEN)] for r in x]
+    logit = lambda v: 1 / (1 + math.exp(-v))
+    scores = [sum(p["w"][k] * math.tanh(float(h @ p["V"][:, k])) * logit(float(h @ p["U"][:, k])) for k in range(passages.GATE)) for h in map(np.array, hidden)]
+    shares = np.exp(np.array(scores) - max(scores))
+    shares /= shares.sum()
+    z = [sum(s * h[j] for s, h in zip(shares, hidden, strict=True)) for j in range(passages.HIDDEN)]
+    return logit(sum(c * v for c, v in zip(p["c"], z, strict=True)) + p["d"][0])
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
+def test_scores_equal_a_plain_scorer_on_whole_texts(spark):
+    found, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    odd = spark.createDataFrame([(None, None), (-1, ""), (-2, " \n "), (-3, "é 中文 😀 Idiot! " * 2000)], "doc_id long, text string")
+    rows = found.select("doc_id", "text").unionByName(odd)
+    toxic, good = ordinal.train_toxicity(found, labels), passages.train_quality(found, labels)
+    assert len(toxic.thresholds) and good.parts
+    got = rows.select("text", ordinal.severity(F.col("text"), toxic).alias("severity"), passages.quality(F.col("text"), good).alias("quality")).collect()
+    assert len(got) == found.count() + 4
+    for r in got:
+        assert r.severity == pytest.approx(plain_severity(r.text, toxic), abs=1e-6)
+        assert r.quality == pytest.approx(plain_quality(r.text, good), abs=1e-5)

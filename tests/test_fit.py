@@ -104,3 +104,17 @@ def test_files_written_are_files_read(spark):
     r = rows(spark, W.write(many))
     assert fit.samples(r).count() == 40 and fit.identities(r).first().error is None
     assert W.checksum(b"123456789") == 0xBB3D  # the check value of this CRC
+
+
+def test_unwanted_messages_are_stepped_over(spark):
+    """What the decoders make of a file does not depend on what they leave unread, and time stamps of left-out messages still count."""
+    from tideline import adapters
+
+    data = adapters.fit_fixture(3, list(range(40)))
+    every, some = list(fit.parse(data)), list(fit.parse(data, {55: {27, 26}}))
+    assert [(m, c) for m, c, _ in some] == [(m, c) for m, c, _ in every if m == 55]
+    assert all(set(f) <= {27, 26, 253} for _, _, f in some) and [f.get(27) for _, _, f in some] == [f.get(27) for m, _, f in every if m == 55]
+    df = spark.createDataFrame([("x", bytearray(data))], "path string, content binary")
+    whole, less = (fit.timed(fit.messages(df, w)) for w in (None, fit.wanted_fields()))
+    for make in (fit.samples, fit.dailies, fit.labels, fit.clock_offsets, fit.intervals, fit.sleep_stages, fit.sleep_sessions, fit.activities, fit.identities, fit.drops):
+        assert sorted(map(str, make(less).collect())) == sorted(map(str, make(whole).collect())), make.__name__

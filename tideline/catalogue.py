@@ -988,9 +988,10 @@ def nested_archives(spark, d):
 SELECT stream, count(*) FILTER (WHERE NOT bad AND u % 4 > 0) AS records, count(*) FILTER (WHERE bad AND u % 4 > 0) AS failures FROM X WHERE u % 4 > 0 GROUP BY 1""", views=False)
 def import_files(spark, d):
     """An import of archives with broken files; a quarter of the files is held already."""
-    found = packed(spark, d).withColumn("written_day", F.lit(None).cast("date"))
+    keep = kept(spark)
+    found = keep(packed(spark, d).withColumn("written_day", F.lit(None).cast("date")))
     held = A.fit_files(spark, d).where("cast(path as long) % 4 = 0").select(F.lit("fit").alias("stream"), F.sha2("content", 256).alias("source_key"), F.sha2("content", 256).alias("payload_hash"))
-    return ingest.statistics(ingest.import_files(found, held, keep=kept(spark)))
+    return ingest.statistics(ingest.import_files(found, held, keep=keep))
 
 
 FIT_DATED = """, OFFSETS_AT AS (SELECT base + 60 * m AS moment, ahead AS off FROM FF, (SELECT unnest([0, 1]) AS m) WHERE ahead <= 93600 AND u % 9 <> 8),
@@ -1021,7 +1022,7 @@ def imported_facts(spark, d):
     target = f"{store.scratch_folder(spark)}/store-{uuid.uuid4().hex}"
     found = A.fit_files(spark, d).select(F.concat("path", F.lit(".fit")).alias("path"), "content", F.lit(None).cast("date").alias("written_day"), F.col("path").cast("long").alias("u"))
     third = F.percent_rank().over(Window.orderBy("u"))
-    found = found.withColumn("third", F.floor(third * 2.999))
+    found = kept(spark)(found.withColumn("third", F.floor(third * 2.999)))
     for k in (2, 0, 1):
         ingest.into_store(spark, target, "folder", lambda run, keep, k=k: ingest.import_found(keep(found.where(F.col("third") == k).drop("u", "third")), run, keep))
     t = ingest.tables_of(spark, target)

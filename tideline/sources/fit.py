@@ -63,8 +63,19 @@ TOUCHING = """message IN (0, 18, 55, 370, 398) OR (message = 275 AND fields[0] I
 OR (message = 227 AND (fields[3] BETWEEN 0 AND 100 OR fields[0] >= 0))"""
 
 
-def parse(data: bytes) -> Iterator[tuple[int, int | None, dict[int, float]]]:
-    """(message number, full time stamp in force, numeric fields) of each data message; developer fields are skipped."""
+def wanted_fields() -> dict[int, set[int]]:
+    """The fields that the decoders below read, by message; time stamps are read of all."""
+    out: dict[int, set[int]] = {0: {0, 3}, 18: {5, 6, 7, 8, 9, 11, 14, 16, 17, 22, 23, 124}, 21: {0, 1}, 55: {2, 3, 4, 5, 19, 24, 26, 28}, 269: {2}, 275: {0}, 370: {6}, MAX_MET: {5}, ASSESSMENT: {*SCORES, STRESS}}
+    for message, field, *_ in (*SAMPLES, *DAILIES, *LOCAL_FIELD.items(), *OWN_TIME.items()):
+        out.setdefault(message, set()).add(field)
+    return out
+
+
+def parse(data: bytes, wanted: dict[int, set[int]] | None = None) -> Iterator[tuple[int, int | None, dict[int, float]]]:
+    """(message number, full time stamp in force, numeric fields) of each data message; developer fields are skipped.
+
+    With ``wanted`` (message -> fields) other messages are stepped over, but for their time stamps, and other fields are not read.
+    """
     if len(data) < 12 or data[8:12] != b".FIT":
         raise ValueError("no FIT header")
     p, end = data[0], data[0] + int.from_bytes(data[4:8], "little")
@@ -91,7 +102,7 @@ def parse(data: bytes) -> Iterator[tuple[int, int | None, dict[int, float]]]:
             layout, read = order, []
             for name, size, base in fields:
                 width, code, invalid = BASE.get(base, (0, "", None))
-                if width and size == width:
+                if width and size == width and (wanted is None or name == TIMESTAMP or name in wanted.get(number, ())):
                     layout += code
                     read.append((name, invalid))
                 else:  # arrays and texts are not read
@@ -110,18 +121,22 @@ def parse(data: bytes) -> Iterator[tuple[int, int | None, dict[int, float]]]:
             values.setdefault(TIMESTAMP, clock)
         elif TIMESTAMP in values and values[TIMESTAMP] >= REAL_TIME:
             clock = int(values[TIMESTAMP])
-        yield number, clock, values
+        if wanted is None or number in wanted:
+            yield number, clock, values
+
 
+def messages(files: DataFrame, wanted: dict[int, set[int]] | None = None) -> DataFrame:
+    """files: path, content. path, n, message, fields (map of number to value), error; an error is a row of message ERROR.
 
-def messages(files: DataFrame) -> DataFrame:
-    """files: path, content. path, n, message, fields (map of number to value), error; an error is a row of message ERROR."""
+    wanted: the messages and fields to read, all if there is none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):  # a file's messages are a batch
                 found, error = [], None
                 try:
-                    found.extend((number, list(fields.items())) for number, _, fields in parse(content))
+                    found.extend((number, list(fields.items())) for number, _, fields in parse(content, wanted))
                 except Exception as e:  # noqa: BLE001 - hostile bytes break in any way; the error is a row
                     error = f"{type(e).__name__}: {e}"
                     found.append((ERROR, []))

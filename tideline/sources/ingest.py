@@ -59,7 +59,7 @@ def fresh_fit(found: DataFrame, held: DataFrame) -> DataFrame:
 
 def fit_tables(records: DataFrame, keep: Keep = as_is) -> dict[str, DataFrame]:
     """Tables of FIT records (raw_id, label, payload). A record that breaks off is a failure and gives no facts."""
-    rows = keep(fit.timed(fit.messages(records.select(F.col("raw_id").alias("path"), F.col("payload").alias("content")))))
+    rows = keep(fit.timed(fit.messages(records.select(F.col("raw_id").alias("path"), F.col("payload").alias("content")), fit.wanted_fields())))
     known = keep(fit.identities(rows).withColumnRenamed("path", "raw_id"))
     good = known.where("error is null").select("raw_id", "stream", "device_id", *NO_SPAN)
     of = good.select("raw_id", "device_id", F.col("start_ts").alias("record_start"))

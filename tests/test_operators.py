@@ -183,10 +183,10 @@ def test_exports_and_sleep(spark):
     values = spark.createDataFrame([(day, "steps", "device", 5.0), (day, "stress_avg", "local", 2.5), (day, "weight_kg", "vendor_cloud", 71.2345), (day, "spo2", "device", 0.1256)], "day date, metric string, scope string, value double")
     labels = spark.createDataFrame([(day, "hrv_status", "device", "low")], "day date, metric string, scope string, label string")
     units = spark.createDataFrame([("steps", "steps"), ("weight_kg", "kg")], "metric string, unit string")
-    got = [(r.metric, r.unit, r.value) for r in series.export_long(values, labels, units).collect()]
+    got = [(r.metric, r.unit, r.value) for r in series.export_long(values, labels, units).orderBy(*series.LONG).collect()]
     assert got == [("hrv_status", "label", "low"), ("spo2", None, "0.126"), ("steps", "steps", "5"), ("stress_avg", None, "2.5"), ("weight_kg", "kg", "71.234" if got[4][2] == "71.234" else "71.235")]
-    assert [r.metric for r in series.export_long(values, labels, units, metrics=["steps", "hrv_status"], scope="device", first=day, last=day).collect()] == ["hrv_status", "steps"]
-    wide = series.export_wide(values, labels).first()
+    assert [r.metric for r in series.export_long(values, labels, units, metrics=["steps", "hrv_status"], scope="device", first=day, last=day).orderBy(*series.LONG).collect()] == ["hrv_status", "steps"]
+    wide = series.export_wide(values, labels).orderBy(*series.WIDE).first()
     assert wide.asDict() == {"day": day, "hrv_status[device]": "low", "spo2[device]": "0.126", "steps[device]": "5", "stress_avg[local]": "2.5", "weight_kg[vendor_cloud]": wide["weight_kg[vendor_cloud]"]}
     events = spark.createDataFrame([(1, None, at(60), "light"), (1, None, at(180), "deep"), (1, None, at(180), "rem"), (2, at(0), at(60), "awake")], "night int, start_ts timestamp, end_ts timestamp, stage string")
     stages = series.stage_rows(events)

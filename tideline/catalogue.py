@@ -704,15 +704,20 @@ def packed_bytes(spark, d):
     return back.select("k", "v", F.md5("b").alias("digest"))
 
 
-HEALTH = """SELECT 'streams' AS section, stream AS name, NULL AS scope, count(*) AS n, NULL AS n_recent, CAST(min(start_ts) AS DATE) AS first_day, CAST(max(end_ts) AS DATE) AS last_day FROM RAW GROUP BY ALL
-UNION ALL SELECT 'samples', metric, NULL, count(DISTINCT CAST(ts AS DATE)), count(DISTINCT CAST(ts AS DATE)) FILTER (WHERE ts >= TIMESTAMP '2024-01-20'), CAST(min(ts) AS DATE), CAST(max(ts) AS DATE) FROM S GROUP BY ALL
-UNION ALL SELECT 'daily', metric, scope, count(*), count(*) FILTER (WHERE day >= DATE '2024-01-20'), min(day), max(day) FROM D GROUP BY ALL
-UNION ALL SELECT 'sleep', NULL, scope, count(*), NULL, min(night), max(night) FROM (SELECT night, 'device' AS scope FROM SG WHERE start_ts < end_ts GROUP BY 1) GROUP BY ALL
-UNION ALL SELECT 'live', 'records', NULL, count(*), NULL, NULL, NULL FROM RAW WHERE stream = 'json:live' UNION ALL SELECT 'live', 'samples', NULL, 0, NULL, NULL, NULL
-UNION ALL SELECT 'activities', NULL, NULL, count(*), NULL, NULL, NULL FROM RAW WHERE stream = 'fit:sleep' UNION ALL SELECT 'offsets', NULL, NULL, count(*), NULL, NULL, NULL FROM O
-UNION ALL SELECT 'agreement', CASE WHEN compared_with IS NULL THEN metric ELSE metric || ' = ' || compared_with END, scope_a || ' / ' || scope_b, n, matches, NULL, NULL FROM (AGREED)
-UNION ALL SELECT 'coverage', metric, scope, count(*), count(*) FILTER (WHERE status = 'present'), NULL, NULL FROM ST GROUP BY ALL
-UNION ALL SELECT 'runs', transport, NULL, count(*), NULL, NULL, NULL FROM R GROUP BY ALL"""
+#: A third of the samples counts as live here, so that the report has a live block.
+HEALTH = """, HS AS (SELECT * EXCLUDE (scope), CASE scope WHEN 'local' THEN 'live' ELSE scope END AS scope FROM S), LIVE AS (SELECT us, CAST(ts + to_seconds(CAST(off AS BIGINT)) AS DATE) AS day FROM HS JOIN REG ON 2 * us > lo2 AND 2 * us <= hi2 WHERE scope = 'live')
+SELECT 'streams' AS section, stream AS name, NULL AS scope, count(*) AS n, NULL AS n_recent, CAST(min(start_ts) AS DATE) AS first_day, CAST(max(end_ts) AS DATE) AS last_day, NULL AS detail FROM RAW GROUP BY ALL
+UNION ALL SELECT 'samples', metric, NULL, count(DISTINCT CAST(ts AS DATE)), count(DISTINCT CAST(ts AS DATE)) FILTER (WHERE ts >= TIMESTAMP '2024-01-20'), CAST(min(ts) AS DATE), CAST(max(ts) AS DATE), NULL FROM HS WHERE scope <> 'live' GROUP BY ALL
+UNION ALL SELECT 'daily', metric, scope, count(*), count(*) FILTER (WHERE day >= DATE '2024-01-20'), min(day), max(day), NULL FROM D GROUP BY ALL
+UNION ALL SELECT 'sleep', NULL, scope, count(*), NULL, min(night), max(night), NULL FROM (SELECT night, 'device' AS scope FROM SG WHERE start_ts < end_ts GROUP BY 1) GROUP BY ALL
+UNION ALL SELECT 'live', 'records', NULL, count(*), NULL, NULL, NULL, NULL FROM RAW WHERE stream = 'json:live' UNION ALL SELECT 'live', 'samples', NULL, count(*), NULL, min_by(day, us), max_by(day, us), NULL FROM LIVE
+UNION ALL SELECT 'activities', NULL, NULL, count(*), NULL, NULL, NULL, NULL FROM RAW WHERE stream = 'fit:sleep' UNION ALL SELECT 'offsets', NULL, NULL, count(*), NULL, NULL, NULL, NULL FROM O
+UNION ALL SELECT 'agreement', CASE WHEN compared_with IS NULL THEN metric ELSE metric || ' = ' || compared_with END, scope_a || ' / ' || scope_b, n, matches, NULL, NULL, NULL FROM (AGREED)
+UNION ALL SELECT 'coverage', metric, scope, count(*), count(*) FILTER (WHERE status = 'present'), NULL, NULL, NULL FROM ST GROUP BY ALL
+UNION ALL SELECT 'runs', transport, NULL, count(*), NULL, NULL, NULL, NULL FROM R GROUP BY ALL
+UNION ALL SELECT 'recent', transport, NULL, row_number() OVER (ORDER BY run_id DESC), NULL, NULL, NULL, CASE WHEN run_id % 3 <> 0 THEN 'OSError: {path} of {email}, serial {id}, ' || run_id % 1000 END
+  FROM (SELECT * FROM (SELECT * FROM R WHERE transport IS DISTINCT FROM 'ble' ORDER BY run_id DESC LIMIT 5) UNION SELECT * FROM (SELECT * FROM R WHERE transport = 'ble' ORDER BY run_id DESC LIMIT 1))
+UNION ALL SELECT 'provenance', stream, NULL, count(*) FILTER (raw_id % 5 <> 0), count(*) FILTER (raw_id % 5 = 0), NULL, NULL, 'bad {id} in {path} ' || max(raw_id) FILTER (raw_id % 5 = 0) FROM RAW GROUP BY ALL"""
 
 
 def runs(spark, d):
@@ -726,7 +731,12 @@ def data_health(spark, d):
     r = A.raw(spark, d)
     sleep = stages(spark, d).select(F.col("night").alias("date"), F.lit("device").alias("scope")).distinct()
     agreed = series.source_agreement(A.daily(spark, d), targets(spark))
-    return health.data_health(r, A.samples(spark, d), A.daily(spark, d), sleep, r.where("stream = 'fit:sleep'"), A.offsets(spark, d), agreed, coverage.ledger(statuses(spark, d)), runs(spark, d), "2024-01-20")
+    samples = A.samples(spark, d).withColumn("scope", F.when(F.col("scope") == "local", "live").otherwise(F.col("scope")))
+    error = F.concat(F.lit("OSError: /home/someone/files/X.FIT of some.one@mail.org, serial 3489012345, "), (F.col("run_id") % 1000).cast("string"))
+    failed = runs(spark, d).withColumn("error", F.when(F.col("run_id") % 3 != 0, error))
+    detail = F.concat(F.lit("bad 12345678 in C:\\data\\x.fit, ").cast("string"), F.col("raw_id").cast("string"))
+    log = r.select("stream", F.col("raw_id").alias("at"), (F.col("raw_id") % 5 != 0).alias("ok"), detail.alias("detail"))
+    return health.data_health(r, samples, A.daily(spark, d), sleep, r.where("stream = 'fit:sleep'"), A.offsets(spark, d), agreed, coverage.ledger(statuses(spark, d)), failed, "2024-01-20", log)
 
 
 @query(CHAIN + """ SELECT 'unsent' AS name, count(*) AS n FROM RAW WHERE raw_id % 3 <> 0 UNION ALL SELECT 'bundles ' || stream, count(*) FROM K JOIN RAW ON seq = raw_id GROUP BY ALL UNION ALL SELECT 'conflicts', count(DISTINCT raw_id % 97) FROM RAW

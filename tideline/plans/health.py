@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import redact
+from ..operators.localday import with_local_day
 from ..operators.sequences import chain_gaps
+from .series import recent_runs
 
 
 def streams(raw: DataFrame) -> DataFrame:
@@ -34,34 +37,59 @@ def sample_days_since(samples: DataFrame, since) -> DataFrame:
     return recent.groupBy("metric").agg(F.countDistinct(F.to_date("ts")).alias("n"))
 
 
-def data_health(raw: DataFrame, samples: DataFrame, daily: DataFrame, sessions: DataFrame, activities: DataFrame, offsets: DataFrame, agreement: DataFrame, ledger: DataFrame, runs: DataFrame, since) -> DataFrame:
-    """The store's report as one table: section, name, scope, n, n_recent, first_day, last_day.
+def sample_report(samples: DataFrame, since) -> DataFrame:
+    """metric, live, days, days_since, samples, first_ts, last_ts: one pass over all samples. Live sessions are counted apart, no session is a day of monitoring."""
+    day = F.to_date("ts")
+    rows = samples.groupBy("metric", F.coalesce(F.col("scope") == "live", F.lit(False)).alias("live"), day.alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return rows.groupBy("metric", "live").agg(
+        F.count("day").alias("days"), F.count_if(F.col("day") >= F.lit(since).cast("date")).alias("days_since"), F.sum("n").alias("samples"), F.min("a").alias("first_ts"), F.max("b").alias("last_ts")
+    )
 
-    Sections: streams (records), samples and daily (days with data, and since ``since``), sleep (nights), live (records, samples), activities, offsets,
-    agreement (days compared, and matching ones), coverage (days present, and all), runs. Each section is an aggregate of its own table.
+
+def live_block(report: DataFrame, offsets: DataFrame) -> DataFrame:
+    """samples, first_day, last_day of live sessions: one row, its days by the wearer's clock."""
+    one = report.where("live").agg(F.coalesce(F.sum("samples"), F.lit(0)).alias("samples"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    ends = with_local_day(one.select("samples", F.explode(F.array("first_ts", "last_ts")).alias("ts")), offsets)
+    return ends.groupBy("samples").agg(F.min("local_day").alias("first_day"), F.max("local_day").alias("last_day"))
+
+
+NEWEST_RUNS = 5
+
+
+def data_health(raw: DataFrame, samples: DataFrame, daily: DataFrame, sessions: DataFrame, activities: DataFrame, offsets: DataFrame, agreement: DataFrame, ledger: DataFrame, runs: DataFrame, since, log: DataFrame | None = None) -> DataFrame:
+    """The store's report as one table: section, name, scope, n, n_recent, first_day, last_day, detail.
+
+    Sections: streams (records), samples and daily (days with data, and since ``since``), sleep (nights), live (records, samples; days by the wearer's
+    clock, all others by UTC), activities, offsets, agreement (days compared, and matching ones), coverage (days present, and all), runs (by
+    transport), recent (the newest imports by rank, with their errors), and from a log of events (stream, at, ok, detail) provenance: successes, failures
+    and the last error of each stream. Errors are redacted. runs: run_id, transport, error. Each table is aggregated once.
     """
     none = F.lit(None)
-    columns = {"section": "string", "name": "string", "scope": "string", "n": "long", "n_recent": "long", "first_day": "date", "last_day": "date"}
+    columns = {"section": "string", "name": "string", "scope": "string", "n": "long", "n_recent": "long", "first_day": "date", "last_day": "date", "detail": "string"}
 
     def part(section: str, df: DataFrame, **given) -> DataFrame:
         values = {"section": F.lit(section)} | given
         return df.select(*(values.get(c, none).cast(t).alias(c) for c, t in columns.items()))
 
     c = F.col
-    live_raw, live = raw.where("stream = 'json:live'"), samples.where("scope = 'live'")
+    report = sample_report(samples, since)
+    newest = recent_runs(runs).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("run_id"))))  # a handful of rows
     parts = [
         part("streams", streams(raw), name=c("stream"), n=c("records"), first_day=c("first_ts"), last_day=c("last_ts")),
-        part("samples", sample_days(samples).join(sample_days_since(samples, since), "metric", "left"), name=c("metric"), n=c("days"), n_recent=F.coalesce("n", F.lit(0)), first_day=c("first_ts"), last_day=c("last_ts")),
+        part("samples", report.where("not live"), name=c("metric"), n=c("days"), n_recent=c("days_since"), first_day=c("first_ts"), last_day=c("last_ts")),
         part("daily", daily_scopes(daily, since), name=c("metric"), scope=c("scope"), n=c("n"), n_recent=c("n_recent"), first_day=c("first_day"), last_day=c("last_day")),
         part("sleep", nights(sessions), scope=c("scope"), n=c("n"), first_day=c("first_day"), last_day=c("last_day")),
-        part("live", live_raw.agg(F.count(F.lit(1)).alias("n")), name=F.lit("records"), n=c("n")),
-        part("live", live.agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")), name=F.lit("samples"), n=c("n"), first_day=c("a"), last_day=c("b")),
+        part("live", raw.agg(F.count_if(c("stream") == "json:live").alias("n")), name=F.lit("records"), n=c("n")),
+        part("live", live_block(report, offsets), name=F.lit("samples"), n=c("samples"), first_day=c("first_day"), last_day=c("last_day")),
         part("activities", activities.agg(F.count(F.lit(1)).alias("n")), n=c("n")),
         part("offsets", offsets.agg(F.count(F.lit(1)).alias("n")), n=c("n")),
         part("agreement", agreement, name=F.concat_ws(" = ", "metric", "compared_with"), scope=F.concat_ws(" / ", "scope_a", "scope_b"), n=c("n"), n_recent=c("matches")),
         part("coverage", ledger, name=c("metric"), scope=c("scope"), n=c("present") + c("failed") + c("source_empty") + c("not_covered"), n_recent=c("present")),
         part("runs", runs.groupBy("transport").agg(F.count(F.lit(1)).alias("n")), name=c("transport"), n=c("n")),
+        part("recent", newest, name=c("transport"), n=c("rank"), detail=redact(c("error"))),
     ]
+    if log is not None:
+        parts.append(part("provenance", provenance(log), name=c("stream"), n=c("successes"), n_recent=c("failures"), detail=redact(c("last_error"))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

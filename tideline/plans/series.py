@@ -106,10 +106,10 @@ def chosen(rows: DataFrame, metrics: list[str] | None = None, first=None, last=N
 
 
 def export_long(values: DataFrame, labels: DataFrame, units: DataFrame, **filters) -> DataFrame:
-    """Numeric values and labels in one table, in order of day, metric and scope; values as text. units: metric, unit."""
+    """Numeric values and labels in one table, values as text (in files in the order LONG). units: metric, unit."""
     numbers = chosen(values, **filters).join(units.select("metric", "unit"), "metric", "left").select("day", "metric", "unit", "scope", plain_number(F.col("value")).alias("value"))
     named = chosen(labels, **filters).select("day", "metric", F.lit("label").alias("unit"), "scope", F.col("label").alias("value"))
-    return numbers.unionByName(named).orderBy("day", "metric", "scope", "value")
+    return numbers.unionByName(named)
 
 
 def export_wide(values: DataFrame, labels: DataFrame, columns: list[str] | None = None, **filters) -> DataFrame:
@@ -119,23 +119,28 @@ def export_wide(values: DataFrame, labels: DataFrame, columns: list[str] | None
     """
     cells = chosen(values, **filters).select("day", "metric", "scope", "value").unionByName(chosen(labels, **filters).select("day", "metric", "scope", "label"), allowMissingColumns=True)
     keyed = cells.withColumn("key", F.concat("metric", F.lit("["), "scope", F.lit("]")))
-    if columns is None:  # the header of the file: metrics times scopes, bounded by the contract
-        columns = sorted(r[0] for r in keyed.select("key").distinct().collect())
+    if columns is None:  # the header of the file: metrics times scopes, bounded by the contract; one of the contract's own saves this pass
+        columns = sorted(f"{r.metric}[{r.scope}]" for r in cells.select("metric", "scope").distinct().collect())
     cell = keyed.groupBy("day", "key").agg(F.coalesce(plain_number(F.max("value")), F.max("label")).alias("cell"))
-    return cell.groupBy("day").pivot("key", columns).agg(F.max("cell")).orderBy("day")
+    return cell.groupBy("day").pivot("key", columns).agg(F.max("cell"))
 
 
 def export_samples(samples: DataFrame, metric: str, unit: str | None = None, start=None, end=None) -> DataFrame:
-    """Samples of a metric in the half-open range [start, end), in order of time, values as text."""
+    """Samples of a metric in the half-open range [start, end), values as text (in files in the order SAMPLES)."""
     rows = samples.where(F.col("metric") == metric)
     rows = rows if start is None else rows.where(F.col("ts") >= F.lit(start).cast("timestamp"))
     rows = rows if end is None else rows.where(F.col("ts") < F.lit(end).cast("timestamp"))
-    return rows.select("ts", plain_number(F.col("value")).alias("value"), "scope", F.lit(unit).alias("unit")).orderBy("ts", "scope", "value")
+    return rows.select("ts", plain_number(F.col("value")).alias("value"), "scope", F.lit(unit).alias("unit"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Part files with a header, in the frame's order; blanks are empty, instants are UTC texts."""
+#: The order of exported files: a plan that goes on with an export needs none.
+LONG, WIDE, SAMPLES = ("day", "metric", "scope", "value"), ("day",), ("ts", "scope", "value")
+
+
+def write_csv(df: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
+    """Part files with a header, sorted over all of them where an order is given; blanks are empty, instants are UTC texts."""
     texts = {c: instant_text(F.col(c)) for c, t in df.dtypes if t == "timestamp"}
+    df = df.orderBy(*order) if order else df
     df.withColumns(texts).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 

@@ -126,6 +126,10 @@ def test_contract(spark):
     with pytest.raises(ValueError):
         contract.check_scope("cloud")
     assert contract.streams(spark).where("metric = 'vo2max'").count() == 2
+    whole = contract.document(spark).first()
+    assert {(x.metric, x.scope, s) for x in (*whole.streams, *whole.session_streams) for s in x.streams} == {tuple(r) for r in contract.streams(spark, True).collect()}
+    assert len(whole.metrics) == 62 and len(whole.labels) == 5 and set(whole.conventions) >= {"time", "sources", "coverage"} and {x.scope for x in whole.session_streams} == {"live"}
+    assert {m.name: m.target for m in whole.metrics if m.target} == contract.TARGETS and whole.scopes == list(contract.SCOPES) and whole.version == contract.VERSION
 
 
 def test_streaming_fold_equals_the_batch_fold(spark, tmp_path):

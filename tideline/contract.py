@@ -102,6 +102,28 @@ def dump(spark: SparkSession) -> DataFrame:
     return metrics(spark).join(supplied, "metric", "left").withColumn("target", F.create_map(*(F.lit(x) for pair in TARGETS.items() for x in pair))[F.col("metric")]).orderBy("ord")
 
 
+VERSION = 1
+#: How to read what this engine gives.
+CONVENTIONS = {
+    "time": "Instants are UTC. A local day is the day on the wearer's clock, by the offset that was observed nearest in time; UTC where none is known.",
+    "missing_values": "A day or reading without a value has no row; sentinels are dropped and counted, never turned into numbers.",
+    "sources": "Each value carries its scope: read from the device, stated by the vendor's cloud, computed here, or from a live session. Scopes are never mixed.",
+    "privacy": "Identifiers of devices and of raw records are left out of exports; addresses, paths and long numbers are taken out of texts.",
+    "coverage": "A day without a value is failed, empty at its source, or not covered, in that order of what is known about it.",
+    "completeness": "The share of a day's covered seconds in which the sensor was worn, in whole percent and at most 100.",
+}
+
+
+def document(spark: SparkSession) -> DataFrame:
+    """The contract in one row: version, conventions, scopes, per_minute, sparse, streams and session_streams (metric, scope, streams), metrics and labels (name, unit, cadence, target)."""
+    listed = lambda of: [(m, scope, sorted(s for s, by in SUPPLIES.items() if (s == SESSION_STREAM) == of and m in by.get(scope, ()))) for m in (*SAMPLE_METRICS, *DAILY_METRICS, *LABELS) for scope in SCOPES]
+    entry = lambda m: (m, unit_for(m), cadence_for(m), TARGETS.get(m))
+    supplied, item = "array<struct<metric:string,scope:string,streams:array<string>>>", "array<struct<name:string,unit:string,cadence:string,target:string>>"
+    schema = f"version int, conventions map<string,string>, scopes array<string>, per_minute array<string>, sparse array<string>, streams {supplied}, session_streams {supplied}, metrics {item}, labels {item}"
+    row = (VERSION, CONVENTIONS, list(SCOPES), list(PER_MINUTE), sorted(SPARSE), *([x for x in listed(of) if x[2]] for of in (False, True)), [entry(m) for m in (*SAMPLE_METRICS, *DAILY_METRICS)], [entry(m) for m in LABELS])
+    return spark.createDataFrame([row], schema)
+
+
 def sort_out(names: list[str]) -> tuple[list[str], list[str], list[str]]:
     """(numeric metrics, labels, unknown names), each in order and without repeats."""
     seen = list(dict.fromkeys(names))

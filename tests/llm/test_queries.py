@@ -115,3 +115,19 @@ def test_op10(spark):
         assert sorted(found) == [1, 2, 3, 4, 5]
         assert all(abs(s - score[np.flatnonzero(ids == v)[0]]) < 1e-12 for v, s in found.values())
     assert hits >= 0.9 * 5 * len(asked)
+
+
+def test_op12(spark, texts):
+    from .test_codes import brute
+
+    assert sorted(map(tuple, run(spark, "op12_token_codes"))) == brute(texts)
+
+
+def test_op11_and_op13_by_definition(spark):
+    from .test_divergence import brute as apart
+    from .test_resampling import brute as weighed
+
+    found = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    target = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    assert sorted(str(list(r)) for r in run(spark, "op11_resampling")) == weighed([(r.doc_id, r.text) for r in found], target)
+    assert sorted(map(tuple, run(spark, "op13_divergence"))) == apart([(r.text, r.lang, r.source) for r in found])

@@ -208,7 +208,7 @@ def derive(tables: dict[str, DataFrame], touched: DataFrame | None = None, days:
     sums = []
     for name, column in (("steps", "steps"), ("distance", "distance_m")):
         there = counters.where(F.col(column).isNotNull()).withColumn("counter", F.col(column))
-        newest = counters.groupBy("device_id", "local_day").agg(F.max_by("raw_id", F.struct("ts", "record_start", "raw_id")).alias("raw_id"), F.max("ts").alias("observed"))
+        newest = counters.groupBy("device_id", "local_day").agg(F.max_by("raw_id", F.struct("ts", *(c for c in ("record_start",) if c in counters.columns), "raw_id")).alias("raw_id"), F.max("ts").alias("observed"))
         total = aggregates.counter_totals(there).select("device_id", "local_day", F.col("total").cast("double").alias("value"))
         sums.append(total.join(newest, ["device_id", "local_day"]).withColumn("metric", F.lit(name)))
     shown = [df.withColumn("value", round_exact(F.col("value"), 3)) for df in (reduced, charges)]  # stored as they are shown

@@ -1,11 +1,13 @@
 """Queries against their SQL on tables whose keys are those of far larger ones."""
 
 import os
+import time
 
 import duckdb
 import pytest
 
 from tideline import catalogue
+from tideline.sources import files
 
 from .test_catalogue import DATA, TABLES, rows
 
@@ -46,3 +48,13 @@ def test_files_of_users_with_large_numbers(spark, large, name):
 
 def test_report_names_records_with_large_numbers(spark, large):
     equal(spark, large, "data_health")
+
+
+def test_long_live_files_are_split_once(spark):
+    """Splitting the text again for each line takes minutes here."""
+    many = 12_000
+    text = "\n".join(f'{{"t":{1_700_000_000 + k},"metric":"heart_rate","value":{k % 200}}}' for k in range(many))
+    began = time.time()
+    (found,) = files.live_lines(spark.createDataFrame([("a", text)], "path string, text string")).selectExpr("size(readings) AS n", "readings[11999].t AS last", "cut_off").collect()
+    assert (found.n, found.last, found.cut_off) == (many, 1_700_011_999.0, False)
+    assert time.time() - began < 30

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from tideline import catalogue
-from tideline.sources import files
+from tideline.sources import files, snapshots
 
 from .test_catalogue import DATA, TABLES, rows
 
@@ -58,3 +58,10 @@ def test_long_live_files_are_split_once(spark):
     (found,) = files.live_lines(spark.createDataFrame([("a", text)], "path string, text string")).selectExpr("size(readings) AS n", "readings[11999].t AS last", "cut_off").collect()
     assert (found.n, found.last, found.cut_off) == (many, 1_700_011_999.0, False)
     assert time.time() - began < 30
+
+
+def test_days_in_many_ranges(spark):
+    days = {-1_000_000, *range(20_000, 38_000, 3)}
+    rows = spark.range(19_000, 40_000).selectExpr("id AS d").union(spark.sql("SELECT * FROM VALUES (-1000000L), (CAST(NULL AS BIGINT)), (-999999L)"))
+    found = rows.where(snapshots.within(rows["d"], days)).collect()
+    assert sorted(r.d for r in found) == sorted(days)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -352,16 +353,20 @@ def around(days: Iterable[int], reach: int) -> set[int]:
 
 
 def redated(old: DataFrame, new: DataFrame, days: set[int]) -> set[int]:
-    """Of some UTC days, those on which two sets of offsets, or of regimes, do not tell the same time. Regimes, a row a change of clock, meet a calendar."""
+    """Of some UTC days, those on which two sets of offsets, or of regimes, do not tell the same time. Regimes, a row a change of clock, meet a calendar day by day."""
     if not days:
         return set()
     spark = new.sparkSession
-    calendar = F.broadcast(spark.createDataFrame([(d,) for d in sorted(days)], "d long"))
+    calendar = spark.createDataFrame(pd.DataFrame({"d": sorted(days)}), "d long")
     first, last = 2 * localday.DAY_US * F.col("d"), 2 * localday.DAY_US * (F.col("d") + 1)
+    from_day, to_day = (F.lit(d).cast("long") for d in (min(days), max(days)))
 
     def clock(offsets: DataFrame) -> DataFrame:
+        found = offsets if "low2" in offsets.columns else localday.regimes(offsets)
+        span = [F.floor(F.col(c) / (2 * localday.DAY_US)) for c in ("low2", "high2")]
+        spread = found.where((span[0] <= to_day) & (span[1] >= from_day)).withColumn("d", F.explode(F.sequence(F.greatest(span[0], from_day), F.least(span[1], to_day))))
+        met = spread.join(calendar, "d").where((F.col("low2") < last) & (F.col("high2") > first))
         piece = F.struct(F.greatest("low2", first).alias("from2"), "offset_s")
-        met = (offsets if "low2" in offsets.columns else localday.regimes(offsets)).join(calendar, (F.col("low2") < last) & (F.col("high2") > first))
         return met.groupBy("d").agg(F.array_sort(F.collect_list(piece)).alias("clock"))
 
     none = F.array(F.struct(first.alias("from2"), F.lit(0).alias("offset_s")))  # no offset known: taken for UTC

@@ -118,3 +118,26 @@ def test_unwanted_messages_are_stepped_over(spark):
     whole, less = (fit.timed(fit.messages(df, w)) for w in (None, fit.wanted_fields()))
     for make in (fit.samples, fit.dailies, fit.labels, fit.clock_offsets, fit.intervals, fit.sleep_stages, fit.sleep_sessions, fit.activities, fit.identities, fit.drops):
         assert sorted(map(str, make(less).collect())) == sorted(map(str, make(whole).collect())), make.__name__
+
+
+def test_short_stamps_follow_the_clocks_of_messages_left_out(spark):
+    """Message 500 is no decoder's, but a 16-bit stamp behind it is completed from its time, also where 65 536 seconds have passed since the last one read."""
+    short = [(55, [(26, 0x84, (T + s) & 0xFFFF), (27, 0x02, 60 + k)]) for k, s in enumerate((5, 40_005, 140_005))]
+    data = written((55, [stamp(), (27, 0x02, 59)]), short[0], (500, [stamp(40_000)]), short[1], (500, [stamp(140_000)]), short[2])
+    df = spark.createDataFrame([("x", bytearray(data))], "path string, content binary")
+    for wanted in (None, fit.wanted_fields(), fit.wanted_fields("samples")):
+        assert [(r.ts, r.value) for r in fit.samples(fit.timed(fit.messages(df, wanted))).orderBy("ts").collect()] == [(at(0), 59), (at(5), 60), (at(40_005), 61), (at(140_005), 62)]
+
+
+def test_each_decoder_reads_what_it_needs(spark):
+    from tideline import adapters
+
+    files = [(str(u), bytearray(adapters.fit_fixture(u, list(range(u, u + 20))))) for u in (1, 8, 90_001)]
+    df = spark.createDataFrame(files, "path string, content binary")
+    whole = fit.timed(fit.messages(df))
+    assert "Window" not in whole._jdf.queryExecution().optimizedPlan().toString()  # rows are not dealt out again for their time
+    makes = [(fit.samples, "samples"), (fit.dailies, "dailies"), (fit.labels, "labels"), (fit.clock_offsets, "clock_offsets"), (fit.intervals, "intervals"), (fit.sleep_stages, "stages"), (fit.activities, "activities")]
+    makes += [(fit.identities, "identities"), (fit.sleep_sessions, "stages", "sleep_assessments"), (fit.drops, "samples", "clock_offsets", "stages", "untimed")]
+    for make, *names in makes:
+        less = fit.timed(fit.messages(df, fit.wanted_fields(*names)))
+        assert sorted(map(str, make(less).collect())) == sorted(map(str, make(whole).collect())), make.__name__

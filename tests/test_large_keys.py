@@ -65,3 +65,10 @@ def test_days_in_many_ranges(spark):
     rows = spark.range(19_000, 40_000).selectExpr("id AS d").union(spark.sql("SELECT * FROM VALUES (-1000000L), (CAST(NULL AS BIGINT)), (-999999L)"))
     found = rows.where(snapshots.within(rows["d"], days)).collect()
     assert sorted(r.d for r in found) == sorted(days)
+
+
+def test_replayed_records_are_decoded_once(spark):
+    """The facts come from kept messages: their plan decodes no file again, and reads the JSON records once."""
+    plan = catalogue.QUERIES["reparsed"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" not in plan
+    assert sum("Relation" in line and "event_id" in line for line in plan.splitlines()) == 1

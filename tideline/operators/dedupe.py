@@ -26,14 +26,17 @@ def latest_observed(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
     A null time replaces and is replaced by anything. So nothing before a key's last row without a time matters, and of that row and those
     behind it the latest observed holds, ties by order; both are maxima, which are aggregated before the shuffle. A key's
-    versions are never collected. ``rows`` is read twice: keep it first if it is dear.
+    versions are never collected. Rows without a time meet the others as one a key, so ``rows`` that are known to have none are read once;
+    keep others first if they are dear.
     """
     rest = [c for c in rows.columns if c not in keys]
-    cut = rows.where(F.col("observed").isNull()).groupBy(*keys).agg(F.max(order).alias("cut")).select(F.struct(*keys).alias("of"), "cut")
-    versions = rows.select(F.struct(*keys).alias("key"), F.struct(*rest).alias("version"))
-    left = versions.join(cut, F.col("key").eqNullSafe(F.col("of")), "left").where(F.col("cut").isNull() | (F.col(f"version.{order}") >= F.col("cut")))
-    best = left.groupBy("key").agg(F.max(F.struct("version.observed", f"version.{order}", "version")).alias("best"))
-    return best.select("key.*", *(F.col(f"best.version.{c}").alias(c) for c in rest))
+    versions = rows.select(F.struct(*keys).alias("key"), "observed", F.struct(order, F.struct(*rest).alias("version")).alias("v"))
+    untimed = versions.where("observed is null").groupBy("key").agg(F.max("v").alias("v"))
+    cut = untimed.select(F.col("key").alias("of"), F.col(f"v.{order}").alias("cut"))
+    timed = versions.where("observed is not null").join(cut, F.col("key").eqNullSafe(F.col("of")), "left").where(F.col("cut").isNull() | (F.col(f"v.{order}") >= F.col("cut")))
+    left = timed.select(*versions.columns).unionByName(untimed, allowMissingColumns=True)
+    best = left.groupBy("key").agg(F.max(F.struct("observed", "v")).alias("best"))
+    return best.select("key.*", *(F.col(f"best.v.version.{c}").alias(c) for c in rest))
 
 
 def conflict_winner(rows: DataFrame, keys: list[str], by_hash: Column | None = None) -> DataFrame:

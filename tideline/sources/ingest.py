@@ -307,7 +307,8 @@ def import_files(found: DataFrame, held: DataFrame | None = None, offsets: DataF
 def reparse(raw: DataFrame, kept: dict[str, DataFrame] | None = None, force: bool = False, keep: Keep = as_is) -> dict[str, DataFrame]:
     """All facts again from retained records (raw_id, stream, payload; start_ts and payload_hash if there are any). Refused if any fails to decode, unless forced.
 
-    Forced, the facts that failing records left behind (in ``kept``) stay; FIT comes first, so that all offsets are known.
+    Forced, the facts that failing records left behind (in ``kept``) stay; FIT comes first, so that all offsets are known. Files are decoded
+    once with ``keep``, which has their messages and clocks; a table of facts is made from these when it is read.
     """
     missing = {"start_ts": F.lit(None).cast("timestamp"), "payload_hash": F.sha2("payload", 256)}
     raw = raw.withColumns({c: v for c, v in missing.items() if c not in raw.columns})
@@ -316,7 +317,7 @@ def reparse(raw: DataFrame, kept: dict[str, DataFrame] | None = None, force: boo
     a, b, c = fit_tables(binary, keep), json_tables(ordered(text)), live_tables(text.where("stream = 'json:live'"))
     a["offsets"] = keep(a["offsets"])
     failures = union([a["failures"], c["failures"]])
-    tables = assemble(a, b, c, keep=keep)
+    tables = assemble(a, b, c)
     if failures.isEmpty():
         return tables
     if not force:
